@@ -111,15 +111,19 @@ def merge_profiles(profiles: DataFrame, updates: DataFrame) -> DataFrame:
     """One profile per email: the latest name, affiliation and purpose, the first `created_at`.
 
     `profiles` (email, name, affiliation, purpose, created_at) come before all `updates`, which
-    have `at` and a `seq` for equal times.
+    have `updated_at` and a `seq` for equal times.
     """
     fields = ["name", "affiliation", "purpose"]
     old = profiles.select(
-        "email", *fields, F.col("created_at").alias("at"), F.lit(0).alias("age"), F.lit(0).cast("bigint").alias("seq")
+        "email",
+        *fields,
+        F.col("created_at").alias("updated_at"),
+        F.lit(0).alias("age"),
+        F.lit(0).cast("bigint").alias("seq"),
     )
-    new = updates.select("email", *fields, "at", F.lit(1).alias("age"), F.col("seq").cast("bigint").alias("seq"))
-    first = F.coalesce(F.min(F.when(F.col("age") == 0, F.col("at"))), F.min("at"))
-    latest = F.max(F.struct("age", "at", "seq", *fields))
+    new = updates.select("email", *fields, "updated_at", F.lit(1).alias("age"), F.col("seq").cast("bigint").alias("seq"))
+    first = F.coalesce(F.min(F.when(F.col("age") == 0, F.col("updated_at"))), F.min("updated_at"))
+    latest = F.max(F.struct("age", "updated_at", "seq", *fields))
     merged = old.unionByName(new).groupBy("email").agg(first.alias("created_at"), latest.alias("latest"))
     return merged.select("email", *[F.col(f"latest.{f}").alias(f) for f in fields], "created_at")
 

@@ -102,7 +102,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("orders",),
         """
         SELECT cast(o_custkey AS string) AS email, concat('Name ', cast(o_orderkey AS string)) AS name,
-               o_orderpriority AS affiliation, o_orderstatus AS purpose, o_orderdate AS at, o_orderkey AS seq
+               o_orderpriority AS affiliation, o_orderstatus AS purpose, o_orderdate AS updated_at, o_orderkey AS seq
         FROM {orders}""",
     ),
 }
