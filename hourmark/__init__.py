@@ -1,5 +1,5 @@
 """Publishing and analysis of hourly sensor readings, written as Spark jobs."""
 
-from hourmark.session import prepare, session
+from hourmark.runtime import prepare, session
 
 __all__ = ["prepare", "session"]

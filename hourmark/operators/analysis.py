@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourmark.functions import time as t
 from hourmark.operators.filters import plausible
-from hourmark.session import small_side
+from hourmark.runtime import small_side
 
 
 def of_parameter(fact: DataFrame, parameter: str, low: float = 0, high: float = 1000) -> DataFrame:

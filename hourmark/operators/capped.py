@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
-from hourmark.session import cut
+from hourmark.runtime import cut
 
 # A top-k keeps k rows per task and brings them all to one. Up to this many rows that is cheap;
 # a longer prefix is found by counting instead.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.functions import text as x
-from hourmark.session import small_side
+from hourmark.runtime import small_side
 
 
 def canonical_columns(joined: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.functions.geo import squared_degrees
-from hourmark.session import cut, small_side
+from hourmark.runtime import cut, small_side
 
 # A key with at most this many candidate places is compared place by place. Keys with more are
 # narrowed down through a grid first, so no key ever produces all its pairs.

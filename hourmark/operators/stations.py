@@ -9,7 +9,7 @@ from hourmark import schema as S
 from hourmark.functions import text as x
 from hourmark.functions.geo import great_circle_km
 from hourmark.operators.nearest import PAIRS_MAX, nearest
-from hourmark.session import small_side
+from hourmark.runtime import cut, small_side
 
 
 class DuplicateStations(ValueError):
@@ -86,7 +86,9 @@ def resolve_stations(
     matches is it matched by name key, and then the place nearest the source coordinate is taken.
     Registry names are used only for stations whose own name had to be derived from the id.
     """
-    exact = first_listed(registry)
+    # The stations seen come out of a scan of all readings: take them from there once.
+    raw = cut(raw)
+    exact = cut(first_listed(registry))
     by_name = exact.select(F.col("full_name").alias("station_name"), F.struct(*exact.columns).alias("lx"))
     fixed_row = _one_per_id(fixed).withColumnRenamed("row", "e")
     portal_row = _one_per_id(portal).withColumnRenamed("row", "pp")

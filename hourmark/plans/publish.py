@@ -14,7 +14,7 @@ from hourmark.operators import series
 from hourmark.operators.fact import canonical_fact, with_month
 from hourmark.operators.stations import require_unique
 from hourmark.plans import catalog
-from hourmark.session import new_path
+from hourmark.runtime import new_path
 from hourmark.sources import tree
 
 # A month is cut into files of at most this many rows.

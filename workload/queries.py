@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from hourmark.functions import text as x
 from hourmark.functions import time as t
 from hourmark.operators import analysis, capped, fact, filters, rollup, series, stations, usage
 from hourmark.plans import catalog, measurements, publish
-from hourmark.session import new_path
+from hourmark.runtime import cut, new_path
 from hourmark.sources import readings, registry, tree
 from hourmark.streaming import jobs
 from workload import standins as s
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: _days_as_text(build(Inputs(spark, sf_dir)))
+    QUERIES[build.__name__] = lambda spark, sf_dir: _days_as_text(build(Inputs.of(spark, sf_dir)))
     return build
 
 
@@ -303,8 +304,9 @@ def registry_first(i: Inputs) -> DataFrame:
     )
 
 
-def _resolved(i: Inputs) -> DataFrame:
-    return stations.resolve_stations(_raw_stations(i), i.view("fixed"), i.portal(), i.registry())
+def _resolved(i: Inputs, raw: DataFrame | None = None) -> DataFrame:
+    raw = _raw_stations(i) if raw is None else raw
+    return stations.resolve_stations(raw, i.view("fixed"), i.portal(), i.registry())
 
 
 @query
@@ -320,7 +322,8 @@ def station_resolve_crowded(i: Inputs) -> DataFrame:
 
 @query
 def station_moved_audit(i: Inputs) -> DataFrame:
-    moved = stations.moved_stations(_raw_stations(i), _resolved(i))
+    raw = cut(_raw_stations(i))
+    moved = stations.moved_stations(raw, _resolved(i, raw))
     return moved.withColumn("km", r6("km"))
 
 
@@ -501,14 +504,13 @@ CAP_CASES = [(None, None, "json"), (None, 50, "csv"), (1000, 50, "csv"), (1000,
 
 @query
 def capped_slice_flag(i: Inputs) -> DataFrame:
-    parts = []
-    for number, (tier_max, limit, fmt) in enumerate(CAP_CASES):
-        result = measurements.answer(i.m(), today=s.TODAY, agg="daily", fmt=fmt, limit=limit, max_rows=tier_max)
-        parts.append(result.report.withColumn("request", F.lit(number)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return _numbers_as_text(whole, "max_rows")
+    rows = measurements.select_rows(i.m(), date(2024, 1, 1), s.TODAY)
+    daily = rollup.period_rollup(rows, "daily")
+    reports = [
+        capped.cap_report(daily, capped.row_cap(*case)).withColumn("request", F.lit(number))
+        for number, case in enumerate(CAP_CASES)
+    ]
+    return _numbers_as_text(reduce(DataFrame.unionByName, reports), "max_rows")
 
 
 @query

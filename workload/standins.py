@@ -7,13 +7,14 @@ the library here and spelled out again for the other engine in `workload.oracles
 from __future__ import annotations
 
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark.functions import text as x
 from hourmark.operators.fact import canonical_columns
-from hourmark.session import prepare, small_side
+from hourmark.runtime import prepare, small_side
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # station spine, one row per supplier
@@ -124,22 +125,43 @@ LIMITS = {"free": 1, "research": 1, "dashboard": 1, "demo": 1}
 class Inputs:
     """The stand-ins of one test directory."""
 
+    _known: dict[tuple[str, str], Inputs] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
-        self.sf_dir = sf_dir.rstrip("/")
+        self.sf_dir = sf_dir
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Inputs:
+        """The stand-ins of a directory, defined (and their sizes checked) once per session."""
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in cls._known:
+            cls._known[key] = cls(spark, key[1])
+        return cls._known[key]
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cache
     def view(self, name: str) -> DataFrame:
         needs, sql = VIEWS[name]
         inputs = {n: self.table(n) if n in BASE_TABLES else self.view(n) for n in needs}
         if name in ("raw", "raw_hist"):
-            inputs["stn"] = small_side(inputs["stn"])
+            inputs["stn"] = self._spine_beside_readings()
         return self.spark.sql(sql, **inputs).transform(_naive)
 
+    @cache
+    def _spine_beside_readings(self) -> DataFrame:
+        return small_side(self.view("stn"))
+
+    @cache
+    def _names_beside_readings(self) -> DataFrame:
+        return small_side(self.station_dim().select("raw_id", "station_name", "state_name", "city_name"))
+
     # -- tables built with the library -----------------------------------------
 
+    @cache
     def station_dim(self) -> DataFrame:
         """Described straight from the spine, not through resolution."""
         station_id = x.public_id(F.col("raw_id"))
@@ -154,17 +176,17 @@ class Inputs:
             x.network(station_id).alias("source"),
         )
 
+    @cache
     def m(self) -> DataFrame:
         """The fact of `raw`, stations without a description kept."""
         raw = self.view("raw").where(F.col("value").isNotNull())
-        names = self.station_dim().select("raw_id", "station_name", "state_name", "city_name")
-        joined = raw.join(small_side(names), "raw_id", "left").withColumn("station_id", x.public_id(F.col("raw_id")))
+        joined = raw.join(self._names_beside_readings(), "raw_id", "left").withColumn("station_id", x.public_id(F.col("raw_id")))
         return canonical_columns(joined.withColumn("source", x.network(F.col("station_id"))))
 
+    @cache
     def dashboard(self) -> DataFrame:
         """`raw` in the shape that carries its names along."""
-        dim = self.station_dim().select("raw_id", "station_name", "state_name", "city_name")
-        return self.view("raw").join(small_side(dim), "raw_id", "left").select(
+        return self.view("raw").join(self._names_beside_readings(), "raw_id", "left").select(
             F.col("raw_id").alias("station_id"),
             "station_name",
             "state_name",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hourmark.functions import time as t
 from hourmark.plans.publish import publish
-from hourmark.session import new_path
+from hourmark.runtime import new_path
 from hourmark.sources.readings import month_bounds, timescale_readings
 from hourmark.streaming import jobs
 from workload.standins import HIST_TODAY, Inputs
