@@ -1,0 +1,128 @@
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from hourmark.functions import geo
+from hourmark.functions import text as x
+from hourmark.functions import time as t
+
+
+def values(spark, kind, inputs, expression):
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(inputs)], f"n int, v {kind}")
+    return [r[0] for r in rows.orderBy("n").select(expression(F.col("v"))).collect()]
+
+
+def test_units(spark):
+    given = ["UG/M3", " ug/m3 ", "mg/m3", "MG/M3 ", "µg/m³", " ppb", None, "\tug/m3"]
+    assert values(spark, "string", given, x.harmonise_unit) == [
+        "µg/m³", "µg/m³", "mg/m³", "mg/m³", "µg/m³", "ppb", None, "\tug/m3",
+    ]
+
+
+def test_public_id(spark):
+    given = ["site_12", "site_12_Name_x", "DS1010001", "site__x", "asite_1_b", "site_7_", None]
+    assert values(spark, "string", given, x.public_id) == [
+        "site_12", "site_12", "DS1010001", "site__x", "asite_1_b", "site_7", None,
+    ]
+
+
+def test_name_key(spark):
+    given = ["Mahakaleshwar Temple, Ujjain - MPPCB", "A - B - C", "A-B - C-D", "No agency", "Tail - x\n", ""]
+    assert values(spark, "string", given, x.name_key) == [
+        "mahakaleshwartempleujjain", "ab", "abcd", "noagency", "tail", "",
+    ]
+
+
+def test_display_name(spark):
+    rows = spark.createDataFrame(
+        [("site_3_Here", None), ("site_3_Here", "site_3_Here"), ("site_4", "There"), ("site_5", None)],
+        "raw_id string, name string",
+    )
+    got = rows.select(x.display_name(F.col("raw_id"), F.col("name"))).collect()
+    assert [r[0] for r in got] == ["Here", "Here", "There", "site_5"]
+
+
+def test_numbers(spark):
+    given = ["12.5", " 7 ", "", "n/a", None, "1e3", "-.5", "5.", "12d", "nan", "1,5", "0x10"]
+    got = values(spark, "string", given, x.to_number)
+    assert str(got[9]) == "nan"
+    got[9] = "nan"
+    assert got == [12.5, 7.0, None, None, None, 1000.0, -0.5, 5.0, None, "nan", None, None]
+
+
+def test_strip_takes_all_white_space(spark):
+    assert values(spark, "string", ["\t a b \n", "   ", None], x.strip) == ["a b", None, None]
+
+
+def test_periods(spark):
+    at = datetime(2024, 2, 29, 23, 30, 0, 5)
+    for grain, want in {
+        "hourly": datetime(2024, 2, 29, 23),
+        "daily": datetime(2024, 2, 29),
+        "monthly": datetime(2024, 2, 1),
+    }.items():
+        assert values(spark, "timestamp_ntz", [at], lambda c: t.period_start(c, grain)) == [want]
+    with pytest.raises(ValueError):
+        t.period_start(F.col("v"), "weekly")
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    at = datetime(2024, 3, 10, 2, 30)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert values(spark, "timestamp_ntz", [at], lambda c: t.period_start(c, "hourly")) == [datetime(2024, 3, 10, 2)]
+        rendered = spark.sql("SELECT timestamp'2024-01-01 00:00:00Z' AS at").select(t.wall_clock(F.col("at"))).first()[0]
+        assert rendered == datetime(2024, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_iso_text(spark):
+    given = [datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 1200)]
+    assert values(spark, "timestamp_ntz", given, t.iso_text) == [v.isoformat() for v in given]
+
+
+def test_day_window():
+    today = date(2024, 1, 31)
+    assert t.day_window(None, None, today) == (date(2024, 1, 1), today)
+    assert t.day_window("2024-01-05T10:11:12", "2024-01-20 01:02:03", today) == (date(2024, 1, 5), date(2024, 1, 20))
+    with pytest.raises(ValueError):
+        t.day_window("2024-02-01", "2024-01-01", today)
+    with pytest.raises(ValueError):
+        t.day_window("01/02/2024", None, today)
+
+
+def test_month_arithmetic():
+    assert t.next_month(date(2023, 12, 1)) == date(2024, 1, 1)
+    assert t.next_month(date(2024, 1, 1), -1) == date(2023, 12, 1)
+    assert t.month_runs([date(2024, 3, 1), date(2023, 12, 1), date(2024, 1, 1)]) == [
+        (date(2023, 12, 1), date(2024, 2, 1)),
+        (date(2024, 3, 1), date(2024, 4, 1)),
+    ]
+
+
+def months(df):
+    return [r.month for r in df.orderBy("month").collect()]
+
+
+def test_calendar(spark):
+    today = date(2024, 2, 15)
+    assert months(t.calendar(spark, today)) == [date(2024, 1, 1), date(2024, 2, 1)]
+    assert months(t.calendar(spark, today, recent=0)) == [date(2024, 2, 1)]
+    assert months(t.calendar(spark, today, since="2023-12")) == [date(2023, 12, 1), date(2024, 1, 1), date(2024, 2, 1)]
+    assert months(t.calendar(spark, today, since="2024-03")) == []
+    assert months(t.calendar(spark, today, months=["2024-01", "2023-01", "2024-01"])) == [date(2023, 1, 1), date(2024, 1, 1)]
+    empty = spark.createDataFrame([(None, None)], "lo date, hi date")
+    assert months(t.calendar(spark, today, bounds=empty)) == []
+    late = spark.createDataFrame([(date(2024, 1, 1), date(2024, 4, 1))], "lo date, hi date")
+    assert len(months(t.calendar(spark, today, bounds=late))) == 4
+
+
+def test_distance(spark):
+    row = spark.range(1).select(
+        geo.great_circle_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half"),
+        geo.squared_degrees(F.lit(1.0), F.lit(2.0), F.lit(4.0), F.lit(6.0)).alias("sq"),
+    ).first()
+    assert row.half == pytest.approx(6371 * 3.141592653589793)
+    assert row.sq == 25.0
