@@ -1,0 +1,98 @@
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from hourmark.operators import usage
+
+KEYS = "id string, owner string, tier string, created_at timestamp_ntz, expires_at timestamp_ntz, revoked_at timestamp_ntz"
+T0, T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
+
+
+@pytest.fixture(scope="module")
+def keys(spark):
+    return spark.createDataFrame(
+        [
+            ("k1", "ann", "free", T0, None, None),
+            ("k2", "ann", "full", T1, None, None),
+            ("k3", "ann", "admin", T2, None, T2),
+            ("k4", "bob", "research", T0, T1, None),
+        ],
+        KEYS,
+    )
+
+
+@pytest.mark.parametrize(("days", "want"), [(7, 7), ("30", 30), (0, 7), (-3, 1), (500, 90), ("x", 7), (None, 7)])
+def test_report_days(days, want):
+    assert usage.report_days(days) == want
+
+
+def test_report(spark, keys):
+    daily = spark.createDataFrame(
+        [("k1", date(2024, 1, 9), 5, 50), ("k1", date(2024, 1, 10), 1, 10), ("gone", date(2024, 1, 10), 9, 1), ("k1", date(2024, 1, 2), 99, 99)],
+        "key_id string, day date, requests bigint, bytes bigint",
+    )
+    got = [tuple(r) for r in usage.usage_report(daily, keys, date(2024, 1, 10)).collect()]
+    assert got == [
+        ("gone", "(demo key)", "demo", 9, 1, date(2024, 1, 10)),
+        ("k1", "ann", "free", 6, 60, date(2024, 1, 10)),
+    ]
+    on_the_day = usage.usage_report(daily, keys, date(2024, 1, 9)).where("key_id = 'k1'").first()
+    assert on_the_day.requests == 105  # the first day of the span counts
+
+
+def test_active(keys):
+    def ids(at):
+        return {r.id for r in usage.active_keys(keys, at).collect()}
+
+    assert ids(T1) == {"k1", "k2", "k4"}
+    assert ids(T2) == {"k1", "k2"}
+
+
+def test_users(spark, keys):
+    users = spark.createDataFrame(
+        [("ann", "Ann", False, T0), ("bob", "Bob", True, T1), ("cy", "Cy", True, T1)],
+        "email string, name string, wants_upgrade boolean, created_at timestamp_ntz",
+    )
+    got = [(r.email, r.active_key_id, r.tier) for r in usage.users_with_key(users, keys).collect()]
+    assert got == [("bob", "k4", "research"), ("cy", None, None), ("ann", "k2", "full")]
+    assert [r.email for r in usage.users_with_key(users, keys, only_upgrades=True, cap=1).collect()] == ["bob"]
+
+
+def test_listing(keys):
+    assert [r.id for r in usage.newest_keys(keys, cap=2).collect()] == ["k3", "k2"]
+    assert [r.id for r in usage.newest_keys(keys, owner="ann").collect()] == ["k3", "k2", "k1"]
+
+
+def test_merges(spark):
+    shape = "key_id string, day date, requests bigint, bytes bigint"
+    a = spark.createDataFrame([("k", date(2024, 1, 1), 1, 10)], shape)
+    b = spark.createDataFrame([("k", date(2024, 1, 1), 2, 5), ("k", date(2024, 1, 2), 1, 1)], shape)
+    got = sorted(tuple(r) for r in usage.merge_usage(a, b).collect())
+    assert got == [("k", date(2024, 1, 1), 3, 15), ("k", date(2024, 1, 2), 1, 1)]
+
+    profiles = spark.createDataFrame([("ann", "A", None, "p", T2)], "email string, name string, affiliation string, purpose string, created_at timestamp_ntz")
+    updates = spark.createDataFrame(
+        [("ann", "A2", "x", None, T0, 1), ("ann", "A3", None, None, T0, 2), ("bob", "B", None, None, T1, 1), ("bob", "B2", None, "q", T2, 0)],
+        "email string, name string, affiliation string, purpose string, updated_at timestamp_ntz, seq int",
+    )
+    got = {r.email: tuple(r)[1:] for r in usage.merge_profiles(profiles, updates).collect()}
+    assert got == {"ann": ("A3", None, None, T2), "bob": ("B2", None, "q", T1)}
+
+
+def test_breaches(spark, keys):
+    log = spark.createDataFrame(
+        [("k1", datetime(2024, 1, 1, 0, 0, n)) for n in range(3)]
+        + [("k2", datetime(2024, 1, 1, 0, 0, n)) for n in range(9)]
+        + [("who", datetime(2024, 1, 1, 0, 0, 59)), ("who", datetime(2024, 1, 1, 0, 1, 0))],
+        "key_id string, ts timestamp_ntz",
+    )
+    per_minute = usage.requests_per_minute(log)
+    got = [tuple(r) for r in usage.over_limit(per_minute, keys, {"free": 2, "demo": 1}).collect()]
+    assert got == [("k1", "free", T0, 3, 2)]  # full is not limited, and the demo key's two are in two minutes
+
+
+def test_last_used(spark, keys):
+    log = spark.createDataFrame([("k1", T1, 5), ("k1", T2, 5)], "key_id string, ts timestamp_ntz, bytes bigint")
+    got = {r.id: r.last_used_at for r in usage.last_used(keys, usage.usage_daily(log)).collect()}
+    assert got == {"k1": T2, "k2": None, "k3": None, "k4": None}
