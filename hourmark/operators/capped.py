@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
-from hourmark.runtime import cut
+from hourmark.runtime import cut, is_small
 
-# A top-k keeps k rows per task and brings them all to one. Up to this many rows that is cheap;
-# a longer prefix is found by counting instead.
-TOP_K_MAX = 10_000
+# A top-k brings up to k rows of every task to a single one. That is cheap for a short prefix, and
+# for any prefix of a result that is itself short; otherwise the prefix is found by counting.
+TOP_K_MAX = 1_000
+TOP_K_TOTAL = 2_000_000
 
 
 def row_cap(tier_max: int | None, limit: int | None, fmt: str) -> int | None:
@@ -33,18 +34,25 @@ def tier_max_rows(tier: str) -> int | None:
     return S.TIER_MAX_ROWS[tier if tier in S.TIER_MAX_ROWS else S.DEFAULT_TIER]
 
 
-def capped(df: DataFrame, order: list[str], cap: int | None, top_k_max: int = TOP_K_MAX) -> DataFrame:
+def capped(
+    df: DataFrame,
+    order: list[str],
+    cap: int | None,
+    top_k_max: int = TOP_K_MAX,
+    top_k_total: int = TOP_K_TOTAL,
+) -> DataFrame:
     """The first `cap` rows of `df` by the `order` columns, nulls last, in that order.
 
     Rows equal in all `order` columns are told apart by the remaining columns, so the cut is the
     same on every run.
     """
     keys = order + [c for c in df.columns if c not in order]
-    if cap is not None and cap > top_k_max:
-        df = _prefix(df, keys, cap)
-    elif cap is not None:
-        return df.orderBy(*[F.asc_nulls_last(c) for c in keys]).limit(cap)
-    return df.orderBy(*[F.asc_nulls_last(c) for c in keys])
+    in_order = [F.asc_nulls_last(c) for c in keys]
+    if cap is None:
+        return df.orderBy(*in_order)
+    if cap <= top_k_max or is_small(df, top_k_total):
+        return df.orderBy(*in_order).limit(cap)
+    return _prefix(df, keys, cap).orderBy(*in_order)
 
 
 def cap_report(df: DataFrame, cap: int | None) -> DataFrame:

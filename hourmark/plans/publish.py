@@ -14,7 +14,7 @@ from hourmark.operators import series
 from hourmark.operators.fact import canonical_fact, with_month
 from hourmark.operators.stations import require_unique
 from hourmark.plans import catalog
-from hourmark.runtime import new_path
+from hourmark.runtime import is_small, new_path
 from hourmark.sources import tree
 
 # A month is cut into files of at most this many rows.
@@ -76,24 +76,37 @@ def _month_files(spark: SparkSession, path: str, months: list[date]) -> dict[dat
 # -- steps --------------------------------------------------------------------
 
 
-def _by_month(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of a month together and in order, ready to be written by month.
+def together_by_month(df: DataFrame) -> DataFrame:
+    """Rows of a month in as few tasks as their size allows.
 
-    Rebalancing shuffles once, without sampling the input first. Months that come out large are
-    split and small ones put together at run time, whatever their keys, so neither a hot station nor
-    a third of all rows in one month ends in one task.
+    Rebalancing shuffles once, without sampling the input first. At run time large months are split
+    and small ones put together, whatever their keys, so neither a hot station nor a third of all
+    rows in one month ends in one task.
     """
-    placed = df.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
-    return placed.hint("rebalance", F.col("year"), F.col("month")).sortWithinPartitions("year", "month", *order)
+    return df.hint("rebalance", F.col("year"), F.col("month"))
+
+
+def month_fact(raw: DataFrame, station_dim: DataFrame) -> DataFrame:
+    """The canonical fact of raw readings, brought together by month for writing.
+
+    With a dimension small enough to broadcast, the readings are shuffled as narrow as they come and
+    given their names afterwards; otherwise the join has to shuffle them first anyway.
+    """
+    if not is_small(station_dim):
+        return together_by_month(with_month(canonical_fact(raw, station_dim)))
+    months = {"year": F.year("collected_at"), "month": F.month("collected_at")}
+    return with_month(canonical_fact(together_by_month(raw.withColumns(months)), station_dim))
 
 
-def write_months(fact: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS) -> None:
-    """Replace the months `fact` has rows for and leave all others alone.
+def write_months(df: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS) -> None:
+    """Replace the months `df` has rows for and leave all others alone.
 
-    Every file is sorted by `order`, so its row groups cover narrow ranges of stations.
+    Every file is sorted by `order`, so its row groups cover narrow ranges of stations. The sort
+    begins with the partition columns, which spares the writer one of its own.
     """
+    placed = df.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
     (
-        _by_month(fact, *order)
+        placed.sortWithinPartitions("year", "month", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -109,13 +122,15 @@ def stale_months(asked: DataFrame, produced: DataFrame, existing: DataFrame) ->
     return asked.join(produced, "month", "left_anti").join(existing, "month", "left_semi")
 
 
+def _write_summary(fact: DataFrame, root: str) -> None:
+    summary = together_by_month(series.series_summary(fact, "year", "month"))
+    write_months(summary, tree.series_path(root), ["station_id", "parameter_name"])
+
+
 def _summarise(spark: SparkSession, root: str, months: list[date]) -> None:
     """Bring the per-month series summary up to date for the given months, by reading only those."""
-    if not months:
-        return
-    keys = [tree.month_key(m.year, m.month) for m in months]
-    fact = tree.scan_keys(spark, root, keys)
-    write_months(series.series_summary(fact, "year", "month"), tree.series_path(root), ["station_id", "parameter_name"])
+    if months:
+        _write_summary(tree.scan_keys(spark, root, [tree.month_key(m.year, m.month) for m in months]), root)
 
 
 def published_series(spark: SparkSession, root: str) -> DataFrame:
@@ -128,8 +143,7 @@ def published_series(spark: SparkSession, root: str) -> DataFrame:
 
 def rebuild_series(spark: SparkSession, root: str) -> None:
     """Make the series summary anew from the measurements, for a tree that came without one."""
-    rows = tree.scan_tree(spark, root)
-    write_months(series.series_summary(rows, "year", "month"), tree.series_path(root), ["station_id", "parameter_name"])
+    _write_summary(tree.scan_tree(spark, root), root)
 
 
 def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame) -> None:
@@ -171,8 +185,7 @@ def publish(
     fact_path = tree.measurements_path(root)
     before = _month_files(spark, fact_path, asked)
     if asked:
-        fact = with_month(canonical_fact(readings(asked), station_dim))
-        write_months(fact, fact_path, S.SORT_KEY)
+        write_months(month_fact(readings(asked), station_dim), fact_path, S.SORT_KEY)
     after = _month_files(spark, fact_path, asked)
     produced = [m for m in asked if after.get(m, frozenset()) - before.get(m, frozenset())]
 

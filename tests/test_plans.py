@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourmark.operators import analysis, rollup, series
 from hourmark.operators.capped import capped
-from hourmark.operators.fact import canonical_fact, with_month
+from hourmark.operators.fact import canonical_fact
 from hourmark.plans import catalog, measurements, publish
 from hourmark.runtime import is_small, new_path, shared_folder, small_side
 from hourmark.sources import readings, tree
@@ -57,10 +57,12 @@ def test_large_sides_are_not_broadcast(spark):
     assert small_side(rows, 99) is rows
 
 
-def test_months_are_written_after_one_shuffle_and_one_sort(inputs):
-    fact = with_month(canonical_fact(readings.timescale_readings(inputs.hist_readings()), inputs.station_dim()))
-    text = plan(publish._by_month(fact, "station_id", "parameter_name", "collected_at"))
+def test_readings_are_shuffled_once_and_narrow(inputs):
+    fact = publish.month_fact(readings.timescale_readings(inputs.hist_readings()), inputs.station_dim())
+    text = plan(fact.sortWithinPartitions("year", "month", "station_id", "parameter_name", "collected_at"))
     assert text.count("REBALANCE_PARTITIONS_BY_COL") == 1 and "hashpartitioning(year" in text
+    shuffled = text.split(") Exchange\nInput [")[1].split("\n")[0]
+    assert "raw_id" in shuffled and "station_name" not in shuffled
     assert text.split("\n\n")[0].count("Sort ") == 1 and "rangepartitioning" not in text
 
 
@@ -109,7 +111,7 @@ def test_busy_month_is_split_between_tasks(spark, tmp_path):
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
-        publish.write_months(rows, str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
+        publish.write_months(publish.together_by_month(rows), str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = glob.glob(str(tmp_path / "t" / "year=2024" / "month=01" / "*.parquet"))

@@ -496,7 +496,7 @@ def capped_slice(i: Inputs) -> DataFrame:
 def capped_slice_counted(i: Inputs) -> DataFrame:
     """A prefix found by counting instead of a top-k."""
     rows = i.m().select(*rollup.RAW_COLUMNS)
-    return capped.capped(rows, measurements.RAW_ORDER, 1234, top_k_max=0)
+    return capped.capped(rows, measurements.RAW_ORDER, 1234, top_k_max=0, top_k_total=0)
 
 
 CAP_CASES = [(None, None, "json"), (None, 50, "csv"), (1000, 50, "csv"), (1000, None, "json"), (100_000_000, None, "csv")]
