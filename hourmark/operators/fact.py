@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
@@ -10,27 +10,28 @@ from hourmark.functions import text as x
 from hourmark.runtime import small_side
 
 
-def canonical_columns(joined: DataFrame) -> DataFrame:
-    """The nine published columns of readings already joined to their stations.
+def _published(readings: DataFrame) -> dict[str, Column]:
+    """What is published of a reading itself.
 
     Readings in the timescale shape carry `parameter`, whose spaces become underscores; the
     dashboard shape carries `parameter_name`, taken as it is.
     """
-    if "parameter" in joined.columns:
+    if "parameter" in readings.columns:
         parameter = x.underscore_spaces(F.col("parameter"))
     else:
         parameter = F.col("parameter_name")
-    return joined.select(
-        "station_id",
-        "station_name",
-        "state_name",
-        "city_name",
-        parameter.alias("parameter_name"),
-        x.harmonise_unit(F.col("unit")).alias("unit"),
-        F.col("collected_at").cast("timestamp_ntz").alias("collected_at"),
-        F.col("value").cast("double").alias("value"),
-        "source",
-    )
+    return {
+        "parameter_name": parameter,
+        "unit": x.harmonise_unit(F.col("unit")),
+        "collected_at": F.col("collected_at").cast("timestamp_ntz"),
+        "value": F.col("value").cast("double"),
+    }
+
+
+def canonical_columns(joined: DataFrame) -> DataFrame:
+    """The nine published columns of readings already joined to their stations."""
+    made = _published(joined)
+    return joined.select(*[made[c].alias(c) if c in made else c for c in S.FACT_COLUMNS])
 
 
 def canonical_fact(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
@@ -44,8 +45,40 @@ def canonical_fact(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
     return canonical_columns(readings.join(small_side(names), "raw_id"))
 
 
-def with_month(fact: DataFrame) -> DataFrame:
-    """Add the partition columns of the published tree."""
-    return fact.select(
-        *S.FACT_COLUMNS, F.year("collected_at").alias("year"), F.month("collected_at").alias("month")
+def with_month(df: DataFrame) -> DataFrame:
+    """Add the partition columns of the published tree, the month as its two digits."""
+    return df.withColumns(
+        {"year": F.year("collected_at"), "month": F.lpad(F.month("collected_at").cast("string"), 2, "0")}
+    )
+
+
+def together_by_month(df: DataFrame) -> DataFrame:
+    """Rows of a month in as few tasks as their size allows.
+
+    Rebalancing shuffles once, without sampling the input first. At run time large months are split
+    and small ones put together, whatever their keys, so neither a hot station nor a third of all
+    rows in one month ends in one task.
+    """
+    return df.hint("rebalance", F.col("year"), F.col("month"))
+
+
+def fact_by_month(readings: DataFrame, station_dim: DataFrame, small: bool) -> DataFrame:
+    """The canonical fact with its partition columns, brought together by month and sorted.
+
+    `station_dim` has unique public ids. If it is `small`, readings are shuffled and sorted as
+    narrow as they come and get their names afterwards by a broadcast join, which keeps their order.
+    """
+    order = ["year", "month", *S.SORT_KEY]
+    if not small:
+        return together_by_month(with_month(canonical_fact(readings, station_dim))).sortWithinPartitions(*order)
+    placed = together_by_month(with_month(readings))
+    keyed = placed.join(F.broadcast(station_dim.select("raw_id", "station_id")), "raw_id")
+    made = _published(readings)
+    in_order = keyed.select("year", "month", "station_id", *[c.alias(n) for n, c in made.items()]).sortWithinPartitions(
+        *order
     )
+    # The optimizer drops a sort below a join. It does not look past a filter it cannot move, and
+    # this one keeps every row.
+    in_order = in_order.where(F.spark_partition_id() >= 0)
+    names = station_dim.select("station_id", "station_name", "state_name", "city_name", "source")
+    return in_order.join(F.broadcast(names), "station_id").select(*S.FACT_COLUMNS, "year", "month")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.operators import series
-from hourmark.operators.fact import canonical_fact, with_month
+from hourmark.operators.fact import fact_by_month, together_by_month
 from hourmark.operators.stations import require_unique
 from hourmark.plans import catalog
-from hourmark.runtime import is_small, new_path
+from hourmark.runtime import cut, is_small, new_path
 from hourmark.sources import tree
 
 # A month is cut into files of at most this many rows.
@@ -76,37 +76,15 @@ def _month_files(spark: SparkSession, path: str, months: list[date]) -> dict[dat
 # -- steps --------------------------------------------------------------------
 
 
-def together_by_month(df: DataFrame) -> DataFrame:
-    """Rows of a month in as few tasks as their size allows.
-
-    Rebalancing shuffles once, without sampling the input first. At run time large months are split
-    and small ones put together, whatever their keys, so neither a hot station nor a third of all
-    rows in one month ends in one task.
-    """
-    return df.hint("rebalance", F.col("year"), F.col("month"))
-
-
-def month_fact(raw: DataFrame, station_dim: DataFrame) -> DataFrame:
-    """The canonical fact of raw readings, brought together by month for writing.
-
-    With a dimension small enough to broadcast, the readings are shuffled as narrow as they come and
-    given their names afterwards; otherwise the join has to shuffle them first anyway.
-    """
-    if not is_small(station_dim):
-        return together_by_month(with_month(canonical_fact(raw, station_dim)))
-    months = {"year": F.year("collected_at"), "month": F.month("collected_at")}
-    return with_month(canonical_fact(together_by_month(raw.withColumns(months)), station_dim))
-
-
 def write_months(df: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS) -> None:
     """Replace the months `df` has rows for and leave all others alone.
 
     Every file is sorted by `order`, so its row groups cover narrow ranges of stations. The sort
-    begins with the partition columns, which spares the writer one of its own.
+    begins with the partition columns, which spares the writer one of its own, and is left out of the
+    plan where `df` is sorted already.
     """
-    placed = df.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
     (
-        placed.sortWithinPartitions("year", "month", *order)
+        df.sortWithinPartitions("year", "month", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -123,7 +101,8 @@ def stale_months(asked: DataFrame, produced: DataFrame, existing: DataFrame) ->
 
 
 def _write_summary(fact: DataFrame, root: str) -> None:
-    summary = together_by_month(series.series_summary(fact, "year", "month"))
+    months = series.series_summary(fact, "year", "month")
+    summary = together_by_month(months.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0")))
     write_months(summary, tree.series_path(root), ["station_id", "parameter_name"])
 
 
@@ -150,7 +129,7 @@ def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame) ->
     """Station and parameter tables of everything in the tree, described by `station_dim`."""
     if not exists(spark, tree.series_path(root)):
         rebuild_series(spark, root)
-    summary = published_series(spark, root)
+    summary = cut(published_series(spark, root))
     stations = series.in_listing_order(series.stations_table(summary, station_dim))
     _replace(spark, stations, tree.stations_path(root), "parquet")
     _replace(spark, series.by_size(series.parameters_table(summary)), tree.parameters_path(root), "parquet")
@@ -185,7 +164,8 @@ def publish(
     fact_path = tree.measurements_path(root)
     before = _month_files(spark, fact_path, asked)
     if asked:
-        write_months(month_fact(readings(asked), station_dim), fact_path, S.SORT_KEY)
+        fact = fact_by_month(readings(asked), station_dim, is_small(station_dim))
+        write_months(fact, fact_path, S.SORT_KEY)
     after = _month_files(spark, fact_path, asked)
     produced = [m for m in asked if after.get(m, frozenset()) - before.get(m, frozenset())]
 

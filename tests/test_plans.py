@@ -1,13 +1,15 @@
 """What the plans must look like for the jobs to hold up on large data."""
 
+import re
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from hourmark import schema as S
 from hourmark.operators import analysis, rollup, series
 from hourmark.operators.capped import capped
-from hourmark.operators.fact import canonical_fact
+from hourmark.operators.fact import canonical_fact, fact_by_month, together_by_month
 from hourmark.plans import catalog, measurements, publish
 from hourmark.runtime import is_small, new_path, shared_folder, small_side
 from hourmark.sources import readings, tree
@@ -57,13 +59,20 @@ def test_large_sides_are_not_broadcast(spark):
     assert small_side(rows, 99) is rows
 
 
-def test_readings_are_shuffled_once_and_narrow(inputs):
-    fact = publish.month_fact(readings.timescale_readings(inputs.hist_readings()), inputs.station_dim())
-    text = plan(fact.sortWithinPartitions("year", "month", "station_id", "parameter_name", "collected_at"))
-    assert text.count("REBALANCE_PARTITIONS_BY_COL") == 1 and "hashpartitioning(year" in text
-    shuffled = text.split(") Exchange\nInput [")[1].split("\n")[0]
-    assert "raw_id" in shuffled and "station_name" not in shuffled
-    assert text.split("\n\n")[0].count("Sort ") == 1 and "rangepartitioning" not in text
+@pytest.mark.parametrize("small", [True, False])
+def test_months_are_written_after_one_shuffle_and_one_sort(spark, inputs, tmp_path, small):
+    raw = readings.timescale_readings(inputs.hist_readings())
+    publish.write_months(fact_by_month(raw, inputs.station_dim(), small), str(tmp_path / "t"), S.SORT_KEY)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    text = runs.apply(runs.size() - 1).physicalPlanDescription().split("Initial Plan")[0]
+    assert text.count("Sort (") == 1
+    assert len(re.findall(r" Exchange \(", text)) == 1
+    full = runs.apply(runs.size() - 1).physicalPlanDescription()
+    assert "REBALANCE_PARTITIONS_BY_COL" in full and "rangepartitioning" not in full
+    if small:
+        shuffled = re.search(r"\) Exchange\nInput \[\d+\]: (.*)\n", full).group(1)
+        assert "raw_id" in shuffled and "station_name" not in shuffled
 
 
 def test_summary_reads_the_fact_once_by_hash(spark, root):
@@ -107,11 +116,11 @@ def test_busy_month_is_split_between_tasks(spark, tmp_path):
         F.rand(1).alias("value"),
         F.lit("x").alias("source"),
         F.lit(2024).alias("year"),
-        F.lit(1).alias("month"),
+        F.lit("01").alias("month"),
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
-        publish.write_months(publish.together_by_month(rows), str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
+        publish.write_months(together_by_month(rows), str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = glob.glob(str(tmp_path / "t" / "year=2024" / "month=01" / "*.parquet"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import time as t
 from hourmark.operators import series
+from hourmark.operators.fact import fact_by_month
 from hourmark.operators.stations import DuplicateStations
 from hourmark.plans import catalog, measurements, publish
 from hourmark.sources import readings, tree
@@ -78,13 +79,14 @@ def test_round_trip(spark, root):
     assert stations.first().parameters == ["CO", "O_Xylene"]
 
 
-def test_files_are_sorted_and_cut_into_row_groups(spark, root):
+@pytest.mark.parametrize("small", [True, False])
+def test_files_are_sorted_and_cut_into_row_groups(spark, root, small):
     import glob
 
     import pyarrow.parquet as pq
 
-    data = publish.with_month(publish.canonical_fact(readings.timescale_readings(source(spark, [JAN], per_month=5000)), dimension(spark)))
-    publish.write_months(data, root, S.SORT_KEY, row_group=1000)
+    raw = readings.timescale_readings(source(spark, [JAN], per_month=5000))
+    publish.write_months(fact_by_month(raw, dimension(spark), small), root, S.SORT_KEY, row_group=1000)
     files = glob.glob(f"{root}/year=2024/month=01/*.parquet")
     assert files
     for path in files:
