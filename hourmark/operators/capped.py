@@ -21,13 +21,10 @@ def row_cap(tier_max: int | None, limit: int | None, fmt: str) -> int | None:
     """Rows a caller may get, None for all. JSON is held lower unless nothing caps the caller."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
-    if tier_max is None:
-        cap = limit
-    else:
-        cap = min(limit or tier_max, tier_max)
-    if cap is not None and fmt == "json":
-        cap = min(cap, S.JSON_MAX_ROWS)
-    return cap
+    bounds = [b for b in (tier_max, limit) if b is not None]
+    if not bounds:
+        return None
+    return min([*bounds, S.JSON_MAX_ROWS] if fmt == "json" else bounds)
 
 
 def tier_max_rows(tier: str) -> int | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
@@ -70,10 +70,11 @@ def first_listed(registry: DataFrame) -> DataFrame:
     )
 
 
-def _one_per_id(places: DataFrame) -> DataFrame:
-    """A repeated id would multiply its station; the least row is kept."""
-    rest = ["station_name", "state", "city", "latitude", "longitude"]
-    return places.groupBy("station_id").agg(F.min(F.struct(*rest)).alias("row"))
+def _one_per_id(places: DataFrame, name: str) -> DataFrame:
+    """Places by id, as a struct called `name`. A repeated id would multiply its station; the least
+    row is kept."""
+    columns = ["station_name", "state", "city", "latitude", "longitude"]
+    return places.groupBy("station_id").agg(F.min(F.struct(*columns)).alias(name))
 
 
 def resolve_stations(
@@ -89,37 +90,35 @@ def resolve_stations(
     # The stations seen come out of a scan of all readings: take them from there once.
     raw = cut(raw)
     exact = cut(first_listed(registry))
-    by_name = exact.select(F.col("full_name").alias("station_name"), F.struct(*exact.columns).alias("lx"))
-    fixed_row = _one_per_id(fixed).withColumnRenamed("row", "e")
-    portal_row = _one_per_id(portal).withColumnRenamed("row", "pp")
+    by_name = exact.select(F.col("full_name").alias("station_name"), F.struct(*exact.columns).alias("exact"))
     matched = (
-        raw.join(small_side(fixed_row), "station_id", "left")
-        .join(small_side(portal_row), "station_id", "left")
+        raw.join(small_side(_one_per_id(fixed, "fixed")), "station_id", "left")
+        .join(small_side(_one_per_id(portal, "portal")), "station_id", "left")
         .join(small_side(by_name), "station_name", "left")
-        .withColumn("norm", F.when(F.col("lx").isNull(), x.name_key(F.col("station_name"))))
+        .withColumn("norm", F.when(F.col("exact").isNull(), x.name_key(F.col("station_name"))))
     )
-    unmatched = matched.where(F.col("norm").isNotNull())
-    best = nearest(unmatched, exact, pairs_max).select(
-        F.col("norm").alias("k_norm"),
-        F.col("latitude").alias("k_lat"),
-        F.col("longitude").alias("k_lon"),
-        F.col("best").alias("ln"),
+    by_key = nearest(matched.where(F.col("norm").isNotNull()), exact, pairs_max).withColumnsRenamed(
+        {"norm": "key", "latitude": "key_lat", "longitude": "key_lon", "best": "near"}
     )
-    on = (
-        (F.col("norm") == F.col("k_norm"))
-        & F.col("latitude").eqNullSafe(F.col("k_lat"))
-        & F.col("longitude").eqNullSafe(F.col("k_lon"))
+    same_point = (
+        (F.col("norm") == F.col("key"))
+        & F.col("latitude").eqNullSafe(F.col("key_lat"))
+        & F.col("longitude").eqNullSafe(F.col("key_lon"))
     )
-    joined = matched.join(small_side(best), on, "left")
-    registry_name = F.when(F.col("name_derived"), F.coalesce("lx.full_name", "ln.full_name"))
+    joined = matched.join(small_side(by_key), same_point, "left")
+
+    def first_known(column: str, own: str) -> Column:
+        return F.coalesce(*[f"{place}.{column}" for place in ("fixed", "portal", "exact", "near")], own)
+
+    registry_name = F.when(F.col("name_derived"), F.coalesce("exact.full_name", "near.full_name"))
     return joined.select(
         "raw_id",
         "station_id",
-        F.coalesce("e.station_name", "pp.station_name", registry_name, "station_name").alias("station_name"),
-        F.coalesce("e.state", "pp.state", "lx.state", "ln.state", "state_name").alias("state_name"),
-        F.coalesce("e.city", "pp.city", "lx.city", "ln.city", "city_name").alias("city_name"),
-        F.coalesce("e.latitude", "pp.latitude", "lx.latitude", "ln.latitude", "latitude").alias("latitude"),
-        F.coalesce("e.longitude", "pp.longitude", "lx.longitude", "ln.longitude", "longitude").alias("longitude"),
+        F.coalesce("fixed.station_name", "portal.station_name", registry_name, "station_name").alias("station_name"),
+        first_known("state", "state_name").alias("state_name"),
+        first_known("city", "city_name").alias("city_name"),
+        first_known("latitude", "latitude").alias("latitude"),
+        first_known("longitude", "longitude").alias("longitude"),
         x.network(F.col("station_id")).alias("source"),
     )
 

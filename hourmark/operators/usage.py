@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -32,12 +33,10 @@ def merge_usage(daily: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def report_days(days: object) -> int:
-    """Days a report looks back: 1 to 90, 7 where the argument is no number or zero."""
-    try:
-        asked = int(str(days).strip())
-    except ValueError:
-        asked = 0
-    return min(90, max(1, asked or 7))
+    """Days a report looks back: 1 to 90, and 7 where the argument does not begin with a number."""
+    number = re.match(r"\s*[+-]?\d+", str(days))
+    asked = int(number.group()) if number else 0
+    return sorted((1, asked, 90))[1] if asked else 7
 
 
 def usage_report(

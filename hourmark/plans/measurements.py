@@ -76,7 +76,7 @@ def answer(
         "end": last.isoformat(),
         "agg": agg,
         "filters": {k: restrictions.get(k) for k in ("station", "parameter", "state", "city", "source")},
-        "timezone": "IST (UTC+05:30), naive timestamps",
+        "timezone": S.ANSWER_TIMEZONE,
     }
     return Answer(capped(rows, order, cap), cap_report(rows, cap), meta)
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = "v1"
 ROW_GROUP_ROWS = 1_000_000
 TIMEZONE_NOTE = "collected_at is a naive timestamp in Indian Standard Time (UTC+05:30)."
+ANSWER_TIMEZONE = "IST (UTC+05:30), naive timestamps"
 
 MAIN_NETWORK = "cpcb_caaqm"
 FIXED_NETWORK = "us_embassy"

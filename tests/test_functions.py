@@ -28,9 +28,9 @@ def test_public_id(spark):
 
 
 def test_name_key(spark):
-    given = ["Mahakaleshwar Temple, Ujjain - MPPCB", "A - B - C", "A-B - C-D", "No agency", "Tail - x\n", ""]
+    given = ["River Fort, Old Town - AB", "A - B - C", "A-B - C-D", "No agency", "Tail - x\n", ""]
     assert values(spark, "string", given, x.name_key) == [
-        "mahakaleshwartempleujjain", "ab", "abcd", "noagency", "tail", "",
+        "riverfortoldtown", "ab", "abcd", "noagency", "tail", "",
     ]
 
 

@@ -36,26 +36,26 @@ def test_an_exact_name_hides_name_keys(spark):
 
 def test_nearest_of_a_shared_key_then_listing_order(spark):
     listed = [
-        (1, "Bandra, Mumbai - A", "s1", "c1", 10.0, 10.0),
-        (2, "Bandra, Mumbai - B", "s2", "c2", 20.0, 20.0),
-        (3, "Bandra, Mumbai - C", "s3", "c3", 0.0, 10.0),
+        (1, "Mill Lane, Port - A", "s1", "c1", 10.0, 10.0),
+        (2, "Mill Lane, Port - B", "s2", "c2", 20.0, 20.0),
+        (3, "Mill Lane, Port - C", "s3", "c3", 0.0, 10.0),
     ]
     got = resolve(
         spark,
-        ["site_1", "site_2", "site_3_Bandra, Mumbai - Z", "site_4"],
+        ["site_1", "site_2", "site_3_Mill Lane, Port - Z", "site_4"],
         source=[
-            ("site_1", "Bandra, Mumbai - Q", None, None, 19.0, 19.0),
-            ("site_2", "Bandra, Mumbai - R", None, None, 5.0, 10.0),
-            ("site_4", "Bandra, Mumbai - S", None, None, 1.0, None),
+            ("site_1", "Mill Lane, Port - Q", None, None, 19.0, 19.0),
+            ("site_2", "Mill Lane, Port - R", None, None, 5.0, 10.0),
+            ("site_4", "Mill Lane, Port - S", None, None, 1.0, None),
         ],
         registry=listed,
     )
     assert got["site_1"].city_name == "c2"
     assert got["site_2"].city_name == "c1"  # a tie
     assert got["site_4"].city_name == "c1"  # half a coordinate is none
-    derived = got["site_3_Bandra, Mumbai - Z"]
-    assert (derived.station_id, derived.station_name, derived.city_name) == ("site_3", "Bandra, Mumbai - A", "c1")
-    assert got["site_1"].station_name == "Bandra, Mumbai - Q"  # a name of its own stays
+    derived = got["site_3_Mill Lane, Port - Z"]
+    assert (derived.station_id, derived.station_name, derived.city_name) == ("site_3", "Mill Lane, Port - A", "c1")
+    assert got["site_1"].station_name == "Mill Lane, Port - Q"  # a name of its own stays
 
 
 def test_columns_are_filled_one_by_one(spark):

@@ -22,7 +22,7 @@ def keys(spark):
     )
 
 
-@pytest.mark.parametrize(("days", "want"), [(7, 7), ("30", 30), (0, 7), (-3, 1), (500, 90), ("x", 7), (None, 7)])
+@pytest.mark.parametrize(("days", "want"), [(7, 7), ("30", 30), (0, 7), (-3, 1), (500, 90), ("x", 7), (None, 7), ("12 days", 12), ("30.5", 30)])
 def test_report_days(days, want):
     assert usage.report_days(days) == want
 

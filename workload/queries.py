@@ -112,15 +112,14 @@ def scan_empty(i: Inputs) -> DataFrame:
     return tree.scan_days(i.spark, trees.hist(i), date(2010, 1, 1), date(2010, 12, 31))
 
 
-def _summer(i: Inputs) -> DataFrame:
-    root = trees.hist(i)
-    keys = [r.key for r in tree.month_keys(i.spark, 1996, 3, 6).collect()]
-    return tree.scan_keys(i.spark, root, keys)
+def _months_of_1996(i: Inputs, first: int, last: int) -> DataFrame:
+    keys = [r.key for r in tree.month_keys(i.spark, 1996, first, last).collect()]
+    return tree.scan_keys(i.spark, trees.hist(i), keys)
 
 
 @query
 def scan_file_list(i: Inputs) -> DataFrame:
-    return _summer(i)
+    return _months_of_1996(i, 3, 6)
 
 
 @query
@@ -434,13 +433,14 @@ def rank_extremes(i: Inputs) -> DataFrame:
 
 @query
 def city_month_mean(i: Inputs) -> DataFrame:
-    year = _summer(i).where(F.col("parameter_name") == s.HIST_PARAMETER)
+    year = _months_of_1996(i, 1, 12).where(F.col("parameter_name") == s.HIST_PARAMETER)
     return analysis.city_month_mean(year)
 
 
 @query
 def station_day_mean(i: Inputs) -> DataFrame:
-    return _mean(analysis.station_day_mean(_summer(i).where(F.col("parameter_name") == s.HIST_PARAMETER)))
+    quarter = _months_of_1996(i, 10, 12).where(F.col("parameter_name") == s.HIST_PARAMETER)
+    return _mean(analysis.station_day_mean(quarter))
 
 
 @query

@@ -57,13 +57,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("stn",),
         "SELECT k AS seq, full_name, state, city, lat AS latitude, lon AS longitude FROM {stn} WHERE k % 6 <> 5",
     ),
-    # the few stations described by constants
+    # the stations described by constants
     "fixed": (
         ("stn",),
         """
         SELECT raw_id AS station_id, concat('Fixed Monitor ', cast(k AS string)) AS station_name, city, state,
                lat - cast(0.125 AS double) AS latitude, lon + cast(0.125 AS double) AS longitude
-        FROM {stn} WHERE k % 25 = 0 AND k <= 125""",
+        FROM {stn} WHERE k % 25 = 0""",
     ),
     # raw readings of many months
     "raw_hist": (
