@@ -25,7 +25,7 @@ def period_start(at: Column, grain: str) -> Column:
     """Start of the hour, day or month that `at` falls in."""
     day = at.cast("date")
     if grain == "hourly":
-        return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(at))
+        return F.timestamp_add("HOUR", F.hour(at), day.cast("timestamp_ntz"))
     if grain == "daily":
         return day.cast("timestamp_ntz")
     if grain == "monthly":

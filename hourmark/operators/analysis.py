@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hourmark.functions import time as t
 from hourmark.operators.filters import plausible
-from hourmark.runtime import small_side
 
 
 def of_parameter(fact: DataFrame, parameter: str, low: float = 0, high: float = 1000) -> DataFrame:
@@ -81,7 +80,7 @@ def with_place(means: DataFrame, stations: DataFrame) -> DataFrame:
     places = stations.where(F.col("latitude").isNotNull()).select(
         "station_id", "station_name", "city_name", "latitude", "longitude"
     )
-    return means.join(small_side(places), "station_id")
+    return means.join(places, "station_id")
 
 
 def extremes(placed_means: DataFrame, count: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.functions.geo import squared_degrees
-from hourmark.runtime import cut, small_side
+from hourmark.runtime import cut
 
 # A key with at most this many candidate places is compared place by place. Keys with more are
 # narrowed down through a grid first, so no key ever produces all its pairs.
@@ -32,13 +32,13 @@ def nearest(points: DataFrame, candidates: DataFrame, pairs_max: int = PAIRS_MAX
     per_key = sites.groupBy("norm").agg(F.min("site").alias("best"), F.count(F.lit(1)).alias("places"))
 
     placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    unplaced = points.where(~placed).join(small_side(per_key.select("norm", "best")), "norm")
+    unplaced = points.where(~placed).join(per_key.select("norm", "best"), "norm")
     busy = per_key.where(F.col("places") > pairs_max).select("norm")
     if busy.isEmpty():
-        direct = _closest(points.where(placed).join(small_side(sites), "norm"))
+        direct = _closest(points.where(placed).join(sites, "norm"))
         return unplaced.unionByName(direct)
     quiet_sites = sites.join(busy, "norm", "left_anti")
-    direct = _closest(points.where(placed).join(small_side(quiet_sites), "norm"))
+    direct = _closest(points.where(placed).join(quiet_sites, "norm"))
     crowded = _through_grid(
         points.where(placed).join(busy, "norm", "left_semi"), sites.join(busy, "norm", "left_semi"), pairs_max
     )
@@ -67,7 +67,7 @@ def _through_grid(points: DataFrame, sites: DataFrame, pairs_max: int) -> DataFr
         F.greatest(F.max("site_lat") - F.min("site_lat"), F.max("site_lon") - F.min("site_lon")).alias("span"),
     )
     scaled = cut(
-        sites.join(small_side(frame), "norm").select(
+        sites.join(frame, "norm").select(
             "norm",
             "site",
             "site_lat",
@@ -99,7 +99,7 @@ def _through_grid(points: DataFrame, sites: DataFrame, pairs_max: int) -> DataFr
         far_y = F.greatest(F.abs(F.col("south") - lat), F.abs(F.col("north") - lat))
         far_x = F.greatest(F.abs(F.col("west") - lon), F.abs(F.col("east") - lon))
         open_cells = cut(
-            open_cells.join(small_side(boxes), ["norm", "x", "y"])
+            open_cells.join(boxes, ["norm", "x", "y"])
             .select(
                 *POINT,
                 F.col("nx").alias("x"),

@@ -9,7 +9,7 @@ from hourmark import schema as S
 from hourmark.functions import text as x
 from hourmark.functions.geo import great_circle_km
 from hourmark.operators.nearest import PAIRS_MAX, nearest
-from hourmark.runtime import cut, small_side
+from hourmark.runtime import cut
 
 
 class DuplicateStations(ValueError):
@@ -24,7 +24,7 @@ def raw_stations(readings: DataFrame, stations: DataFrame) -> DataFrame:
         F.col("station_id").alias("raw_id"), "station_name", "state", "city", "latitude", "longitude"
     )
     raw_id, name = F.col("raw_id"), F.col("station_name")
-    return seen.join(small_side(described), "raw_id", "left").select(
+    return seen.join(described, "raw_id", "left").select(
         "raw_id",
         x.public_id(raw_id).alias("station_id"),
         x.display_name(raw_id, name).alias("station_name"),
@@ -87,14 +87,15 @@ def resolve_stations(
     matches is it matched by name key, and then the place nearest the source coordinate is taken.
     Registry names are used only for stations whose own name had to be derived from the id.
     """
-    # The stations seen come out of a scan of all readings: take them from there once.
+    # The stations seen come out of a scan of all readings: take them from there once. Everything
+    # below joins tables of station size, which adaptive execution broadcasts or splits as they are.
     raw = cut(raw)
     exact = cut(first_listed(registry))
     by_name = exact.select(F.col("full_name").alias("station_name"), F.struct(*exact.columns).alias("exact"))
     matched = (
-        raw.join(small_side(_one_per_id(fixed, "fixed")), "station_id", "left")
-        .join(small_side(_one_per_id(portal, "portal")), "station_id", "left")
-        .join(small_side(by_name), "station_name", "left")
+        raw.join(_one_per_id(fixed, "fixed"), "station_id", "left")
+        .join(_one_per_id(portal, "portal"), "station_id", "left")
+        .join(by_name, "station_name", "left")
         .withColumn("norm", F.when(F.col("exact").isNull(), x.name_key(F.col("station_name"))))
     )
     by_key = nearest(matched.where(F.col("norm").isNotNull()), exact, pairs_max).withColumnsRenamed(
@@ -105,7 +106,7 @@ def resolve_stations(
         & F.col("latitude").eqNullSafe(F.col("key_lat"))
         & F.col("longitude").eqNullSafe(F.col("key_lon"))
     )
-    joined = matched.join(small_side(by_key), same_point, "left")
+    joined = matched.join(by_key, same_point, "left")
 
     def first_known(column: str, own: str) -> Column:
         return F.coalesce(*[f"{place}.{column}" for place in ("fixed", "portal", "exact", "near")], own)
