@@ -82,9 +82,9 @@ def answer(
 
 
 def measurements(spark: SparkSession, root: str, *, today: date, tier: str = "full", **request) -> Answer:
-    """A request over the published tree; only the months it covers are read."""
+    """A request over the published tree; only the months it covers are listed and read."""
     first, last = t.day_window(request.get("start"), request.get("end"), today)
-    fact = tree.scan_months(spark, root, first, last)
+    fact = tree.scan_published(spark, root, first, last)
     return answer(fact, today=today, max_rows=tier_max_rows(tier), **request)
 
 

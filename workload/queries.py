@@ -106,10 +106,16 @@ def scan_pruned(i: Inputs) -> DataFrame:
     return tree.scan_days(i.spark, trees.hist(i), *s.HIST_WINDOW)
 
 
+@query
+def scan_published(i: Inputs) -> DataFrame:
+    """Whole months of the window, found through the manifest."""
+    return tree.scan_published(i.spark, trees.hist(i), *s.HIST_WINDOW)
+
+
 @query
 def scan_empty(i: Inputs) -> DataFrame:
     """A window no published month covers."""
-    return tree.scan_days(i.spark, trees.hist(i), date(2010, 1, 1), date(2010, 12, 31))
+    return tree.scan_published(i.spark, trees.hist(i), date(2010, 1, 1), date(2010, 12, 31))
 
 
 def _months_of_1996(i: Inputs, first: int, last: int) -> DataFrame:
