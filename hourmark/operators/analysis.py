@@ -123,6 +123,6 @@ def time_by_station(fact: DataFrame, stations: list[str]) -> DataFrame:
 
 
 def station_sample(stations: DataFrame, count: int = 5, seed: int = 1) -> DataFrame:
-    """A fixed sample: the stations with the least hash of seed and id."""
-    lot = F.xxhash64(F.lit(seed), F.col("station_id"))
+    """A fixed sample: the stations whose seeded digest comes first."""
+    lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col("station_id")).cast("binary"))
     return stations.orderBy(lot, "station_id").limit(count)

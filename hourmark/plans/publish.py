@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
+from hourmark.functions import time as t
 from hourmark.operators import series
 from hourmark.operators.fact import fact_by_month, together_by_month
 from hourmark.operators.stations import require_unique
@@ -164,7 +165,9 @@ def publish(
     fact_path = tree.measurements_path(root)
     before = _month_files(spark, fact_path, asked)
     if asked:
-        fact = fact_by_month(readings(asked), station_dim, is_small(station_dim))
+        # a month overwritten with a stray reading would lose the rest of it
+        raw = readings(asked).where(t.in_months(F.col("collected_at"), asked))
+        fact = fact_by_month(raw, station_dim, is_small(station_dim))
         write_months(fact, fact_path, S.SORT_KEY)
     after = _month_files(spark, fact_path, asked)
     produced = [m for m in asked if after.get(m, frozenset()) - before.get(m, frozenset())]

@@ -118,6 +118,17 @@ def test_second_run_replaces_chosen_months_only(spark, root):
     assert before == (rows_of(tree.scan_tree(spark, root)), rows_of(tree.read_stations(spark, root)), rows_of(tree.read_parameters(spark, root)))
 
 
+def test_readings_of_other_months_are_not_written(spark, root):
+    data = source(spark, [JAN, FEB])
+    run(spark, root, data, [JAN, FEB])
+    before = rows_of(tree.scan_tree(spark, root))
+    stray = data.where("month(time) = 1 OR value > 550")
+    months = spark.createDataFrame([(JAN,)], "month date")
+    made = publish.publish(spark, root, lambda _: readings.timescale_readings(stray), dimension(spark), months)
+    assert made.months == [JAN]
+    assert rows_of(tree.scan_tree(spark, root)) == before
+
+
 def test_dimension_run_leaves_months_alone(spark, root):
     run(spark, root, source(spark, [JAN]), [JAN])
     before = rows_of(tree.scan_tree(spark, root))
