@@ -98,6 +98,21 @@ def test_files_are_sorted_and_cut_into_row_groups(spark, root, small):
     assert sum(pq.ParquetFile(p).num_row_groups for p in files) >= 4
 
 
+def test_a_large_dimension_is_joined_by_shuffle_with_the_same_result(spark, monkeypatch):
+    raw = readings.timescale_readings(source(spark, [JAN, FEB]))
+    wanted = rows_of(fact_by_month(raw, dimension(spark), True))
+    monkeypatch.setattr("hourmark.operators.fact.small_side", lambda df: df)
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    try:
+        shuffled = fact_by_month(raw, dimension(spark), False)
+        assert rows_of(shuffled) == wanted
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().toString()
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
 def test_second_run_replaces_chosen_months_only(spark, root):
     run(spark, root, source(spark, [JAN, FEB, MAR]), [JAN, FEB, MAR])
     january = rows_of(tree.scan_months(spark, root, JAN, JAN))

@@ -1,7 +1,6 @@
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from hourmark.operators import usage
 
