@@ -185,6 +185,13 @@ def files_visible(i: Inputs) -> DataFrame:
     return catalog.visible_files(listed, [1996]).select("key", "kind")
 
 
+@query
+def scan_visible_years(i: Inputs) -> DataFrame:
+    """What a caller limited to one year may scan."""
+    rows = tree.visible_years(tree.scan_tree(i.spark, trees.hist(i)), [1996])
+    return rows.groupBy("year", "month", "station_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 # -- projections and filters --------------------------------------------------
 
 
@@ -480,6 +487,14 @@ def manifest_by_year(i: Inputs) -> DataFrame:
     return catalog.size_by_year(months).select("year", "rows")
 
 
+@query
+def manifest_across_years(i: Inputs) -> DataFrame:
+    """Years as columns. The megabytes depend on the files written, so only the rows are compared."""
+    months = tree.manifest_months(tree.read_manifest(i.spark, trees.hist(i)))
+    wide = catalog.size_across_years(months, list(range(1995, 2002))).where(F.col("measure") == "rows")
+    return wide.withColumnsRenamed({str(y): f"y{y}" for y in range(1995, 2002)})
+
+
 @query
 def coverage_summary(i: Inputs) -> DataFrame:
     return catalog.coverage_summary(tree.read_manifest(i.spark, trees.hist(i))).drop("bytes")
