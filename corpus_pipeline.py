@@ -9,8 +9,9 @@ hashing, neither of which SQL can express, so the pipeline has no SQL counterpar
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourmark.llm import decontaminate, mixing, quality, simhash
+from hourmark.llm import decontaminate, mixing, pii, quality, simhash
 from hourmark.runtime import new_path
 
 ORACLE_SQL = None
@@ -35,6 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every document stays."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document; documents of which it takes nothing go."""
     return mixing.mix(docs).where("taken > 0")
@@ -44,6 +50,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("simhash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
     ("mixing sources to target weights", mixing_sources),
 ]
 

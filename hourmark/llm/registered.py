@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import decontaminate, mixing, quality, simhash, urlrules
+from hourmark.llm import decontaminate, mixing, pii, quality, simhash, urlrules, warc
 
 # Fixed values of the contract.
 URL_RULES = [
@@ -32,6 +32,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.judge(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.CONTRACT, F.round("score", 9).alias("score"))
@@ -46,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_decontamination, op8_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_pii, op7_warc, op8_quality_rules, op9_mixing, op10_simhash)
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +88,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM worded LEFT JOIN covered USING (n) LEFT JOIN named USING (n)""",
+    "op7_warc": r"""
+        WITH hashed AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+        held AS (SELECT payload, max(page_id) AS holder FROM hashed GROUP BY payload)
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + (((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT) >> (35 - 5 * (k % 8))) & 31)::INT, 1)
+                FOR k IN range(32)], '') AS payload_digest,
+            CASE WHEN holder IS NULL OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+        FROM hashed JOIN held USING (payload)""",
 }
