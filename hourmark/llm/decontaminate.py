@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.words import ascii_lower, with_window_hashes, word_hashes, words_of
+from hourmark.llm.words import ascii_lower, let, with_window_hashes, word_hashes, words_of
 from hourmark.runtime import small_side
 
 # Fixed values of the contract: what a word is once A-Z are lower-cased, and the window.
@@ -54,16 +54,22 @@ def find_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     schema = "key string, start int, length int, item_id bigint"
     if not lengths:
         return texts.sparkSession.createDataFrame([], schema)
+    hashed = lambda words: let(
+        word_hashes(words), lambda h: with_window_hashes(h, lengths, lambda made: F.struct(*[m.alias(f"h{n}") for n, m in zip(lengths, made)]))
+    )
     by_words = grams.groupBy("gram", "length").agg(F.collect_set("item_id").alias("items"))
-    hashed = with_window_hashes(by_words.withColumn("hashes", word_hashes(F.col("gram"))), "hashes", {f"h{n}": n for n in lengths})
-    picked = F.coalesce(*[F.when(F.col("length") == n, F.get(f"h{n}", F.lit(0))) for n in lengths])
-    table = small_side(hashed.select(picked.alias("hash"), "gram", "length", "items"), BROADCAST_WINDOWS)
+    picked = F.coalesce(*[F.when(F.col("length") == n, F.get(F.col(f"hashes.h{n}"), F.lit(0))) for n in lengths])
+    table = by_words.withColumn("hashes", hashed(F.col("gram"))).select(picked.alias("hash"), "gram", "length", "items")
+    table = small_side(table, BROADCAST_WINDOWS)
 
-    wordy = texts.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), _words(F.col("text")).alias("words"))
-    wordy = with_window_hashes(wordy.withColumn("hashes", word_hashes(F.col("words"))), "hashes", {f"h{n}": n for n in lengths})
+    wordy = texts.where(F.col("text").isNotNull()).select(
+        text_key(F.col("text")).alias("key"),
+        let(_words(F.col("text")), lambda words: F.struct(words.alias("words"), hashed(words).alias("hashes"))).alias("x"),
+    )
     found = None
     for n in lengths:
-        probes = wordy.select("key", "words", F.posexplode(f"h{n}").alias("start", "hash"))
+        # outer, as a filter on the array would otherwise be put before it and compute it again
+        probes = wordy.select("key", "x.words", F.posexplode_outer(f"x.hashes.h{n}").alias("start", "hash"))
         same = F.slice("words", F.col("start") + 1, F.lit(n)) == F.col("gram")
         here = probes.join(table.where(F.col("length") == n).drop("length"), "hash").where(same)
         here = here.select("key", "start", F.lit(n).alias("length"), F.explode_outer("items").alias("item_id"))

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.llm.words import with_window_hashes, word_hashes, words_of
+from hourmark.llm.words import let, with_window_hashes, word_hashes, words_of
 
 BUCKETS = 1 << 14
 TRUSTED_MAX = 20_000
@@ -36,14 +36,8 @@ MOST_REPEATED = 30
 CONTRACT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-def _prepared(df: DataFrame) -> DataFrame:
-    """Adds __hashes, the word hashes, and __repeat, the hashes of the windows for repeated words."""
-    df = df.withColumn("__hashes", word_hashes(words_of(F.col("text"))))
-    return with_window_hashes(df, "__hashes", {"__pairs": 2, "__repeat": REPEAT_WINDOW})
-
-
-def _buckets(n: int):
-    return F.transform(F.concat("__hashes", "__pairs"), lambda h: F.pmod(h, F.lit(n)).cast("int"))
+def _buckets(hashes: Column, pairs: Column, n: int) -> Column:
+    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(n)).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_MAX) -> DataFrame:
@@ -59,9 +53,9 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list
     marked = documents.select("doc_id", "text").join(
         F.broadcast(trusted_ids(labels).withColumn("trusted", F.lit(1))), "doc_id", "left"
     )
-    hashed = marked.withColumn("__hashes", word_hashes(words_of(F.col("text"))))
-    hashed = with_window_hashes(hashed, "__hashes", {"__pairs": 2})
-    seen = hashed.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(_buckets(buckets)).alias("bucket"))
+    grams = let(word_hashes(words_of(F.col("text"))), lambda h: with_window_hashes(h, [2], lambda made: _buckets(h, made[0], buckets)))
+    # outer, as a filter on the array would otherwise be put before it and compute it again
+    seen = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode_outer(grams).alias("bucket")).where("bucket IS NOT NULL")
     rows = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("good")).collect()
     raw, good = [0] * buckets, [0] * buckets
     for row in rows:
@@ -72,69 +66,67 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list
     return [math.log((g + 1) / n_good) - math.log((r + 1) / n_raw) for g, r in zip(good, raw)]
 
 
-def _repeated_words(windows: str, width: int):
+def _repeated_words(windows: Column, width: int) -> Column:
     """Words inside windows that occur twice or more: sort the windows, keep those equal to a
     neighbour, and add up what each covers before the next one starts."""
-    n = F.size(windows)
-    indexed = F.transform(F.col(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    ordered = F.col("__ordered")
-    pairs = F.zip_with(
-        F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
-    )
-    starts = F.array_sort(F.array_distinct(F.flatten(pairs)))
-    found = F.col("__starts")
-    gaps = F.zip_with(
-        F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))),
-        F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))),
-        lambda a, b: F.least(b - a, F.lit(width)),
-    )
-    total = F.aggregate(gaps, F.lit(width), lambda acc, x: acc + x)
+
+    def neighbours(values: Column, body) -> Column:
+        n = F.greatest(F.size(values) - 1, F.lit(0))
+        return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), body)
+
+    def covered(starts: Column) -> Column:
+        gaps = neighbours(starts, lambda a, b: F.least(b - a, F.lit(width)))
+        return F.aggregate(gaps, F.lit(width), lambda acc, x: acc + x)
+
+    def sorted_starts() -> Column:
+        indexed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        none = F.array().cast("array<int>")
+        pairs = let(indexed, lambda x: neighbours(x, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(none)))
+        return F.array_sort(F.array_distinct(F.flatten(pairs)))
+
     # most texts repeat no window: they are spared the sort
-    repeats = F.size(F.array_distinct(F.col(windows))) < n
-    return (
-        F.when(repeats, F.sort_array(indexed)),
-        F.when(F.col("__ordered").isNotNull(), starts),
-        F.when(F.col("__starts").isNotNull(), total).otherwise(0),
-    )
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+    return F.when(repeats, let(sorted_starts(), covered)).otherwise(0)
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """The documents with the base counts added, and the columns the score needs."""
-    text = F.coalesce("text", F.lit(""))
-    df = _prepared(documents)
-    ordered, starts, repeated = _repeated_words("__repeat", REPEAT_WINDOW)
-    df = df.withColumn("__ordered", ordered).withColumn("__starts", starts)
+def measures(text: Column, ratios: list[float], buckets: int) -> Column:
+    """A struct of the base counts and the score, as one expression that reads the text once."""
+    text = F.coalesce(text, F.lit(""))
+    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("__lines", lines)
-    n_words = F.size("__hashes").cast("bigint")
-    n_repeat = repeated.cast("bigint")
-    return df.withColumns(
-        {
-            "n_words": n_words,
-            "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("bigint"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
-            "n_repeat_words": n_repeat,
-        }
-    ).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+
+    def counted(hashes: Column) -> Column:
+        def made(windows: list[Column]) -> Column:
+            pairs, repeat = windows
+            n = F.size(hashes)
+            total = F.aggregate(_buckets(hashes, pairs, buckets), F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
+            return F.struct(
+                n.cast("bigint").alias("n_words"),
+                F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+                (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+                let(repeat, lambda x: _repeated_words(x, REPEAT_WINDOW)).cast("bigint").alias("n_repeat_words"),
+                F.when(n > 0, total / F.greatest(2 * n - 1, F.lit(1))).otherwise(0.0).alias("score"),
+            )
+
+        return with_window_hashes(hashes, [2, REPEAT_WINDOW], made)
+
+    return let(word_hashes(words_of(text)), counted)
+
+
+def _failed(m: Column) -> Column:
+    return (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
 
 
 def judge(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The documents with the counts, `score` and the verdict `kept` added."""
-    ratios = F.split(F.lit(",".join(map(repr, fit(documents, labels, buckets)))), ",").cast("array<double>")
-    total = F.aggregate(_buckets(buckets), F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
-    n = F.size("__hashes") + F.size("__pairs")
-    score = F.when(n > 0, total / n).otherwise(0.0)
-    df = measure(documents.select("doc_id", "text") if set(CONTRACT) & set(documents.columns) else documents)
-    df = df.withColumn("score", score)
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-
-def keep(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with their own columns as they were, whatever their names."""
-    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__own"), "doc_id", "text")
-    judged = judge(own.withColumnRenamed("__own", "own_row"), labels, threshold)
-    return judged.where("kept").select("own_row.*")
+    """One row per document: doc_id, the base counts, base_failed, `score` and the verdict `kept`."""
+    m = F.col("m")
+    measured = documents.select("doc_id", measures(F.col("text"), fit(documents, labels, buckets), buckets).alias("m"))
+    verdicts = {"base_failed": _failed(m), "kept": ~_failed(m) & (m["score"] >= threshold)}
+    return measured.select("doc_id", "m.*", *[v.alias(k) for k, v in verdicts.items()])
+
+
+def keep(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The documents that are kept, with their own columns."""
+    ratios = fit(documents, labels, buckets)
+    return documents.where(let(measures(F.col("text"), ratios, buckets), lambda m: ~_failed(m) & (m["score"] >= threshold)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -27,32 +28,40 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it and wherever the
+    optimizer moves the whole expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(hashes: Column, skip: int, length: Column) -> Column:
     return F.slice(hashes, F.lit(1 + skip), F.greatest(length, F.lit(0)))
 
 
-def with_window_hashes(df: DataFrame, hashes: str, windows: dict[str, int]) -> DataFrame:
-    """Add, for each name in `windows`, the hashes of all windows of that many words, in order.
+def with_window_hashes(hashes: Column, sizes: list[int], body: Callable[[list[Column]], Column]) -> Column:
+    """`body` of the hashes of all windows of so many words, in order, one array for each of `sizes`.
 
-    `hashes` names the array of word hashes. Windows of 1, 2, 4 … words are combined from halves, so
-    a window of n words takes some log n steps, whatever n is.
+    `hashes` is an array of word hashes that costs nothing to name. Windows of 1, 2, 4 … words are
+    combined from halves, so a window of n words takes some log n steps, whatever n is.
     """
-    longest = max(windows.values())
-    size = F.size(hashes)
-    powers = {1: hashes}
-    n = 1
-    while 2 * n <= longest:
-        name = f"__w{2 * n}"
-        half, length = F.col(powers[n]), size - F.lit(2 * n - 1)
-        df = df.withColumn(name, F.zip_with(_part(half, 0, length), _part(half, n, length), lambda a, b: F.xxhash64(a, b)))
-        powers[2 * n] = name
-        n *= 2
-    for name, wanted in windows.items():
+    count = F.size(hashes)
+
+    def both(first: Column, second: Column, covered: int, n: int) -> Column:
+        length = count - F.lit(n - 1)
+        return F.zip_with(_part(first, 0, length), _part(second, covered, length), lambda a, b: F.xxhash64(a, b))
+
+    def whole(powers: dict[int, Column], wanted: int) -> Column:
         parts = [p for p in sorted(powers, reverse=True) if wanted & p]
-        length = size - F.lit(wanted - 1)
-        made, covered = _part(F.col(powers[parts[0]]), 0, length), parts[0]
+        made, covered = powers[parts[0]], parts[0]
         for p in parts[1:]:
-            made = F.zip_with(made, _part(F.col(powers[p]), covered, length), lambda a, b: F.xxhash64(a, b))
+            made = both(made, powers[p], covered, covered + p)
             covered += p
-        df = df.withColumn(name, made)
-    return df.drop(*[name for name in powers.values() if name != hashes])
+        return made
+
+    def doubled(powers: dict[int, Column]) -> Column:
+        n = max(powers)
+        if 2 * n > max(sizes):
+            return body([whole(powers, wanted) for wanted in sizes])
+        return let(both(powers[n], powers[n], n, 2 * n), lambda made: doubled({**powers, 2 * n: made}))
+
+    return doubled({1: hashes})
