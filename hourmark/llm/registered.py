@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import decontaminate, mixing, pii, quality, simhash, urlrules, warc
+from hourmark.llm import decontaminate, mixing, pii, quality, repeats, simhash, urlrules, warc
 
 # Fixed values of the contract.
 URL_RULES = [
@@ -28,6 +28,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.judge(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_decontamination, op5_pii, op7_warc, op8_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op1_url_filters, op2_repeats, op3_decontamination, op5_pii, op7_warc, op8_quality_rules, op9_mixing, op10_simhash)
 }
 
 SQL: dict[str, str] = {

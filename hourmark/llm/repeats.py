@@ -153,6 +153,12 @@ def unpack_sorted(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(first.astype(np.uint64), dtype=np.uint64), *others]
 
 
+def unpack_text(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes end to end, the offsets of documents and the end, and their ids."""
+    data, starts, ids = unpack(blob)
+    return data, starts.astype(np.int64), ids.astype(np.int64)
+
+
 def _bucket_edges(seeds: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted seeds; buckets are ranges of equal width."""
     bounds = np.array([(b << SEED_BITS) // buckets for b in range(buckets + 1)], np.uint64)
@@ -291,8 +297,8 @@ def _contexts(buckets: int):
                     seeds, hot = [np.concatenate(seeds)], [np.concatenate(hot)]
                     order = np.argsort(seeds[0], kind="stable")
                     seeds, hot = [seeds[0][order]], [hot[0][order]]
-                data, starts, ids = unpack(blob)
-                found, first, count = seed_runs(data, starts.astype(np.int64))
+                data, starts, ids = unpack_text(blob)
+                found, first, count = seed_runs(data, starts)
                 at = np.minimum(np.searchsorted(seeds[0], found), len(seeds[0]) - 1)
                 owner = ids[np.searchsorted(starts, first, "right") - 1]
                 again = (seeds[0][at] == found) & (owner != NO_ID)
@@ -480,7 +486,7 @@ def _covered(keep_bytes: bool):
                 if kind == ANSWERS:
                     n, lengths, values = unpack(blob)
                     counts.append(n.astype(np.int64))
-                    lowest.append(np.repeat(values.astype(np.int64), lengths))
+                    lowest.append(np.repeat(values.astype(np.int64), lengths.astype(np.int64)))
                     continue
                 if kind == PLACES:
                     if answers is None:
@@ -488,11 +494,10 @@ def _covered(keep_bytes: bool):
                         begins = np.cumsum(windows) - windows
                     places = (part, *unpack(blob))
                     continue
-                data, starts, ids = unpack(blob)
-                starts = starts.astype(np.int64)
+                data, starts, ids = unpack_text(blob)
                 gone = np.zeros(len(data), bool)
                 if places is not None and places[0] == part:
-                    first, number = np.cumsum(places[1]), places[2].astype(np.int64)
+                    first, number = np.cumsum(places[1], dtype=np.int64), places[2].astype(np.int64)
                     n = windows[number]
                     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     window = np.repeat(first, n) + inner
