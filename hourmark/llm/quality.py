@@ -26,7 +26,7 @@ from hourmark.llm.words import let, with_window_hashes, word_hashes, words_of
 
 BUCKETS = 1 << 14
 TRUSTED_MAX = 20_000
-THRESHOLD = -0.35
+THRESHOLD = -0.065
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8

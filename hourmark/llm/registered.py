@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import decontaminate, mixing, pii, quality, repeats, simhash, urlrules, warc
+from hourmark.llm import decontaminate, licenses, mixing, pii, quality, quoting, repeats, simhash, urlrules, warc
 
 # Fixed values of the contract.
 URL_RULES = [
@@ -36,10 +36,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no quotations, so every message is first made to quote the turns before it."""
+    return quoting.format_conversations(quoting.quoting_replies(_table(spark, sf_dir, "conversations")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.judge(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -58,7 +67,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_repeats, op3_decontamination, op5_pii, op7_warc, op8_quality_rules, op9_mixing, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_repeats,
+        op3_decontamination,
+        op4_chat_formatting,
+        op5_pii,
+        op6_license_scans,
+        op7_warc,
+        op8_quality_rules,
+        op9_mixing,
+        op10_simhash,
+    )
 }
 
 SQL: dict[str, str] = {
