@@ -117,20 +117,19 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, remo
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    found = hits_by_text(documents, benchmark, window)
-    keyed = documents.withColumn("__key", F.coalesce(text_key(F.col("text")), F.lit("")))
+    found = hits_by_text(documents, benchmark, window).select("key", F.array_sort("positions").alias("positions"))
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own")
+    keyed = documents.select(own, F.coalesce(text_key(F.col("text")), F.lit("")).alias("key"))
     if remove == "documents":
-        return keyed.join(found.select(F.col("key").alias("__key")), "__key", "left_anti").select(*documents.columns)
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.array_sort("positions").alias("__positions")), "__key", "left")
+        return keyed.join(found, "key", "left_anti").select("own.*")
+    joined = keyed.join(found, "key", "left")
     # Words and what stands between them, by turns: word k is piece 2k, or 2k + 1 if the text opens with
     # a separator. The separator between two words that go, goes too.
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECES), F.lit(0))
-    opening = F.when(F.col("text").rlike(f"^{PIECES.split('|')[0]}"), 0).otherwise(1)
-    followed = F.array_intersect("__positions", F.transform("__positions", lambda p: p - 1))
-    gone = F.array_union(
-        F.transform("__positions", lambda p: p * 2 + opening), F.transform(followed, lambda p: p * 2 + opening + 1)
-    )
-    hit = joined.where(F.col("__positions").isNotNull()).withColumn("__pieces", pieces).withColumn("__gone", gone)
-    left = F.filter("__pieces", lambda _, i: ~F.array_contains("__gone", i))
-    hit = hit.withColumn("text", F.array_join(left, ""))
-    return joined.where(F.col("__positions").isNull()).select(*documents.columns).unionByName(hit.select(*documents.columns))
+    text = F.col("own.text")
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    opening = F.when(text.rlike(f"^{PIECES.split('|')[0]}"), 0).otherwise(1)
+    followed = F.array_intersect("positions", F.transform("positions", lambda p: p - 1))
+    gone = F.array_union(F.transform("positions", lambda p: p * 2 + opening), F.transform(followed, lambda p: p * 2 + opening + 1))
+    left = let(gone, lambda g: F.filter(pieces, lambda _, i: ~F.array_contains(g, i)))
+    without = F.when(F.col("positions").isNull(), text).otherwise(F.array_join(left, ""))
+    return joined.select(F.col("own").withField("text", without).alias("own")).select("own.*")
