@@ -1,11 +1,12 @@
 """Wall-clock times, periods and months.
 
-Reading times are `timestamp_ntz`; every expression here keeps that type and does not depend on
-the session time zone, except `wall_clock`, whose input is an instant.
+Reading times are `timestamp_ntz`. No expression here depends on the session time zone: instants are
+turned into naive UTC times by their number of microseconds, and compared with instants.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,22 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 
 GRAINS = ("hourly", "daily", "monthly")
+ISO_DAY_OR_TIME = r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2})?"
 
 
 def wall_clock(instant: Column) -> Column:
-    """The naive UTC rendering of an instant."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    """The naive UTC rendering of an instant, through no zone: some wall clock times come twice."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
+
+
+def naive(df: DataFrame, column: str) -> Column:
+    """The column as a naive time, whichever of the two kinds it has."""
+    return wall_clock(F.col(column)) if zoned(df, column) else F.col(column)
+
+
+def zoned(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] == "timestamp"
 
 
 def period_start(at: Column, grain: str) -> Column:
@@ -49,24 +61,26 @@ def moment(at: date | datetime) -> Column:
     return F.lit(str(at)).cast("timestamp_ntz")
 
 
-def within(at: Column, first: date, after: date) -> Column:
-    """`first` 00:00 <= at < `after` 00:00, as literals a scan can use."""
-    return (at >= moment(first)) & (at < moment(after))
+def within(at: Column, first: date, after: date, is_zoned: bool = False) -> Column:
+    """`first` 00:00 <= at < `after` 00:00 in UTC, as literals of the column's kind, which a scan can use."""
+    edge = (lambda day: F.lit(f"{day} 00:00:00+00:00").cast("timestamp")) if is_zoned else moment
+    return (at >= edge(first)) & (at < edge(after))
 
 
 # -- calendar arguments -------------------------------------------------------
 
 
 def parse_day(text: str | date | None) -> date | None:
-    """A date from `YYYY-MM-DD`, with a time of day accepted and dropped."""
-    if text is None or (isinstance(text, date) and not isinstance(text, datetime)):
-        return text
+    """A date, or the date of an ISO day or of an ISO day and time without a zone."""
+    if text is None:
+        return None
     if isinstance(text, datetime):
         return text.date()
-    day, separator, clock = text.replace("T", " ", 1).partition(" ")
-    if separator:
-        datetime.strptime(clock, "%H:%M:%S")
-    return datetime.strptime(day, "%Y-%m-%d").date()
+    if isinstance(text, date):
+        return text
+    if not re.fullmatch(ISO_DAY_OR_TIME, text):
+        raise ValueError(f"not a day: {text!r}")
+    return datetime.fromisoformat(text).date()
 
 
 def parse_month(text: str | date) -> date:
@@ -100,10 +114,10 @@ def month_runs(months: list[date]) -> list[tuple[date, date]]:
     return runs
 
 
-def in_months(at: Column, months: list[date]) -> Column:
+def in_months(at: Column, months: list[date], is_zoned: bool = False) -> Column:
     condition = F.lit(False)
     for first, after in month_runs(months):
-        condition = condition | within(at, first, after)
+        condition = condition | within(at, first, after, is_zoned)
     return condition
 
 

@@ -17,10 +17,12 @@ windows have equal seeds.
    after k rounds it is right in the first k symbols and the blocks are the suffixes with k symbols
    in common. After LENGTH rounds the blocks are the repeated strings; each window gets the least
    doc_id of its block. No suffix is sorted again in a merge.
-3. The answers go back to the shards, which cover the windows that occur in a smaller doc_id.
+3. The answers go back to the shards, which take their contexts again, in the same order, and cover
+   the windows that occur in a smaller doc_id.
 
 A seed that very many documents hold is not kept together: its windows are dealt out one by one, by
-their own hash. Shards and answers are written to the shared folder between the steps.
+their own hash. Shards and the seeds that recur are written to the shared folder; contexts are
+made a second time rather than stored.
 
 Defined cases: a null text is empty. A document without an id neither removes anything nor loses
 anything. Rows with the same id do not remove from each other. Texts shorter than LENGTH bytes stay
@@ -167,7 +169,8 @@ def _bucket_edges(seeds: np.ndarray, buckets: int) -> np.ndarray:
 
 ROWS = "kind int, shard bigint, part int, blob binary"
 COLUMNS = ["kind", "shard", "part", "blob"]
-TEXT, SEEDS, CONTEXTS, PLACES, ANSWERS = range(5)
+# in the order in which the rows of a shard are read
+SEEDS, ANSWERS, TEXT, CONTEXTS = range(4)
 
 
 def _rows(*rows: tuple) -> pd.DataFrame:
@@ -188,53 +191,57 @@ def _documents(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts
 
 
-def _shards(buckets: int):
-    """Documents to shards: the text in pieces, and the sorted seeds by bucket."""
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents to shards: their text in pieces of whole documents."""
+    task = TaskContext.get().partitionId()
+    shard = part = size = in_shard = 0
+    texts: list[bytes] = []
+    ids: list[int] = []
+
+    def piece() -> pd.DataFrame:
+        data, starts = _documents(texts)
+        return _rows((TEXT, task << 24 | shard, part, pack(data, starts, np.array(ids, np.int64))))
+
+    for batch in batches:
+        for doc_id, value in zip(batch["doc_id"], batch["bytes"]):
+            texts.append(bytes(value))
+            ids.append(NO_ID if pd.isna(doc_id) else int(doc_id))
+            size += len(value)
+            if size >= PIECE_BYTES or len(texts) >= 16384:
+                yield piece()
+                in_shard += size
+                part, size, texts, ids = part + 1, 0, [], []
+                if in_shard >= SHARD_BYTES:
+                    shard, part, in_shard = shard + 1, 0, 0
+    if texts:
+        yield piece()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId()
-        shard, piece, size, in_shard = 0, [], 0, 0
-        seeds: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
 
-        def text() -> Iterator[pd.DataFrame]:
-            nonlocal piece, size
-            data, starts = _documents([t for _, t in piece])
-            ids = np.array([NO_ID if i is None else i for i, _ in piece], np.int64)
-            found, first, _ = seed_runs(data, starts)
-            owner = ids[np.searchsorted(starts, first, "right") - 1]
-            seeds.append(found[owner != NO_ID])
-            docs.append(owner[owner != NO_ID])
-            yield _rows((TEXT, task << 24 | shard, len(seeds), pack(data, starts, ids)))
-            piece, size = [], 0
-
-        def close() -> Iterator[pd.DataFrame]:
-            nonlocal shard, in_shard
-            if piece:
-                yield from text()
-            if sum(map(len, seeds)):
-                values, counts = _distinct_docs(np.concatenate(seeds), np.concatenate(docs))
-                edges = _bucket_edges(values, buckets)
-                for b in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[b], edges[b + 1])
-                    yield _rows((SEEDS, task << 24 | shard, int(b), pack_sorted(values[part], counts[part])))
-            seeds.clear()
-            docs.clear()
-            shard, in_shard = shard + 1, 0
-
-        for batch in batches:
-            for doc_id, value in zip(batch["doc_id"], batch["bytes"]):
-                piece.append((None if pd.isna(doc_id) else int(doc_id), bytes(value)))
-                size += len(value)
-                in_shard += len(value)
-                if size >= PIECE_BYTES or len(piece) >= 16384:
-                    yield from text()
-                if in_shard >= SHARD_BYTES:
-                    yield from close()
-        if piece or seeds:
-            yield from close()
+def _seeds(buckets: int):
+    """Pieces of text to the sorted distinct seeds of what a task reads of each shard, by bucket."""
+
+    def sent(shard: int, seeds: list[np.ndarray], docs: list[np.ndarray]) -> pd.DataFrame:
+        rows = []
+        if sum(map(len, seeds)):
+            values, counts = _distinct_docs(np.concatenate(seeds), np.concatenate(docs))
+            edges = _bucket_edges(values, buckets)
+            for b in np.flatnonzero(np.diff(edges)):
+                part = slice(edges[b], edges[b + 1])
+                rows.append((SEEDS, shard, int(b), pack_sorted(values[part], counts[part])))
+        return _rows(*rows)
 
-    return cut
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for shard, rows in _grouped(batches, "shard"):
+            seeds, docs = [], []
+            for _, _, _, blob in rows:
+                data, starts, ids = unpack_text(blob)
+                here, first, _ = seed_runs(data, starts)
+                owner = ids[np.searchsorted(starts, first, "right") - 1]
+                seeds.append(here[owner != NO_ID])
+                docs.append(owner[owner != NO_ID])
+            yield sent(shard, seeds, docs)
+
+    return found
 
 
 def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -275,66 +282,74 @@ def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 # -- contexts -------------------------------------------------------------------------
+class _Shard:
+    """The recurring seeds of a shard, and the distinct contexts around them as its text goes by."""
+
+    def __init__(self) -> None:
+        self.seeds, self.hot = np.empty(0, np.uint64), np.empty(0, bool)
+        self.number: dict[bytes, int] = {}
+        self.keys: list[int] = []
+        self.least: list[int] = []
+
+    def know(self, blob: bytes) -> None:
+        values, flags = unpack_sorted(blob)
+        seeds, hot = np.concatenate((self.seeds, values)), np.concatenate((self.hot, flags.astype(bool)))
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.hot = seeds[order], hot[order]
+
+    def read(self, data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where contexts begin in this text, and their numbers."""
+        begins: list[int] = []
+        numbers: list[int] = []
+        found, first, count = seed_runs(data, starts)
+        if len(self.seeds) and len(found):
+            at = np.minimum(np.searchsorted(self.seeds, found), len(self.seeds) - 1)
+            owner = ids[np.searchsorted(starts, first, "right") - 1]
+            again = (self.seeds[at] == found) & (owner != NO_ID)
+            raw = data.tobytes()
+            for seed, begin, n, doc, hot in zip(
+                found[again].tolist(), first[again].tolist(), count[again].tolist(), owner[again].tolist(), self.hot[at[again]].tolist()
+            ):
+                # the windows of a hot seed are contexts of their own
+                for start, windows in [(begin + k, 1) for k in range(n)] if hot else [(begin, n)]:
+                    context = raw[start : start + windows + LENGTH - 1]
+                    number = self.number.setdefault(context, len(self.keys))
+                    if number == len(self.keys):
+                        self.keys.append(xxhash.xxh64_intdigest(context) >> 64 - SEED_BITS if hot else seed)
+                        self.least.append(doc)
+                    elif doc < self.least[number]:
+                        self.least[number] = doc
+                    begins.append(start)
+                    numbers.append(number)
+        return np.array(begins, np.int64), np.array(numbers, np.int64)
+
+    def order(self) -> np.ndarray:
+        """The contexts by key, in which they are sent and answered."""
+        return np.argsort(np.array(self.keys, np.uint64), kind="stable")
+
+
 def _contexts(buckets: int):
-    """Per shard: the distinct contexts of recurring seeds by bucket, and where each stands in the text."""
+    """Per shard: the distinct contexts of recurring seeds, by bucket."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard, rows in _grouped(batches, "shard"):
-            seeds, hot = [], []
-            known: dict[bytes, int] = {}
-            own: list[tuple[int, bytes]] = []
-            least: list[int] = []
-            places: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for kind, _, part, blob in rows:
+        for number, rows in _grouped(batches, "shard"):
+            shard = _Shard()
+            for kind, _, _, blob in rows:
                 if kind == SEEDS:
-                    values, flags = unpack_sorted(blob)
-                    seeds.append(values)
-                    hot.append(flags)
-                    continue
-                if not seeds:
-                    continue
-                if len(seeds) > 1:
-                    seeds, hot = [np.concatenate(seeds)], [np.concatenate(hot)]
-                    order = np.argsort(seeds[0], kind="stable")
-                    seeds, hot = [seeds[0][order]], [hot[0][order]]
-                data, starts, ids = unpack_text(blob)
-                found, first, count = seed_runs(data, starts)
-                at = np.minimum(np.searchsorted(seeds[0], found), len(seeds[0]) - 1)
-                owner = ids[np.searchsorted(starts, first, "right") - 1]
-                again = (seeds[0][at] == found) & (owner != NO_ID)
-                raw = data.tobytes()
-                begins, numbers = [], []
-                for seed, begin, n, doc, is_hot in zip(
-                    found[again].tolist(), first[again].tolist(), count[again].tolist(), owner[again].tolist(), hot[0][at[again]].tolist()
-                ):
-                    steps = [(begin + k, 1) for k in range(n)] if is_hot else [(begin, n)]
-                    for start, windows in steps:
-                        context = raw[start : start + windows + LENGTH - 1]
-                        number = known.setdefault(context, len(own))
-                        if number == len(own):
-                            own.append((xxhash.xxh64_intdigest(context) >> 64 - SEED_BITS if is_hot else seed, context))
-                            least.append(doc)
-                        elif doc < least[number]:
-                            least[number] = doc
-                        begins.append(start)
-                        numbers.append(number)
-                if begins:
-                    places.append((part, np.array(begins, np.int64), np.array(numbers, np.int64)))
-            if not own:
+                    shard.know(blob)
+                else:
+                    shard.read(*unpack_text(blob))
+            if not shard.keys:
                 continue
-            keys = np.array([s for s, _ in own], np.uint64)
-            order = np.argsort(keys, kind="stable")
-            rank = np.empty(len(own), np.int64)
-            rank[order] = np.arange(len(own))
-            for part, begins, numbers in places:
-                yield _rows((PLACES, shard, part, pack(np.diff(begins, prepend=0), rank[numbers])))
-            edges = _bucket_edges(keys[order], buckets)
+            order = shard.order()
+            keys, least = np.array(shard.keys, np.uint64)[order], np.array(shard.least, np.int64)[order]
+            texts = list(shard.number)
+            edges = _bucket_edges(keys, buckets)
             for b in np.flatnonzero(np.diff(edges)):
-                chosen = order[edges[b] : edges[b + 1]]
-                texts = [own[i][1] for i in chosen]
-                sizes = np.array([len(t) for t in texts], np.int64)
-                blob = pack_sorted(keys[chosen], sizes, np.array([least[i] for i in chosen], np.int64), np.frombuffer(b"".join(texts), np.uint8))
-                yield _rows((CONTEXTS, shard, int(b), blob))
+                here = slice(edges[b], edges[b + 1])
+                chosen = [texts[i] for i in order[here]]
+                sizes = np.array([len(t) for t in chosen], np.int64)
+                yield _rows((CONTEXTS, number, int(b), pack_sorted(keys[here], sizes, least[here], np.frombuffer(b"".join(chosen), np.uint8))))
 
     return gather
 
@@ -477,34 +492,36 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 
 
 def _covered(keep_bytes: bool):
+    """Per shard: take the contexts again, look up their answers, and cover what occurs earlier."""
+
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _grouped(batches, "shard"):
-            counts, lowest = [], []
-            places = None
-            windows = begins = answers = None
-            for kind, _, part, blob in rows:
-                if kind == ANSWERS:
+            shard = _Shard()
+            counts, lowest, pieces = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for kind, _, _, blob in rows:
+                if kind == SEEDS:
+                    shard.know(blob)
+                elif kind == ANSWERS:
                     n, lengths, values = unpack(blob)
                     counts.append(n.astype(np.int64))
                     lowest.append(np.repeat(values.astype(np.int64), lengths.astype(np.int64)))
-                    continue
-                if kind == PLACES:
-                    if answers is None:
-                        windows, answers = np.concatenate(counts), np.concatenate(lowest)
-                        begins = np.cumsum(windows) - windows
-                    places = (part, *unpack(blob))
-                    continue
+                else:
+                    pieces.append((blob, *shard.read(*unpack_text(blob))))
+            rank = np.empty(len(shard.keys), np.int64)
+            rank[shard.order()] = np.arange(len(shard.keys))
+            windows, answers = np.concatenate(counts), np.concatenate(lowest)
+            at = np.cumsum(windows) - windows
+            for blob, begins, numbers in pieces:
                 data, starts, ids = unpack_text(blob)
                 gone = np.zeros(len(data), bool)
-                if places is not None and places[0] == part:
-                    first, number = np.cumsum(places[1], dtype=np.int64), places[2].astype(np.int64)
-                    n = windows[number]
+                if len(begins):
+                    place = rank[numbers]
+                    n = windows[place]
                     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    window = np.repeat(first, n) + inner
-                    value = answers[np.repeat(begins[number], n) + inner]
+                    window = np.repeat(begins, n) + inner
                     owner = ids[np.searchsorted(starts, window, "right") - 1]
                     marks = np.zeros(len(data) + LENGTH, np.int64)
-                    marks[window[value < owner]] = 1
+                    marks[window[answers[np.repeat(at[place], n) + inner] < owner]] = 1
                     run = np.cumsum(marks)
                     run[LENGTH:] -= run[:-LENGTH].copy()
                     gone = run[: len(data)] > 0
@@ -531,27 +548,23 @@ def without_repeats(documents: DataFrame, keep_bytes: bool = True) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    def stored(made: DataFrame, label: str) -> DataFrame:
-        path = new_path(spark, label)
-        made.write.partitionBy("kind").option("compression", "none").parquet(path)
-        return spark.read.schema(ROWS).parquet(path).select(*COLUMNS)
-
     def through(rows: DataFrame, key: str, *order: str) -> DataFrame:
         return rows.repartition(key).sortWithinPartitions(key, *order)
 
     spark.conf.set(batch, str(TEXT_BATCH))
     plain = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    shards = stored(plain.mapInPandas(_shards(buckets), ROWS), "shards")
+    path = new_path(spark, "shards")
+    plain.mapInPandas(_shards, ROWS).write.option("compression", "none").parquet(path)
     spark.conf.set(batch, str(BLOB_BATCH))
-    text = shards.where(F.col("kind") == TEXT)
-    again = through(shards.where(F.col("kind") == SEEDS), "part").mapInPandas(_recurring, ROWS)
-    contexts = stored(through(text.unionByName(again), "shard", F.col("kind").desc(), "part").mapInPandas(_contexts(buckets), ROWS), "contexts")
-    answers = through(contexts.where(F.col("kind") == CONTEXTS), "part").mapInPandas(_settled, ROWS)
-    # per shard the answers by bucket, then each piece after its places
-    parts = answers.unionByName(contexts.where(F.col("kind") == PLACES)).unionByName(text)
-    turn = F.when(F.col("kind") == ANSWERS, -1).otherwise(F.col("part"))
-    ordered = through(parts.withColumn("turn", turn), "shard", "turn", F.col("kind").desc(), "part").select(*COLUMNS)
-    return ordered.mapInPandas(_covered(keep_bytes), RESULT)
+    text = spark.read.schema(ROWS).parquet(path)
+    seeds = text.mapInPandas(_seeds(buckets), ROWS)
+    again = through(seeds, "part").mapInPandas(_recurring, ROWS)
+    path = new_path(spark, "recurring")
+    again.write.option("compression", "none").parquet(path)
+    known = text.unionByName(spark.read.schema(ROWS).parquet(path))
+    contexts = through(known, "shard", "kind", "part").mapInPandas(_contexts(buckets), ROWS)
+    answers = through(contexts, "part").mapInPandas(_settled, ROWS)
+    return through(known.unionByName(answers), "shard", "kind", "part").mapInPandas(_covered(keep_bytes), RESULT)
 
 
 def judge(documents: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ def time_by_station(fact: DataFrame, stations: list[str]) -> DataFrame:
     )
 
 
+def stations_of_city(stations: DataFrame, city: str) -> list[str]:
+    """Ids of a city's stations in order, for the columns of a pivot: as many as a table can have."""
+    listed = stations.where(F.lower("city_name") == city.lower()).select("station_id").distinct()
+    return [row.station_id for row in listed.orderBy("station_id").collect()]
+
+
 def station_sample(stations: DataFrame, count: int = 5, seed: int = 1) -> DataFrame:
     """A fixed sample: the stations whose seeded digest comes first."""
     lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col("station_id")).cast("binary"))

@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
-from hourmark.runtime import cut, is_small
+from hourmark.runtime import cut
 
-# A top-k brings up to k rows of every task to a single one. That is cheap for a short prefix, and
-# for any prefix of a result that is itself short; otherwise the prefix is found by counting.
-TOP_K_MAX = 1_000
-TOP_K_TOTAL = 2_000_000
+# A top-k brings up to k rows of every task to a single one; longer prefixes are cut where they lie.
+TOP_K_MAX = 10_000
+
+
+@dataclass
+class Answer:
+    """`rows` in order and capped; `report` has one row: rows, truncated, max_rows."""
+
+    rows: DataFrame
+    report: DataFrame
+    meta: dict = field(default_factory=dict)
 
 
 def row_cap(tier_max: int | None, limit: int | None, fmt: str) -> int | None:
     """Rows a caller may get, None for all. JSON is held lower unless nothing caps the caller."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
-    bounds = [b for b in (tier_max, limit) if b is not None]
-    if not bounds:
-        return None
-    return min([*bounds, S.JSON_MAX_ROWS] if fmt == "json" else bounds)
+    if tier_max is None:
+        cap = limit
+    elif limit is None:
+        cap = tier_max
+    else:
+        cap = min(limit, tier_max)
+    if fmt == "json" and cap is not None:
+        cap = min(cap, S.JSON_MAX_ROWS)
+    return cap
 
 
 def tier_max_rows(tier: str) -> int | None:
     return S.TIER_MAX_ROWS[tier if tier in S.TIER_MAX_ROWS else S.DEFAULT_TIER]
 
 
-def capped(
-    df: DataFrame,
-    order: list[str],
-    cap: int | None,
-    top_k_max: int = TOP_K_MAX,
-    top_k_total: int = TOP_K_TOTAL,
-) -> DataFrame:
+def first_rows(df: DataFrame, order: list[Column], cap: int | None) -> Answer:
+    """The first `cap` rows of a listing, and whether any were cut off."""
+    ordered = df.orderBy(*order)
+    return Answer(ordered if cap is None else ordered.limit(cap), cap_report(df, cap))
+
+
+def capped(df: DataFrame, order: list[str], cap: int | None, top_k_max: int = TOP_K_MAX) -> DataFrame:
     """The first `cap` rows of `df` by the `order` columns, nulls last, in that order.
 
     Rows equal in all `order` columns are told apart by the remaining columns, so the cut is the
@@ -47,9 +58,9 @@ def capped(
     in_order = [F.asc_nulls_last(c) for c in keys]
     if cap is None:
         return df.orderBy(*in_order)
-    if cap <= top_k_max or is_small(df, top_k_total):
+    if cap <= top_k_max:
         return df.orderBy(*in_order).limit(cap)
-    return _prefix(df, keys, cap).orderBy(*in_order)
+    return _prefix(df, order[0], in_order, cap)
 
 
 def cap_report(df: DataFrame, cap: int | None) -> DataFrame:
@@ -69,69 +80,23 @@ def cap_report(df: DataFrame, cap: int | None) -> DataFrame:
     )
 
 
-def _prefix(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first `n` rows, unsorted, as filters on the source.
+def _prefix(df: DataFrame, lead: str, in_order: list[Column], n: int) -> DataFrame:
+    """The first `n` rows, without bringing them together.
 
-    Going through the key columns, find the value at which the running count passes `n`. Rows with a
-    smaller value are in; rows with that value go on to the next column. Each step counts by hash
-    aggregate and brings one row to the driver. Rows left at the end are copies of each other, so
-    as many as are still missing are made from one.
+    Counts by the leading column tell which of its values can be in at all. What is left is sorted by
+    range once, and the sizes of its parts show in which one the cut falls.
     """
-    parts: list[Column] = []
-    tied = F.lit(True)
-    missing = n
-    values: dict[str, object] = {}
-    for key in keys:
-        edge = _edge(df.where(tied), key, missing)
-        if edge is None:  # fewer rows than n: all of them are in
-            return df.where(reduce(Column.__or__, [*parts, tied]))
-        value, before = edge
-        values[key] = value
-        parts.append(tied & _earlier(df, key, value))
-        tied = tied & F.col(key).eqNullSafe(_literal(df, key, value))
-        missing -= before
-    whole = df.where(reduce(Column.__or__, parts))
-    if missing == 0:
-        return whole
-    copies = df.sparkSession.range(missing).select(
-        *[_literal(df, key, value).alias(key) for key, value in values.items()]
-    )
-    return whole.unionByName(copies)
-
-
-def _literal(df: DataFrame, key: str, value) -> Column:
-    if isinstance(value, datetime):
-        value = value.isoformat(sep=" ")
-    return F.lit(value).cast(df.schema[key].dataType)
-
-
-def _earlier(df: DataFrame, key: str, value) -> Column:
-    """Sorts before `value`, nulls last."""
-    return F.col(key).isNotNull() if value is None else F.col(key) < _literal(df, key, value)
-
-
-def _edge(df: DataFrame, key: str, n: int) -> tuple[object, int] | None:
-    """The value of `key` at which the running count first exceeds `n`, and the count before it.
-
-    The counts are range-partitioned and checkpointed, so that partition totals can be added up
-    first and the running count is needed inside a single partition only.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_last(key))
-    counts = cut(counts.withColumn("part", F.spark_partition_id()))
+    counts = df.groupBy(lead).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.orderBy(F.asc_nulls_last(lead)).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).where(F.col("before") < n)
+    wanted = wanted.select(F.col(lead).alias("__lead"))
+    left = df.join(wanted, F.col(lead).eqNullSafe(F.col("__lead")), "left_semi")
+    parts = cut(left.orderBy(*in_order).withColumn("__part", F.spark_partition_id()))
     before = 0
-    for part, total in sorted(counts.groupBy("part").agg(F.sum("n")).collect()):
-        if before + total > n:
+    for part, size in sorted(parts.groupBy("__part").agg(F.count(F.lit(1))).collect()):  # one row per task
+        if before + size > n:
+            edge = parts.where(F.col("__part") == part).orderBy(*in_order).limit(n - before)
+            parts = parts.where(F.col("__part") < part).unionByName(edge)
             break
-        before += total
-    else:
-        return None
-    inside = counts.where(F.col("part") == part)
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy(F.asc_nulls_last(key)))
-    row = (
-        inside.withColumn("upto", upto)
-        .where(F.col("upto") > n - before)
-        .orderBy(F.asc_nulls_last(key))
-        .select(key, F.col("upto") - F.col("n"))
-        .first()
-    )
-    return row[0], before + row[1]
+        before += size
+    return parts.drop("__part").orderBy(*in_order)

@@ -52,33 +52,17 @@ def with_month(df: DataFrame) -> DataFrame:
     )
 
 
-def together_by_month(df: DataFrame) -> DataFrame:
-    """Rows of a month in as few tasks as their size allows.
+def in_key_ranges(df: DataFrame) -> DataFrame:
+    """Ranges of month, station, parameter and time, one to a task.
 
-    Rebalancing shuffles once, without sampling the input first. At run time large months are split
-    and small ones put together, whatever their keys, so neither a hot station nor a third of all
-    rows in one month ends in one task.
+    Ranges of the whole key do not overlap, so neither do the files of a month; a month or a station
+    that holds most rows is cut by time. A salt, which takes no part in the order of rows, keeps copies
+    of one row from ending in one task.
     """
-    return df.hint("rebalance", F.col("year"), F.col("month"))
+    return df.withColumn("__salt", F.rand(7)).repartitionByRange("year", "month", *S.SORT_KEY, "__salt").drop("__salt")
 
 
-def fact_by_month(readings: DataFrame, station_dim: DataFrame, small: bool) -> DataFrame:
-    """The canonical fact with its partition columns, brought together by month and sorted.
-
-    `station_dim` has unique public ids. If it is `small`, readings are shuffled and sorted as
-    narrow as they come and get their names afterwards by a broadcast join, which keeps their order.
-    """
-    order = ["year", "month", *S.SORT_KEY]
-    if not small:
-        return together_by_month(with_month(canonical_fact(readings, station_dim))).sortWithinPartitions(*order)
-    placed = together_by_month(with_month(readings))
-    keyed = placed.join(F.broadcast(station_dim.select("raw_id", "station_id")), "raw_id")
-    made = _published(readings)
-    in_order = keyed.select("year", "month", "station_id", *[c.alias(n) for n, c in made.items()]).sortWithinPartitions(
-        *order
-    )
-    # The optimizer drops a sort below a join. It does not look past a filter it cannot move, and
-    # this one keeps every row.
-    in_order = in_order.where(F.spark_partition_id() >= 0)
-    names = station_dim.select("station_id", "station_name", "state_name", "city_name", "source")
-    return in_order.join(F.broadcast(names), "station_id").select(*S.FACT_COLUMNS, "year", "month")
+def fact_by_month(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
+    """The canonical fact with its partition columns, in ranges of its key and sorted."""
+    placed = in_key_ranges(with_month(canonical_fact(readings, station_dim)))
+    return placed.sortWithinPartitions("year", "month", *S.SORT_KEY)

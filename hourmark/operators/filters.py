@@ -21,6 +21,15 @@ def keep_members(df: DataFrame, column: str, values: Sequence[str] | None) -> Da
     return df.join(listed, column, "left_semi")
 
 
+def keep_found(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """Rows whose `column` is one of the distinct values found, as a list in the plan while there are
+    at most IN_LIST_MAX, so that a scan can use it."""
+    values = [row[0] for row in found.limit(IN_LIST_MAX + 1).collect()]
+    if len(values) <= IN_LIST_MAX:
+        return df.where(F.col(column).isin(values))
+    return df.join(found, column, "left_semi")
+
+
 def same_text(column: str, text: str) -> Column:
     """Equality without regard to case."""
     return F.lower(F.col(column)) == F.lower(F.lit(text))

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark.functions.geo import squared_degrees
-from hourmark.runtime import cut
 
-# A key with at most this many candidate places is compared place by place. Keys with more are
-# narrowed down through a grid first, so no key ever produces all its pairs.
-PAIRS_MAX = 256
-GRID_BASE = 8
-GRID_LEVELS = 16
+# Degrees a grid cell spans. A place within one cell's width of a point lies in the 3 x 3 cells around it.
+CELL = 0.5
 
 POINT = ["norm", "latitude", "longitude"]
 
 
-def nearest(points: DataFrame, candidates: DataFrame, pairs_max: int = PAIRS_MAX) -> DataFrame:
+def nearest(points: DataFrame, candidates: DataFrame, cell: float = CELL) -> DataFrame:
     """For each distinct point (norm, latitude, longitude) the candidate of the same norm that is
     nearest by squared degrees, the earlier `seq` on a tie. A point without coordinates gets the
     earliest candidate. Points without a candidate are left out.
 
+    Points and places meet in a grid by an equi-join on key and cell, each point in the nine cells
+    around it, so a key with very many places does not pair them all with all of its points. A point
+    with no place within a cell's width of it is far from everything; it is compared with one place
+    per cell and side of its key instead, of which there are few. A coordinate that is not finite
+    counts as none; where a key has no other places, its earliest is taken.
+
     Returns the point columns and `best`, a struct of the candidate's columns.
     """
     points = points.select(*POINT).distinct()
@@ -29,94 +31,49 @@ def nearest(points: DataFrame, candidates: DataFrame, pairs_max: int = PAIRS_MAX
     # Copies at one place can only be told apart by seq: keep the earliest, before any join.
     sites = candidates.groupBy(*POINT).agg(F.min(F.struct("seq", *rest)).alias("site"))
     sites = sites.withColumnsRenamed({"latitude": "site_lat", "longitude": "site_lon"})
-    per_key = sites.groupBy("norm").agg(F.min("site").alias("best"), F.count(F.lit(1)).alias("places"))
-
-    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    unplaced = points.where(~placed).join(per_key.select("norm", "best"), "norm")
-    busy = per_key.where(F.col("places") > pairs_max).select("norm")
-    if busy.isEmpty():
-        direct = _closest(points.where(placed).join(sites, "norm"))
-        return unplaced.unionByName(direct)
-    quiet_sites = sites.join(busy, "norm", "left_anti")
-    direct = _closest(points.where(placed).join(quiet_sites, "norm"))
-    crowded = _through_grid(
-        points.where(placed).join(busy, "norm", "left_semi"), sites.join(busy, "norm", "left_semi"), pairs_max
-    )
-    return unplaced.unionByName(direct).unionByName(crowded)
+    earliest = sites.groupBy("norm").agg(F.min("site").alias("best"))
 
+    placed = _finite("latitude") & _finite("longitude")
+    sites = sites.where(_finite("site_lat") & _finite("site_lon"))
+    somewhere = sites.select("norm", F.lit(True).alias("somewhere")).distinct()
+    known = points.join(somewhere, "norm", "left").withColumn("placed", placed & F.col("somewhere").isNotNull())
+    unplaced = known.where(~F.col("placed")).join(earliest, "norm").select(*POINT, "best")
+    sites = sites.withColumns({"x": F.floor(F.col("site_lat") / cell), "y": F.floor(F.col("site_lon") / cell)})
+    points = known.where("placed").select(*POINT)
 
-def _closest(pairs: DataFrame) -> DataFrame:
-    distance = squared_degrees(F.col("site_lat"), F.col("site_lon"), F.col("latitude"), F.col("longitude"))
-    best = F.min(F.struct(distance.alias("distance"), F.col("site.seq").alias("seq"), F.col("site")))
-    return pairs.groupBy(*POINT).agg(best.alias("m")).select(*POINT, F.col("m.site").alias("best"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    reach = points.select("*", F.explode(around).alias("step")).select(
+        *POINT,
+        (F.floor(F.col("latitude") / cell) + F.col("step.i")).alias("x"),
+        (F.floor(F.col("longitude") / cell) + F.col("step.j")).alias("y"),
+    )
+    near = _closest(reach.join(sites, ["norm", "x", "y"])).where(F.col("distance") <= cell * cell)
+
+    found = near.select(*[F.col(c).alias(f"__{c}") for c in POINT])
+    same = (F.col("norm") == F.col("__norm")) & (F.col("latitude") == F.col("__latitude")) & (F.col("longitude") == F.col("__longitude"))
+    alone = points.join(found, same, "left_anti")
+    # the box of each cell that holds places says how near and how far they can be
+    boxes = sites.groupBy("norm", "x", "y").agg(
+        F.min("site_lat").alias("south"), F.max("site_lat").alias("north"), F.min("site_lon").alias("west"), F.max("site_lon").alias("east")
+    )
+    lat, lon, zero = F.col("latitude"), F.col("longitude"), F.lit(0.0)
+    gap = lambda low, high, at: F.greatest(F.col(low) - at, at - F.col(high), zero)
+    span = lambda low, high, at: F.greatest(F.abs(F.col(low) - at), F.abs(F.col(high) - at))
+    least = gap("south", "north", lat) ** 2 + gap("west", "east", lon) ** 2
+    most = span("south", "north", lat) ** 2 + span("west", "east", lon) ** 2
+    boxed = alone.join(boxes, "norm").select(*POINT, "x", "y", least.alias("least"), most.alias("most"))
+    within = boxed.groupBy(*[F.col(c).alias(f"__{c}") for c in POINT]).agg(F.min("most").alias("bound"))
+    cells = boxed.join(within, same).where(F.col("least") <= F.col("bound")).select(*POINT, "x", "y")
+    far = _closest(cells.join(sites, ["norm", "x", "y"]))
+    return unplaced.unionByName(near.drop("distance")).unionByName(far.drop("distance"))
 
 
-def _cell(share: str, level: int) -> Column:
-    """Index of a place along one axis of the grid; the far edge belongs to the last cell."""
-    cells = GRID_BASE**level
-    return F.least(F.floor(F.col(share) * F.lit(float(cells))), F.lit(cells - 1))
+def _finite(column: str) -> Column:
+    """False for null, NaN and the infinities."""
+    return F.coalesce(F.abs(F.col(column)) < F.lit(float("inf")), F.lit(False))
 
 
-def _through_grid(points: DataFrame, sites: DataFrame, pairs_max: int) -> DataFrame:
-    """Descend a grid level by level. A cell stays in a point's list while its bounding box could
-    still hold the nearest place, that is, while the box's near side is no farther than the far
-    corner of the best box. Cells that still hold many places are divided further."""
-    frame = sites.groupBy("norm").agg(
-        F.min("site_lat").alias("lat0"),
-        F.min("site_lon").alias("lon0"),
-        F.greatest(F.max("site_lat") - F.min("site_lat"), F.max("site_lon") - F.min("site_lon")).alias("span"),
-    )
-    scaled = cut(
-        sites.join(frame, "norm").select(
-            "norm",
-            "site",
-            "site_lat",
-            "site_lon",
-            ((F.col("site_lat") - F.col("lat0")) / F.col("span")).alias("u"),
-            ((F.col("site_lon") - F.col("lon0")) / F.col("span")).alias("v"),
-        )
-    )
-    open_cells = points.select(*POINT, F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
-    per_point = Window.partitionBy(*POINT)
-    for level in range(1, GRID_LEVELS + 1):
-        boxes = scaled.groupBy(
-            "norm",
-            _cell("u", level - 1).alias("x"),
-            _cell("v", level - 1).alias("y"),
-            _cell("u", level).alias("nx"),
-            _cell("v", level).alias("ny"),
-        ).agg(
-            F.min("site_lat").alias("south"),
-            F.max("site_lat").alias("north"),
-            F.min("site_lon").alias("west"),
-            F.max("site_lon").alias("east"),
-            F.count(F.lit(1)).alias("places"),
-        )
-        lat, lon = F.col("latitude"), F.col("longitude")
-        zero = F.lit(0.0)
-        near_y = F.greatest(F.col("south") - lat, lat - F.col("north"), zero)
-        near_x = F.greatest(F.col("west") - lon, lon - F.col("east"), zero)
-        far_y = F.greatest(F.abs(F.col("south") - lat), F.abs(F.col("north") - lat))
-        far_x = F.greatest(F.abs(F.col("west") - lon), F.abs(F.col("east") - lon))
-        open_cells = cut(
-            open_cells.join(boxes, ["norm", "x", "y"])
-            .select(
-                *POINT,
-                F.col("nx").alias("x"),
-                F.col("ny").alias("y"),
-                "places",
-                (near_y * near_y + near_x * near_x).alias("near"),
-                (far_y * far_y + far_x * far_x).alias("far"),
-            )
-            .withColumn("reach", F.min("far").over(per_point))
-            .where(F.col("near") <= F.col("reach"))
-            .select(*POINT, "x", "y", "places")
-        )
-        fullest = open_cells.agg(F.max("places")).first()[0]
-        if fullest is None or fullest <= pairs_max:
-            break
-        open_cells = open_cells.drop("places")
-    cells = scaled.select(
-        "norm", _cell("u", level).alias("x"), _cell("v", level).alias("y"), "site", "site_lat", "site_lon"
-    )
-    return _closest(open_cells.drop("places").join(cells, ["norm", "x", "y"]))
+def _closest(pairs: DataFrame) -> DataFrame:
+    distance = squared_degrees(F.col("site_lat"), F.col("site_lon"), F.col("latitude"), F.col("longitude"))
+    best = F.min(F.struct(distance.alias("distance"), F.col("site.seq").alias("seq"), F.col("site")))
+    return pairs.groupBy(*POINT).agg(best.alias("m")).select(*POINT, F.col("m.site").alias("best"), F.col("m.distance").alias("distance"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import text as x
 from hourmark.functions.geo import great_circle_km
-from hourmark.operators.nearest import PAIRS_MAX, nearest
+from hourmark.operators.capped import Answer, first_rows
+from hourmark.operators.nearest import nearest
 from hourmark.runtime import cut
 
 
@@ -78,7 +79,7 @@ def _one_per_id(places: DataFrame, name: str) -> DataFrame:
 
 
 def resolve_stations(
-    raw: DataFrame, fixed: DataFrame, portal: DataFrame, registry: DataFrame, pairs_max: int = PAIRS_MAX
+    raw: DataFrame, fixed: DataFrame, portal: DataFrame, registry: DataFrame
 ) -> DataFrame:
     """The station dimension: one row per raw id.
 
@@ -98,7 +99,7 @@ def resolve_stations(
         .join(by_name, "station_name", "left")
         .withColumn("norm", F.when(F.col("exact").isNull(), x.name_key(F.col("station_name"))))
     )
-    by_key = nearest(matched.where(F.col("norm").isNotNull()), exact, pairs_max).withColumnsRenamed(
+    by_key = nearest(matched.where(F.col("norm").isNotNull()), exact).withColumnsRenamed(
         {"norm": "key", "latitude": "key_lat", "longitude": "key_lon", "best": "near"}
     )
     same_point = (
@@ -183,6 +184,7 @@ def require_unique(station_dim: DataFrame) -> DataFrame:
     return station_dim
 
 
-def station_search(stations: DataFrame, condition, cap: int = S.STATIONS_CAP) -> DataFrame:
+def station_search(stations: DataFrame, condition: Column, cap: int | None = S.STATIONS_CAP) -> Answer:
     """Matching stations, all columns, capped; ordered so that the cap is reproducible."""
-    return stations.where(condition).orderBy("source", "state_name", "city_name", "station_name", "station_id").limit(cap)
+    order = ["source", "state_name", "city_name", "station_name", "station_id"]
+    return first_rows(stations.where(condition), [F.asc(c) for c in order], cap)

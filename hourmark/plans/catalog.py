@@ -2,60 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.sources import tree
 
 
-def file_sizes(files: DataFrame, *by: str) -> DataFrame:
-    """Rows and bytes per file of a scan. Reads footers only: no data column is needed."""
-    return files.groupBy(*by, F.col("_metadata.file_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes")
+def file_sizes(scan: DataFrame, root: str, kind: str) -> DataFrame:
+    """The files of a scan as catalogue rows. Reads footers only: no data column is needed."""
+    by = [F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")] if "year" in scan.columns else []
+    key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("_metadata.file_path"), rf"/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
+    sizes = scan.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    none = F.lit(None).cast("int")
+    return sizes.select(
+        F.lit(kind).alias("kind"), "key", *(["year", "month"] if by else [none.alias("year"), none.alias("month")]), "rows", "bytes"
     )
 
 
-def month_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, bytes and files of every month in the tree. `key` is the month's folder, since a large
-    month is several files."""
+def month_sizes(files: DataFrame) -> DataFrame:
+    """Rows, bytes and files of every month of a catalogue. `key` is the month's folder."""
     key = F.format_string(S.SCHEMA_VERSION + "/measurements/year=%d/month=%02d", F.col("year"), F.col("month"))
     return (
-        file_sizes(tree.scan_tree(spark, root), "year", "month")
+        files.where("kind = 'measurements'")
         .groupBy("year", "month")
         .agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
         .select("year", "month", "rows", "bytes", "files", key.alias("key"))
     )
 
 
-def _table_entry(spark: SparkSession, path: str, name: str) -> DataFrame:
-    sizes = file_sizes(spark.read.parquet(path))
-    return sizes.agg(
+def _table_entry(files: DataFrame, kind: str) -> DataFrame:
+    return files.where(F.col("kind") == kind).agg(
         F.struct(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            F.lit(f"{S.SCHEMA_VERSION}/{name}").alias("key"),
+            F.lit(f"{S.SCHEMA_VERSION}/{kind}.parquet").alias("key"),
             F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        ).alias(name.split(".")[0])
+        ).alias(kind)
     )
 
 
-def manifest(spark: SparkSession, root: str, exported_at: str) -> DataFrame:
-    """One row that describes everything in the tree. Its list has one entry per calendar month."""
-    months = month_sizes(spark, root).agg(
+def manifest(files: DataFrame, files_key: str, exported_at: str) -> DataFrame:
+    """One row that describes the files of a catalogue, itself at `files_key`. Its list has one entry
+    per calendar month."""
+    months = month_sizes(files).agg(
         F.struct(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
             F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
             F.sort_array(F.collect_list(F.struct("year", "month", "rows", "bytes", "files", "key"))).alias("months"),
         ).alias("measurements")
     )
-    stations = _table_entry(spark, tree.stations_path(root), "stations.parquet")
-    parameters = _table_entry(spark, tree.parameters_path(root), "parameters.parquet")
     columns = F.create_map(*[F.lit(v) for pair in S.COLUMN_NOTES.items() for v in pair])
     one = F.lit(1).alias("one")
     # three single rows side by side
-    joined = (
-        months.select("*", one).join(stations.select("*", one), "one").join(parameters.select("*", one), "one")
-    )
+    joined = months.select("*", one)
+    for kind in ("stations", "parameters"):
+        joined = joined.join(_table_entry(files, kind).select("*", one), "one")
     return joined.select(
         F.lit(S.SCHEMA_VERSION).alias("schema_version"),
         F.lit(exported_at).alias("exported_at"),
@@ -64,6 +65,7 @@ def manifest(spark: SparkSession, root: str, exported_at: str) -> DataFrame:
         "measurements",
         "stations",
         "parameters",
+        F.lit(files_key).alias("files"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import time as t
 from hourmark.operators import filters
-from hourmark.operators.capped import cap_report, capped, row_cap, tier_max_rows
+from hourmark.operators.capped import Answer, cap_report, capped, first_rows, row_cap, tier_max_rows
 from hourmark.operators.rollup import RAW_COLUMNS, period_rollup
 from hourmark.operators.stations import station_search
 from hourmark.sources import tree
@@ -22,15 +21,6 @@ RAW_ORDER = ["station_id", "parameter_name", "collected_at"]
 ROLLUP_ORDER = ["station_id", "parameter_name", "period_start"]
 
 
-@dataclass
-class Answer:
-    """`rows` in order and capped; `report` has one row: rows, truncated, max_rows."""
-
-    rows: DataFrame
-    report: DataFrame
-    meta: dict = field(default_factory=dict)
-
-
 def select_rows(
     fact: DataFrame,
     first: date,
@@ -84,7 +74,13 @@ def answer(
 def measurements(spark: SparkSession, root: str, *, today: date, tier: str = "full", **request) -> Answer:
     """A request over the published tree; only the months it covers are listed and read."""
     first, last = t.day_window(request.get("start"), request.get("end"), today)
-    fact = tree.scan_published(spark, root, first, last)
+    fact = tree.scan_months(spark, root, first, last)
+    named = {k: request[k] for k in ("state", "city", "source") if request.get(k)}
+    if named:
+        # Files are sorted by station: find the stations that had such a name in these months, so that
+        # the scan can skip the others. The names themselves are still checked on the readings.
+        ids = tree.matching_stations(spark, root, first, last, filters.all_of(**named))
+        fact = filters.keep_found(fact, "station_id", ids)
     return answer(fact, today=today, max_rows=tier_max_rows(tier), **request)
 
 
@@ -96,17 +92,18 @@ def stations(
     state: str | None = None,
     city: str | None = None,
     q: str | None = None,
-) -> DataFrame:
+    cap: int | None = S.STATIONS_CAP,
+) -> Answer:
     condition = filters.all_of(source=source, state=state, city=city, name=q)
-    return station_search(tree.read_stations(spark, root), condition)
+    return station_search(tree.read_stations(spark, root), condition, cap)
 
 
-def list_parameters(parameters: DataFrame, cap: int = S.PARAMETERS_CAP) -> DataFrame:
-    return parameters.orderBy(F.desc("n_rows"), "parameter_name").limit(cap)
+def list_parameters(parameters: DataFrame, cap: int | None = S.PARAMETERS_CAP) -> Answer:
+    return first_rows(parameters, [F.desc("n_rows"), F.asc("parameter_name")], cap)
 
 
-def parameters(spark: SparkSession, root: str) -> DataFrame:
-    return list_parameters(tree.read_parameters(spark, root))
+def parameters(spark: SparkSession, root: str, cap: int | None = S.PARAMETERS_CAP) -> Answer:
+    return list_parameters(tree.read_parameters(spark, root), cap)
 
 
 # -- output -------------------------------------------------------------------

@@ -1,10 +1,18 @@
-"""Publishing: months, then the tables derived from them, then the manifest."""
+"""Publishing: new files, the tables derived from them, the manifest, and only then deletions.
+
+A run adds files and never changes one. The manifest names a table of all files that make up the tree,
+and readers go by it, so the tree is what it was until the new manifest is in its place, and complete
+from then on. Files that a run replaced are deleted last. A run that stops halfway leaves files no
+manifest lists; the next run of those months deletes them first.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +20,16 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import time as t
 from hourmark.operators import series
-from hourmark.operators.fact import fact_by_month, together_by_month
+from hourmark.operators.fact import fact_by_month
 from hourmark.operators.stations import require_unique
 from hourmark.plans import catalog
-from hourmark.runtime import cut, is_small, new_path
+from hourmark.runtime import cut, new_path
 from hourmark.sources import tree
 
 # A month is cut into files of at most this many rows.
 FILE_MAX_ROWS = 50_000_000
+MONTHLY = ("measurements", "series")
+TABLES = ("stations", "parameters")
 
 
 @dataclass
@@ -32,62 +42,83 @@ class Published:
 # -- files --------------------------------------------------------------------
 
 
-def _path(spark: SparkSession, path: str):
-    """A path and its file system, wherever the tree is kept."""
-    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    handle, files = _path(spark, path)
+    handle, files = tree.file_system(spark, path)
     return files.exists(handle)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    handle, files = _path(spark, path)
+def delete(spark: SparkSession, path: str) -> None:
+    handle, files = tree.file_system(spark, path)
     files.delete(handle, True)
 
 
-def _replace(spark: SparkSession, df: DataFrame, path: str, fmt: str) -> None:
-    """Write `df` beside `path` and put it in its place when complete."""
-    fresh = f"{path}.new"
-    writer = df.write.mode("overwrite").option("compression", "zstd" if fmt == "parquet" else "none")
-    writer.format(fmt).save(fresh)
-    source, files = _path(spark, fresh)
-    target, _ = _path(spark, path)
-    files.delete(target, True)
-    if not files.rename(source, target):
-        raise OSError(f"could not move {fresh} to {path}")
-
-
-def _month_files(spark: SparkSession, path: str, months: list[date]) -> dict[date, frozenset[str]]:
-    """Names of the data files of each month that has any."""
-    found = {}
-    for month in months:
-        folder, files = _path(spark, f"{path}/year={month.year}/month={month.month:02d}")
-        if not files.exists(folder):
-            continue
-        names = [s.getPath().getName() for s in files.listStatus(folder)]
-        data = frozenset(n for n in names if n.endswith(".parquet"))
-        if data:
-            found[month] = data
-    return found
+def _delete_keys(spark: SparkSession, root: str, keys: DataFrame) -> None:
+    """Delete files one by one as their keys come in; no list of them is held."""
+    for row in keys.select("key").toLocalIterator():
+        delete(spark, f"{root.rstrip('/')}/{row.key}")
+
+
+def _folder(root: str, kind: str) -> str:
+    paths = {"measurements": tree.measurements_path, "series": tree.series_path, "stations": tree.stations_path, "parameters": tree.parameters_path}
+    return paths[kind](root)
+
+
+def _folders(spark: SparkSession, root: str, kind: str, months: list[date]) -> list[str]:
+    """The folders of a kind that a run over some months writes to and that are there already."""
+    base = _folder(root, kind)
+    paths = [f"{base}/year={m.year}/month={m.month:02d}" for m in months] if kind in MONTHLY else [base]
+    return [p for p in paths if exists(spark, p)]
+
+
+def _present(spark: SparkSession, root: str, kinds: tuple[str, ...], months: list[date]) -> DataFrame:
+    """Keys of the data files in the folders of a run, listed by Spark and not opened."""
+    folders = [p for kind in kinds for p in _folders(spark, root, kind, months)]
+    if not folders:
+        return spark.createDataFrame([], "key string")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folders)
+    inner = F.regexp_extract(F.url_decode("path"), rf"/{S.SCHEMA_VERSION}/([^:]*)\z", 1)
+    return listing.select(F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), inner).alias("key"))
+
+
+def _added(spark: SparkSession, root: str, kind: str, months: list[date], before: DataFrame) -> DataFrame:
+    """Catalogue rows of the files in the folders of a run that `before` does not list, written down."""
+    folders = _folders(spark, root, kind, months)
+    if not folders:
+        return spark.createDataFrame([], S.FILES)
+    reader = spark.read.option("basePath", _folder(root, kind))
+    if kind == "measurements":
+        reader = reader.schema(S.FACT)
+    sizes = catalog.file_sizes(reader.parquet(*folders), root, kind)
+    return cut(sizes.join(before.select("key"), "key", "left_anti").select(*before.columns))
+
+
+def _switch(spark: SparkSession, text: str, path: str) -> None:
+    """Put the text in place of the file in one step."""
+    fresh, files = tree.file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(fresh, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    options = getattr(fs, "Options$Rename")
+    overwrite = spark._sc._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, fs.Path(path), overwrite)
 
 
 # -- steps --------------------------------------------------------------------
 
 
 def write_months(df: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS) -> None:
-    """Replace the months `df` has rows for and leave all others alone.
+    """Add files to the months `df` has rows for.
 
     Every file is sorted by `order`, so its row groups cover narrow ranges of stations. The sort
-    begins with the partition columns, which spares the writer one of its own, and is left out of the
-    plan where `df` is sorted already.
+    begins with the partition columns, which spares the writer one of its own.
     """
     (
         df.sortWithinPartitions("year", "month", *order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", row_group)
         .option("maxRecordsPerFile", FILE_MAX_ROWS)
@@ -101,45 +132,57 @@ def stale_months(asked: DataFrame, produced: DataFrame, existing: DataFrame) ->
     return asked.join(produced, "month", "left_anti").join(existing, "month", "left_semi")
 
 
-def _write_summary(fact: DataFrame, root: str) -> None:
-    months = series.series_summary(fact, "year", "month")
-    summary = together_by_month(months.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0")))
-    write_months(summary, tree.series_path(root), ["station_id", "parameter_name"])
+def _summarise(spark: SparkSession, root: str, measured: DataFrame) -> None:
+    """Write the per-month series summary of the months whose files are given, by reading only those."""
+    keys = tree.listed_keys(measured, "measurements")
+    if keys:
+        months = series.series_summary(tree.read_files(spark, root, keys, S.FACT), "year", "month")
+        padded = months.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
+        # a month's summary is small: a row per series, in a file or a few
+        write_months(padded.repartition("year", "month"), tree.series_path(root), ["station_id", "parameter_name"])
 
 
-def _summarise(spark: SparkSession, root: str, months: list[date]) -> None:
-    """Bring the per-month series summary up to date for the given months, by reading only those."""
-    if months:
-        _write_summary(tree.scan_keys(spark, root, [tree.month_key(m.year, m.month) for m in months]), root)
+def _unsummarised(spark: SparkSession, root: str, files: DataFrame) -> list[date]:
+    """Months whose summary does not account for the rows of their files."""
+    rows = files.where("kind = 'measurements'").groupBy("year", "month").agg(F.sum("rows").alias("rows"))
+    keys = [k for k in tree.listed_keys(files, "series") if exists(spark, f"{root.rstrip('/')}/{k}")]
+    if keys:
+        listed = spark.read.option("basePath", tree.series_path(root)).parquet(*[f"{root.rstrip('/')}/{k}" for k in keys])
+        summed = listed.groupBy(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).agg(F.sum("n").alias("n"))
+        rows = rows.join(summed, ["year", "month"], "left").where(~F.col("rows").eqNullSafe(F.col("n")))
+    return sorted(date(r.year, r.month, 1) for r in rows.select("year", "month").collect())
 
 
-def published_series(spark: SparkSession, root: str) -> DataFrame:
-    """The summary of every series over all months in the tree."""
-    monthly = spark.read.parquet(tree.series_path(root))
-    return monthly.groupBy(*S.SERIES_KEY).agg(
+def summary_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """The summary of every series over all months of a catalogue."""
+    keys = tree.listed_keys(files, "series")
+    if not keys:
+        raise ValueError(f"nothing has been published under {root}")
+    return tree.read_files(spark, root, keys).groupBy(*S.SERIES_KEY).agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
 
 
-def rebuild_series(spark: SparkSession, root: str) -> None:
-    """Make the series summary anew from the measurements, for a tree that came without one."""
-    _write_summary(tree.scan_tree(spark, root), root)
+def published_series(spark: SparkSession, root: str) -> DataFrame:
+    return summary_of(spark, root, tree.listed_files(spark, root))
 
 
-def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame) -> None:
-    """Station and parameter tables of everything in the tree, described by `station_dim`."""
-    if not exists(spark, tree.series_path(root)):
-        rebuild_series(spark, root)
-    summary = cut(published_series(spark, root))
+def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame, files: DataFrame) -> None:
+    """Add station and parameter tables of everything in the catalogue, described by `station_dim`."""
+    summary = cut(summary_of(spark, root, files))
     stations = series.in_listing_order(series.stations_table(summary, station_dim))
-    _replace(spark, stations, tree.stations_path(root), "parquet")
-    _replace(spark, series.by_size(series.parameters_table(summary)), tree.parameters_path(root), "parquet")
+    for table, path in ((stations, tree.stations_path(root)), (series.by_size(series.parameters_table(summary)), tree.parameters_path(root))):
+        table.write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def write_manifest(spark: SparkSession, root: str, exported_at: str | None = None) -> DataFrame:
+def write_manifest(spark: SparkSession, root: str, files: DataFrame, exported_at: str | None = None) -> None:
+    """Write the table of files under a name of its own, then switch the manifest to it."""
     stamp = exported_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
-    _replace(spark, catalog.manifest(spark, root, stamp).coalesce(1), tree.manifest_path(root), "json")
-    return tree.read_manifest(spark, root)
+    key = f"{S.SCHEMA_VERSION}/files/{uuid.uuid4().hex}"
+    files.coalesce(8).write.parquet(f"{root.rstrip('/')}/{key}")
+    listed = spark.read.schema(S.FILES).parquet(f"{root.rstrip('/')}/{key}")
+    row = catalog.manifest(listed, key, stamp).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("text")).first()
+    _switch(spark, row.text, tree.manifest_path(root))
 
 
 def publish(
@@ -153,35 +196,46 @@ def publish(
     """Publish `months` (one date per row; none rebuilds the dimension tables only).
 
     `readings` returns the raw readings of the months it is given, so that a source can be asked for
-    just those. All months are written by one job. A month asked for that has no readings is removed.
-    The dimension tables and the manifest then describe everything in the tree; the manifest is
-    written last, so it never names a month that is not there yet.
+    just those. All months are written by one job, and only their files are counted; what the catalogue
+    says of other months is carried over. A month asked for that has no readings is removed. A summary
+    that does not account for its month is made again. One run at a time may publish to a tree.
     """
     dim_path = new_path(spark, "station-dim")
     station_dim.write.parquet(dim_path)
-    station_dim = require_unique(spark.read.parquet(dim_path))
-
-    asked = [r.month for r in months.distinct().orderBy("month").collect()]  # calendar months
-    fact_path = tree.measurements_path(root)
-    before = _month_files(spark, fact_path, asked)
-    if asked:
-        # a month overwritten with a stray reading would lose the rest of it
-        raw = readings(asked).where(t.in_months(F.col("collected_at"), asked))
-        fact = fact_by_month(raw, station_dim, is_small(station_dim))
-        write_months(fact, fact_path, S.SORT_KEY)
-    after = _month_files(spark, fact_path, asked)
-    produced = [m for m in asked if after.get(m, frozenset()) - before.get(m, frozenset())]
-
-    def frame(dates):
-        return spark.createDataFrame([(m,) for m in dates], "month date")
-
-    stale = stale_months(frame(asked), frame(produced), frame(after)) if asked else frame([])
-    removed = sorted(r.month for r in stale.collect())
-    for month in removed:
-        for path in (fact_path, tree.series_path(root)):
-            _delete(spark, f"{path}/year={month.year}/month={month.month:02d}")
-    _summarise(spark, root, produced)
-    if not exists(spark, fact_path):
-        raise ValueError(f"nothing has been published under {root}")
-    write_dimensions(spark, root, station_dim)
-    return Published(produced, removed, write_manifest(spark, root, exported_at))
+    try:
+        station_dim = require_unique(spark.read.parquet(dim_path))
+        asked = [r.month for r in months.distinct().orderBy("month").collect()]  # calendar months
+        old = cut(tree.listed_files(spark, root))
+        previous = tree.read_manifest(spark, root).select("files").first()
+        _delete_keys(spark, root, _present(spark, root, (*MONTHLY, *TABLES), asked).join(old, "key", "left_anti"))
+
+        in_asked = F.make_date("year", "month", F.lit(1)).isin(asked)
+        fresh = spark.createDataFrame([], S.FILES)
+        if asked:
+            # a month overwritten with a stray reading would lose the rest of it
+            raw = readings(asked).where(t.in_months(F.col("collected_at"), asked))
+            write_months(fact_by_month(raw, station_dim), tree.measurements_path(root), S.SORT_KEY)
+            fresh = _added(spark, root, "measurements", asked, old)
+        dates = lambda files: {date(r.year, r.month, 1) for r in files.select("year", "month").distinct().collect()}
+        produced = sorted(dates(fresh))
+        removed = sorted(dates(old.where(in_asked & (F.col("kind") == "measurements"))) - set(produced))
+
+        kept = old.where(F.col("kind").isin(*MONTHLY) & ~in_asked)
+        redone = _unsummarised(spark, root, kept)
+        again = F.make_date("year", "month", F.lit(1)).isin(redone)
+        _summarise(spark, root, fresh.unionByName(kept.where(again)))
+        summaries = _added(spark, root, "series", [*produced, *redone], old)
+        files = [kept.where((F.col("kind") == "measurements") | ~again), fresh, summaries]
+        monthly = cut(reduce(DataFrame.unionByName, files))
+
+        write_dimensions(spark, root, station_dim, monthly)
+        tables = [_added(spark, root, kind, [], old) for kind in TABLES]
+        files = cut(reduce(DataFrame.unionByName, [monthly, *tables]))
+        write_manifest(spark, root, files, exported_at)
+
+        _delete_keys(spark, root, old.join(files, "key", "left_anti"))
+        if previous is not None:
+            delete(spark, f"{root.rstrip('/')}/{previous.files}")
+    finally:
+        delete(spark, dim_path)
+    return Published(produced, removed, tree.read_manifest(spark, root))

@@ -48,6 +48,7 @@ STATIONS_CAP = 100_000
 PARAMETERS_CAP = 10_000
 
 TIER_REQUESTS_PER_MINUTE = {"free": 60, "research": 600, "dashboard": 120, "demo": 300}
+UNLIMITED_TIERS = ["full", "admin"]
 USAGE_REPORT_CAP = 500
 KEYS_LISTING_CAP = 500
 USERS_LISTING_CAP = 1000
@@ -136,5 +137,8 @@ MANIFEST = T.StructType(
         ),
         T.StructField("stations", _TABLE_ENTRY),
         T.StructField("parameters", _TABLE_ENTRY),
+        T.StructField("files", T.StringType()),
     ]
 )
+# One row per data file of a tree; the manifest names the table of them.
+FILES = "kind string, key string, year int, month int, rows bigint, bytes bigint"

@@ -21,12 +21,12 @@ def _field(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def load_registry(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+def load_registry(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
     """Registry rows of several CSV files, earlier files first.
 
     `seq` orders rows as they were listed: file, part file, offset of the split, line in the split.
-    Rows whose coordinates are not numbers, or are missing, are left out. `multi_line=False` lets a
-    large file be split between tasks where no field holds a line break.
+    Rows whose coordinates are not numbers, or are missing, are left out. Large files are split between
+    tasks; `multi_line=True` reads each in one, which fields with line breaks need.
     """
     files = []
     for rank, path in enumerate(paths):
@@ -53,7 +53,7 @@ def load_registry(spark: SparkSession, paths: list[str], multi_line: bool = True
     )
 
 
-def load_portal(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def load_portal(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Portal rows keyed by public id, under the same tolerance."""
     csv = _read_csv(spark, path, multi_line)
     rows = csv.select(

@@ -1,4 +1,5 @@
-"""The published tree: `v1/measurements/year=YYYY/month=MM/`, read whole or by month."""
+"""The published tree: `v1/measurements/year=YYYY/month=MM/`, read whole or by month, and always by
+the files its manifest lists."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourmark import schema as S
 from hourmark.functions import time as t
@@ -23,9 +25,34 @@ def month_key(year: int, month: int) -> str:
     return f"{S.SCHEMA_VERSION}/measurements/year={year}/month={month:02d}"
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every month, with the partition columns typed rather than inferred."""
-    return spark.read.schema(S.FACT).parquet(measurements_path(root))
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """The data files that make up the tree (kind, key, year, month, rows, bytes), as its manifest says.
+
+    Files that a publish has begun to write, or has replaced and not deleted yet, are not among them.
+    """
+    listing = read_manifest(spark, root).select("files").first()
+    if listing is None:
+        return spark.createDataFrame([], S.FILES)
+    return spark.read.schema(S.FILES).parquet(f"{root.rstrip('/')}/{listing.files}")
+
+
+def read_files(spark: SparkSession, root: str, keys: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Exactly the files named; `schema` has the partition columns typed rather than inferred."""
+    reader = spark.read if schema is None else spark.read.schema(schema).option("basePath", measurements_path(root))
+    return reader.parquet(*[f"{root.rstrip('/')}/{key}" for key in keys])
+
+
+def listed_keys(files: DataFrame, kind: str, condition: Column | None = None) -> list[str]:
+    """Keys of the files of one kind: as many as the scan has files, which are large."""
+    kept = files.where(F.col("kind") == kind)
+    kept = kept if condition is None else kept.where(condition)
+    return [row.key for row in kept.select("key").orderBy("key").collect()]
+
+
+def scan_tree(spark: SparkSession, root: str, months: Column | None = None) -> DataFrame:
+    """Every month, or those a condition on `year` and `month` holds for."""
+    keys = listed_keys(listed_files(spark, root), "measurements", months)
+    return read_files(spark, root, keys, S.FACT) if keys else empty_fact(spark)
 
 
 def empty_fact(spark: SparkSession) -> DataFrame:
@@ -45,8 +72,9 @@ def months_between(first: date, last: date) -> Column:
 
 
 def scan_months(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
-    """Only the months that hold days `first` through `last`."""
-    return scan_tree(spark, root).where(months_between(first, last))
+    """Only the months that hold days `first` through `last`; none of them may be published."""
+    window = months_between(first, last)
+    return scan_tree(spark, root, window).where(window)
 
 
 def scan_days(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
@@ -65,15 +93,9 @@ def month_keys(spark: SparkSession, year: int, first_month: int, last_month: int
 
 
 def scan_keys(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """Exactly the month folders named, without listing the rest of the tree."""
-    if not keys:
-        return empty_fact(spark)
-    base = root.rstrip("/")
-    return (
-        spark.read.schema(S.FACT)
-        .option("basePath", measurements_path(root))
-        .parquet(*[f"{base}/{key}" for key in keys])
-    )
+    """Exactly the months named by their keys."""
+    key = F.format_string(S.SCHEMA_VERSION + "/measurements/year=%d/month=%02d", F.col("year"), F.col("month"))
+    return scan_tree(spark, root, key.isin(keys))
 
 
 def visible_years(df: DataFrame, years: list[int]) -> DataFrame:
@@ -95,31 +117,45 @@ def series_path(root: str) -> str:
 
 
 def manifest_path(root: str) -> str:
-    return f"{version_root(root)}/manifest.json"
+    """One object, replaced as a whole."""
+    return f"{version_root(root)}/_manifest.json"
+
+
+def file_system(spark: SparkSession, path: str):
+    """A path and its file system, wherever the tree is kept."""
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def read_stations(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(stations_path(root))
+    return read_files(spark, root, listed_keys(listed_files(spark, root), "stations"))
 
 
 def read_parameters(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(parameters_path(root))
+    return read_files(spark, root, listed_keys(listed_files(spark, root), "parameters"))
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(S.MANIFEST).json(manifest_path(root), multiLine=True)
+    """The manifest as one row; none where nothing has been published."""
+    handle, files = file_system(spark, manifest_path(root))
+    texts = []
+    if files.exists(handle):
+        stream = files.open(handle)
+        try:
+            texts = [(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),)]
+        finally:
+            stream.close()
+    return spark.createDataFrame(texts, "text string").select(F.from_json("text", S.MANIFEST).alias("m")).select("m.*")
 
 
 def manifest_months(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.inline("measurements.months"))
 
 
-def scan_published(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
-    """`scan_months`, with the months taken from the manifest instead of a listing of the tree.
-
-    Only the folders of the window are listed, which is what counts on an object store; a window
-    without a published month gives no rows.
-    """
-    months = manifest_months(read_manifest(spark, root)).where(months_between(first, last))
-    keys = [row.key for row in months.select("key").orderBy("key").collect()]  # calendar months
-    return scan_keys(spark, root, keys).where(months_between(first, last))
+def matching_stations(spark: SparkSession, root: str, first: date, last: date, names: Column) -> DataFrame:
+    """Ids of the stations that a condition on their names, state, city or network holds for under any
+    name that the months of the window were published with."""
+    keys = listed_keys(listed_files(spark, root), "series", months_between(first, last))
+    if not keys:
+        return spark.createDataFrame([], "station_id string")
+    return read_files(spark, root, keys).where(names).select("station_id").distinct()

@@ -52,7 +52,7 @@ def series(spark):
 @pytest.mark.parametrize("cap", [1, 42, 500, 999, 1000, 1001, 1500, 2500, 2999, 3000, 5000])
 def test_counted_prefix_equals_the_sorted_one(spark, series, cap):
     whole = series.orderBy(*[F.asc_nulls_last(c) for c in [*KEYS, "value"]]).collect()
-    got = capped(series, KEYS, cap, top_k_max=0, top_k_total=0).collect()
+    got = capped(series, KEYS, cap, top_k_max=0).collect()
     assert [str(r) for r in got] == [str(r) for r in whole[:cap]]
-    if cap < 100:
+    if cap < 10_000:
         assert [str(r) for r in capped(series, KEYS, cap).collect()] == [str(r) for r in whole[:cap]]

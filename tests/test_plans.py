@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.operators import analysis, rollup, series
 from hourmark.operators.capped import capped
-from hourmark.operators.fact import canonical_fact, fact_by_month, together_by_month
+from hourmark.operators.fact import canonical_fact, fact_by_month, in_key_ranges
 from hourmark.plans import catalog, measurements, publish
 from hourmark.runtime import is_small, new_path, shared_folder, small_side
 from hourmark.sources import readings, tree
@@ -39,7 +39,7 @@ def test_a_window_becomes_partition_and_pushed_filters(spark, root):
     assert "PartitionFilters: [isnotnull(year" in text and "month" in text.split("PartitionFilters")[1].split("\n")[0]
     assert "GreaterThanOrEqual(collected_at" in text and "parameter_name" in text.split("PushedFilters")[1].split("\n")[0]
     location = text.split("Location:")[1].split("\n")[0]
-    assert "year=1996/month=03, ... 3 entries" in location
+    assert "year=1996/month=03/part-" in location and "year=1992" not in location
     schema = text.split("ReadSchema")[1].split("\n")[0]
     assert "city_name" not in schema and "station_name" not in schema
     assert "SortAggregate" not in text and text.count("HashAggregate") >= 2
@@ -61,20 +61,16 @@ def test_large_sides_are_not_broadcast(spark):
     assert small_side(rows, 99) is rows
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_months_are_written_after_one_shuffle_and_one_sort(spark, inputs, tmp_path, small):
+def test_months_are_written_after_one_shuffle_and_one_sort(spark, inputs, tmp_path):
     raw = readings.timescale_readings(inputs.hist_readings())
-    publish.write_months(fact_by_month(raw, inputs.station_dim(), small), str(tmp_path / "t"), S.SORT_KEY)
+    publish.write_months(fact_by_month(raw, inputs.station_dim()), str(tmp_path / "t"), S.SORT_KEY)
     store = spark._jsparkSession.sharedState().statusStore()
     runs = store.executionsList()
     text = runs.apply(runs.size() - 1).physicalPlanDescription().split("Initial Plan")[0]
     assert text.count("Sort (") == 1
     assert len(re.findall(r" Exchange \(", text)) == 1
     full = runs.apply(runs.size() - 1).physicalPlanDescription()
-    assert "REBALANCE_PARTITIONS_BY_COL" in full and "rangepartitioning" not in full
-    if small:
-        shuffled = re.search(r"\) Exchange\nInput \[\d+\]: (.*)\n", full).group(1)
-        assert "raw_id" in shuffled and "station_name" not in shuffled
+    assert "rangepartitioning" in full
 
 
 def test_summary_reads_the_fact_once_by_hash(spark, root):
@@ -85,7 +81,7 @@ def test_summary_reads_the_fact_once_by_hash(spark, root):
 
 
 def test_sizes_come_from_footers(spark, root):
-    text = plan(catalog.month_sizes(spark, root))
+    text = plan(catalog.file_sizes(tree.scan_tree(spark, root), root, "measurements"))
     assert "ReadSchema: struct<>" in text
 
 
@@ -122,7 +118,7 @@ def test_busy_month_is_split_between_tasks(spark, tmp_path):
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
-        publish.write_months(together_by_month(rows), str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
+        publish.write_months(in_key_ranges(rows), str(tmp_path / "t"), ["station_id", "parameter_name", "collected_at"])
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = glob.glob(str(tmp_path / "t" / "year=2024" / "month=01" / "*.parquet"))

@@ -79,14 +79,13 @@ def test_round_trip(spark, root):
     assert stations.first().parameters == ["CO", "O_Xylene"]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_files_are_sorted_and_cut_into_row_groups(spark, root, small):
+def test_files_are_sorted_and_cut_into_row_groups(spark, root):
     import glob
 
     import pyarrow.parquet as pq
 
     raw = readings.timescale_readings(source(spark, [JAN], per_month=5000))
-    publish.write_months(fact_by_month(raw, dimension(spark), small), root, S.SORT_KEY, row_group=1000)
+    publish.write_months(fact_by_month(raw, dimension(spark)), root, S.SORT_KEY, row_group=1000)
     files = glob.glob(f"{root}/year=2024/month=01/*.parquet")
     assert files
     for path in files:
@@ -98,14 +97,37 @@ def test_files_are_sorted_and_cut_into_row_groups(spark, root, small):
     assert sum(pq.ParquetFile(p).num_row_groups for p in files) >= 4
 
 
+def test_files_of_a_month_do_not_overlap(spark, root):
+    """One station holds most rows of the month and is cut by time."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    n = F.col("time")
+    data = source(spark, [JAN], per_month=20_000).withColumn("station_id", F.when(F.hash(n) % 10 != 0, F.lit("site_1")).otherwise(F.col("station_id")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        raw = readings.timescale_readings(data.distinct())
+        publish.write_months(fact_by_month(raw, dimension(spark)), root, S.SORT_KEY)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = []
+    for path in glob.glob(f"{root}/year=2024/month=01/*.parquet"):
+        keys = [(r["station_id"], r["parameter_name"], r["collected_at"]) for r in pq.ParquetFile(path).read().to_pylist()]
+        spans.append((min(keys), max(keys)))
+    spans.sort()
+    assert len(spans) > 2
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_a_large_dimension_is_joined_by_shuffle_with_the_same_result(spark, monkeypatch):
     raw = readings.timescale_readings(source(spark, [JAN, FEB]))
-    wanted = rows_of(fact_by_month(raw, dimension(spark), True))
+    wanted = rows_of(fact_by_month(raw, dimension(spark)))
     monkeypatch.setattr("hourmark.operators.fact.small_side", lambda df: df)
     for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(name, "-1")
     try:
-        shuffled = fact_by_month(raw, dimension(spark), False)
+        shuffled = fact_by_month(raw, dimension(spark))
         assert rows_of(shuffled) == wanted
         assert "SortMergeJoin" in shuffled._jdf.queryExecution().toString()
     finally:
@@ -113,6 +135,60 @@ def test_a_large_dimension_is_joined_by_shuffle_with_the_same_result(spark, monk
             spark.conf.unset(name)
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("step", "before"), [("write_months", False), ("write_dimensions", False), ("write_manifest", True), ("_delete_keys", True)])
+def test_a_run_that_stops_leaves_the_tree_readable(spark, root, monkeypatch, step, before):
+    run(spark, root, source(spark, [JAN, FEB, MAR]), [JAN, FEB, MAR])
+    old = rows_of(tree.scan_tree(spark, root)), rows_of(tree.read_stations(spark, root))
+    changed = source(spark, [JAN, FEB, MAR], bump=0.5).where("month(time) <> 3")
+    real, calls = getattr(publish, step), []
+
+    def stopping(*args, **kwargs):
+        calls.append(step)
+        if step == "_delete_keys" and len(calls) == 1:  # what an earlier run left behind goes first
+            return real(*args, **kwargs)
+        if not before:
+            real(*args, **kwargs)
+        raise Stop
+
+    with monkeypatch.context() as patched, pytest.raises(Stop):
+        patched.setattr(publish, step, stopping)
+        run(spark, root, changed, [FEB, MAR], label="Other")
+    switched = (step, before) in {("write_manifest", False), ("_delete_keys", True), ("_delete_keys", False)}
+    now = rows_of(tree.scan_tree(spark, root)), rows_of(tree.read_stations(spark, root))
+    assert (now == old) is not switched
+    summary = rows_of(publish.published_series(spark, root))
+    assert summary == rows_of(series.series_summary(tree.scan_tree(spark, root)))
+    # the next run sets everything right, in the tree and in its folders
+    made = run(spark, root, changed, [FEB, MAR], label="Other")
+    assert made.months == [FEB] and tree.scan_months(spark, root, FEB, FEB).where("value = floor(value)").count() == 0
+    stations = tree.read_stations(spark, root)
+    assert stations.agg(F.sum("n_rows")).first()[0] == tree.scan_tree(spark, root).count()
+    assert all(r.station_name.startswith("Other") for r in stations.collect())
+    listed = {r.key for r in tree.listed_files(spark, root).where("kind = 'measurements' AND month = 2").collect()}
+    there = {r.key for r in publish._present(spark, root, ("measurements",), [FEB]).collect()}
+    assert there == listed
+
+
+def test_a_wrong_summary_is_made_again(spark, root):
+    run(spark, root, source(spark, [JAN, FEB]), [JAN, FEB])
+    wanted = rows_of(tree.read_stations(spark, root))
+    keys = tree.listed_keys(tree.listed_files(spark, root), "series", F.col("month") == 1)
+    path = f"{root}/{keys[0]}"
+    wrong = spark.read.parquet(path).withColumn("n", F.col("n") + 5)
+    wrong.write.parquet(f"{root}/wrong")
+    import glob
+    import os
+
+    os.replace(glob.glob(f"{root}/wrong/*.parquet")[0], path)
+    os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
+    run(spark, root, source(spark, [FEB]), [FEB])
+    assert rows_of(tree.read_stations(spark, root)) == wanted
+
+
 def test_second_run_replaces_chosen_months_only(spark, root):
     run(spark, root, source(spark, [JAN, FEB, MAR]), [JAN, FEB, MAR])
     january = rows_of(tree.scan_months(spark, root, JAN, JAN))
@@ -156,7 +232,7 @@ def test_dimension_run_leaves_months_alone(spark, root):
 def test_summary_is_rebuilt_when_missing(spark, root):
     run(spark, root, source(spark, [JAN, FEB]), [JAN, FEB])
     wanted = rows_of(tree.read_stations(spark, root))
-    publish._delete(spark, tree.series_path(root))
+    publish.delete(spark, tree.series_path(root))
     run(spark, root, source(spark, [JAN]), [])
     assert rows_of(tree.read_stations(spark, root)) == wanted
 
@@ -180,9 +256,25 @@ def test_requests_over_the_tree(spark, root):
     assert measurements.measurements(spark, root, today=date(2030, 1, 1)).rows.count() == 0
     demo = measurements.measurements(spark, root, today=date(2024, 2, 29), start="2023-12-01", tier="demo", limit=5)
     assert len(demo.rows.collect()) == 5 and demo.report.first().truncated
-    assert [r.station_id for r in measurements.stations(spark, root, q="name%4").collect()] == ["site_4"]
-    assert measurements.stations(spark, root, q="\\").count() == 0
-    assert measurements.parameters(spark, root).count() == 2
+    assert [r.station_id for r in measurements.stations(spark, root, q="name%4").rows.collect()] == ["site_4"]
+    assert measurements.stations(spark, root, q="\\").rows.count() == 0
+    assert measurements.parameters(spark, root).rows.count() == 2
+    few = measurements.stations(spark, root, cap=3)
+    assert few.rows.count() == 3 and tuple(few.report.first()) == (3, True, 3)
+    assert tuple(measurements.parameters(spark, root).report.first()) == (2, False, S.PARAMETERS_CAP)
+
+
+def test_a_city_is_found_through_the_names_its_months_were_published_with(spark, root):
+    run(spark, root, source(spark, [JAN]), [JAN])
+    moved = dimension(spark).withColumn("city_name", F.when(F.col("station_id") == "site_2", F.lit("City 9")).otherwise(F.col("city_name")))
+    months = spark.createDataFrame([(FEB,)], "month date")
+    publish.publish(spark, root, lambda m: readings.timescale_readings(source(spark, [FEB]), m), moved, months)
+    fact = tree.scan_tree(spark, root)
+    for city in ("city 0", "city 9", "nowhere"):
+        got = measurements.measurements(spark, root, today=date(2024, 2, 29), start="2024-01-01", city=city, fmt="csv").rows
+        assert got.count() == fact.where(F.lower("city_name") == city).count()
+    plan = measurements.measurements(spark, root, today=date(2024, 2, 29), start="2024-01-10", city="city 0", fmt="csv").rows._jdf.queryExecution().toString()
+    assert "In(station_id, [" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
 
 
 def test_properties_of_rollups(spark, root):

@@ -1,5 +1,6 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hourmark.operators.stations import first_listed
@@ -20,7 +21,7 @@ def test_registry_files(spark, tmp_path):
     )
     second = tmp_path / "b.csv"
     second.write_text("city,longitude,station,latitude\nDelhi,77,\"Fort, North - X\",28\nPune,73,Other,18\n")
-    rows = registry.load_registry(spark, [str(first), str(second)])
+    rows = registry.load_registry(spark, [str(first), str(second)], multi_line=True)
     got = {(r.seq["file"], r.full_name): r for r in rows.collect()}
     assert set(got) == {(0, "Fort, North - X"), (0, 'Quoted "Q" - X'), (0, "Two\nLines - X"), (1, "Fort, North - X"), (1, "Other")}
     fort = got[0, "Fort, North - X"]
@@ -67,11 +68,39 @@ def test_readings_shapes(spark):
     assert row.collected_at == datetime(2024, 1, 31, 23, 30) and row.raw_id == "s"
 
 
-def test_month_predicates():
-    got = readings.month_predicates("time", [date(2023, 12, 1)], zoned=True)
-    assert got == [
-        "time >= TIMESTAMPTZ '2023-12-01 00:00:00+00' AND time < TIMESTAMPTZ '2024-01-01 00:00:00+00' AND value IS NOT NULL"
-    ]
+@pytest.mark.parametrize("days", [1, 7, 40])
+def test_predicates_cover_each_month_once(days):
+    import re
+
+    months = [date(2023, 12, 1), date(2024, 2, 1), date(2023, 12, 1)]
+    got = readings.day_predicates("time", months, zoned=True, days=days)
+    assert got[0].startswith("time >= TIMESTAMPTZ '2023-12-01 00:00:00+00' AND time < TIMESTAMPTZ '") and got[0].endswith(" AND value IS NOT NULL")
+    spans = [[date.fromisoformat(d) for d in re.findall(r"'(\S+) 00:00:00\+00'", p)] for p in got]
+    covered = [a + timedelta(days=k) for a, b in spans for k in range((b - a).days)]
+    assert covered == [date(2023, 12, 1) + timedelta(days=k) for k in range(31)] + [date(2024, 2, 1) + timedelta(days=k) for k in range(29)]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_months_do_not_depend_on_the_session_zone(spark, zone):
+    """Around both changes of the clock, and at the edges of a month in UTC."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", zone)
+    wanted = [datetime(2023, 11, 1, 0, 30), datetime(2023, 11, 5, 5), datetime(2023, 11, 5, 6), datetime(2023, 11, 5, 7), datetime(2023, 11, 30, 23, 59, 59, 999999)]
+    others = [datetime(2023, 10, 31, 23, 59), datetime(2023, 12, 1), datetime(2024, 3, 10, 7, 30), datetime(1969, 12, 31, 23, 0, 0, 5)]
+    rows = [(str(at) + "+00:00",) for at in wanted + others]
+    zoned = session.createDataFrame(rows, "at string").selectExpr("cast(at AS timestamp) AS time", "'s' AS station_id", "'p' AS parameter", "1D AS value", "'u' AS unit")
+    november = readings.timescale_readings(zoned, [date(2023, 11, 1)])
+    assert sorted(r.collected_at for r in november.collect()) == wanted
+    everything = readings.timescale_readings(zoned)
+    assert sorted(r.collected_at for r in everything.collect()) == sorted(wanted + others)
+    assert tuple(readings.month_bounds(zoned, "time").first()) == (date(1969, 12, 1), date(2024, 3, 1))
+
+
+def test_the_month_filter_of_instants_is_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "zoned")
+    spark.sql("SELECT timestamp'2024-01-31 23:30:00Z' AS time, 's' AS station_id, 'p' AS parameter, 1.0D AS value, 'u' AS unit").write.parquet(path)
+    plan = readings.timescale_readings(spark.read.parquet(path), [date(2024, 1, 1)])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(time" in plan and "LessThan(time" in plan
 
 
 def test_bounds_of_an_empty_source(spark):

@@ -102,9 +102,9 @@ def brute_force(points, candidates):
     return best
 
 
-@pytest.mark.parametrize("pairs_max", [1, 7, 1000])
-def test_nearest_equals_brute_force(spark, pairs_max):
-    rng = random.Random(pairs_max)
+@pytest.mark.parametrize("cell", [0.01, 0.5, 40.0])
+def test_nearest_equals_brute_force(spark, cell):
+    rng = random.Random(7)
 
     def place(norm):
         if norm == "grid":  # many exact ties
@@ -124,12 +124,26 @@ def test_nearest_equals_brute_force(spark, pairs_max):
     got = nearest(
         spark.createDataFrame(sorted(points, key=str), "norm string, latitude double, longitude double"),
         spark.createDataFrame(candidates, "seq int, norm string, latitude double, longitude double"),
-        pairs_max,
+        cell,
     )
     found = {(r.norm, r.latitude, r.longitude): r.best.seq for r in got.collect()}
     assert found == brute_force(points, candidates)
 
 
+def test_coordinates_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    points = [("a", 1.0, 1.0), ("a", nan, 1.0), ("a", inf, 2.0), ("a", 80.0, 170.0), ("b", 1.0, 1.0), ("b", None, None)]
+    candidates = [(0, "a", nan, 0.0), (1, "a", 1.2, 1.0), (2, "a", -inf, 5.0), (3, "a", 50.0, 90.0), (4, "b", nan, nan), (5, "b", inf, 1.0)]
+    got = nearest(
+        spark.createDataFrame(points, "norm string, latitude double, longitude double"),
+        spark.createDataFrame(candidates, "seq int, norm string, latitude double, longitude double"),
+    )
+    found = {(r.norm, str(r.latitude), str(r.longitude)): r.best.seq for r in got.collect()}
+    assert found == {
+        ("a", "1.0", "1.0"): 1, ("a", "nan", "1.0"): 0, ("a", "inf", "2.0"): 0, ("a", "80.0", "170.0"): 3, ("b", "1.0", "1.0"): 4, ("b", "None", "None"): 4,
+    }
+
+
 def test_copies_in_the_registry_do_not_multiply(spark):
     points = spark.range(2000).selectExpr("'k' AS norm", "id % 40 / 7D AS latitude", "id % 30 / 3D AS longitude")
     candidates = spark.range(5000).selectExpr("id AS seq", "'k' AS norm", "id % 4 * 1D AS latitude", "2D AS longitude")

@@ -39,6 +39,24 @@ def test_metering(spark, tmp_path):
     assert streamed == rows_of(usage.over_limit(usage.requests_per_minute(log), keys, limits)) != []
 
 
+def test_requests_that_come_days_late_count(spark, tmp_path):
+    """One file per batch: days 20, 10, 21, 10, in a base and after it, and a batch that runs again."""
+    landing, totals, counts = (str(tmp_path / n) for n in ("log", "totals", "counts"))
+    for day in (20, 10, 21, 10):
+        rows = [("k1", datetime(2024, 1, day, 3, 0, n % 60), n) for n in range(70)]
+        spark.createDataFrame(rows, "key_id string, ts timestamp_ntz, bytes bigint").coalesce(1).write.mode("append").parquet(landing)
+        for every in (2,):
+            jobs.meter_usage(arriving(spark, landing, "key_id string, ts timestamp_ntz, bytes bigint"), totals, str(tmp_path / "c1"), compact_every=every).awaitTermination()
+            jobs.meter_minutes(arriving(spark, landing, "key_id string, ts timestamp_ntz, bytes bigint"), counts, str(tmp_path / "c2"), compact_every=every).awaitTermination()
+    log = spark.read.parquet(landing)
+    columns = ["key_id", "day", "requests", "bytes", "last_used"]
+    assert rows_of(jobs.metered_usage(spark, totals).select(columns)) == rows_of(usage.usage_daily(log).select(columns))
+    keys = spark.createDataFrame([("k1", "trial")], "id string, tier string")
+    found = jobs.metered_breaches(spark, counts, keys).collect()
+    assert sorted((r.window_start.day, r.n, r.max_requests) for r in found) == [(10, 140, 60), (20, 70, 60), (21, 70, 60)]
+    assert jobs._numbered(spark, totals, "base") and len(jobs._numbered(spark, totals, "batch")) < 4
+
+
 def test_publishing(spark, tmp_path):
     raw, root, whole = (str(tmp_path / n) for n in ("raw", "tree", "whole"))
     months = [date(2024, 1, 1), date(2024, 2, 1)]

@@ -31,12 +31,12 @@ def test_report(spark, keys):
         [("k1", date(2024, 1, 9), 5, 50), ("k1", date(2024, 1, 10), 1, 10), ("gone", date(2024, 1, 10), 9, 1), ("k1", date(2024, 1, 2), 99, 99)],
         "key_id string, day date, requests bigint, bytes bigint",
     )
-    got = [tuple(r) for r in usage.usage_report(daily, keys, date(2024, 1, 10)).collect()]
+    got = [tuple(r) for r in usage.usage_report(daily, keys, date(2024, 1, 10)).rows.collect()]
     assert got == [
         ("gone", "(demo key)", "demo", 9, 1, date(2024, 1, 10)),
         ("k1", "ann", "free", 6, 60, date(2024, 1, 10)),
     ]
-    on_the_day = usage.usage_report(daily, keys, date(2024, 1, 9)).where("key_id = 'k1'").first()
+    on_the_day = usage.usage_report(daily, keys, date(2024, 1, 9)).rows.where("key_id = 'k1'").first()
     assert on_the_day.requests == 105  # the first day of the span counts
 
 
@@ -53,14 +53,14 @@ def test_users(spark, keys):
         [("ann", "Ann", False, T0), ("bob", "Bob", True, T1), ("cy", "Cy", True, T1)],
         "email string, name string, wants_upgrade boolean, created_at timestamp_ntz",
     )
-    got = [(r.email, r.active_key_id, r.tier) for r in usage.users_with_key(users, keys).collect()]
+    got = [(r.email, r.active_key_id, r.tier) for r in usage.users_with_key(users, keys).rows.collect()]
     assert got == [("bob", "k4", "research"), ("cy", None, None), ("ann", "k2", "full")]
-    assert [r.email for r in usage.users_with_key(users, keys, only_upgrades=True, cap=1).collect()] == ["bob"]
+    assert [r.email for r in usage.users_with_key(users, keys, only_upgrades=True, cap=1).rows.collect()] == ["bob"]
 
 
 def test_listing(keys):
-    assert [r.id for r in usage.newest_keys(keys, cap=2).collect()] == ["k3", "k2"]
-    assert [r.id for r in usage.newest_keys(keys, owner="ann").collect()] == ["k3", "k2", "k1"]
+    assert [r.id for r in usage.newest_keys(keys, cap=2).rows.collect()] == ["k3", "k2"]
+    assert [r.id for r in usage.newest_keys(keys, owner="ann").rows.collect()] == ["k3", "k2", "k1"]
 
 
 def test_merges(spark):

@@ -44,6 +44,11 @@ def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
+def _off_ties(column: str) -> Column:
+    """The same where means of short decimals would lie halfway between two results."""
+    return F.round(F.col(column) + F.lit(1.37e-7), 6)
+
+
 def _mean(df: DataFrame, name: str = "mean") -> DataFrame:
     return df.withColumn(name, r6(name))
 
@@ -65,6 +70,32 @@ def src_readings_month(i: Inputs) -> DataFrame:
     return readings.timescale_readings(i.readings(), [date(2024, 1, 1)])
 
 
+def _zoned(i: Inputs, column: str) -> DataFrame:
+    """Events as instants, read in a session whose clock changes twice a year, half of them moved to
+    the hours around both changes."""
+    session = i.spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "America/New_York")
+    events = session.read.parquet(f"{i.sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    n = F.col("event_id")
+    change = F.when(n % 4 == 1, F.lit("2023-11-05 03:00:00+00:00")).otherwise(F.lit("2024-03-10 04:00:00+00:00")).cast("timestamp")
+    own = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")).cast("timestamp")
+    moved = F.timestamp_add("MINUTE", (n % 480).cast("int"), change)
+    return events.select("event_id", F.when(n % 2 == 1, moved).otherwise(own).alias(column))
+
+
+@query
+def src_readings_zone(i: Inputs) -> DataFrame:
+    """One month of instants, in a session that is not in UTC."""
+    events = _zoned(i, "time")
+    raw = events.select("time", F.col("event_id").cast("string").alias("station_id"), F.lit("p").alias("parameter"), F.lit(1.0).alias("value"), F.lit("u").alias("unit"))
+    return readings.timescale_readings(raw, [date(2023, 11, 1), date(2024, 3, 1)])
+
+
+@query
+def ts_render_zone(i: Inputs) -> DataFrame:
+    return _zoned(i, "time").select("event_id", t.wall_clock(F.col("time")).alias("collected_at"))
+
+
 @query
 def src_dashboard_month(i: Inputs) -> DataFrame:
     return readings.dashboard_readings(i.dashboard(), [date(2024, 1, 1)])
@@ -109,13 +140,16 @@ def scan_pruned(i: Inputs) -> DataFrame:
 @query
 def scan_published(i: Inputs) -> DataFrame:
     """Whole months of the window, found through the manifest."""
-    return tree.scan_published(i.spark, trees.hist(i), *s.HIST_WINDOW)
+    return tree.scan_months(i.spark, trees.hist(i), *s.HIST_WINDOW)
 
 
 @query
 def scan_empty(i: Inputs) -> DataFrame:
-    """A window no published month covers."""
-    return tree.scan_published(i.spark, trees.hist(i), date(2010, 1, 1), date(2010, 12, 31))
+    """A request whose window begins long before the first published month."""
+    result = measurements.measurements(
+        i.spark, trees.hist(i), today=s.HIST_TODAY, start="1985-06-10", end="1992-03-15", agg="monthly", fmt="csv"
+    )
+    return _rolled(result.rows)
 
 
 def _months_of_1996(i: Inputs, first: int, last: int) -> DataFrame:
@@ -146,7 +180,7 @@ def sink_stale_months(i: Inputs) -> DataFrame:
 
 @query
 def manifest_months(i: Inputs) -> DataFrame:
-    return catalog.month_sizes(i.spark, trees.hist(i)).select(
+    return catalog.month_sizes(tree.listed_files(i.spark, trees.hist(i))).select(
         "year", "month", "rows", "key", (F.col("bytes") > 0).alias("has_bytes")
     )
 
@@ -243,12 +277,19 @@ def _stations(i: Inputs) -> DataFrame:
 @query
 def stations_search(i: Inputs) -> DataFrame:
     condition = filters.all_of(state="asia", source="cpcb_caaqm", name=s.NAME_PART)
-    return _listed(stations.station_search(_stations(i), condition))
+    return _listed(stations.station_search(_stations(i), condition).rows)
+
+
+@query
+def stations_search_report(i: Inputs) -> DataFrame:
+    """What a station request is told about rows cut off."""
+    found = stations.station_search(_stations(i), filters.all_of(state="asia"), cap=2)
+    return found.report
 
 
 @query
 def parameters_list(i: Inputs) -> DataFrame:
-    return measurements.list_parameters(series.parameters_table(series.series_summary(i.m())))
+    return measurements.list_parameters(series.parameters_table(series.series_summary(i.m()))).rows
 
 
 # -- scalar expressions -------------------------------------------------------
@@ -328,8 +369,11 @@ def station_resolve(i: Inputs) -> DataFrame:
 
 @query
 def station_resolve_crowded(i: Inputs) -> DataFrame:
-    """The same with every shared name key narrowed down through the grid."""
-    return stations.resolve_stations(_raw_stations(i), i.view("fixed"), i.portal(), i.registry(), pairs_max=1)
+    """The same with a registry that lists every place twice more, at places that are not finite too."""
+    reg = i.registry()
+    again = reg.withColumns({"seq": F.col("seq") + 1_000_000_000, "latitude": F.col("latitude") + 3.0})
+    broken = reg.withColumns({"seq": F.col("seq") + 2_000_000_000, "longitude": F.lit(float("nan"))})
+    return stations.resolve_stations(_raw_stations(i), i.view("fixed"), i.portal(), reg.unionByName(again).unionByName(broken))
 
 
 @query
@@ -425,13 +469,13 @@ def city_rolling7(i: Inputs) -> DataFrame:
 
 @query
 def diurnal_cycle(i: Inputs) -> DataFrame:
-    return _mean(analysis.diurnal_cycle(_pm(i), s.CITIES))
+    return analysis.diurnal_cycle(_pm(i), s.CITIES).withColumn("mean", _off_ties("mean"))
 
 
 @query
 def pivot_hour_city(i: Inputs) -> DataFrame:
     wide = analysis.hour_by_city(analysis.diurnal_cycle(_pm(i), s.CITIES), s.CITIES)
-    return wide.select("hr", *[r6(c).alias(c) for c in s.CITIES])
+    return wide.select("hr", *[_off_ties(c).alias(c) for c in s.CITIES])
 
 
 @query
@@ -456,6 +500,13 @@ def station_day_mean(i: Inputs) -> DataFrame:
     return _mean(analysis.station_day_mean(quarter))
 
 
+@query
+def station_means_month(i: Inputs) -> DataFrame:
+    """Station means over one month of one parameter."""
+    march = tree.scan_keys(i.spark, trees.hist(i), [tree.month_key(1996, 3)])
+    return _mean(analysis.station_means(analysis.of_parameter(march, s.HIST_PARAMETER, 0, 100), min_readings=2))
+
+
 @query
 def station_month_mean(i: Inputs) -> DataFrame:
     march = tree.scan_keys(i.spark, trees.hist(i), [tree.month_key(1996, 3)])
@@ -481,10 +532,23 @@ def pivot_time_station(i: Inputs) -> DataFrame:
     return wide.select("collected_at", *[r6(c).alias(c) for c in wide.columns[1:]])
 
 
+@query
+def pivot_time_city(i: Inputs) -> DataFrame:
+    """Every station of a city as a column, turned back into rows to be compared."""
+    rows = tree.scan_tree(i.spark, trees.hist(i)).where(F.col("parameter_name") == s.HIST_PARAMETER)
+    listed = analysis.stations_of_city(tree.read_stations(i.spark, trees.hist(i)), "nation_3")
+    wide = analysis.time_by_station(rows, listed)
+    long = wide.unpivot("collected_at", listed, "station_id", "mean") if listed else wide.select("collected_at", F.lit("").alias("station_id"), F.lit(0.0).alias("mean"))
+    return _mean(long.where(F.col("mean").isNotNull()))
+
+
 @query
 def manifest_by_year(i: Inputs) -> DataFrame:
+    """The megabytes depend on the files written, so they are compared with the files' own sizes."""
     months = tree.manifest_months(tree.read_manifest(i.spark, trees.hist(i)))
-    return catalog.size_by_year(months).select("year", "rows")
+    files = tree.listed_files(i.spark, trees.hist(i)).where("kind = 'measurements'")
+    own = files.groupBy("year").agg(F.bround(F.sum("bytes") / F.lit(1e6), 0).alias("own_mb"))
+    return catalog.size_by_year(months).join(own, "year").select("year", "rows", (F.col("mb") == F.col("own_mb")).alias("mb_adds_up"))
 
 
 @query
@@ -515,9 +579,9 @@ def capped_slice(i: Inputs) -> DataFrame:
 
 @query
 def capped_slice_counted(i: Inputs) -> DataFrame:
-    """A prefix found by counting instead of a top-k."""
+    """A prefix cut where it lies instead of a top-k."""
     rows = i.m().select(*rollup.RAW_COLUMNS)
-    return capped.capped(rows, measurements.RAW_ORDER, 1234, top_k_max=0, top_k_total=0)
+    return capped.capped(rows, measurements.RAW_ORDER, 1234, top_k_max=0)
 
 
 CAP_CASES = [(None, None, "json"), (None, 50, "csv"), (1000, 50, "csv"), (1000, None, "json"), (100_000_000, None, "csv")]
@@ -538,15 +602,15 @@ def capped_slice_flag(i: Inputs) -> DataFrame:
 def measurements_tree(i: Inputs) -> DataFrame:
     """A request over the published tree: months pruned, filtered, rolled up, in order."""
     result = measurements.measurements(
-        i.spark, trees.hist(i), today=s.HIST_TODAY, start="1996-03-01", end="1996-06-30", agg="daily", fmt="csv", city="nation_3"
+        i.spark, trees.hist(i), today=s.HIST_TODAY, start="1996-03-10", end="1996-06-20", agg="daily", fmt="csv", city="nation_3"
     )
     return _rolled(result.rows)
 
 
 @query
 def keys_listing(i: Inputs) -> DataFrame:
-    everybody = usage.newest_keys(i.view("api_keys")).withColumn("asked", F.lit("all"))
-    owned = usage.newest_keys(i.view("api_keys"), owner="7").withColumn("asked", F.lit("owner"))
+    everybody = usage.newest_keys(i.view("api_keys")).rows.withColumn("asked", F.lit("all"))
+    owned = usage.newest_keys(i.view("api_keys"), owner="7").rows.withColumn("asked", F.lit("owner"))
     return everybody.unionByName(owned)
 
 
@@ -589,6 +653,18 @@ def stream_usage(i: Inputs) -> DataFrame:
     return jobs.metered_usage(i.spark, trees.metered_usage(i))
 
 
+@query
+def stream_usage_late(i: Inputs) -> DataFrame:
+    """Several files whose requests come weeks late: no request is lost."""
+    return jobs.metered_usage(i.spark, trees.late_usage(i))
+
+
+@query
+def limit_breaches_real(i: Inputs) -> DataFrame:
+    """The limit table itself, with a tier it does not list, one without limit, and unknown keys."""
+    return usage.over_limit(usage.requests_per_minute(i.view("busy_log")), i.view("busy_keys"))
+
+
 @query
 def stream_breaches(i: Inputs) -> DataFrame:
     return jobs.metered_breaches(i.spark, trees.metered_minutes(i), i.view("api_keys"), s.LIMITS)
@@ -610,7 +686,7 @@ def usage_daily(i: Inputs) -> DataFrame:
 @query
 def usage_report(i: Inputs) -> DataFrame:
     daily = usage.usage_daily(i.view("api_log"))
-    return usage.usage_report(daily, i.view("api_keys"), s.TODAY, days=30)
+    return usage.usage_report(daily, i.view("api_keys"), s.TODAY, days=30).rows
 
 
 @query
@@ -629,7 +705,7 @@ def keys_last_used(i: Inputs) -> DataFrame:
 
 @query
 def users_latest_key(i: Inputs) -> DataFrame:
-    return usage.users_with_key(i.view("users"), i.view("api_keys"))
+    return usage.users_with_key(i.view("users"), i.view("api_keys")).rows
 
 
 @query

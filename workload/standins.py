@@ -90,6 +90,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN o_orderkey % 5 = 2 THEN o_orderdate + INTERVAL 24 HOUR * 365 ELSE NULL END AS expires_at
         FROM {orders} WHERE o_orderkey % 8 <> 3""",
     ),
+    # a busy request log, and keys of a tier without a row in the limit table
+    "busy_log": (
+        ("events",),
+        """
+        SELECT event_id, concat('b', cast(user_id % 4 AS string)) AS key_id, date_trunc('month', ts) AS ts, cast(1 AS bigint) AS bytes
+        FROM {events}""",
+    ),
+    "busy_keys": (
+        ("region",),
+        """
+        SELECT concat('b', cast(r_regionkey AS string)) AS id, CASE r_regionkey WHEN 0 THEN 'trial' WHEN 1 THEN 'full' ELSE 'dashboard' END AS tier
+        FROM {region} WHERE r_regionkey < 3""",
+    ),
     "users": (
         ("customer",),
         """
@@ -113,7 +126,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem",
 MONTH = (date(2024, 1, 5), date(2024, 1, 20))
 TODAY = date(2024, 1, 31)
 HIST_TODAY = date(2002, 3, 31)
-HIST_WINDOW = (date(1996, 3, 1), date(1996, 6, 30))
+HIST_WINDOW = (date(1996, 3, 10), date(1996, 6, 20))
 PARAMETERS = ["PM2.5", "PM10"]
 STATIONS = ["site_1", "site_3", "DS1010025"]
 CITIES = ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"]

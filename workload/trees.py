@@ -113,6 +113,23 @@ def metered_usage(inputs: Inputs) -> str:
     return _once(inputs, "usage", make)
 
 
+LATE_FILES = 6
+
+
+def late_usage(inputs: Inputs) -> str:
+    """The same totals from a stream of several files, one to a batch, every one with requests of all
+    days, so that most come weeks after later ones; added up into a base on the way."""
+
+    def make(path: str) -> None:
+        log = inputs.view("api_log").select("key_id", "ts", "bytes")
+        landing = new_path(inputs.spark, "late-log")
+        log.repartition(LATE_FILES, "bytes").write.parquet(landing)
+        arriving = inputs.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        jobs.meter_usage(arriving, path, new_path(inputs.spark, "stream-state"), compact_every=2).awaitTermination()
+
+    return _once(inputs, "late-usage", make)
+
+
 def metered_minutes(inputs: Inputs) -> str:
     def make(path: str) -> None:
         jobs.meter_minutes(_log_stream(inputs), path, new_path(inputs.spark, "stream-state")).awaitTermination()
