@@ -6,9 +6,9 @@ digits, how grouped, check digits, what stands before), for every kind at once.
 programming over a stretch chooses boundaries and kinds together; base spans are fixed, and a segment
 is added only if it outweighs "no entity" by MARGIN. Kinds of neighbouring segments are scored too.
 
-The field is trained here, by the likelihood of the base spans in TRAIN_STRETCHES stretches: those
-least by digest among all texts, with and without base spans, of at most TRAIN_TOKENS tokens. That
-sample is bounded by the parameter, whatever the corpus; everything else reads every text whole.
+The field is trained here, by the likelihood of the base spans in at most TRAIN_STRETCHES stretches of
+at most TRAIN_TOKENS tokens, with and without base spans: digests deal all stretches into so many
+classes, and the least of each class is taken. That sample is bounded by the parameter, whatever the corpus; everything else reads every text whole.
 
 Defined cases: a null text is empty and has no spans. Of equal starts the kinds go in the order
 listed. Repeated rows each get their row. An empty table trains nothing and gives an empty result.
@@ -265,6 +265,7 @@ class Field:
                 backward[i][last] = _sum(ways)
         total = _sum(forward[n])
         step: dict[str, list[float]] = {}
+        ended = {j: k for i in range(n) for j, s, e, *_ in starts[i] for k in range(none) if (KINDS[k], s, e) in gold}
         for i in range(n):
             for j, s, e, f, kinds, scores in starts[i]:
                 for kind in kinds:
@@ -277,7 +278,7 @@ class Field:
                             for name in f:
                                 step.setdefault(name, [0.0] * none)[kind] -= p
                     if true:
-                        for name in f:
+                        for name in (f"after={ended.get(i, none)}", *f):
                             step.setdefault(name, [0.0] * none)[kind] += 1.0
         for name, change in step.items():
             row = self.weights.setdefault(name, [0.0] * none)
@@ -329,15 +330,16 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shifted = [[s - cut, e - cut] for s, e in run]
                 example = json.dumps([text[cut : run[-1][1]], shifted, gold])
                 rows.append((hashlib.blake2b(example.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), example))
-        # no task hands on more than the whole sample
-        yield pd.DataFrame(sorted(rows)[:TRAIN_STRETCHES], columns=["mark", "example"])
+        yield pd.DataFrame(rows, columns=["mark", "example"])
 
 
 def fit(documents: DataFrame) -> Field:
     """The field, trained on a bounded sample of stretches."""
     documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     drawn = documents.select("text").mapInPandas(_examples, "mark string, example string")
-    drawn = drawn.orderBy("mark", "example").limit(TRAIN_STRETCHES).collect()
+    # a row per class and task is all that is shuffled, one per class all that reaches the driver
+    drawn = drawn.groupBy(F.pmod(F.xxhash64("mark"), F.lit(TRAIN_STRETCHES)).alias("class"))
+    drawn = drawn.agg(F.min(F.struct("mark", "example")).alias("least")).orderBy("class").select("least.example").collect()
     return Field.trained([(t, [tuple(x) for x in run], [tuple(g) for g in gold]) for t, run, gold in (json.loads(r["example"]) for r in drawn)])
 
 
