@@ -38,3 +38,19 @@ def test_entry(spark):
     frame = registered.entry(spark)
     assert frame.columns == ["station_id", "parameter_name", "unit", "period_start", "mean", "min", "max", "n"]
     assert frame.count() > 0
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The rest stands by itself where those operators are not present."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(registered.__file__).parent
+    for name in ("hourmark", "workload"):
+        shutil.copytree(repo / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()))"
+    made = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert made.returncode == 0 and made.stdout.split()[1] == "False", made.stderr
