@@ -35,6 +35,7 @@ from hourmark.runtime import new_path
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 64 << 10
 BATCH = 256
+MOST_READERS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -228,8 +229,8 @@ def write_archives(pages: DataFrame, folder: str, most: int = ARCHIVE_BYTES) ->
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the archives the manifest lists, in archives dealt out over all tasks."""
-    return manifest.select("path").repartition("path").mapInPandas(_reader(folder), RECORDS)
+    """One row per record of the archives the manifest lists, about an archive to a task."""
+    return manifest.select("path").repartition(min(max(1, manifest.count()), MOST_READERS)).mapInPandas(_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
