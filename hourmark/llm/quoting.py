@@ -60,21 +60,17 @@ def links(messages: DataFrame) -> DataFrame:
 
 def threads(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, root, depth) from (conv_id, turn, reply_to), by doubling the reach of every
-    message until all stand at a root; each round is written to the shared folder."""
+    message that does not stand at a root yet; each round is written to the shared folder."""
     reach = answers.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("root")).where("root IS NOT NULL")
-    reach = cut(reach.withColumn("depth", F.lit(1).cast("bigint")))
-    while True:
+    reach = cut(reach.select("*", F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("open")))
+    while not reach.where("open").isEmpty():
         ahead = reach.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = reach.join(ahead, ["conv_id", "root"], "left")
-        moved = cut(
-            joined.select(
-                "conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.col("next").isNotNull().alias("open"),
-            )
+        moved = reach.where("open").drop("open").join(ahead, ["conv_id", "root"], "left").select(
+            "conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("next").isNotNull().alias("open"),
         )
-        reach = moved.drop("open")
-        if moved.where("open").isEmpty():
-            return reach
+        reach = cut(reach.where("NOT open").unionByName(moved))
+    return reach.drop("open")
 
 
 def without_quotes(text: Column) -> Column:
