@@ -2,8 +2,8 @@
 
 Words and word pairs are hashed into a fixed number of buckets. Two multinomials over the buckets,
 one of trusted text and one of the whole corpus, give every bucket a log ratio; a document's score is
-the mean over its n-grams. A document under `threshold` is rejected; every document is judged, and
-the same inputs give the same verdicts. Built-in functions only.
+the mean over its n-grams. A document whose score lies below a bound that depends on its length alone is
+rejected; every document is judged, and the same inputs give the same verdicts. Built-in functions only.
 
 The corpus multinomial counts all rows. The trusted one counts the documents with a label of quality
 1 that is not toxic, the `TRUSTED_MAX` least by digest of the id: a documented bound, so that their
@@ -26,7 +26,9 @@ from hourmark.llm.words import let, with_window_hashes, word_hashes, words_of
 
 BUCKETS = 1 << 14
 TRUSTED_MAX = 20_000
-THRESHOLD = -0.065
+# A document goes if its score is below -(LEVEL + SPREAD / sqrt(words)): the mean of a short text scatters.
+LEVEL = 0.035
+SPREAD = 0.45
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -118,15 +120,19 @@ def _failed(m: Column) -> Column:
     return (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
 
 
-def judge(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def _likely(m: Column, level: float, spread: float) -> Column:
+    return m["score"] >= -(level + spread / F.sqrt(F.greatest(m["n_words"], F.lit(1))))
+
+
+def judge(documents: DataFrame, labels: DataFrame, level: float = LEVEL, spread: float = SPREAD, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, `score` and the verdict `kept`."""
     m = F.col("m")
     measured = documents.select("doc_id", measures(F.col("text"), fit(documents, labels, buckets), buckets).alias("m"))
-    verdicts = {"base_failed": _failed(m), "kept": ~_failed(m) & (m["score"] >= threshold)}
+    verdicts = {"base_failed": _failed(m), "kept": ~_failed(m) & _likely(m, level, spread)}
     return measured.select("doc_id", "m.*", *[v.alias(k) for k, v in verdicts.items()])
 
 
-def keep(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def keep(documents: DataFrame, labels: DataFrame, level: float = LEVEL, spread: float = SPREAD, buckets: int = BUCKETS) -> DataFrame:
     """The documents that are kept, with their own columns."""
     ratios = fit(documents, labels, buckets)
-    return documents.where(let(measures(F.col("text"), ratios, buckets), lambda m: ~_failed(m) & (m["score"] >= threshold)))
+    return documents.where(let(measures(F.col("text"), ratios, buckets), lambda m: ~_failed(m) & _likely(m, level, spread)))
