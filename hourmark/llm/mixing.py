@@ -144,21 +144,35 @@ def measured(documents: DataFrame) -> DataFrame:
     )
 
 
-def taken_words(sized: DataFrame, block_words: int = BLOCK_WORDS, pieces: int = PIECES) -> DataFrame:
-    """Every row of `measured` with source_size, target and `taken`, the words the mix takes of it."""
-    sources = cut(source_blocks(source_targets(sized), block_words))  # one row per source
-    about = sources.withColumnRenamed("source", "__source")
+def _parts(sized: DataFrame, about: DataFrame, pieces: int) -> DataFrame:
+    """(row, source, block, first, after): which words of each document lie in which block of its source."""
     laid = _laid_out(sized, pieces).join(about, F.col("source").eqNullSafe(F.col("__source")))
     end = F.col("start") + F.col("size")
     holding = lambda word: F.floor(((word + 1) * F.col("blocks") - 1) / F.col("source_size"))
     numbers = F.sequence(holding(F.col("start")), holding(end - 1))
     parts = laid.select("row", "source", "source_size", "blocks", "start", end.alias("end"), F.explode(numbers).alias("block"))
     opens = lambda block: F.floor(block * F.col("source_size") / F.col("blocks"))
-    overlap = F.least(F.col("end"), opens(F.col("block") + 1)) - F.greatest(F.col("start"), opens(F.col("block")))
+    first = F.greatest(F.col("start"), opens(F.col("block"))) - F.col("start")
+    after = F.least(F.col("end"), opens(F.col("block") + 1)) - F.col("start")
+    return parts.select("row", "source", "block", first.alias("first"), after.alias("after"))
+
+
+def _drawn(sources: DataFrame, about: DataFrame) -> DataFrame:
+    """(slot, __source, __block): the block that each slot of the schedule takes."""
     placed = schedule(sources).join(about, F.col("source").eqNullSafe(F.col("__source")))
-    uses = placed.groupBy("__source", (F.col("rank") % F.col("blocks")).alias("__block")).agg(F.count(F.lit(1)).alias("times"))
-    drawn = parts.join(uses, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block")))
-    per_row = drawn.groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    return placed.select("slot", "__source", (F.col("rank") % F.col("blocks")).alias("__block"))
+
+
+SAME_BLOCK = "source <=> __source AND block = __block"
+
+
+def taken_words(sized: DataFrame, block_words: int = BLOCK_WORDS, pieces: int = PIECES) -> DataFrame:
+    """Every row of `measured` with source_size, target and `taken`, the words the mix takes of it."""
+    sources = cut(source_blocks(source_targets(sized), block_words))  # one row per source
+    about = sources.withColumnRenamed("source", "__source")
+    uses = _drawn(sources, about).groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = _parts(sized, about, pieces).join(uses, F.expr(SAME_BLOCK))
+    per_row = drawn.groupBy("row").agg(F.sum((F.col("after") - F.col("first")) * F.col("times")).alias("taken"))
     about = about.select("__source", "source_size", "target")
     out = sized.join(about, F.col("source").eqNullSafe(F.col("__source"))).join(per_row, "row", "left")
     return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
@@ -167,3 +181,13 @@ def taken_words(sized: DataFrame, block_words: int = BLOCK_WORDS, pieces: int =
 def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
     return taken_words(cut(measured(documents)), block_words).drop("row")
+
+
+def mixed_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself, (slot, doc_id, source, first, after): words `first` up to `after` of a document
+    stand in a slot; the slots in order, and in them the rows of a slot, are the mixed corpus."""
+    sized = cut(measured(documents))
+    sources = cut(source_blocks(source_targets(sized), block_words))
+    about = sources.withColumnRenamed("source", "__source")
+    drawn = _parts(sized, about, PIECES).join(_drawn(sources, about), F.expr(SAME_BLOCK))
+    return drawn.join(sized.select("row", "doc_id"), "row").select("slot", "doc_id", "source", "first", "after")

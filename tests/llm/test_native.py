@@ -156,6 +156,19 @@ def test_mix_meets_its_targets(spark):
         assert abs(words - want[source]) <= 16 + 0.01 * want[source]
 
 
+def test_blocks_hold_what_the_mix_takes(spark):
+    docs = [d for d in cases.documents() if d[0] not in (None, 12)]
+    df = frame(spark, docs, cases.DOCS).dropDuplicates(["doc_id"])
+    taken = {r.doc_id: r.taken for r in mixing.mix(df, block_words=16).collect() if r.taken}
+    held, slots = {}, {}
+    for r in mixing.mixed_blocks(df, block_words=16).collect():
+        assert 0 <= r.first < r.after
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.after - r.first
+        slots.setdefault(r.slot, []).append((r.source, r.after - r.first))
+    assert held == taken
+    assert all(len({s for s, _ in rows}) == 1 and 1 <= sum(n for _, n in rows) <= 24 for rows in slots.values())
+
+
 def test_mix_is_the_same_again(spark):
     docs = cases.documents()
     columns = "doc_id", "source", "size", "taken"

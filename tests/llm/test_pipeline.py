@@ -26,7 +26,7 @@ def sf_dir(spark, tmp_path_factory):
     docs += [(210 + k, f"{cases.prose(rng, 40)} write a{k}@mail.example.com or +1 (375) 555-439{k} {cases.prose(rng, 9)}", "en", "b", None) for k in range(4)]
     docs += [(230 + k, " ".join(f"zq{j}%%% ##{j}" for j in range(k, k + 60)), "en", "a", None) for k in range(30)]
     frame(spark, docs, cases.DOCS).write.parquet(f"{folder}/documents.parquet")
-    labels = [(i, 1, 0) for i in range(40)]
+    labels = [(i, 1, 0) for i in [*range(40), *range(200, 214)]]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
