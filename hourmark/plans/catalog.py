@@ -12,7 +12,7 @@ from hourmark.sources import tree
 def file_sizes(scan: DataFrame, root: str, kind: str) -> DataFrame:
     """The files of a scan as catalogue rows. Reads footers only: no data column is needed."""
     by = [F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")] if "year" in scan.columns else []
-    key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("_metadata.file_path"), rf"/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
+    key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("_metadata.file_path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
     sizes = scan.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
     none = F.lit(None).cast("int")
     return sizes.select(

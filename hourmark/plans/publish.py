@@ -76,7 +76,7 @@ def _present(spark: SparkSession, root: str, kinds: tuple[str, ...], months: lis
     if not folders:
         return spark.createDataFrame([], "key string")
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folders)
-    inner = F.regexp_extract(F.url_decode("path"), rf"/{S.SCHEMA_VERSION}/([^:]*)\z", 1)
+    inner = F.regexp_extract(F.url_decode("path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1)
     return listing.select(F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), inner).alias("key"))
 
 

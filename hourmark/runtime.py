@@ -21,6 +21,8 @@ SETTINGS = {
     # also the target size of the pieces a rebalanced month is written in
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more, which a stream of small runs needs
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # lists of stations reach the row groups value by value, not as the range they span
     "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     "spark.sql.streaming.stateStore.providerClass": (
