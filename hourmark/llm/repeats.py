@@ -48,13 +48,15 @@ from hourmark.runtime import new_path
 # Fixed value of the contract.
 LENGTH = 50
 # Parameters: bytes of a gram and the grams of a window; bytes of a piece of text and of a shard; the
-# documents from which a seed's windows are dealt out singly; symbols merged at a time.
+# documents from which a seed's windows are dealt out singly; symbols merged at a time; buckets per
+# shuffle partition, so that a task holds little at a time.
 GRAM = 24
 GRAMS = LENGTH - GRAM + 1
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 8 << 20
 HOT_DOCS = 50_000
-MERGE_SYMBOLS = 1 << 21
+MERGE_SYMBOLS = 1 << 19
+BUCKETS_PER_TASK = 4
 TEXT_BATCH, BLOB_BATCH = 256, 8
 
 POSITION_BITS = 28
@@ -439,12 +441,11 @@ def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw = data.tobytes()
         # equal contexts of several shards are one
         order = np.argsort(seeds, kind="stable")
-        turns = np.flatnonzero(np.diff(seeds[order])) + 1
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(seeds[order])) + 1, [len(order)]))
         least = docs.copy()
         open_groups: list[list[list[int]]] = []
-        for group in np.split(order, turns):
-            if len(group) == 1:
-                continue
+        for n in np.flatnonzero(np.diff(bounds) > 1):
+            group = order[bounds[n] : bounds[n + 1]]
             same: dict[bytes, list[int]] = {}
             for i in group.tolist():
                 same.setdefault(raw[begins[i] : begins[i] + sizes[i]], []).append(i)
@@ -545,7 +546,7 @@ def without_repeats(documents: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept
     (null without `keep_bytes`)."""
     spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def through(rows: DataFrame, key: str, *order: str) -> DataFrame:
