@@ -225,6 +225,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     plain = rows.join(once.select("doc_id"), "doc_id", "left_semi").select("own_row.*")
     # rows that their id does not tell apart are few: their fingerprints are made again
     shared = ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__id"))
+    if shared.isEmpty():
+        return plain
     again = with_fingerprints(rows.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")).join(found, "fp")
     again = again.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = F.row_number().over(Window.partitionBy("class").orderBy("fp", F.xxhash64("text"), F.xxhash64("own_row")))
