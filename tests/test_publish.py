@@ -185,7 +185,7 @@ def test_a_wrong_summary_is_made_again(spark, root):
 
     os.replace(glob.glob(f"{root}/wrong/*.parquet")[0], path)
     os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
-    run(spark, root, source(spark, [FEB]), [FEB])
+    run(spark, root, source(spark, [JAN, FEB]), [FEB])
     assert rows_of(tree.read_stations(spark, root)) == wanted
 
 
