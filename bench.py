@@ -52,7 +52,7 @@ HEADLINE = [
     "users_latest_key",
     "profile_merge",
 ]
-RUNS = 3
+RUNS = 2
 # Built once per session, so timed once, from nothing.
 ONCE = ["incremental_republish", "stream_publish", "stream_usage", "stream_usage_late", "stream_breaches", "sink_formats"]
 # The large publish holds every reading this many times, at times of its own.
