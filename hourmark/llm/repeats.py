@@ -47,15 +47,17 @@ from hourmark.runtime import new_path
 
 # Fixed value of the contract.
 LENGTH = 50
-# Parameters: bytes of a gram and the grams of a window; bytes of a piece of text and of a shard; the
+# Parameters: bytes of a gram and the grams of a window; bytes of a piece of text, of a stride that is
+# hashed at a time, and of a shard; the
 # documents from which a seed's windows are dealt out singly; symbols merged at a time; buckets per
 # shuffle partition, so that a task holds little at a time.
 GRAM = 24
 GRAMS = LENGTH - GRAM + 1
 PIECE_BYTES = 1 << 20
+STRIDE = 1 << 16
 SHARD_BYTES = 8 << 20
 HOT_DOCS = 50_000
-MERGE_SYMBOLS = 1 << 19
+MERGE_SYMBOLS = 1 << 18
 BUCKETS_PER_TASK = 4
 TEXT_BATCH, BLOB_BATCH = 256, 8
 
@@ -97,7 +99,7 @@ def seed_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     `data` holds documents end to end, `starts` their offsets and the end. Windows lie inside documents.
     """
     found = []
-    step = PIECE_BYTES
+    step = STRIDE
     inside = np.zeros(len(data), bool)
     for a, b in zip(starts[:-1], starts[1:]):
         inside[a : max(a, b - LENGTH + 1)] = True
@@ -396,16 +398,20 @@ def merge_transforms(parts: list[tuple[np.ndarray, np.ndarray]], depth: int = LE
     `order` numbers the suffixes of all parts, part after part.
     """
     offsets = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-    symbols = np.concatenate([p[0] for p in parts])
-    back = np.concatenate([p[1] + o for p, o in zip(parts, offsets)])
-    order = np.arange(len(symbols))
-    block = np.zeros(len(symbols), np.int64)
+    # ranks of the symbols that occur: a byte holds them, and sorting bytes takes a single pass
+    used, symbols = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    symbols = symbols.astype(np.min_scalar_type(len(used)))
+    back = np.concatenate([p[1] + o for p, o in zip(parts, offsets)]).astype(np.int32)
+    order = np.arange(len(symbols), dtype=np.int32)
+    block = np.zeros(len(symbols), np.int32)
+    fresh = np.zeros(len(symbols), bool)
     for _ in range(depth):
         before = symbols[order]
         turn = np.argsort(before, kind="stable")
         before, block = before[turn], block[turn]
         order = back[order[turn]]
-        block = np.concatenate(([0], np.cumsum((np.diff(before) != 0) | (np.diff(block) != 0))))
+        np.logical_or(before[1:] != before[:-1], block[1:] != block[:-1], out=fresh[1:])
+        block = np.cumsum(fresh, dtype=np.int32)
     return order, block
 
 
