@@ -2,8 +2,9 @@
 
 Slot k of the schedule holds the point frac(k / golden ratio). The points are mapped through the
 cumulative weights of the sources, so every source gets its share of any stretch of slots to within
-a few slots. The slots of a source are ranked, and rank r takes block r of that source: the
-documents of a source, shuffled by digest, laid end to end and cut into blocks of equally many words.
+a few slots. What a source still lacks after the last point gets slots of its own at the end, so that
+every source takes exactly its quota. The slots of a source are ranked, and rank r takes block r of that
+source: the documents of a source, shuffled by digest, laid end to end and cut into blocks of equally many words.
 Ranks beyond the last block start over, so a document is taken more than once where its source's
 target exceeds its size, and a stretch of it where a block ends inside.
 
@@ -17,7 +18,7 @@ an empty mix. Extra columns are not read; `mix` carries those of the documents t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.llm.words import BLANK_WORD
@@ -32,9 +33,10 @@ BLOCK_WORDS = 128
 PIECES = 1024
 SLOT_PIECE = 4096
 CELLS = 1024
-# The golden ratio as a fraction of 2**31: slot k holds the point k * GOLDEN / UNIT, modulo 1.
-UNIT = 1 << 31
-GOLDEN = 1327217885
+# The golden ratio as a fraction of 2**62, in two halves: slot k holds the point k * GOLDEN / 2**62, modulo 1.
+HALF = 31
+GOLDEN = 2850178704830799621
+GOLDEN_HIGH, GOLDEN_LOW = GOLDEN >> HALF, GOLDEN & ((1 << HALF) - 1)
 
 
 def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, most: float = MOST_PASSES) -> DataFrame:
@@ -95,11 +97,24 @@ def source_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     return targets.withColumn("blocks", blocks).withColumn("quota", quota)
 
 
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2**62, as a fraction below 1.
+
+    In halves, so that no product exceeds 63 bits; 53 bits are kept, which a double holds.
+    """
+    mask = F.lit((1 << HALF) - 1)
+    high, low = F.shiftright(slot, HALF), slot.bitwiseAND(mask)
+    upper = F.shiftleft((low * F.lit(GOLDEN_HIGH) + high * F.lit(GOLDEN_LOW)).bitwiseAND(mask), HALF)
+    whole = (upper + low * F.lit(GOLDEN_LOW)).bitwiseAND(F.lit((1 << 2 * HALF) - 1))
+    return F.shiftright(whole, 2 * HALF - 53) / F.lit(float(1 << 53))
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, source, rank): which source each slot draws from, and for the how-manieth time.
 
     `sources` has source and quota. Somewhat more points are drawn than there are slots to fill, as a
-    source may lag a few points behind its share; it takes its first `quota` slots.
+    source may lag a few points behind its share; it takes its first `quota` slots. Ranks that no point
+    gave it follow in slots behind the last point.
     """
     spark = sources.sparkSession
     needed, fewest = sources.where(F.col("quota") > 0).agg(F.sum("quota"), F.min("quota")).first()
@@ -117,12 +132,11 @@ def schedule(sources: DataFrame) -> DataFrame:
     cells = F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))
     shares = shares.select("source", "quota", "low", "high", F.explode(cells).alias("cell"))
     # golden-ratio points in whole numbers, so that they stay exact however long the schedule
-    point = ((F.col("id") % UNIT) * GOLDEN) % UNIT / F.lit(float(UNIT))
-    points = spark.range(needed + extra).select(F.col("id").alias("slot"), point.alias("point"))
+    points = spark.range(needed + extra).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
     drawn = points.join(shares, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     drawn = drawn.select("slot", "source", "quota", F.floor(F.col("slot") / SLOT_PIECE).alias("piece"))
-    counts = drawn.groupBy("source", "piece").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(drawn.groupBy("source", "piece").agg(F.count(F.lit(1)).alias("n")))
     earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col("source").alias("__source"), F.col("piece").alias("__piece"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
@@ -130,7 +144,19 @@ def schedule(sources: DataFrame) -> DataFrame:
     ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("source", "piece").orderBy("slot")) - 1)
     joined = ranked.join(offsets, F.col("source").eqNullSafe(F.col("__source")) & (F.col("piece") == F.col("__piece")))
     rank = F.col("place") + F.col("offset")
-    return joined.where(rank < F.col("quota")).select("slot", "source", rank.alias("rank"))
+    kept = joined.where(rank < F.col("quota")).select("slot", "source", rank.alias("rank"))
+    return kept.unionByName(_missing(sources.where(F.col("quota") > 0), counts, needed + extra))
+
+
+def _missing(sources: DataFrame, counts: DataFrame, slot: int) -> DataFrame:
+    """(slot, source, rank) of the ranks that the points left out, from `slot` on. One row per source takes part."""
+    had = counts.groupBy(F.col("source").alias("__source")).agg(F.sum("n").alias("n"))
+    lacking = sources.join(had, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lacking = lacking.where(F.col("n") < F.col("quota")).select("source", "quota", "n")
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    lacking = lacking.withColumn("start", F.lit(slot) + F.coalesce(F.sum(F.col("quota") - F.col("n")).over(before), F.lit(0)))
+    ranks = lacking.select("source", "n", "start", F.explode(F.sequence("n", F.col("quota") - 1)).alias("rank"))
+    return ranks.select((F.col("start") + F.col("rank") - F.col("n")).alias("slot"), "source", "rank")
 
 
 def measured(documents: DataFrame) -> DataFrame:

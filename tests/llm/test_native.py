@@ -187,3 +187,24 @@ def test_mix_of_nothing(spark):
     df = frame(spark, [(1, None, None, "a", None), (2, "", None, None, None)], cases.DOCS)
     assert mixing.mix(df.limit(0)).count() == 0
     assert rows_of(mixing.mix(df), "doc_id", "size", "target", "taken") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_every_source_takes_its_quota(spark):
+    quotas = {"big": 2_500_000, "other": 1_500_000, None: 4, **{f"s{n:03}": n % 30 + 1 for n in range(300)}}
+    df = spark.createDataFrame(list(quotas.items()), "source string, quota bigint")
+    slots = mixing.schedule(df).cache()
+    got = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("ranks"), F.min("rank").alias("least"), F.max("rank").alias("most"))
+    assert {r.source: (r.n, r.ranks, r.least, r.most) for r in got.collect()} == {s: (q, q, 0, q - 1) for s, q in quotas.items()}
+    assert slots.select("slot").distinct().count() == sum(quotas.values())
+    slots.unpersist()
+
+
+def test_points_stay_golden_in_long_schedules(spark):
+    slots = [0, 1, 2, 46_368, 4_000_000, (1 << 31) - 1, 1 << 31, (1 << 40) + 12345]
+    df = spark.createDataFrame([(k,) for k in slots], "slot bigint")
+    got = dict(rows_of(df.select("slot", mixing.golden_point(F.col("slot")).alias("point")), "slot", "point"))
+    assert got == {k: (k * mixing.GOLDEN % (1 << 62) >> 9) / (1 << 53) for k in slots}
+    # points of a long schedule leave no gap much wider than their mean distance
+    made = spark.range(1_000_000).select(mixing.golden_point(F.col("id")).alias("point"))
+    cells = made.groupBy(F.floor(F.col("point") * 250_000)).count().agg(F.count(F.lit(1)), F.min("count"), F.max("count")).first()
+    assert cells[0] == 250_000 and cells[1] >= 2 and cells[2] <= 6
