@@ -195,6 +195,35 @@ def test_licenses_in_documents(spark):
     assert licenses.scan(df).count() == 11 and licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under the BSD License.", "BSD"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-3.0"), ("Licensed under CC BY-XX 4.0.", None), ("Released under the QED License.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Library General Public License, version 3.", None),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("Licensed under the Apache License, Version 1.1.", None), ("SPDX-License-Identifier: ISC", "ISC identifier"),
+        ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0"), ("released under the 3-clause BSD licence", "BSD-3-Clause"),
+        ("Distributed under the MIT License", "MIT"), ("Licensed under the Unlicense", "Unlicense"),
+    ],
+)
+def test_licenses_and_their_neighbours(text, want):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert scanner.best(text)[0] == want
+    assert scanner.best(f"some words stand before. {text} and others after")[0] == want
+
+
+def test_every_template_is_found_under_its_name():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, wordings in licenses.TEMPLATES.items():
+        for text in [wordings] if isinstance(wordings, str) else wordings:
+            assert scanner.best(text.replace("«", "").replace("»", ""))[:2] == (name, 1.0)
+
+
 PAGES = [(1, "http://a/x y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>"), (5, "é\r\n", "é" * 70000), (None, "v", "only"), (None, "w", "only"), (2, None, "<p>"), (6, "z", "unique")]
 
 
