@@ -276,8 +276,9 @@ class Scanner:
                     seen[p] = p in joined
             if not all(seen[p] for p in phrases):
                 continue
-            least = max(min(LEAST_WORDS, len(template)), self.coverage * len(own) * 0.9)
-            if len(held & own.keys()) < least:
+            # no alignment can hold more than all occurrences of the words the text has
+            most = sum(n for w, n in own.items() if w in held)
+            if most / len(template) < self.coverage or most < min(LEAST_WORDS, len(template)):
                 continue
             places = [k for k, w in enumerate(plain) if w in own]
             for a, b in self._regions(places, len(template)):

@@ -224,6 +224,16 @@ def test_every_template_is_found_under_its_name():
             assert scanner.best(text.replace("«", "").replace("»", ""))[:2] == (name, 1.0)
 
 
+def test_prefilter_lets_repeated_words_count():
+    words = [w for w, _, _ in licenses.words_of(licenses.TEMPLATES["MIT text"])]
+    fixed = "subject to the following conditions".split()
+    once = [w for w in words if words.count(w) == 1 and w not in fixed][:17]
+    rest = [w for w in words if w not in once]
+    assert len(set(rest)) < 0.72 * len(set(words)) and len(rest) >= 0.8 * len(words)
+    name, coverage, *_ = licenses.Scanner(licenses.TEMPLATES).best(" ".join(rest))
+    assert name == "MIT text" and coverage == len(rest) / len(words)
+
+
 PAGES = [(1, "http://a/x y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>"), (5, "é\r\n", "é" * 70000), (None, "v", "only"), (None, "w", "only"), (2, None, "<p>"), (6, "z", "unique")]
 
 
