@@ -2,27 +2,33 @@
 
 A line that opens with `>` marks is a quotation, nested as deep as it has marks. Quoted lines are
 normalised (marks off, blanks squeezed, lower case), hashed, and joined to the first message of the
-same conversation that wrote such a line itself. A message answers the message most of its outermost
+same conversation that wrote such a line itself. A line that meets none may have been wrapped anew or cut out
+of a longer one: adjacent quoted lines of one depth are joined to a passage, and its sentences are joined to
+those the messages wrote themselves; the line comes from the message that most of its sentences come from,
+and counts as linked if all of them are found. A message answers the message most of its outermost
 quoted lines come from, the latest on a tie; that gives reply_to, the root of its thread and its depth
-in it. Quoted lines, and an attribution right before them ("… wrote:"), are taken out of the text.
+in it. Quoted lines, and an attribution right before them ("… wrote:"), are taken out of the text; those that
+are linked to nothing (they may be prompts or block quotes) are kept in the column `unlinked`, with their places.
 
 Every quoted line meets one original line at most, as originals are reduced to the first per
-conversation and hash before the join; no pairs of a conversation are formed. Built-in functions only.
+conversation and hash before the join, and so is every sentence; no pairs of a conversation are formed.
+Built-in functions only.
 
 Defined cases: a null text is empty. A message without conv_id or turn is linked to nothing. Blank
-lines are never linked. A message never answers itself or a later one. Messages of one conversation and
+lines are never linked. A part of a sentence is linked to nothing. A message never answers itself or a later one. Messages of one conversation and
 turn count as one message when they are quoted; rows that are repeated each get their row. An empty
 table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark.runtime import cut
 
 MARKS = r"^[ \t]*>[> \t]*"
+SENTENCE_END = r"[.!?][\"')\]]{0,2}$"
 ATTRIBUTION = r"^.{0,200}\b(wrote|writes|said):[ \t]*$"
 
 
@@ -44,18 +50,88 @@ def _lines(messages: DataFrame) -> DataFrame:
     return known.where("words <> ''").withColumn("hash", F.sha2("words", 256)).drop("words").distinct()
 
 
+MESSAGE = ["conv_id", "turn", "mark"]
+
+
+def _sentences(words: Column) -> Column:
+    """(hash, begin, n) of the sentences of an array of words, `begin` counted from 1."""
+    n = F.size(words)
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.get(words, i - 1).rlike(SENTENCE_END))
+    begins = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda i: i + 1))
+    bounds = F.arrays_zip(begins.alias("begin"), ends.alias("end"))
+    span = lambda x: x["end"] - x["begin"] + 1
+    return F.transform(
+        bounds, lambda x: F.struct(F.xxhash64(F.slice(words, x["begin"], span(x))).alias("hash"), x["begin"].alias("begin"), span(x).alias("n"))
+    )
+
+
+def _written(messages: DataFrame) -> DataFrame:
+    """(conv_id, hash, source): the first message that wrote a sentence itself."""
+    own = F.filter(F.split("text", "\n", -1), lambda line: ~line.rlike(MARKS))
+    words = messages.select("conv_id", "turn", F.split(normalised(F.array_join(own, " ")), " ").alias("words"))
+    said = words.select("conv_id", "turn", F.explode(F.array_distinct(_sentences(F.col("words"))["hash"])).alias("hash"))
+    return said.groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+
+
+def _quoted_sentences(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark, place, hash): the sentences of passages, at every line they reach into."""
+    lines = messages.select(*MESSAGE, F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    lines = lines.where(F.col("line").rlike(MARKS)).select(*MESSAGE, "place", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
+    lines = lines.where("words <> ''")
+    # adjacent lines of one level have their place less their number among those of the level in common
+    number = F.row_number().over(Window.partitionBy(*MESSAGE, "level").orderBy("place"))
+    lines = lines.withColumn("passage", F.col("place") - number)
+    passages = lines.groupBy(*MESSAGE, "level", "passage").agg(F.array_sort(F.collect_list(F.struct("place", F.split("words", " ").alias("words")))).alias("held"))
+    passages = passages.select(
+        *MESSAGE,
+        F.flatten(F.transform("held", lambda x: x["words"])).alias("words"),
+        F.flatten(F.transform("held", lambda x: F.array_repeat(x["place"], F.size(x["words"])))).alias("places"),
+    )
+    said = passages.select(*MESSAGE, "places", F.explode(_sentences(F.col("words"))).alias("s"))
+    reached = F.array_distinct(F.slice("places", F.col("s.begin"), F.col("s.n")))
+    return said.select(*MESSAGE, F.explode(reached).alias("place"), F.col("s.hash").alias("hash"))
+
+
+def _passages(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark, place, passage_source, whole) of unlinked lines with sentences of an earlier message;
+    `whole` if all their sentences are found."""
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    known = known.select("conv_id", "turn", F.sha2("text", 256).alias("mark"), "text")
+    asking = known.join(unlinked.select(*MESSAGE).distinct(), MESSAGE, "left_semi").dropDuplicates(MESSAGE)
+    first = _written(known.join(unlinked.select("conv_id").distinct(), "conv_id", "left_semi"))
+    said = _quoted_sentences(asking).join(unlinked.select(*MESSAGE, "place"), [*MESSAGE, "place"], "left_semi")
+    found = said.join(first, ["conv_id", "hash"], "left")
+    found = found.withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    votes = found.groupBy(*MESSAGE, "place", "source").agg(F.count(F.lit(1)).alias("n"))
+    lines = votes.groupBy(*MESSAGE, "place").agg(
+        F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source"))).alias("best"), F.every(F.col("source").isNotNull()).alias("whole")
+    )
+    return lines.where("best IS NOT NULL").select(*MESSAGE, "place", F.col("best.source").alias("passage_source"), "whole")
+
+
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, mark, n_linked, reply_to): per message with quoted lines."""
+    """(conv_id, turn, mark, n_linked, reply_to, linked): per message with quoted lines; `linked` has the
+    places of those that are linked."""
     lines = cut(_lines(messages))
     first = lines.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     quoted = lines.where("level > 0").join(first, ["conv_id", "hash"], "left")
     quoted = quoted.withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    quoted = cut(quoted.select(*MESSAGE, "place", "level", "source", F.col("source").isNotNull().alias("whole")))
+    unlinked = quoted.where("source IS NULL")
+    if not unlinked.isEmpty():
+        found = _passages(messages, unlinked).withColumnRenamed("whole", "passage_whole")
+        quoted = quoted.join(found, [*MESSAGE, "place"], "left").withColumns(
+            {"source": F.coalesce("source", "passage_source"), "whole": F.col("whole") | F.coalesce("passage_whole", F.lit(False))}
+        )
     votes = quoted.groupBy("conv_id", "turn", "mark", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("outer")
+        F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("places"), F.count_if("whole").alias("n"), F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("outer")
     )
     best = F.max(F.when((F.col("outer") > 0) & F.col("source").isNotNull(), F.struct("outer", "source")))
-    linked = F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0))
-    return votes.groupBy("conv_id", "turn", "mark").agg(linked.alias("n_linked"), best["source"].alias("reply_to"))
+    linked = F.sum("n")
+    return votes.groupBy("conv_id", "turn", "mark").agg(
+        linked.alias("n_linked"), best["source"].alias("reply_to"),
+        F.flatten(F.collect_list("places")).alias("linked"),
+    )
 
 
 def threads(answers: DataFrame) -> DataFrame:
@@ -83,15 +159,28 @@ def without_quotes(text: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: p["line"]), "\n")
 
 
+def unlinked_lines(text: Column, linked: Column) -> Column:
+    """(place, line) of the lines that `without_quotes` takes out and that are linked to nothing: quoted
+    lines that are not blank, and attributions right before such a line."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    after = F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit("")))
+    placed = F.transform(F.arrays_zip(lines.alias("line"), after.alias("after")), lambda p, i: F.struct(i.alias("place"), p["line"].alias("line"), p["after"].alias("after")))
+    free = lambda line, place: line.rlike(MARKS) & (normalised(line) != "") & ~F.array_contains(linked, place)
+    lost = lambda p: free(p["line"], p["place"]) | (
+        ~p["line"].rlike(MARKS) & p["line"].rlike(ATTRIBUTION) & free(p["after"], p["place"] + 1)
+    )
+    return F.transform(F.filter(placed, lost), lambda p: F.struct(p["place"].alias("place"), p["line"].alias("line")))
+
+
 def format_conversations(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, reply_to, root, depth, n_quoted, n_linked, text.
+    """One row per message: conv_id, turn, role, reply_to, root, depth, n_quoted, n_linked, text, unlinked.
 
     Ordered by conv_id, root, depth and turn, a conversation reads in reply order.
     """
     found = cut(links(messages))
     placed = threads(found.select("conv_id", "turn", "reply_to"))
     n_quoted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: line.rlike(MARKS)))
-    own = messages.select("conv_id", "turn", "role", F.sha2("text", 256).alias("mark"), n_quoted.alias("n_quoted"), without_quotes(F.col("text")).alias("text"))
+    own = messages.select("conv_id", "turn", "role", F.sha2("text", 256).alias("mark"), n_quoted.alias("n_quoted"), without_quotes(F.col("text")).alias("text"), F.col("text").alias("whole"))
     return (
         own.join(found, ["conv_id", "turn", "mark"], "left")
         .join(placed, ["conv_id", "turn"], "left")
@@ -102,18 +191,25 @@ def format_conversations(messages: DataFrame) -> DataFrame:
             F.col("n_quoted").cast("bigint").alias("n_quoted"),
             F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
             "text",
+            unlinked_lines(F.col("whole"), F.coalesce("linked", F.array().cast("array<int>"))).alias("unlinked"),
         )
     )
 
 
 def quoting_replies(messages: DataFrame) -> DataFrame:
     """The messages as a mail reader would send them: each quotes the message of the turn before it,
-    and within that the first line of the one before. For tests and the registered query."""
+    and within that the first line of the one before. By turn the quoted message keeps its lines, is wrapped
+    anew, or is cut to the second sentence of each line. For tests and the registered query."""
     first = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
     one = first.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("before"))
     two = first.select("conv_id", (F.col("turn") + 2).alias("turn"), F.split("said", "\n", -1)[0].alias("earlier"))
     joined = messages.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
-    outer = F.array_join(F.transform(F.split("before", "\n", -1), lambda line: F.concat(F.lit("> "), line)), "\n")
+    wrapped = lambda line: F.regexp_replace(line, r"(.{60,}?)[ \t]+", "$1\n> ")
+    # only where it has enough words to be told from others
+    sentence = lambda line: F.regexp_extract(line, r"[.!?] +((?:[^ .!?]+ +){5,}[^ .!?]+[.!?])", 1)
+    kind = F.pmod(F.col("turn"), F.lit(3))
+    shown = lambda line: F.when(kind == 1, wrapped(line)).when((kind == 2) & (sentence(line) != ""), sentence(line)).otherwise(line)
+    outer = F.array_join(F.transform(F.split("before", "\n", -1), lambda line: F.concat(F.lit("> "), shown(line))), "\n")
     inner = F.coalesce(F.concat(F.lit(">> "), F.col("earlier"), F.lit("\n")), F.lit(""))
     text = F.when(F.col("before").isNotNull(), F.concat(F.lit("Somebody wrote:\n"), inner, outer, F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     return joined.select("conv_id", "turn", "role", text.alias("text"))

@@ -122,6 +122,30 @@ def test_quoting_replies_come_back(spark):
     assert rows_of(got, "conv_id", "turn", "reply_to", "root", "depth") == ordered([(c, t, t - 1 if t else None, 0, t) for c, t, _, _ in rows])
 
 
+def test_quotations_wrapped_anew_or_in_part(spark):
+    said = "The first thing we saw was a long river. Behind it stood seven old houses without any roof. Nobody had lived there for years."
+    rows = [
+        (1, 0, "a", said), (1, 1, "b", "Nothing to do with that at all."),
+        (1, 2, "a", "> The first thing we saw was a long\n> river. Behind it stood seven old houses\n> without any roof. Nobody had lived there for years.\nReally?"),
+        (1, 3, "b", "Somebody wrote:\n> Behind it stood  seven old houses without any roof.\nYes"),
+        (1, 4, "a", ">>> print(1)\nSomebody said:\n> this was said by nobody at all here\n>\nrest"),
+    ]
+    got = {r.turn: r for r in quoting.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [got[t].reply_to for t in range(5)] == [None, None, 0, 0, None]
+    assert [(got[t].n_quoted, got[t].n_linked, got[t].text) for t in (2, 3, 4)] == [(3, 3, "Really?"), (1, 1, "Yes"), (3, 0, "rest")]
+    assert [tuple(u) for u in got[4].unlinked] == [(0, ">>> print(1)"), (1, "Somebody said:"), (2, "> this was said by nobody at all here")]
+    assert all(got[t].unlinked == [] for t in range(4))
+
+
+def test_made_quotations_are_wrapped_and_cut(spark):
+    text = lambda t: " ".join(f"Word{t} is number {k} among many others in turn {t} of it." for k in range(9))
+    df = spark.createDataFrame([(1, t, "user", text(t)) for t in range(9)], "conv_id bigint, turn bigint, role string, text string")
+    made = quoting.quoting_replies(df).cache()
+    quoted = {r.turn: r.text for r in made.collect()}
+    assert quoted[4].count("\n> ") > 3 and len(quoted[5].split("\n> ")[1].split("\n")[0]) < len(text(4)) // 2
+    assert rows_of(quoting.format_conversations(made), "turn", "reply_to", "text") == ordered([(t, t - 1 if t else None, text(t)) for t in range(9)])
+
+
 PRIVATE = [
     "mail a.b+c@ex-ample.co.uk, or x@y", "a@b.c@d.e.f", "@a.b x@.c .@d.e", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.02.3.255",
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111", "+1 (375) 555-4393. +12 345", "+1+22 333 444 555 +", "card:4111111111111111x +4111111111111111",
