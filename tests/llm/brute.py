@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -146,3 +147,57 @@ def warc(pages):
         revisit = holder is not None and i != holder
         out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", holder if revisit else None))
     return out
+
+
+def jump(key, shards):
+    key, shard, onward = key % 2**64, -1, 0
+    while onward < shards:
+        shard, key = onward, (key * 2862933555777941757 + 1) % 2**64
+        onward = int((shard + 1) * (2**31 / ((key >> 33) + 1)))
+    return shard
+
+
+def leaf(doc, more=0):
+    doc_id, text, lang, source, n_chars = doc
+    fields = (doc_id, source, lang, None if n_chars is None else n_chars + more, text)
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields))
+
+
+def tree(nodes):
+    """The root, and a function from a leaf's place to what stands beside its way up: (left, digest or None)."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha("".join(below[k : k + 2])) for k in range(0, len(below), 2)])
+
+    def path(k):
+        steps = []
+        for level in levels[:-1]:
+            other = k ^ 1
+            steps.append((other < k, level[other] if other < len(level) else None))
+            k //= 2
+        return steps
+
+    return levels[-1][0], path
+
+
+def merkle(docs):
+    """docs in the order of cases.DOCS; sorted by their text."""
+    by_lang = {}
+    for d in docs:
+        by_lang.setdefault(d[2], []).append(d)
+    trees = []
+    for lang in sorted(by_lang, key=lambda x: (x is not None, (x or "").encode())):
+        rows = sorted(by_lang[lang], key=lambda d: (d[0] is not None, d[0] or 0, leaf(d)))
+        trees.append((rows, *tree([leaf(d) for d in rows])))
+    root, last = tree([t[1] for t in trees]) if trees else (None, None)
+    out = []
+    for k, (rows, subroot, path) in enumerate(trees):
+        for j, d in enumerate(rows):
+            steps = path(j) + last(k)
+            tampered = d[0] is not None and zlib.crc32(str(d[0]).encode()) % 7 == 0
+            node = leaf(d, tampered)
+            for left, beside in steps:
+                node = sha((beside or "") + node if left else node + (beside or ""))
+            out.append((d[0], leaf(d), subroot, root, sha("".join(s or "" for _, s in steps)), node, node == root))
+    return sorted(out, key=repr)
