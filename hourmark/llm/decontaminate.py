@@ -1,8 +1,8 @@
 """Benchmark decontamination: passages of test items found in training text.
 
-The word windows of the benchmark form a hash set that is broadcast once its size has been checked;
-beyond the bound the same join is shuffled. Every window of every text probes it, and a hit counts
-only if its words are equal. Built-in functions only, on whole texts.
+The word windows of the benchmark form a hash set that is broadcast once its bytes have been counted;
+beyond the bound hashes are shuffled to it, and texts only to what was found in them. Every window of
+every text probes it, and a hit counts only if its words are equal. Built-in functions only, on whole texts.
 
 Defined cases: a null or empty text has no words and no hits. An item of fewer than `window` words,
 but not none, is one window; an item without words is never found. An item whose id is null still
@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourmark.llm.words import ascii_lower, let, with_window_hashes, word_hashes, words_of
-from hourmark.runtime import small_side
+from hourmark.runtime import cut
 
 # Fixed values of the contract: what a word is once A-Z are lower-cased, and the window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 # The same words before A-Z are lower-cased, or what separates two of them.
 PIECES = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
-# Distinct windows that are broadcast, some 150 bytes each.
-BROADCAST_WINDOWS = 200_000
+# Bytes that the table of distinct windows may have and still be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(text: Column) -> Column:
@@ -44,48 +44,75 @@ def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _hashes(words: Column, lengths: list[int]) -> Column:
+    """The hashes of all windows of these lengths, those of the first length first."""
+    return let(word_hashes(words), lambda h: with_window_hashes(h, lengths, lambda made: F.concat(*made)))
+
+
+def _start(place: Column, n_words: Column, length: Column, lengths: list[int]) -> Column:
+    """Where a window of `length` words begins whose hash stands at `place`; null if it is of another length."""
+    windows = {n: F.greatest(n_words - F.lit(n - 1), F.lit(0)) for n in lengths}
+    made, before = None, F.lit(0)
+    for n in lengths:
+        start = place - before
+        of_length = (length == n) & (start >= 0) & (start < windows[n])
+        made = F.when(of_length, start) if made is None else made.when(of_length, start)
+        before = before + windows[n]
+    return made
+
+
+def _broadcast_bytes(table: DataFrame) -> int:
+    """What the rows of the window table take in a hash table, more or less: words, items and what holds them."""
+    word_bytes = F.aggregate("gram", F.lit(0), lambda n, w: n + F.octet_length(w) + 16)
+    return table.agg(F.sum(word_bytes + F.size("items") * 8 + 100)).first()[0] or 0
+
+
 def find_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, start, length, item_id), distinct: every occurrence of a window in `texts.text`.
 
-    `key` is the digest of the text, so copies of a text are one entry.
+    `key` is the digest of the text, so copies of a text are one entry. Windows of all lengths that items
+    have are tried in one pass over the texts.
     """
     grams = benchmark_windows(benchmark, window)
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `window` rows
     schema = "key string, start int, length int, item_id bigint"
     if not lengths:
         return texts.sparkSession.createDataFrame([], schema)
-    hashed = lambda words: let(
-        word_hashes(words), lambda h: with_window_hashes(h, lengths, lambda made: F.struct(*[m.alias(f"h{n}") for n, m in zip(lengths, made)]))
-    )
     by_words = grams.groupBy("gram", "length").agg(F.collect_set("item_id").alias("items"))
-    picked = F.coalesce(*[F.when(F.col("length") == n, F.get(F.col(f"hashes.h{n}"), F.lit(0))) for n in lengths])
-    table = by_words.withColumn("hashes", hashed(F.col("gram"))).select(picked.alias("hash"), "gram", "length", "items")
-    table = small_side(table, BROADCAST_WINDOWS)
+    own = F.coalesce(*[F.when(F.col("length") == n, F.get(_hashes(F.col("gram"), [n]), F.lit(0))) for n in lengths])
+    table = cut(by_words.select(own.alias("hash"), "gram", "length", "items"))
 
     wordy = texts.where(F.col("text").isNotNull()).select(
         text_key(F.col("text")).alias("key"),
-        let(_words(F.col("text")), lambda words: F.struct(words.alias("words"), hashed(words).alias("hashes"))).alias("x"),
+        let(_words(F.col("text")), lambda words: F.struct(words.alias("words"), _hashes(words, lengths).alias("hashes"))).alias("x"),
     )
-    found = None
-    for n in lengths:
-        # outer, as a filter on the array would otherwise be put before it and compute it again
-        probes = wordy.select("key", "x.words", F.posexplode_outer(f"x.hashes.h{n}").alias("start", "hash"))
-        same = F.slice("words", F.col("start") + 1, F.lit(n)) == F.col("gram")
-        here = probes.join(table.where(F.col("length") == n).drop("length"), "hash").where(same)
-        here = here.select("key", "start", F.lit(n).alias("length"), F.explode_outer("items").alias("item_id"))
-        found = here if found is None else found.unionByName(here)
-    return found.distinct()
+    start = _start(F.col("place"), F.col("n_words"), F.col("length"), lengths)
+    # outer, as a filter on the array would otherwise be put before it and compute it again
+    each = F.posexplode_outer("x.hashes").alias("place", "hash")
+    same = F.slice("words", F.col("start") + 1, F.col("length")) == F.col("gram")
+    if _broadcast_bytes(table) <= BROADCAST_BYTES:
+        probes = wordy.select("key", "x.words", F.size("x.words").alias("n_words"), each)
+        near = probes.join(F.broadcast(table), "hash").withColumn("start", start)
+    else:
+        # only hashes are shuffled; the words of a text are brought to what was found in it
+        probes = wordy.select("key", F.size("x.words").alias("n_words"), each)
+        slim = table.select("hash", "length", "gram", "items")
+        found = probes.join(slim, "hash").select("key", start.alias("start"), "length", "gram", "items").where("start IS NOT NULL").distinct()
+        near = found.join(wordy.select("key", "x.words").dropDuplicates(["key"]), "key")
+    # a condition of its own: as an equality of two sides it would become a key of the join, and every window would be sliced
+    here = near.where(F.coalesce(F.when(same, True), F.lit(False)))
+    return here.select("key", "start", "length", F.explode_outer("items").alias("item_id")).distinct()
 
 
 def hits_by_text(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, positions, items) per distinct text with a hit; both arrays are bounded by the text."""
+    """(key, positions, items) per distinct text with a hit; both arrays are bounded by the text.
+
+    Cut, so that a text with many copies is a partition of a join that can be split, not of a sum.
+    """
     hits = find_hits(texts, benchmark, window)
     covered = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
-    return (
-        hits.groupBy("key")
-        .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
-        .select("key", F.array_distinct(F.flatten(covered)).alias("positions"), "items")
-    )
+    by_text = hits.groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
+    return cut(by_text.select("key", F.array_distinct(F.flatten(covered)).alias("positions"), "items"))
 
 
 def judge(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
