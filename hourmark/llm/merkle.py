@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourmark.llm.ranks import ranked
-from hourmark.llm.words import let
-from hourmark.runtime import cut, new_path
+from hourmark.runtime import cut, new_path, small_side
 
 # Fixed values of the contract: the fields of a leaf in order, and which rows are tampered with.
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -37,7 +36,7 @@ TAMPER_EVERY = 7
 # Parameter: levels from one that is kept to the next.
 STEP = 4
 
-PATH = "array<struct<left: boolean, digest: string>>"
+PATH = "array<struct<left: boolean, digest: binary>>"
 
 
 # -- digests --------------------------------------------------------------------
@@ -74,16 +73,21 @@ def _siblings(levels: Column, at: Column, n: Column) -> Column:
     def beside(level: Column) -> Column:
         own = F.call_function("shiftright", at, level)
         other = own.bitwiseXOR(F.lit(1))
-        return F.struct((other < own).alias("left"), F.get(F.get(levels, level), other).alias("digest"))
+        return F.struct((other < own).alias("left"), F.unhex(F.get(F.get(levels, level), other)).alias("digest"))
 
     return F.transform(_steps(n), beside).cast(PATH)
 
 
+def _text(digest: Column) -> Column:
+    """The hex text of a digest that is kept in its 32 bytes."""
+    return F.lower(F.hex(digest))
+
+
 def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and its siblings lead to."""
 
     def up(node: Column, s: Column) -> Column:
-        beside = F.coalesce(s["digest"], F.lit(""))
+        beside = F.coalesce(_text(s["digest"]), F.lit(""))
         return F.sha2(F.when(s["left"], F.concat(beside, node)).otherwise(F.concat(node, beside)), 256)
 
     return F.aggregate(path, leaf, up)
@@ -91,7 +95,7 @@ def folded(leaf: Column, path: Column) -> Column:
 
 def path_digest(path: Column) -> Column:
     """The digest of the siblings of a path, from the leaf up."""
-    return F.sha2(F.array_join(F.filter(F.transform(path, lambda s: s["digest"]), lambda d: d.isNotNull()), ""), 256)
+    return F.sha2(F.array_join(F.filter(F.transform(path, lambda s: _text(s["digest"])), lambda d: d.isNotNull()), ""), 256)
 
 
 # -- trees ----------------------------------------------------------------------
@@ -112,10 +116,13 @@ def _left_to_fold(level: int) -> Column:
 
 
 def _subtrees(nodes: DataFrame, level: int) -> DataFrame:
-    """(group, members, block, nodes, n): the nodes of a level by aligned subtree, in order, and the levels above."""
+    """(group, block, members, n, nodes, levels): the nodes of a level by aligned subtree, in order and with
+    their other columns, and the digests of these and of the `n` levels above, computed again."""
+    own = [c for c in nodes.columns if c not in ("group", "rank", "members")]
     by_block = nodes.where(height(F.col("members")) > level).groupBy("group", "members", _block(F.col("rank")).alias("block"))
-    held = by_block.agg(F.sort_array(F.collect_list(F.struct("rank", "digest"))).alias("nodes"))  # 2**STEP at most
-    return held.select("group", "members", "block", F.col("nodes.digest").alias("nodes"), _left_to_fold(level).alias("n"))
+    held = by_block.agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*own).alias("node")))).alias("nodes"))  # 2**STEP at most
+    held = held.select("group", "block", "members", _left_to_fold(level).alias("n"), F.col("nodes.node").alias("nodes"))
+    return held.withColumn("levels", _levels(F.transform("nodes", lambda x: _text(x["digest"])), F.col("n")))
 
 
 def kept_levels(leaves: DataFrame) -> list[int]:
@@ -125,89 +132,82 @@ def kept_levels(leaves: DataFrame) -> list[int]:
 
 
 def write_levels(spark: SparkSession, leaves: DataFrame, path: str) -> list[int]:
-    """Keep the trees over `leaves` (group, rank, members, digest): a folder per kept level with the same
-    columns and the digest in its 32 bytes. Returns the levels, from the leaves up; the root of a group
-    is the one node of the last level it reaches."""
+    """Keep the trees over `leaves`: a folder per kept level with group, rank, members and digest. Returns the
+    levels, from the leaves up; the root of a group is the one node of the last level it reaches."""
     kept = kept_levels(leaves)
     nodes = leaves.select("group", "rank", "members", "digest")
     for level in kept:
         if level:
             made = _subtrees(read_level(spark, path, level - STEP), level - STEP)
-            top = F.get(F.element_at(_levels(F.col("nodes"), F.col("n")), -1), F.lit(0))
-            nodes = made.select("group", F.col("block").alias("rank"), "members", top.alias("digest"))
-        nodes.withColumn("digest", F.unhex("digest")).write.parquet(f"{path}/level={level}")
+            top = F.get(F.element_at("levels", -1), F.lit(0))
+            nodes = made.select("group", F.col("block").alias("rank"), "members", F.unhex(top).alias("digest"))
+        nodes.write.parquet(f"{path}/level={level}")
     return kept
 
 
 def read_level(spark: SparkSession, path: str, level: int) -> DataFrame:
-    kept = spark.read.parquet(f"{path}/level={level}")
-    return kept.withColumn("digest", F.lower(F.hex("digest")))
+    return spark.read.parquet(f"{path}/level={level}")
 
 
 def roots(spark: SparkSession, path: str, levels: list[int]) -> DataFrame:
     """(group, root) of every group: its node at the first kept level that has no other."""
-    at = lambda level: read_level(spark, path, level).where(
-        (height(F.col("members")) <= level) & ((height(F.col("members")) > level - STEP) if level else F.lit(True))
-    )
-    return reduce(DataFrame.unionByName, [at(level).select("group", F.col("digest").alias("root")) for level in levels])
+    tall = height(F.col("members"))
+    first = lambda level: (tall <= level) & ((tall > level - STEP) if level else F.lit(True))
+    at = lambda level: read_level(spark, path, level).where(first(level)).select("group", F.col("digest").alias("root"))
+    return reduce(DataFrame.unionByName, map(at, levels))
 
 
-def paths(spark: SparkSession, path: str, levels: list[int]) -> DataFrame:
-    """(group, rank, path): the siblings of every leaf up to the root of its group."""
+def paths(spark: SparkSession, path: str, levels: list[int], leaves: DataFrame) -> DataFrame:
+    """The leaves of kept trees with `path`: the siblings of each up to the root of its group.
+
+    Leaves come with their subtrees, so they are shuffled as they are and never with their paths.
+    """
     upper = None
     for level in reversed(levels):
-        nodes = read_level(spark, path, level)
-        alone = nodes.where(height(F.col("members")) <= level).where("rank = 0").select("group", "rank", F.array().cast(PATH).alias("path"))
+        nodes = read_level(spark, path, level) if level else leaves
+        own = [c for c in nodes.columns if c not in ("group", "rank", "members")]
+        alone = nodes.where((height(F.col("members")) <= level) & (F.col("rank") == 0)).withColumn("path", F.array().cast(PATH))
         made = _subtrees(nodes, level)
         if upper is None:
             made = made.withColumn("path", F.array().cast(PATH))
         else:
             above = upper.select(F.col("group").alias("__group"), F.col("rank").alias("__block"), "path")
             made = made.join(above, F.col("group").eqNullSafe(F.col("__group")) & (F.col("block") == F.col("__block")))
-        siblings = let(
-            _levels(F.col("nodes"), F.col("n")),
-            lambda levels_: F.transform(
-                F.get(levels_, F.lit(0)), lambda _, k: F.struct(k.alias("k"), _siblings(levels_, k, F.col("n")).alias("path"))
-            ),
-        )
-        members = made.select("group", "block", F.col("path").alias("upper"), F.explode_outer(siblings).alias("m"))
+        beside = F.transform("nodes", lambda x, k: F.struct(k.alias("k"), x.alias("node"), _siblings(F.col("levels"), k, F.col("n")).alias("path")))
+        each = made.select("group", "block", "members", F.col("path").alias("upper"), F.explode_outer(beside).alias("m"))
         rank = F.shiftleft("block", STEP) + F.col("m.k")
-        upper = members.select("group", rank.alias("rank"), F.concat("m.path", "upper").alias("path")).unionByName(alone)
-        if level:
-            upper = cut(upper)  # a 2**STEP-th of the level below
+        steps = F.concat("m.path", "upper").alias("path")
+        upper = each.select("group", rank.alias("rank"), "members", *[f"m.node.{c}" for c in own], steps).unionByName(alone)
+        upper = cut(upper) if level else upper  # a 2**STEP-th of the level below
     return upper
 
 
 def manifest(spark: SparkSession, leaves: DataFrame, path: str) -> DataFrame:
-    """Write the manifest of `leaves` (group, key, digest, …) under `path`.
+    """Write the manifest of `leaves` (group, key, digest in 32 bytes, …) under `path`.
 
     `path/leaves` and `path/groups` hold the leaves, and the roots of the groups, with their places;
     `path/tree` and `path/top` the kept levels above. Returns one row with the root, null if there is no leaf.
     """
-    placed = ranked(cut(leaves), ["group"], ["key", "digest"])
-    placed.write.parquet(f"{path}/leaves")
-    placed = spark.read.parquet(f"{path}/leaves")
-    levels = write_levels(spark, placed, f"{path}/tree")
+    ranked(cut(leaves), ["group"], ["key", "digest"]).write.parquet(f"{path}/leaves")
+    levels = write_levels(spark, spark.read.parquet(f"{path}/leaves"), f"{path}/tree")
     subroots = cut(roots(spark, f"{path}/tree", levels).select(F.lit(0).alias("all"), F.col("group").alias("key"), F.col("root").alias("digest")))
     ranked(subroots, ["all"], ["key", "digest"]).withColumnRenamed("all", "group").write.parquet(f"{path}/groups")
-    groups = spark.read.parquet(f"{path}/groups")
-    top = write_levels(spark, groups, f"{path}/top")
-    return roots(spark, f"{path}/top", top).agg(F.max("root").alias("root"))
+    top = write_levels(spark, spark.read.parquet(f"{path}/groups"), f"{path}/top")
+    return roots(spark, f"{path}/top", top).agg(F.max(_text(F.col("root"))).alias("root"))
 
 
 def proofs(spark: SparkSession, path: str) -> DataFrame:
-    """Every leaf of a manifest with all its columns but the places, and subroot, root and path."""
+    """Every leaf of a manifest with all its columns, and subroot, root and path; digests as hex text."""
     leaves, groups = (spark.read.parquet(f"{path}/{name}") for name in ("leaves", "groups"))
-    tree, top = kept_levels(leaves), kept_levels(groups)
-    root = roots(spark, f"{path}/top", top).select("root", F.lit(0).alias("group"))
-    lasts = paths(spark, f"{path}/top", top).join(groups.select("group", "rank", "key", "digest"), ["group", "rank"]).join(root, "group")
-    lasts = cut(lasts.select(F.col("key").alias("__group"), F.col("digest").alias("subroot"), "root", F.col("path").alias("__last")))
-    at = paths(spark, f"{path}/tree", tree).select(F.col("group").alias("__of"), F.col("rank").alias("__rank"), F.col("path").alias("__path"))
-    # a leaf and its path meet by place, of which each has one; a group and its last steps by the group
-    joined = leaves.join(at, F.col("group").eqNullSafe(F.col("__of")) & (F.col("rank") == F.col("__rank")))
-    joined = joined.join(lasts, F.col("group").eqNullSafe(F.col("__group")))
-    own = [c for c in leaves.columns if c not in ("rank", "members")]
-    return joined.select(*own, "subroot", "root", F.concat("__path", "__last").alias("path"))
+    top = kept_levels(groups)
+    root = roots(spark, f"{path}/top", top).select(F.col("group"), _text(F.col("root")).alias("root"))
+    lasts = paths(spark, f"{path}/top", top, groups).join(root, "group")
+    lasts = cut(lasts.select(F.col("key").alias("__group"), _text(F.col("digest")).alias("subroot"), "root", F.col("path").alias("__last")))
+    found = paths(spark, f"{path}/tree", kept_levels(leaves), leaves)
+    # a group and its last steps meet by the group: one row each, sent to every task while they are few
+    joined = found.join(small_side(lasts), F.col("group").eqNullSafe(F.col("__group")))
+    own = [c for c in leaves.columns if c not in ("rank", "members", "digest")]
+    return joined.select(*own, _text(F.col("digest")).alias("digest"), "subroot", "root", F.concat("path", "__last").alias("path"))
 
 
 # -- documents ------------------------------------------------------------------
@@ -221,8 +221,8 @@ def document_leaves(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("lang").alias("group"),
         F.col("doc_id").alias("key"),
-        leaf_digest([F.col(c) for c in FIELDS]).alias("digest"),
-        F.when(chosen, leaf_digest([changed.get(c, F.col(c)) for c in FIELDS])).alias("tampered"),
+        F.unhex(leaf_digest([F.col(c) for c in FIELDS])).alias("digest"),
+        F.when(chosen, F.unhex(leaf_digest([changed.get(c, F.col(c)) for c in FIELDS]))).alias("tampered"),
     )
 
 
@@ -235,7 +235,7 @@ def judge(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     path = new_path(spark, "merkle")
     manifest(spark, document_leaves(documents), path)
-    made = proofs(spark, path).withColumn("folded_root", folded(F.coalesce("tampered", "digest"), F.col("path")))
+    made = proofs(spark, path).withColumn("folded_root", folded(F.coalesce(_text(F.col("tampered")), F.col("digest")), F.col("path")))
     return made.select(
         F.col("key").alias("doc_id"),
         F.col("digest").alias("leaf"),

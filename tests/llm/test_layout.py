@@ -237,6 +237,6 @@ def test_only_every_few_levels_are_kept(spark):
     assert len(proofs) == 300 and all(len(r.path) == 9 for r in proofs)
     # a changed row, and a proof with one digest exchanged, do not lead to the root
     made = spark.createDataFrame(proofs[:5], merkle.proofs(spark, path).schema)
-    bad = F.transform("path", lambda s, k: F.when(k == 3, s.withField("digest", F.lit("0" * 64))).otherwise(s))
+    bad = F.transform("path", lambda s, k: F.when(k == 3, s.withField("digest", F.unhex(F.lit("0" * 64)))).otherwise(s))
     both = made.select(merkle.folded(F.col("digest"), F.col("path")).alias("good"), merkle.folded(F.col("digest"), bad).alias("bad"))
     assert {r.good for r in both.collect()} == {root} and root not in {r.bad for r in both.collect()}
