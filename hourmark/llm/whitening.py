@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,10 +218,19 @@ def products(y: np.ndarray) -> np.ndarray:
     return part.T @ part
 
 
-def _summed(parts: DataFrame) -> dict[tuple[int, int], Decimal]:
-    """Parts (i, row) added up over all tasks: {(i, j): sum}, a square of the dimensions at most."""
-    each = parts.select("i", F.posexplode("row").alias("j", "v"))
-    return {(r.i, r.j): r.v for r in each.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+def _summed(parts: DataFrame) -> dict[int, list]:
+    """Rows (i, row) of all tasks added up by i: {i: row}, a square of the dimensions at most. A group has
+    one row of a task."""
+    whole = "decimal" in parts.schema["row"].dataType.simpleString()
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        if whole:
+            total = [Decimal(sum(map(int, column))) for column in zip(*rows["row"])]
+        else:
+            total = np.sum(np.stack(list(rows["row"])), axis=0)
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [total]})
+
+    return {r.i: r.row for r in parts.groupBy("i").applyInPandas(added, parts.schema).collect()}
 
 
 WHOLE_ROWS = "i int, row array<decimal(38,0)>"
@@ -247,18 +257,19 @@ def covariance(fit: DataFrame) -> tuple[int, list[int], np.ndarray]:
     found = _summed(fit.mapInArrow(_sums, WHOLE_ROWS))
     if not found:
         return 0, [], np.zeros((0, 0))
-    n, *sums = (int(found[0, j]) for j in range(len(found)))
+    n, *sums = map(int, found[0])
     size, centre = len(sums), np.array([(2 * s + n) // (2 * n) for s in sums], dtype=np.int64)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size), dtype=object)
+        total, any_ = np.zeros((size, size), dtype=object), False
         for _, x in _chunks(batches):
-            total += products(x - centre)
-        yield _whole_parts(total)
+            total, any_ = total + products(x - centre), True
+        if any_:
+            yield _whole_parts(total)
 
     found = _summed(fit.mapInArrow(of_task, WHOLE_ROWS))
     left = [s - n * int(c) for s, c in zip(sums, centre)]  # n times what is left of the mean
-    made = [[(n * int(found[i, j]) - left[i] * left[j]) / (n * n) for j in range(size)] for i in range(size)]
+    made = [[(n * int(found[i][j]) - left[i] * left[j]) / (n * n) for j in range(size)] for i in range(size)]
     return n, sums, np.array(made)
 
 
@@ -281,7 +292,7 @@ def identity_error(fit: DataFrame, model: Whitening) -> float:
         yield _parts(total.tolist(), pa.float64())
 
     found = _summed(fit.mapInArrow(of_task, "i int, row array<double>"))
-    table = np.array([[found[i, j] for j in range(many + 1)] for i in range(many)]) / model.n
+    table = np.array([found[i] for i in range(many)]) / model.n
     mean = table[:, many]
     return float(np.abs(table[:, :many] - np.outer(mean, mean) - np.eye(many)).max())
 
