@@ -27,9 +27,10 @@ from hourmark.runtime import cut
 # Fixed values of the contract: weights by rank of the source, repeating, and the most passes.
 WEIGHTS = [5, 2, 1]
 MOST_PASSES = 3
-# Parameters: words in a block, pieces a source is summed in, slots of a piece of the schedule,
-# cells of the unit interval that points and weights meet in.
+# Parameters: words in a block, blocks that a target is made of at least, pieces a source is summed in,
+# slots of a piece of the schedule, cells of the unit interval that points and weights meet in.
 BLOCK_WORDS = 128
+LEAST_BLOCKS = 32
 PIECES = 1024
 SLOT_PIECE = 4096
 CELLS = 1024
@@ -89,10 +90,12 @@ def _laid_out(sized: DataFrame, pieces: int) -> DataFrame:
 def source_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Adds `blocks`, into which the source is cut, and `quota`, the slots that make up its target.
 
-    The blocks of a source are equally long to within a word, and about `block_words` words.
+    The blocks of a source are equally long to within a word, and about `block_words` words; where the
+    target is small they are as short as it takes to meet it to within a 64th, or one word.
     """
     filled = F.col("source_size") > 0
-    blocks = F.when(filled, F.greatest(F.round(F.col("source_size") / block_words), F.lit(1.0)).cast("bigint")).otherwise(0)
+    length = F.greatest(F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS)), F.lit(1))
+    blocks = F.when(filled, F.greatest(F.round(F.col("source_size") / length), F.lit(1.0)).cast("bigint")).otherwise(0)
     quota = F.when(filled, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint")).otherwise(0)
     return targets.withColumn("blocks", blocks).withColumn("quota", quota)
 
@@ -162,12 +165,15 @@ def _missing(sources: DataFrame, counts: DataFrame, slot: int) -> DataFrame:
 def measured(documents: DataFrame) -> DataFrame:
     """(row, doc_id, source, size, mark): the slim table all sums work on, written once.
 
-    `mark` shuffles, `row` tells repeated rows apart.
+    `mark` shuffles; `row` tells rows apart that are equal in all of these, which may change places.
     """
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(BLANK_WORD))).cast("bigint")
-    return documents.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source").alias("mark")
-    )
+    return documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"), document_mark().alias("mark"))
+
+
+def document_mark() -> Column:
+    """What orders the documents of a source: a digest of id, source and text, not of how they are stored."""
+    return F.xxhash64("doc_id", "source", "text")
 
 
 def _parts(sized: DataFrame, about: DataFrame, pieces: int) -> DataFrame:
@@ -189,6 +195,8 @@ def _drawn(sources: DataFrame, about: DataFrame) -> DataFrame:
     return placed.select("slot", "__source", (F.col("rank") % F.col("blocks")).alias("__block"))
 
 
+# A word and the blanks after it.
+WORD_AND_BLANKS = BLANK_WORD + BLANK_WORD.replace("[^", "[").replace("+", "*")
 SAME_BLOCK = "source <=> __source AND block = __block"
 
 
@@ -212,8 +220,28 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mixed_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself, (slot, doc_id, source, first, after): words `first` up to `after` of a document
     stand in a slot; the slots in order, and in them the rows of a slot, are the mixed corpus."""
+    return _placed_parts(documents, block_words).select("slot", "doc_id", "source", "first", "after")
+
+
+def _placed_parts(documents: DataFrame, block_words: int) -> DataFrame:
     sized = cut(measured(documents))
     sources = cut(source_blocks(source_targets(sized), block_words))
     about = sources.withColumnRenamed("source", "__source")
     drawn = _parts(sized, about, PIECES).join(_drawn(sources, about), F.expr(SAME_BLOCK))
-    return drawn.join(sized.select("row", "doc_id"), "row").select("slot", "doc_id", "source", "first", "after")
+    return drawn.join(sized.select("row", "doc_id", "mark"), "row").select("slot", "doc_id", "source", "first", "after", "mark")
+
+
+def mixed_text(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mixed corpus, (slot, doc_id, source, first, after, text): the mix with the words themselves, and
+    what follows each of them, as they stand in the document.
+
+    Texts are shuffled once, to the parts that are taken of them; documents of which nothing is taken
+    match nothing. Rows with one id, source and text are one text here, and its parts are those of all.
+    """
+    parts = _placed_parts(documents, block_words).withColumnRenamed("mark", "__mark")
+    texts = documents.where(F.col("text").isNotNull()).select(document_mark().alias("mark"), "doc_id", "source", "text").dropDuplicates(["mark"])
+    words = F.regexp_extract_all("text", F.lit(WORD_AND_BLANKS), F.lit(0))
+    whole = texts.select("mark", words.alias("words"))
+    found = parts.join(whole, F.col("mark") == F.col("__mark"))
+    text = F.array_join(F.slice("words", (F.col("first") + 1).cast("int"), (F.col("after") - F.col("first")).cast("int")), "")
+    return found.select("slot", "doc_id", "source", "first", "after", text.alias("text"))

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import re
+import struct
 import zlib
+from fractions import Fraction
 
 import xxhash
 
@@ -90,6 +92,39 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         full |= over
 
 
+def mark(doc_id, source, text):
+    """The engine's digest of some columns: each seeds the next, nulls are passed over."""
+    h = 42
+    for value in (doc_id, source, text):
+        if value is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", value) if isinstance(value, int) else value.encode(), seed=h)
+    return h
+
+
+def mix(docs, block_words=128):
+    """docs in the order of cases.DOCS -> words taken of each: a source's documents laid end to end in the
+    order of their digests, cut into blocks, and taken block by block until the quota is filled."""
+    by_source = {}
+    for k, (doc_id, text, _, source, _) in enumerate(docs):
+        h = mark(doc_id, source, text)
+        words = len(BLANK_WORD.findall(text or ""))
+        by_source.setdefault(source, []).append(((h >> 40) % 1024, h - (h >> 63 << 64), k, words))
+    sizes = {s: sum(r[3] for r in rows) for s, rows in by_source.items()}
+    want, taken = targets(sizes), [0] * len(docs)
+    for source, rows in by_source.items():
+        size = sizes[source]
+        if not size:
+            continue
+        length = max(1, min(block_words, int(want[source] // 32)))
+        blocks = max(1, int(Fraction(size, length) + Fraction(1, 2)))
+        quota = int(Fraction(want[source]) * blocks / size + Fraction(1, 2))
+        order = [k for _, _, k, n in sorted(rows) for _ in range(n)]
+        for b in range(blocks):
+            for k in order[b * size // blocks : (b + 1) * size // blocks]:
+                taken[k] += quota // blocks + (b < quota % blocks)
+    return want, taken
+
+
 def fingerprint(text):
     words = [w.encode() for w in BLANK_WORD.findall((text or "").translate(UPPER))]
     shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []

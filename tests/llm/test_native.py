@@ -1,6 +1,7 @@
 """URL rules, decontamination, quality rules and mixing."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,47 @@ def test_contaminated_documents_or_spans_go(spark):
     assert all(not brute.contamination(t, ITEMS)[4] for t in cut.values())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+VARIED = [(n, " ".join(f"w{(n * 7 + k) % 23}" for k in range(n))) for n in range(3, 14)]
+
+
+@pytest.mark.parametrize("bound", [0, decontaminate.BROADCAST_BYTES])
+def test_items_of_many_lengths_and_a_table_too_large_to_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"W{rng.randrange(23) if rng.random() < 0.1 else (i + k) % 23}" for k in range(rng.choice([0, 1, 5, 40, 400]))), None, None, None) for i in range(60)]
+    docs += docs[:3] + [(None, docs[4][1], None, None, None), (70, None, None, None, None)]
+    items = frame(spark, VARIED + ITEMS, "item_id bigint, text string")
+    got = decontaminate.judge(frame(spark, docs, cases.DOCS), items)
+    want = ordered([(d[0], *brute.contamination(d[1], VARIED + ITEMS)) for d in docs])
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
+def test_plan_of_the_probes(spark, monkeypatch, tmp_path):
+    frame(spark, cases.documents(), cases.DOCS).write.parquet(str(tmp_path / "d"))
+    docs, items = spark.read.parquet(str(tmp_path / "d")), frame(spark, VARIED, "item_id bigint, text string")
+    near = plan_of(decontaminate.find_hits(docs, items)).split("== Initial Plan ==")[0]
+    assert near.count("FileScan parquet") == 1 and near.count("Generate posexplode") == 1
+    (join,) = [line for line in near.split("\n") if "BroadcastHashJoin" in line]
+    keys, condition = join.split("Inner")
+    assert "slice" not in keys and "slice" in condition
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(conf, "-1")
+    try:
+        far = plan_of(decontaminate.find_hits(docs, items)).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset(conf)
+    joins = [line for line in far.split("\n") if "SortMergeJoin" in line]
+    assert len(joins) == 2 and all("slice" not in line.split("Inner")[0] for line in joins)
+    # words travel with the key of their text, never with the windows
+    exchanges = [line for line in far.split("\n") if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(hash" in line for line in exchanges) and not any("slice" in line or "words" in line for line in exchanges)
+
+
 def test_contamination_empty(spark):
     docs, items = frame(spark, [(1, "a b", None, None, None)], cases.DOCS), frame(spark, ITEMS, "item_id bigint, text string")
     assert decontaminate.judge(docs.limit(0), items).count() == 0
@@ -169,10 +211,38 @@ def test_blocks_hold_what_the_mix_takes(spark):
     assert all(len({s for s, _ in rows}) == 1 and 1 <= sum(n for _, n in rows) <= 24 for rows in slots.values())
 
 
-def test_mix_is_the_same_again(spark):
-    docs = cases.documents()
-    columns = "doc_id", "source", "size", "taken"
-    assert rows_of(mixed(spark, docs), *columns) == rows_of(mixed(spark, docs), *columns)
+def small_sources():
+    rng = random.Random(4)
+    docs = [(k, cases.prose(rng, rng.randint(6, 14)), None, f"s{k:03}", None) for k in range(200)]
+    docs += [(900 + k, cases.prose(rng, 300), None, ["big", None][k % 2], None) for k in range(20)]
+    docs += [(None, cases.prose(rng, 9), None, "s001", None) for _ in range(50)] + [(7, cases.prose(rng, 5), None, "s007", None) for _ in range(20)]
+    return docs + docs[:10]
+
+
+@pytest.mark.parametrize("made", [cases.documents, small_sources])
+def test_mix_like_a_sequential_one(spark, made):
+    docs = made()
+    want, taken = brute.mix(docs)
+    expected = ordered([(d[0], d[3], len(brute.BLANK_WORD.findall(d[1] or "")), n) for d, n in zip(docs, taken)])
+    for df in (frame(spark, docs, cases.DOCS).coalesce(1), frame(spark, docs, cases.DOCS).repartition(5)):
+        assert rows_of(mixing.mix(df), "doc_id", "source", "size", "taken") == expected
+    sums = dict.fromkeys(want, 0)
+    for d, n in zip(docs, taken):
+        sums[d[3]] += n
+    assert all(abs(sums[s] - want[s]) <= max(1, 0.02 * want[s]) for s in want)
+
+
+def test_the_mixed_text_is_that_of_the_documents(spark):
+    docs = small_sources() + cases.documents()
+    df = frame(spark, docs, cases.DOCS, [*cases.CLASHING, "slot", "words", "__mark"]).repartition(3)
+    texts = {}
+    for d in docs:
+        texts.setdefault((d[0], d[3]), []).append(brute.re.findall(r"[^ \t-\r]+[ \t-\r]*", d[1] or ""))
+    rows = mixing.mixed_text(df).collect()
+    assert all(r.text in {"".join(words[r["first"] : r.after]) for words in texts[r.doc_id, r.source]} for r in rows)
+    assert sum(r.after - r["first"] for r in rows) == sum(brute.mix(docs)[1])
+    assert all(len(brute.BLANK_WORD.findall(r.text)) == r.after - r["first"] for r in rows)
+    assert mixing.mixed_text(df.limit(0)).count() == 0
 
 
 def test_targets_stop_at_three_sizes(spark):
