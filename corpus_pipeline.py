@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourmark.llm import decontaminate, mixing, pii, quality, simhash
+from hourmark.llm import decontaminate, folders, mixing, pii, quality, simhash
 from hourmark.runtime import new_path
 
 ORACLE_SQL = None
@@ -42,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents of which it takes nothing go."""
-    return mixing.mix(docs).where("taken > 0")
+    """The mixed corpus: a row for every stretch of a document that a slot of the mix takes, with its text."""
+    return mixing.mixed_text(docs)
 
 
 STAGES = [
@@ -56,10 +56,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over the documents. What a stage has kept is deleted once the next one is written; the last
+    one's documents stay, as the result is made from them."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = new_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            folders.remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
