@@ -40,28 +40,33 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.runtime import new_path
+from hourmark.llm.folders import folder_bytes, remove
+from hourmark.runtime import cut, new_path
 
 # Fixed value of the contract.
 LENGTH = 50
 # Parameters: bytes of a gram and the grams of a window; bytes of a piece of text, of a stride that is
-# hashed at a time, and of a shard; the
-# documents from which a seed's windows are dealt out singly; symbols merged at a time; buckets per
-# shuffle partition, so that a task holds little at a time.
+# hashed at a time, and of a shard; the documents, or windows, from which a seed's windows are dealt out
+# singly; symbols merged at a time; packed bytes of text for every bucket, so that buckets grow with the
+# data and not in size; buckets of a task, which has one of them at a time; most tasks of a stage.
 GRAM = 24
 GRAMS = LENGTH - GRAM + 1
 PIECE_BYTES = 1 << 20
 STRIDE = 1 << 16
 SHARD_BYTES = 8 << 20
 HOT_DOCS = 50_000
+HOT_WINDOWS = 4_000_000
 MERGE_SYMBOLS = 1 << 18
+BUCKET_BYTES = 1 << 20
 BUCKETS_PER_TASK = 4
+MOST_TASKS = 20_000
 TEXT_BATCH, BLOB_BATCH = 256, 8
 
 POSITION_BITS = 28
+SHARD_BITS = 24
 SEED_BITS = 48
 NO_ID = np.iinfo(np.int64).max
 
@@ -77,16 +82,16 @@ BYTE_VALUES = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B
 FACTOR = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position on, put together from halves."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of the `gram` bytes from each position on, put together from halves."""
     powers = {1: BYTE_VALUES[data]}
     n = 1
-    while 2 * n <= GRAM:
+    while 2 * n <= gram:
         factor = np.uint64(pow(FACTOR, n, 1 << 64))
         powers[2 * n] = powers[n][:-n] * factor + powers[n][n:]
         n *= 2
     made, covered = powers[n], n
-    for p in sorted((p for p in powers if p < n and GRAM & p), reverse=True):
+    for p in sorted((p for p in powers if p < n and gram & p), reverse=True):
         size = len(data) - covered - p + 1
         made = made[:size] * np.uint64(pow(FACTOR, p, 1 << 64)) + powers[p][covered : covered + size]
         covered += p
@@ -181,13 +186,14 @@ def _rows(*rows: tuple) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=COLUMNS)
 
 
-def _distinct_docs(seeds: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct seeds, and how many documents each occurs in."""
+def _distinct_docs(seeds: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct seeds, how many documents each occurs in, and how many windows have it."""
     order = np.lexsort((docs, seeds))
     seeds, docs = seeds[order], docs[order]
-    fresh = np.concatenate(([True], (np.diff(seeds) != 0) | (np.diff(docs) != 0)))
-    values, counts = np.unique(seeds[fresh], return_counts=True)
-    return values, counts
+    turns = np.diff(seeds) != 0
+    first = np.flatnonzero(np.concatenate(([True], turns)))
+    fresh = np.concatenate(([True], turns | (np.diff(docs) != 0)))
+    return seeds[first], np.add.reduceat(fresh.astype(np.int64), first), np.add.reduceat(windows[order].astype(np.int64), first)
 
 
 def _documents(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +210,7 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def piece() -> pd.DataFrame:
         data, starts = _documents(texts)
-        return _rows((TEXT, task << 24 | shard, part, pack(data, starts, np.array(ids, np.int64))))
+        return _rows((TEXT, task << SHARD_BITS | shard, part, pack(data, starts, np.array(ids, np.int64))))
 
     for batch in batches:
         for doc_id, value in zip(batch["doc_id"], batch["bytes"]):
@@ -224,26 +230,27 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _seeds(buckets: int):
     """Pieces of text to the sorted distinct seeds of what a task reads of each shard, by bucket."""
 
-    def sent(shard: int, seeds: list[np.ndarray], docs: list[np.ndarray]) -> pd.DataFrame:
+    def sent(shard: int, seeds: list[np.ndarray], docs: list[np.ndarray], windows: list[np.ndarray]) -> pd.DataFrame:
         rows = []
         if sum(map(len, seeds)):
-            values, counts = _distinct_docs(np.concatenate(seeds), np.concatenate(docs))
+            values, counts, held = _distinct_docs(np.concatenate(seeds), np.concatenate(docs), np.concatenate(windows))
             edges = _bucket_edges(values, buckets)
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                rows.append((SEEDS, shard, int(b), pack_sorted(values[part], counts[part])))
+                rows.append((SEEDS, shard, int(b), pack_sorted(values[part], counts[part], held[part])))
         return _rows(*rows)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for shard, rows in _grouped(batches, "shard"):
-            seeds, docs = [], []
+            seeds, docs, windows = [], [], []
             for _, _, _, blob in rows:
                 data, starts, ids = unpack_text(blob)
-                here, first, _ = seed_runs(data, starts)
+                here, first, count = seed_runs(data, starts)
                 owner = ids[np.searchsorted(starts, first, "right") - 1]
                 seeds.append(here[owner != NO_ID])
                 docs.append(owner[owner != NO_ID])
-            yield sent(shard, seeds, docs)
+                windows.append(count[owner != NO_ID])
+            yield sent(shard, seeds, docs, windows)
 
     return found
 
@@ -273,16 +280,17 @@ def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(seeds, kind="stable")
         ordered = seeds[order]
         fresh = np.concatenate(([True], np.diff(ordered) != 0))
-        total = np.add.reduceat(np.concatenate([r[2] for r in runs]).astype(np.int64)[order], np.flatnonzero(fresh))
-        of_seed = np.empty(len(seeds), np.int64)
-        of_seed[order] = total[np.cumsum(fresh) - 1]
+        first, of_order = np.flatnonzero(fresh), np.empty(len(seeds), np.int64)
+        of_order[order] = np.cumsum(fresh) - 1
+        docs, windows = (np.add.reduceat(np.concatenate([r[k] for r in runs]).astype(np.int64)[order], first) for k in (2, 3))
+        hot = (docs >= HOT_DOCS) | (windows >= HOT_WINDOWS)
         at = 0
-        for shard, values, _ in runs:
-            here = of_seed[at : at + len(values)]
+        for shard, values, *_ in runs:
+            here = of_order[at : at + len(values)]
             at += len(values)
-            again = here > 1
+            again = docs[here] > 1
             if again.any():
-                yield _rows((SEEDS, shard, int(bucket), pack_sorted(values[again], here[again] >= HOT_DOCS)))
+                yield _rows((SEEDS, shard, int(bucket), pack_sorted(values[again], hot[here][again])))
 
 
 # -- contexts -------------------------------------------------------------------------
@@ -434,6 +442,30 @@ def least_docs(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[
     return [lowest[a:b][is_window[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _sharing(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: list[list[list[int]]]) -> list[list[list[int]]]:
+    """The groups without the contexts that have no window in common with another: equal windows have equal
+    hashes, so a context none of whose hashes occurs in a second one is settled by itself."""
+    firsts = np.array([same[0] for group in groups for same in group], np.int64)
+    if not len(firsts):
+        return []
+    lengths = sizes[firsts]
+    ends = np.cumsum(lengths)
+    laid = np.concatenate([data[begins[i] : begins[i] + sizes[i]] for i in firsts.tolist()])
+    windows = lengths - LENGTH + 1
+    owner = np.repeat(np.arange(len(firsts)), windows)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = gram_hashes(laid, LENGTH)[(ends - lengths)[owner] + inner]
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(hashes) != 0)))
+    several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    kept = np.zeros(len(firsts), bool)
+    kept[owner[np.repeat(several, np.diff(np.concatenate((first, [len(owner)]))))]] = True
+    flags = iter(kept.tolist())
+    left = [[same for same in group if next(flags)] for group in groups]
+    return [group for group in left if group]
+
+
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per bucket: the least doc_id of every window of every context, answered to its shard."""
     for bucket, rows in _grouped(batches, "part"):
@@ -459,6 +491,7 @@ def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 least[members] = docs[members].min()
             if len(same) > 1:
                 open_groups.append(list(same.values()))
+        open_groups = _sharing(data, begins, sizes, open_groups)
         windows = sizes - LENGTH + 1
         answers = np.repeat(least, windows)
         at = np.cumsum(windows) - windows
@@ -548,32 +581,54 @@ def _texts(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, gone: np.ndarr
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
 
+def _dealt(rows: DataFrame, tasks: int, number: Column, *order: str) -> DataFrame:
+    """Rows dealt to tasks by a number, in turn, and sorted there."""
+    return rows.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
+
+
 def without_repeats(documents: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept
     (null without `keep_bytes`)."""
-    spark = documents.sparkSession
-    buckets = BUCKETS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    return _without_repeats(documents, keep_bytes)[0]
 
-    def through(rows: DataFrame, key: str, *order: str) -> DataFrame:
-        return rows.repartition(key).sortWithinPartitions(key, *order)
 
+def _without_repeats(documents: DataFrame, keep_bytes: bool) -> tuple[DataFrame, list[str]]:
+    """The result, and the folders that it is made from."""
+    spark = documents.sparkSession
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(batch, str(TEXT_BATCH))
     plain = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    path = new_path(spark, "shards")
-    plain.mapInPandas(_shards, ROWS).write.option("compression", "none").parquet(path)
+    shards = new_path(spark, "shards")
+    plain.mapInPandas(_shards, ROWS).write.option("compression", "none").parquet(shards)
     spark.conf.set(batch, str(BLOB_BATCH))
-    text = spark.read.schema(ROWS).parquet(path)
-    seeds = text.mapInPandas(_seeds(buckets), ROWS)
-    again = through(seeds, "part").mapInPandas(_recurring, ROWS)
-    path = new_path(spark, "recurring")
-    again.write.option("compression", "none").parquet(path)
-    known = text.unionByName(spark.read.schema(ROWS).parquet(path))
-    contexts = through(known, "shard", "kind", "part").mapInPandas(_contexts(buckets), ROWS)
-    answers = through(contexts, "part").mapInPandas(_settled, ROWS)
-    return through(known.unionByName(answers), "shard", "kind", "part").mapInPandas(_covered(keep_bytes), RESULT)
+    text = spark.read.schema(ROWS).parquet(shards)
+
+    # a shard is numbered by the task that made it and its place there
+    made, place = F.shiftright("shard", SHARD_BITS), F.col("shard").bitwiseAND(F.lit((1 << SHARD_BITS) - 1))
+    many, of_task = text.agg(F.count_distinct("shard"), F.max(place) + 1).first()
+    many, of_task = max(1, many), of_task or 1
+    buckets = max(1, folder_bytes(spark, shards) // BUCKET_BYTES)
+
+    def by_shard(rows: DataFrame) -> DataFrame:
+        return _dealt(rows, min(many, MOST_TASKS), made * of_task + place, "shard", "kind", "part")
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        tasks = min(-(-buckets // BUCKETS_PER_TASK), MOST_TASKS)
+        return _dealt(rows, tasks, F.col("part"), "part")
+
+    again = by_bucket(text.mapInPandas(_seeds(buckets), ROWS)).mapInPandas(_recurring, ROWS)
+    recurring = new_path(spark, "recurring")
+    again.write.option("compression", "none").parquet(recurring)
+    known = text.unionByName(spark.read.schema(ROWS).parquet(recurring))
+    contexts = by_shard(known).mapInPandas(_contexts(buckets), ROWS)
+    answers = by_bucket(contexts).mapInPandas(_settled, ROWS)
+    return by_shard(known.unionByName(answers)).mapInPandas(_covered(keep_bytes), RESULT), [shards, recurring]
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """The digest of `without_repeats`, one row per document."""
-    return without_repeats(documents, keep_bytes=False).drop("kept")
+    result, folders = _without_repeats(documents, keep_bytes=False)
+    result = cut(result.drop("kept"))
+    for folder in folders:
+        remove(documents.sparkSession, folder)
+    return result
