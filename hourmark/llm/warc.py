@@ -3,8 +3,9 @@
 Every record is a gzip member of its own. The reader takes a stream in pieces, inflates it a piece at
 a time, frames records by Content-Length and recomputes the digests they state; anything that does
 not add up is an error. Archives are written and read by the tasks themselves through
-`pyarrow.fs`, in the folder all of them share: a file gets its name only when it is complete, so a
-task that runs again replaces its files and leaves none half written.
+`pyarrow.fs`, in the folder all of them share, which is resolved as Spark resolves it; a store that
+tasks cannot open is refused. A file gets its name only when it is complete, so a task that runs again
+replaces its files and leaves none half written.
 
 Which record holds a payload is decided by Spark before: of the pages with equal payloads the one
 with the largest id is the response, and the others revisit it.
@@ -29,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.runtime import new_path
+from hourmark.llm.folders import shared_uri
+from hourmark.runtime import cut, new_path, small_side
 
 # Parameters: bytes of an archive before the next one is begun, bytes read at a time, rows of a batch.
 ARCHIVE_BYTES = 64 << 20
@@ -132,29 +134,34 @@ def read_records(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple[dict[st
 
 
 def decided(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, refers_to): the pages as records are to be written."""
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumn("same", F.sha2("payload", 256))
-    shared = pages.select(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("same"), "page_id")
-    shared = shared.groupBy("same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """(page_id, url, payload, refers_to): the pages as records are to be written.
+
+    What is decided, on digests and ids alone, is a row per payload that occurs more than once. While
+    these are few they are sent to the pages, which stay where they are read; else both are shuffled.
+    """
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    same = F.unhex(F.sha2(payload, 256)).alias("same")
+    shared = pages.select(same, "page_id").groupBy("same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.where("n > 1 AND holder IS NOT NULL").drop("n"))
+    own = pages.select("page_id", "url", payload.alias("payload"), same)
     revisits = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
-    return own.join(shared, "same", "left").select("page_id", "url", "payload", F.when(revisits, F.col("holder")).alias("refers_to"))
+    joined = own.join(small_side(shared), "same", "left")
+    return joined.select("page_id", "url", "payload", F.when(revisits, F.col("holder")).alias("refers_to"))
 
 
 def _whole(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
-def _opener(folder: str):
+def _opener(uri: str):
     from pyarrow.fs import FileSystem
 
-    path = folder.removeprefix("file:")
-    return FileSystem.from_uri(folder if "://" in folder else f"file://{path}")
+    return FileSystem.from_uri(uri)
 
 
-def _writer(folder: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _writer(uri: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = _opener(folder)
+        store, root = _opener(uri)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         done, stream = 0, None
@@ -182,13 +189,13 @@ def _writer(folder: str, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return write
 
 
-def _reader(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _reader(uri: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def page(name: str | None) -> int | None:
         value = (name or "").removeprefix(f"<{PAGE}").removesuffix(">")
         return int(value) if value else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = _opener(folder)
+        store, _ = _opener(uri)
         columns = [c.split()[0] for c in RECORDS.split(", ")]
         for batch in batches:
             for path in batch["path"]:
@@ -222,15 +229,16 @@ def write_archives(pages: DataFrame, folder: str, most: int = ARCHIVE_BYTES) ->
     """Write the pages as archives into `folder`; returns their manifest: path, records, bytes."""
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    store, root = _opener(folder)
-    store.create_dir(f"{root}/archives", recursive=True)
-    decided(pages).mapInPandas(_writer(f"{folder}/archives", most), MANIFEST).write.parquet(f"{folder}/manifest")
+    uri = shared_uri(spark, f"{folder}/archives")
+    store, root = _opener(uri)
+    store.create_dir(root, recursive=True)
+    decided(pages).mapInPandas(_writer(uri, most), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives the manifest lists, about an archive to a task."""
-    return manifest.select("path").repartition(min(max(1, manifest.count()), MOST_READERS)).mapInPandas(_reader(folder), RECORDS)
+    return manifest.select("path").repartition(min(max(1, manifest.count()), MOST_READERS)).mapInPandas(_reader(shared_uri(manifest.sparkSession, folder)), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
