@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from hourmark.llm import licenses, pii, quoting, repeats, simhash, warc
+from hourmark.llm import folders, licenses, pii, quoting, repeats, simhash, warc
 from hourmark.llm.graph import components
 from tests.llm import brute, cases
 from tests.llm.cases import frame, ordered, rows_of
@@ -25,11 +25,40 @@ def test_repeats_with_small_shards_and_hot_seeds(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
     docs = [d[:2] for d in cases.documents()]
     text, ids = [(t or "").encode() for _, t in docs], [repeats.NO_ID if i is None else i for i, _ in docs]
-    for hot in (2, 3, 10**6):
-        monkeypatch.setattr(repeats, "HOT_DOCS", hot)
+    for docs_of_hot, windows_of_hot in ((2, 10**9), (3, 10**9), (10**6, 10**9), (10**6, 1), (10**6, 30)):
+        monkeypatch.setattr(repeats, "HOT_DOCS", docs_of_hot)
+        monkeypatch.setattr(repeats, "HOT_WINDOWS", windows_of_hot)
         assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
 
 
+def test_one_gram_in_long_documents_with_ever_other_surroundings(monkeypatch):
+    """Few documents, but so many windows of one seed that they are dealt out singly."""
+    rng = random.Random(2)
+    rule = "-" * 30
+    docs = [(i, "".join(rule + "".join(rng.choices("abcdefgh ", k=40)) for _ in range(60))) for i in range(6)]
+    docs.append((9, docs[2][1][200:900]))
+    text, ids = [t.encode() for _, t in docs], [i for i, _ in docs]
+    dealt = []
+    keep = repeats._bucket_edges
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", 500)
+    monkeypatch.setattr(repeats, "_bucket_edges", lambda seeds, buckets: dealt.append(len(np.unique(seeds))) or keep(seeds, buckets))
+    assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
+    assert max(dealt[1:]) > 300  # contexts have keys of their own, not one
+
+
+def test_buckets_grow_with_the_data(spark, monkeypatch):
+    docs = frame(spark, cases.documents(), cases.DOCS)
+    made = []
+    keep = repeats._seeds
+    monkeypatch.setattr(repeats, "_seeds", lambda buckets: made.append(buckets) or keep(buckets))
+    for size in (1 << 20, 1 << 12):
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", size)
+        assert repeats.judge(docs).count() == docs.count()
+    assert made[0] < made[1] and made[1] >= 4
+
+
 def _in_one_process(texts, ids):
     """The steps of the job with its own functions, for parameters that tasks would not see."""
     import pandas as pd
@@ -190,6 +219,45 @@ def test_field_learns_what_held_out_spans_look_like():
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.95
 
 
+def private_prose(rng, spelt=lambda kind, span: span):
+    """Prose with one datum, and the span it is at."""
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    stem = number(15)
+    card = next(stem + str(d) for d in range(10) if brute.luhn(stem + str(d)))
+    kind = rng.choice(["email", "card", "phone"])
+    plain = {
+        "email": f"{rng.choice(['anna', 'bob', 'k.lee'])}.{number(2)}@{rng.choice(['mail', 'post', 'web'])}{number(1)}.example.com",
+        "card": f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", "phone": f"+1 ({number(3)}) 555-{number(4)}",
+    }[kind]
+    before, span = f"{cases.prose(rng, 6)} ", spelt(kind, plain)
+    return f"{before}{span} {cases.prose(rng, 5)}", (kind, len(before), len(before) + len(span))
+
+
+def test_spellings_that_the_patterns_miss(spark):
+    """Held-out spellings of data, and numbers that are nobody's: recall and precision of the added spans."""
+    rng = random.Random(41)
+    docs = [(k, private_prose(rng)[0]) for k in range(500)]
+    docs += [(k, f"{cases.prose(rng, 6)} {pii.lookalike(rng)} {cases.prose(rng, 5)}") for k in range(500, 800)]
+    field = pii.fit(frame(spark, docs, "doc_id bigint, text string"))
+    missed = right = wrong = 0
+    for _ in range(600):
+        text, span = private_prose(rng, lambda kind, plain: pii.respelt(kind, plain, rng))
+        base = pii.base_spans(text)
+        if span in base:
+            continue
+        got = set(pii.all_spans(text, field, base)) - set(base)
+        right, missed, wrong = right + (span in got), missed + (span not in got), wrong + len(got - {span})
+    for _ in range(400):
+        text = f"{cases.prose(rng, 6)} {pii.lookalike(rng)} {cases.prose(rng, 5)}"
+        wrong += len(set(pii.all_spans(text, field)) - set(pii.base_spans(text)))
+    assert right + missed > 400
+    assert right >= 0.9 * (right + missed) and right >= 0.95 * (right + wrong), (right, missed, wrong)
+    for text, kind in (("call 415-555-2671 now", "phone"), ("tel (415) 555-2671", "phone"), ("pay 4111.1111.1111.1111 today", "card"), ("mail bob@münchen.de ok", "email")):
+        (span,) = pii.all_spans(text, field)
+        assert span[0] == kind
+    assert pii.all_spans("on 2021-05-12 10:11:12 and 3.14159265358", field) == []
+
+
 def test_redaction(spark):
     docs = frame(spark, [(i, t, None, "s", 1) for i, t in enumerate(PRIVATE)], cases.DOCS, cases.CLASHING)
     out = pii.redact(docs)
@@ -296,6 +364,27 @@ def test_small_archives_are_rotated(spark, tmp_path):
     assert rows_of(warc.read_archives(manifest, str(tmp_path / "w")), "page_id") == ordered([(i,) for i in range(40)])
 
 
+def test_archives_go_where_spark_would_look_for_the_folder(spark):
+    assert folders.task_uri("file:/tmp/x") == folders.task_uri("file:///tmp/x") == "file:///tmp/x"
+    assert folders.task_uri("hdfs://name:8020/a/b") == "hdfs://name:8020/a/b"
+    assert folders.task_uri("s3a://bucket/a") == "s3://bucket/a"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://elsewhere/")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./w", "file:///tmp")
+    try:
+        with pytest.raises(ValueError, match="viewfs"):
+            warc.write_archives(spark.range(1).selectExpr("id AS page_id", "'u' AS url", "'x' AS html"), "/w/x")
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
+def test_payloads_stay_where_they_are_read(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id % 200) AS html")
+    plan = warc.decided(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
 def test_fingerprints_and_components_like_brute_force(spark):
     docs = [d[:2] for d in cases.documents()]
     got = simhash.judge(frame(spark, cases.documents(), cases.DOCS, cases.CLASHING))
