@@ -122,10 +122,30 @@ def time_by_station(fact: DataFrame, stations: list[str]) -> DataFrame:
     )
 
 
+def means_by_time(fact: DataFrame, stations: DataFrame) -> DataFrame:
+    """The same for the stations of a table, of any number: (collected_at, means), a map from station to mean.
+
+    The ids stay a table, and there is one aggregate, not one for each of them.
+    """
+    means = fact.join(stations.select("station_id").distinct(), "station_id", "left_semi").groupBy("collected_at", "station_id").agg(
+        F.avg("value").alias("mean")
+    )
+    entries = F.collect_list(F.struct("station_id", "mean"))  # one of a station
+    return means.groupBy("collected_at").agg(F.map_from_entries(entries).alias("means"))
+
+
+def opened(by_time: DataFrame, stations: list[str]) -> DataFrame:
+    """`means_by_time` with the columns of some stations."""
+    return by_time.select("collected_at", *[F.try_element_at("means", F.lit(s)).alias(s) for s in stations])
+
+
+def city_stations(stations: DataFrame, city: str) -> DataFrame:
+    return stations.where(F.lower("city_name") == city.lower()).select("station_id").distinct()
+
+
 def stations_of_city(stations: DataFrame, city: str) -> list[str]:
     """Ids of a city's stations in order, for the columns of a pivot: as many as a table can have."""
-    listed = stations.where(F.lower("city_name") == city.lower()).select("station_id").distinct()
-    return [row.station_id for row in listed.orderBy("station_id").collect()]
+    return [row.station_id for row in city_stations(stations, city).orderBy("station_id").collect()]
 
 
 def station_sample(stations: DataFrame, count: int = 5, seed: int = 1) -> DataFrame:

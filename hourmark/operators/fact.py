@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.functions import text as x
-from hourmark.runtime import small_side
+from hourmark.runtime import cut, is_small, small_side
+
+# Readings that a task writes at most, as far as the expected counts are right, and at least if there are so many.
+TASK_ROWS = 4_000_000
+LEAST_TASK_ROWS = 50_000
 
 
 def _published(readings: DataFrame) -> dict[str, Column]:
@@ -62,7 +66,81 @@ def in_key_ranges(df: DataFrame) -> DataFrame:
     return df.withColumn("__salt", F.rand(7)).repartitionByRange("year", "month", *S.SORT_KEY, "__salt").drop("__salt")
 
 
-def fact_by_month(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
-    """The canonical fact with its partition columns, in ranges of its key and sorted."""
-    placed = in_key_ranges(with_month(canonical_fact(readings, station_dim)))
+def fact_by_month(readings: DataFrame, station_dim: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """The canonical fact with its partition columns, in ranges of its key and sorted.
+
+    `expected` says how many readings the series have by month (year, month, station_id, parameter_name, n).
+    With it, and a dimension that is small enough to be broadcast, the ranges follow from these counts;
+    else Spark finds them by sampling, which reads and joins the readings a second time.
+    """
+    if expected is not None and is_small(station_dim):
+        placed = in_expected_ranges(readings, station_dim, expected)
+    else:
+        placed = in_key_ranges(with_month(canonical_fact(readings, station_dim)))
     return placed.sortWithinPartitions("year", "month", *S.SORT_KEY)
+
+
+def key_counts(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
+    """(year, month, station_id, parameter_name, n) of raw readings. Reads their keys and times only, and
+    sums before the shuffle."""
+    named = "parameter" if "parameter" in readings.columns else "parameter_name"
+    counts = readings.groupBy("raw_id", named, F.year("collected_at").alias("year"), F.month("collected_at").alias("month")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    ids = counts.join(small_side(station_dim.select("raw_id", "station_id")), "raw_id")
+    parameter = x.underscore_spaces(F.col(named)) if named == "parameter" else F.col(named)
+    return ids.groupBy("year", "month", "station_id", parameter.alias("parameter_name")).agg(F.sum("n").alias("n"))
+
+
+def _shares(station_dim: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of every station of the dimension: the share of readings of stations before it, and its parameters with
+    the shares before and at each. One row per station takes part."""
+    by_series = expected.groupBy("station_id", "parameter_name").agg(F.sum("n").cast("double").alias("n"))
+    by_station = by_series.groupBy("station_id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("parameter_name", "n"))).alias("parts"))
+    everyone = station_dim.select("station_id").distinct().join(by_station, "station_id", "left")
+    before = Window.orderBy("station_id").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.greatest(F.sum("n").over(Window.partitionBy()), F.lit(1.0))
+    summed = lambda parts, upto: F.aggregate(F.slice(parts, 1, upto), F.lit(0.0), lambda a, p: a + p["n"])
+    parts = F.transform(
+        "parts", lambda p, k: F.struct(p["parameter_name"].alias("name"), (summed(F.col("parts"), k) / F.col("total")).alias("before"), (p["n"] / F.col("total")).alias("share"))
+    )
+    ranked = everyone.select("station_id", "parts", total.alias("total"), (F.coalesce(F.sum("n").over(before), F.lit(0.0)) / total).alias("share_before"))
+    return ranked.select("station_id", "share_before", parts.alias("shares"))
+
+
+def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: DataFrame) -> DataFrame:
+    """The canonical fact dealt to tasks by ranges of month, station, parameter and time.
+
+    Where a reading falls among all is reckoned from the expected counts: the readings of months before,
+    then of stations and parameters before in the order of the key, then the time inside the month. That
+    rises with the key, so ranges do not overlap whatever the counts are; right counts make them equal.
+    Readings of the same hour are spread at random over their share.
+    """
+    spark = readings.sparkSession
+    expected = cut(expected)
+    months = expected.groupBy("year", "month").agg(F.sum("n").alias("n")).orderBy("year", "month").collect()  # calendar months
+    index = lambda y, m: y * 12 + m - 1
+    first = index(months[0].year, months[0].month) if months else 0
+    last = index(months[-1].year, months[-1].month) if months else 0
+    rows = {index(r.year, r.month): r.n for r in months}
+    sizes = [rows.get(k, 0) for k in range(first, last + 1)]
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    total = sum(sizes)
+    of_task = min(TASK_ROWS, max(LEAST_TASK_ROWS, -(-total // (2 * spark.sparkContext.defaultParallelism))))
+    tasks = max(1, -(-total // of_task))
+
+    names = station_dim.select("raw_id", "station_id", "station_name", "state_name", "city_name", "source")
+    placed = names.join(_shares(station_dim, expected), "station_id")
+    joined = readings.join(F.broadcast(placed), "raw_id")
+    fact = joined.select(*[_published(joined).get(c, F.col(c)).alias(c) for c in S.FACT_COLUMNS], "share_before", "shares")
+    at = F.col("collected_at")
+    upto = F.filter("shares", lambda p: p["name"] <= F.col("parameter_name"))
+    of_month = ((F.dayofmonth(at) - 1) * 24 + F.hour(at) + F.rand(7)) / F.lit(31 * 24.0)
+    inside = lambda p: p["before"] + p["share"] * F.when(p["name"] == F.col("parameter_name"), of_month).otherwise(F.lit(1.0))
+    share = F.col("share_before") + F.coalesce(inside(F.try_element_at(upto, F.lit(-1))), F.lit(0.0))
+    month = F.least(F.greatest(F.year(at) * 12 + F.month(at) - 1 - F.lit(first), F.lit(0)), F.lit(len(sizes) - 1 if sizes else 0))
+    numbers = lambda values: F.get(F.array(*map(F.lit, values or [0])).cast("array<bigint>"), month)
+    place = numbers(starts) + numbers(sizes) * F.least(share, F.lit(1.0))
+    task = F.least(F.floor(place / of_task), F.lit(tasks - 1)).cast("int")
+    dealt = with_month(fact.withColumn("__task", task).drop("share_before", "shares"))
+    return dealt.repartitionById(tasks, F.col("__task")).drop("__task")

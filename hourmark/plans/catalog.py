@@ -10,7 +10,7 @@ from hourmark.sources import tree
 
 
 def file_sizes(scan: DataFrame, root: str, kind: str) -> DataFrame:
-    """The files of a scan as catalogue rows. Reads footers only: no data column is needed."""
+    """The files of a scan, a row each. Reads footers only: no data column is needed."""
     by = [F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")] if "year" in scan.columns else []
     key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("_metadata.file_path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
     sizes = scan.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
@@ -21,7 +21,7 @@ def file_sizes(scan: DataFrame, root: str, kind: str) -> DataFrame:
 
 
 def month_sizes(files: DataFrame) -> DataFrame:
-    """Rows, bytes and files of every month of a catalogue. `key` is the month's folder."""
+    """Rows, bytes and files of every month, from its files. `key` is the month's folder."""
     key = F.format_string(S.SCHEMA_VERSION + "/measurements/year=%d/month=%02d", F.col("year"), F.col("month"))
     return (
         files.where("kind = 'measurements'")
@@ -31,44 +31,6 @@ def month_sizes(files: DataFrame) -> DataFrame:
     )
 
 
-def _table_entry(files: DataFrame, kind: str) -> DataFrame:
-    return files.where(F.col("kind") == kind).agg(
-        F.struct(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            F.lit(f"{S.SCHEMA_VERSION}/{kind}.parquet").alias("key"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        ).alias(kind)
-    )
-
-
-def manifest(files: DataFrame, files_key: str, exported_at: str) -> DataFrame:
-    """One row that describes the files of a catalogue, itself at `files_key`. Its list has one entry
-    per calendar month."""
-    months = month_sizes(files).agg(
-        F.struct(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-            F.sort_array(F.collect_list(F.struct("year", "month", "rows", "bytes", "files", "key"))).alias("months"),
-        ).alias("measurements")
-    )
-    columns = F.create_map(*[F.lit(v) for pair in S.COLUMN_NOTES.items() for v in pair])
-    one = F.lit(1).alias("one")
-    # three single rows side by side
-    joined = months.select("*", one)
-    for kind in ("stations", "parameters"):
-        joined = joined.join(_table_entry(files, kind).select("*", one), "one")
-    return joined.select(
-        F.lit(S.SCHEMA_VERSION).alias("schema_version"),
-        F.lit(exported_at).alias("exported_at"),
-        F.lit(S.TIMEZONE_NOTE).alias("timezone_note"),
-        columns.alias("columns"),
-        "measurements",
-        "stations",
-        "parameters",
-        F.lit(files_key).alias("files"),
-    )
-
-
 def coverage_summary(manifest_row: DataFrame) -> DataFrame:
     """Totals of a manifest: rows, bytes, months, first and last month, stations, parameters."""
     months = F.col("measurements.months")

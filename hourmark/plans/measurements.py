@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import time as t
 from hourmark.operators import filters
-from hourmark.operators.capped import Answer, cap_report, capped, first_rows, row_cap, tier_max_rows
+from hourmark.operators.capped import Answer, capped_answer, first_rows, row_cap, tier_max_rows
 from hourmark.operators.rollup import RAW_COLUMNS, period_rollup
 from hourmark.operators.stations import station_search
 from hourmark.sources import tree
@@ -68,7 +68,9 @@ def answer(
         "filters": {k: restrictions.get(k) for k in ("station", "parameter", "state", "city", "source")},
         "timezone": S.ANSWER_TIMEZONE,
     }
-    return Answer(capped(rows, order, cap), cap_report(rows, cap), meta)
+    found = capped_answer(rows, order, cap)
+    found.meta = meta
+    return found
 
 
 def measurements(spark: SparkSession, root: str, *, today: date, tier: str = "full", **request) -> Answer:
@@ -79,8 +81,8 @@ def measurements(spark: SparkSession, root: str, *, today: date, tier: str = "fu
     if named:
         # Files are sorted by station: find the stations that had such a name in these months, so that
         # the scan can skip the others. The names themselves are still checked on the readings.
-        ids = tree.matching_stations(spark, root, first, last, filters.all_of(**named))
-        fact = filters.keep_found(fact, "station_id", ids)
+        series = tree.window_series(spark, root, first, last)
+        fact = filters.keep_found(fact, "station_id", tree.matching_stations(series, filters.all_of(**named)), series)
     return answer(fact, today=today, max_rows=tier_max_rows(tier), **request)
 
 
@@ -119,19 +121,26 @@ def write_answer(result: Answer, path: str, fmt: str) -> dict:
     """Write an answer under `path`: `data` in the format asked for and, for JSON, `meta` beside it.
 
     JSON rows are written one to a line by the tasks that hold them, so that an uncapped answer is
-    never gathered into one document. Returns the meta data.
+    never gathered into one document. Returns the meta data, whose counts come from the same pass as
+    the rows, with a hint where some were cut.
     """
-    meta = {**result.meta, **result.report.first().asDict()}
+    spark = result.rows.sparkSession
     if fmt == "json":
-        with_iso_times(result.rows).write.mode("overwrite").json(f"{path}/data", ignoreNullFields=False)
-        document = result.rows.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string")
-        document.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        write = lambda rows: with_iso_times(rows).write.mode("overwrite").json(f"{path}/data", ignoreNullFields=False)
     elif fmt == "csv":
-        kinds = dict(result.rows.dtypes)
-        text = [F.col(c).cast("string").alias(c) if k.startswith("timestamp") else c for c, k in kinds.items()]
-        result.rows.select(*text).write.mode("overwrite").csv(f"{path}/data", header=True, escape='"')
+        write = lambda rows: csv_texts(rows).write.mode("overwrite").csv(f"{path}/data", header=True, escape='"')
     elif fmt == "parquet":
-        result.rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/data")
+        write = lambda rows: rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/data")
     else:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}")
+    meta = {**result.meta, **result.deliver(write)}
+    if meta["truncated"]:
+        meta["hint"] = S.CUT_HINT
+    if fmt == "json":
+        document = spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string")
+        document.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return meta
+
+
+def csv_texts(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).cast("string").alias(c) if k.startswith("timestamp") else c for c, k in rows.dtypes])

@@ -1,18 +1,21 @@
-"""Publishing: new files, the tables derived from them, the manifest, and only then deletions.
+"""Publishing: new folders, the tables derived from them, the manifest, and only then deletions.
 
-A run adds files and never changes one. The manifest names a table of all files that make up the tree,
-and readers go by it, so the tree is what it was until the new manifest is in its place, and complete
-from then on. Files that a run replaced are deleted last. A run that stops halfway leaves files no
-manifest lists; the next run of those months deletes them first.
+A run writes folders of its own, one per month, and never changes one. The manifest names the folder of
+every month, and readers go by it, so the tree is what it was until the new manifest is in its place, and
+complete from then on. Folders that a run replaced are deleted last. A run that stops halfway leaves
+folders no manifest names; the next run of those months deletes them first.
+
+A run costs what it touches: the months asked for, the series summaries of their years, and one
+summary per other year. Nothing of other months is opened or listed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +23,13 @@ from pyspark.sql import functions as F
 from hourmark import schema as S
 from hourmark.functions import time as t
 from hourmark.operators import series
-from hourmark.operators.fact import fact_by_month
+from hourmark.operators.fact import fact_by_month, key_counts
 from hourmark.operators.stations import require_unique
-from hourmark.plans import catalog
 from hourmark.runtime import cut, new_path
 from hourmark.sources import tree
 
 # A month is cut into files of at most this many rows.
 FILE_MAX_ROWS = 50_000_000
-MONTHLY = ("measurements", "series")
 TABLES = ("stations", "parameters")
 
 
@@ -39,7 +40,7 @@ class Published:
     manifest: DataFrame
 
 
-# -- files --------------------------------------------------------------------
+# -- folders --------------------------------------------------------------------
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -52,44 +53,43 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(handle, True)
 
 
-def _delete_keys(spark: SparkSession, root: str, keys: DataFrame) -> None:
-    """Delete files one by one as their keys come in; no list of them is held."""
-    for row in keys.select("key").toLocalIterator():
-        delete(spark, f"{root.rstrip('/')}/{row.key}")
+def month_folder(kind: str, month: date) -> str:
+    return f"{S.SCHEMA_VERSION}/{kind}/year={month.year}/month={month.month:02d}"
+
+
+def year_folder(year: int) -> str:
+    return f"{S.SCHEMA_VERSION}/series_years/year={year}"
+
 
+def table_folder(kind: str) -> str:
+    return f"{S.SCHEMA_VERSION}/{kind}.parquet"
 
-def _folder(root: str, kind: str) -> str:
-    paths = {"measurements": tree.measurements_path, "series": tree.series_path, "stations": tree.stations_path, "parameters": tree.parameters_path}
-    return paths[kind](root)
 
+def named_folders(manifest: dict | None) -> set[str]:
+    """The folders that make up a tree: two per month, one per year, and the tables."""
+    if manifest is None:
+        return set()
+    months = manifest["measurements"]["months"]
+    found = {m["folder"] for m in months} | {m["series"] for m in months} | {y["folder"] for y in manifest["series_years"]}
+    return found | {manifest[kind]["folder"] for kind in TABLES}
 
-def _folders(spark: SparkSession, root: str, kind: str, months: list[date]) -> list[str]:
-    """The folders of a kind that a run over some months writes to and that are there already."""
-    base = _folder(root, kind)
-    paths = [f"{base}/year={m.year}/month={m.month:02d}" for m in months] if kind in MONTHLY else [base]
-    return [p for p in paths if exists(spark, p)]
 
+def run_folders(spark: SparkSession, root: str, parent: str) -> list[str]:
+    """What the runs so far have left in the folder of a month, a year or a table."""
+    handle, files = tree.file_system(spark, f"{root.rstrip('/')}/{parent}")
+    return [f"{parent}/{s.getPath().getName()}" for s in files.listStatus(handle)] if files.exists(handle) else []
 
-def _present(spark: SparkSession, root: str, kinds: tuple[str, ...], months: list[date]) -> DataFrame:
-    """Keys of the data files in the folders of a run, listed by Spark and not opened."""
-    folders = [p for kind in kinds for p in _folders(spark, root, kind, months)]
-    if not folders:
-        return spark.createDataFrame([], "key string")
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folders)
-    inner = F.regexp_extract(F.url_decode("path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1)
-    return listing.select(F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), inner).alias("key"))
 
+def delete_folders(spark: SparkSession, root: str, folders: set[str]) -> None:
+    for folder in sorted(folders):
+        delete(spark, f"{root.rstrip('/')}/{folder}")
 
-def _added(spark: SparkSession, root: str, kind: str, months: list[date], before: DataFrame) -> DataFrame:
-    """Catalogue rows of the files in the folders of a run that `before` does not list, written down."""
-    folders = _folders(spark, root, kind, months)
-    if not folders:
-        return spark.createDataFrame([], S.FILES)
-    reader = spark.read.option("basePath", _folder(root, kind))
-    if kind == "measurements":
-        reader = reader.schema(S.FACT)
-    sizes = catalog.file_sizes(reader.parquet(*folders), root, kind)
-    return cut(sizes.join(before.select("key"), "key", "left_anti").select(*before.columns))
+
+def _size(spark: SparkSession, root: str, folder: str) -> tuple[int, int]:
+    """Bytes and files of a folder."""
+    handle, files = tree.file_system(spark, f"{root.rstrip('/')}/{folder}")
+    found = files.getContentSummary(handle)
+    return found.getLength(), found.getFileCount()
 
 
 def _switch(spark: SparkSession, text: str, path: str) -> None:
@@ -110,19 +110,21 @@ def _switch(spark: SparkSession, text: str, path: str) -> None:
 # -- steps --------------------------------------------------------------------
 
 
-def write_months(df: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS) -> None:
-    """Add files to the months `df` has rows for.
+def write_months(df: DataFrame, path: str, order: list[str], row_group: int = S.ROW_GROUP_ROWS, run: str | None = None) -> None:
+    """Add files to the months `df` has rows for, in a folder of the run where one is given.
 
     Every file is sorted by `order`, so its row groups cover narrow ranges of stations. The sort
     begins with the partition columns, which spares the writer one of its own.
     """
+    parts = ["year", "month"] if run is None else ["year", "month", "run"]
     (
-        df.sortWithinPartitions("year", "month", *order)
+        (df if run is None else df.withColumn("run", F.lit(run)))
+        .sortWithinPartitions(*parts, *order)
         .write.mode("append")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", row_group)
         .option("maxRecordsPerFile", FILE_MAX_ROWS)
-        .partitionBy("year", "month")
+        .partitionBy(*parts)
         .parquet(path)
     )
 
@@ -132,57 +134,112 @@ def stale_months(asked: DataFrame, produced: DataFrame, existing: DataFrame) ->
     return asked.join(produced, "month", "left_anti").join(existing, "month", "left_semi")
 
 
-def _summarise(spark: SparkSession, root: str, measured: DataFrame) -> None:
-    """Write the per-month series summary of the months whose files are given, by reading only those."""
-    keys = tree.listed_keys(measured, "measurements")
-    if keys:
-        months = series.series_summary(tree.read_files(spark, root, keys, S.FACT), "year", "month")
-        padded = months.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
-        # a month's summary is small: a row per series, in a file or a few
-        write_months(padded.repartition("year", "month"), tree.series_path(root), ["station_id", "parameter_name"])
+def _month(entry: dict) -> date:
+    return date(entry["year"], entry["month"], 1)
 
 
-def _unsummarised(spark: SparkSession, root: str, files: DataFrame) -> list[date]:
-    """Months whose summary does not account for the rows of their files."""
-    rows = files.where("kind = 'measurements'").groupBy("year", "month").agg(F.sum("rows").alias("rows"))
-    keys = [k for k in tree.listed_keys(files, "series") if exists(spark, f"{root.rstrip('/')}/{k}")]
-    if keys:
-        listed = spark.read.option("basePath", tree.series_path(root)).parquet(*[f"{root.rstrip('/')}/{k}" for k in keys])
-        summed = listed.groupBy(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")).agg(F.sum("n").alias("n"))
-        rows = rows.join(summed, ["year", "month"], "left").where(~F.col("rows").eqNullSafe(F.col("n")))
-    return sorted(date(r.year, r.month, 1) for r in rows.select("year", "month").collect())
+def _summarise(spark: SparkSession, root: str, entries: list[dict], run: str) -> None:
+    """Write the series summaries of some months in folders of the run, by reading only those months."""
+    if not entries:
+        return
+    fact = tree.read_folders(spark, root, [m["folder"] for m in entries], S.FACT, f"{S.SCHEMA_VERSION}/measurements")
+    padded = series.series_summary(fact, "year", "month").withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
+    # a month's summary is small: a row per series, in a file or a few
+    write_months(padded.repartition("year", "month"), tree.series_path(root), ["station_id", "parameter_name"], run=run)
+    for m in entries:
+        m["series"] = f"{month_folder('series', _month(m))}/run={run}"
 
 
-def summary_of(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """The summary of every series over all months of a catalogue."""
-    keys = tree.listed_keys(files, "series")
-    if not keys:
-        raise ValueError(f"nothing has been published under {root}")
-    return tree.read_files(spark, root, keys).groupBy(*S.SERIES_KEY).agg(
+def _series_of(spark: SparkSession, root: str, entries: list[dict]) -> DataFrame:
+    return tree.read_folders(spark, root, [m["series"] for m in entries], base=f"{S.SCHEMA_VERSION}/series")
+
+
+def _summed_rows(spark: SparkSession, root: str, entries: list[dict]) -> dict[tuple[int, int], int]:
+    """How many readings the summaries of some months account for, a number per month."""
+    if not entries:
+        return {}
+    sums = _series_of(spark, root, entries).groupBy(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"))
+    return {(r.year, r.month): r.n for r in sums.agg(F.sum("n").alias("n")).collect()}
+
+
+def _add_up(summary: DataFrame, *extra: str) -> DataFrame:
+    return summary.groupBy(*extra, *S.SERIES_KEY).agg(
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
 
 
-def published_series(spark: SparkSession, root: str) -> DataFrame:
-    return summary_of(spark, root, tree.listed_files(spark, root))
+def _write_years(spark: SparkSession, root: str, entries: list[dict], run: str) -> None:
+    """Add the summaries of some months up by year, in folders of the run."""
+    if entries:
+        years = _add_up(_series_of(spark, root, entries), "year").withColumn("run", F.lit(run))
+        placed = years.repartition("year").sortWithinPartitions("year", "run", "station_id", "parameter_name")
+        placed.write.mode("append").option("compression", "zstd").partitionBy("year", "run").parquet(tree.series_years_path(root))
 
 
-def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame, files: DataFrame) -> None:
-    """Add station and parameter tables of everything in the catalogue, described by `station_dim`."""
-    summary = cut(summary_of(spark, root, files))
-    stations = series.in_listing_order(series.stations_table(summary, station_dim))
-    for table, path in ((stations, tree.stations_path(root)), (series.by_size(series.parameters_table(summary)), tree.parameters_path(root))):
-        table.write.mode("append").option("compression", "zstd").parquet(path)
+def published_series(spark: SparkSession, root: str) -> DataFrame:
+    """The summary of every series over all months, from one table per year."""
+    return _all_series(spark, root, (tree.load_manifest(spark, root) or {}).get("series_years", []))
 
 
-def write_manifest(spark: SparkSession, root: str, files: DataFrame, exported_at: str | None = None) -> None:
-    """Write the table of files under a name of its own, then switch the manifest to it."""
-    stamp = exported_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
-    key = f"{S.SCHEMA_VERSION}/files/{uuid.uuid4().hex}"
-    files.coalesce(8).write.parquet(f"{root.rstrip('/')}/{key}")
-    listed = spark.read.schema(S.FILES).parquet(f"{root.rstrip('/')}/{key}")
-    row = catalog.manifest(listed, key, stamp).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("text")).first()
-    _switch(spark, row.text, tree.manifest_path(root))
+def _all_series(spark: SparkSession, root: str, years: list[dict]) -> DataFrame:
+    if not years:
+        raise ValueError(f"nothing has been published under {root}")
+    return _add_up(tree.read_folders(spark, root, [y["folder"] for y in years]))
+
+
+def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame, years: list[dict], run: str) -> dict[str, dict]:
+    """Write the station and parameter tables of all series, described by `station_dim`. Returns their entries."""
+    summary = cut(_all_series(spark, root, years))
+    made = {
+        "stations": series.in_listing_order(series.stations_table(summary, station_dim)),
+        "parameters": series.by_size(series.parameters_table(summary)),
+    }
+    entries = {}
+    for kind, table in made.items():
+        folder = f"{table_folder(kind)}/run={run}"
+        table.write.option("compression", "zstd").parquet(f"{root.rstrip('/')}/{folder}")
+        rows = tree.read_folders(spark, root, [folder]).count()
+        entries[kind] = {"rows": rows, "key": table_folder(kind), "bytes": _size(spark, root, folder)[0], "folder": folder}
+    return entries
+
+
+def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
+    _switch(spark, json.dumps(manifest, indent=2, ensure_ascii=False), tree.manifest_path(root))
+
+
+def _new_months(spark: SparkSession, root: str, asked: list[date], run: str) -> list[dict]:
+    """Entries of the months that a run has written files for; their rows are counted with their series."""
+    entries = []
+    for month in asked:
+        folder = f"{month_folder('measurements', month)}/run={run}"
+        if exists(spark, f"{root.rstrip('/')}/{folder}"):
+            size, files = _size(spark, root, folder)
+            key = tree.month_key(month.year, month.month)
+            entries.append({"year": month.year, "month": month.month, "bytes": size, "files": files, "key": key, "folder": folder})
+    return entries
+
+
+def _expected(spark: SparkSession, root: str, old: dict | None, asked: list[date], raw: DataFrame, station_dim: DataFrame) -> DataFrame:
+    """How many readings to expect (year, month, station_id, parameter_name, n): what a month was last published
+    with or, if it is new, the month before it that was; in a tree without such months they are counted."""
+    entries = {_month(m): m for m in tree.month_entries(old)}
+    model = {month: max((known for known in entries if known <= month), default=None) for month in asked}
+    if not all(model.values()) or not all(exists(spark, f"{root.rstrip('/')}/{entries[m]['series']}") for m in set(model.values())):
+        return key_counts(raw, station_dim)
+    known = _series_of(spark, root, [entries[m] for m in sorted(set(model.values()))])
+    alike = spark.createDataFrame([(k.year, k.month, m.year, m.month) for m, k in model.items()], "year int, month int, as_year int, as_month int")
+    counts = known.select(F.col("year").cast("int"), F.col("month").cast("int"), "station_id", "parameter_name", "n")
+    counts = counts.join(F.broadcast(alike), ["year", "month"])  # calendar months
+    return counts.groupBy(F.col("as_year").alias("year"), F.col("as_month").alias("month"), "station_id", "parameter_name").agg(F.sum("n").alias("n"))
+
+
+def _years_to_add_up(spark: SparkSession, root: str, kept: list[dict], years: list[dict]) -> set[int]:
+    """Years whose summary is gone or does not account for their months."""
+    rows: dict[int, int] = {}
+    for m in kept:
+        rows[m["year"]] = rows.get(m["year"], 0) + m["rows"]
+    right = {y["year"] for y in years if y["rows"] == rows.get(y["year"]) and exists(spark, f"{root.rstrip('/')}/{y['folder']}")}
+    return set(rows) - right
 
 
 def publish(
@@ -192,50 +249,76 @@ def publish(
     station_dim: DataFrame,
     months: DataFrame,
     exported_at: str | None = None,
+    batch: tuple[str, int] | None = None,
 ) -> Published:
     """Publish `months` (one date per row; none rebuilds the dimension tables only).
 
     `readings` returns the raw readings of the months it is given, so that a source can be asked for
-    just those. All months are written by one job, and only their files are counted; what the catalogue
-    says of other months is carried over. A month asked for that has no readings is removed. A summary
-    that does not account for its month is made again. One run at a time may publish to a tree.
+    just those. All months are written by one job; what the manifest says of other months is carried
+    over. A month asked for that has no readings is removed. In the years it touches, a summary that does
+    not account for its month is made again. `batch` is the name of a stream and the number of its batch: one that
+    the manifest already has is done. One run at a time may publish to a tree.
     """
+    old = tree.load_manifest(spark, root)
+    batches = dict((old or {}).get("batches") or {})
+    if batch is not None:
+        if batches.get(batch[0], -1) >= batch[1]:
+            return Published([], [], tree.read_manifest(spark, root))
+        batches[batch[0]] = batch[1]
+    run = f"r{uuid.uuid4().hex}"
     dim_path = new_path(spark, "station-dim")
     station_dim.write.parquet(dim_path)
     try:
         station_dim = require_unique(spark.read.parquet(dim_path))
         asked = [r.month for r in months.distinct().orderBy("month").collect()]  # calendar months
-        old = cut(tree.listed_files(spark, root))
-        previous = tree.read_manifest(spark, root).select("files").first()
-        _delete_keys(spark, root, _present(spark, root, (*MONTHLY, *TABLES), asked).join(old, "key", "left_anti"))
+        named = named_folders(old)
+        years = {m.year for m in asked}
+        places = [month_folder(kind, m) for m in asked for kind in ("measurements", "series")]
+        places += [*map(year_folder, sorted(years)), *map(table_folder, TABLES)]
+        delete_folders(spark, root, {f for p in places for f in run_folders(spark, root, p)} - named)
 
-        in_asked = F.make_date("year", "month", F.lit(1)).isin(asked)
-        fresh = spark.createDataFrame([], S.FILES)
+        fresh = []
         if asked:
             # a month overwritten with a stray reading would lose the rest of it
             raw = readings(asked).where(t.in_months(F.col("collected_at"), asked))
-            write_months(fact_by_month(raw, station_dim), tree.measurements_path(root), S.SORT_KEY)
-            fresh = _added(spark, root, "measurements", asked, old)
-        dates = lambda files: {date(r.year, r.month, 1) for r in files.select("year", "month").distinct().collect()}
-        produced = sorted(dates(fresh))
-        removed = sorted(dates(old.where(in_asked & (F.col("kind") == "measurements"))) - set(produced))
-
-        kept = old.where(F.col("kind").isin(*MONTHLY) & ~in_asked)
-        redone = _unsummarised(spark, root, kept)
-        again = F.make_date("year", "month", F.lit(1)).isin(redone)
-        _summarise(spark, root, fresh.unionByName(kept.where(again)))
-        summaries = _added(spark, root, "series", [*produced, *redone], old)
-        files = [kept.where((F.col("kind") == "measurements") | ~again), fresh, summaries]
-        monthly = cut(reduce(DataFrame.unionByName, files))
-
-        write_dimensions(spark, root, station_dim, monthly)
-        tables = [_added(spark, root, kind, [], old) for kind in TABLES]
-        files = cut(reduce(DataFrame.unionByName, [monthly, *tables]))
-        write_manifest(spark, root, files, exported_at)
-
-        _delete_keys(spark, root, old.join(files, "key", "left_anti"))
-        if previous is not None:
-            delete(spark, f"{root.rstrip('/')}/{previous.files}")
+            write_months(fact_by_month(raw, station_dim, _expected(spark, root, old, asked, raw, station_dim)), tree.measurements_path(root), S.SORT_KEY, run=run)
+            fresh = _new_months(spark, root, asked, run)
+        produced = [_month(m) for m in fresh]
+        before = tree.month_entries(old)
+        removed = sorted({_month(m) for m in before} & set(asked) - set(produced))
+        kept = [dict(m) for m in before if _month(m) not in set(asked)]
+
+        known_years = [y for y in (old or {}).get("series_years", []) if y["year"] not in years]
+        years |= _years_to_add_up(spark, root, [m for m in kept if m["year"] not in years], known_years)
+        touched = [m for m in kept if m["year"] in years]
+        gone = [m for m in touched if not exists(spark, f"{root.rstrip('/')}/{m['series']}")]
+        _summarise(spark, root, fresh + gone, run)
+        rows = _summed_rows(spark, root, fresh + touched)
+        for m in fresh:
+            m["rows"] = rows[m["year"], m["month"]]
+        wrong = [m for m in touched if rows.get((m["year"], m["month"])) != m["rows"]]
+        if wrong:
+            _summarise(spark, root, wrong, f"{run}b")
+        _write_years(spark, root, fresh + touched, run)
+
+        entries = sorted(fresh + kept, key=_month)
+        sums: dict[int, int] = {}
+        for m in entries:
+            sums[m["year"]] = sums.get(m["year"], 0) + m["rows"]
+        known_years = [y for y in known_years if y["year"] not in years]
+        known_years += [{"year": y, "rows": n, "folder": f"{year_folder(y)}/run={run}"} for y, n in sums.items() if y in years]
+        manifest = {
+            "schema_version": S.SCHEMA_VERSION,
+            "exported_at": exported_at or datetime.now(timezone.utc).isoformat(timespec="seconds"),
+            "timezone_note": S.TIMEZONE_NOTE,
+            "columns": S.COLUMN_NOTES,
+            "measurements": {"rows": sum(m["rows"] for m in entries), "bytes": sum(m["bytes"] for m in entries), "months": entries},
+            **write_dimensions(spark, root, station_dim, known_years, run),
+            "series_years": sorted(known_years, key=lambda y: y["year"]),
+            "batches": batches,
+        }
+        write_manifest(spark, root, manifest)
+        delete_folders(spark, root, named - named_folders(manifest))
     finally:
         delete(spark, dim_path)
     return Published(produced, removed, tree.read_manifest(spark, root))

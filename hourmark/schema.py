@@ -44,6 +44,9 @@ TIER_MAX_ROWS = {
 }
 DEFAULT_TIER = "free"
 JSON_MAX_ROWS = 200_000
+CUT_HINT = (
+    "Result was cut at max_rows. Narrow the query, aggregate, use csv/parquet, or download the bulk files at /v1/files."
+)
 STATIONS_CAP = 100_000
 PARAMETERS_CAP = 10_000
 
@@ -100,6 +103,7 @@ SERIES_KEY = [
     "city_name",
     "source",
 ]
+SERIES = T.StructType([T.StructField(c, T.StringType()) for c in SERIES_KEY])
 SORT_KEY = ["station_id", "parameter_name", "collected_at"]
 
 _MONTH_ENTRY = T.StructType(
@@ -110,6 +114,15 @@ _MONTH_ENTRY = T.StructType(
         T.StructField("bytes", T.LongType()),
         T.StructField("files", T.LongType()),
         T.StructField("key", T.StringType()),
+        T.StructField("folder", T.StringType()),  # where the files of the month are: of the run that wrote it
+        T.StructField("series", T.StringType()),  # where its series summary is
+    ]
+)
+_YEAR_ENTRY = T.StructType(
+    [
+        T.StructField("year", T.IntegerType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 _TABLE_ENTRY = T.StructType(
@@ -117,6 +130,7 @@ _TABLE_ENTRY = T.StructType(
         T.StructField("rows", T.LongType()),
         T.StructField("key", T.StringType()),
         T.StructField("bytes", T.LongType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 MANIFEST = T.StructType(
@@ -137,8 +151,7 @@ MANIFEST = T.StructType(
         ),
         T.StructField("stations", _TABLE_ENTRY),
         T.StructField("parameters", _TABLE_ENTRY),
-        T.StructField("files", T.StringType()),
+        T.StructField("series_years", T.ArrayType(_YEAR_ENTRY)),
+        T.StructField("batches", T.MapType(T.StringType(), T.LongType())),  # the last batch of each stream
     ]
 )
-# One row per data file of a tree; the manifest names the table of them.
-FILES = "kind string, key string, year int, month int, rows bigint, bytes bigint"

