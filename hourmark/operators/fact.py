@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,20 +94,28 @@ def key_counts(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
     return ids.groupBy("year", "month", "station_id", parameter.alias("parameter_name")).agg(F.sum("n").alias("n"))
 
 
-def _shares(station_dim: DataFrame, expected: DataFrame) -> DataFrame:
-    """Of every station of the dimension: the share of readings of stations before it, and its parameters with
-    the shares before and at each. One row per station takes part."""
-    by_series = expected.groupBy("station_id", "parameter_name").agg(F.sum("n").cast("double").alias("n"))
-    by_station = by_series.groupBy("station_id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("parameter_name", "n"))).alias("parts"))
-    everyone = station_dim.select("station_id").distinct().join(by_station, "station_id", "left")
-    before = Window.orderBy("station_id").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.greatest(F.sum("n").over(Window.partitionBy()), F.lit(1.0))
-    summed = lambda parts, upto: F.aggregate(F.slice(parts, 1, upto), F.lit(0.0), lambda a, p: a + p["n"])
-    parts = F.transform(
-        "parts", lambda p, k: F.struct(p["parameter_name"].alias("name"), (summed(F.col("parts"), k) / F.col("total")).alias("before"), (p["n"] / F.col("total")).alias("share"))
+def _shares(station_dim: DataFrame, expected: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
+    """(station_id, year, month, share_before, shares): of every station of the dimension, in each of these
+    months, the share of the month's readings that stations before it have, and its parameters with the shares
+    before and at each. One row per station and month takes part."""
+    by_series = expected.groupBy("year", "month", "station_id", "parameter_name").agg(F.sum("n").cast("double").alias("n"))
+    by_station = by_series.groupBy("year", "month", "station_id").agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("parameter_name", "n"))).alias("parts")
+    )
+    listed = F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in months])
+    everyone = station_dim.select("station_id").distinct().select("station_id", F.inline(listed))
+    whole = Window.partitionBy("year", "month")
+    before = whole.orderBy("station_id").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.greatest(F.sum("n").over(whole), F.lit(1.0))
+    summed = lambda upto: F.aggregate(F.slice("parts", 1, upto), F.lit(0.0), lambda a, p: a + p["n"])
+    shares = F.transform(
+        "parts",
+        lambda p, k: F.struct(p["parameter_name"].alias("name"), (summed(k) / F.col("total")).alias("before"), (p["n"] / F.col("total")).alias("share")),
+    )
+    ranked = everyone.join(by_station, ["year", "month", "station_id"], "left").select(
+        "station_id", "year", "month", "parts", total.alias("total"), (F.coalesce(F.sum("n").over(before), F.lit(0.0)) / total).alias("share_before")
     )
-    ranked = everyone.select("station_id", "parts", total.alias("total"), (F.coalesce(F.sum("n").over(before), F.lit(0.0)) / total).alias("share_before"))
-    return ranked.select("station_id", "share_before", parts.alias("shares"))
+    return ranked.select("station_id", "year", "month", "share_before", shares.alias("shares"))
 
 
 def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: DataFrame) -> DataFrame:
@@ -113,34 +123,34 @@ def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: Da
 
     Where a reading falls among all is reckoned from the expected counts: the readings of months before,
     then of stations and parameters before in the order of the key, then the time inside the month. That
-    rises with the key, so ranges do not overlap whatever the counts are; right counts make them equal.
+    rises with the key, so ranges do not overlap whatever the counts are; right counts make them alike.
     Readings of the same hour are spread at random over their share.
     """
     spark = readings.sparkSession
     expected = cut(expected)
-    months = expected.groupBy("year", "month").agg(F.sum("n").alias("n")).orderBy("year", "month").collect()  # calendar months
+    counted = expected.groupBy("year", "month").agg(F.sum("n").alias("n")).orderBy("year", "month").collect()  # calendar months
     index = lambda y, m: y * 12 + m - 1
-    first = index(months[0].year, months[0].month) if months else 0
-    last = index(months[-1].year, months[-1].month) if months else 0
-    rows = {index(r.year, r.month): r.n for r in months}
-    sizes = [rows.get(k, 0) for k in range(first, last + 1)]
-    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    first = index(counted[0].year, counted[0].month) if counted else 0
+    sizes = [0] * (index(counted[-1].year, counted[-1].month) - first + 1) if counted else [0]
+    for r in counted:
+        sizes[index(r.year, r.month) - first] = r.n
+    starts = [0, *itertools.accumulate(sizes)][:-1]
     total = sum(sizes)
     of_task = min(TASK_ROWS, max(LEAST_TASK_ROWS, -(-total // (2 * spark.sparkContext.defaultParallelism))))
     tasks = max(1, -(-total // of_task))
-
-    names = station_dim.select("raw_id", "station_id", "station_name", "state_name", "city_name", "source")
-    placed = names.join(_shares(station_dim, expected), "station_id")
-    joined = readings.join(F.broadcast(placed), "raw_id")
-    fact = joined.select(*[_published(joined).get(c, F.col(c)).alias(c) for c in S.FACT_COLUMNS], "share_before", "shares")
-    at = F.col("collected_at")
+    dealt = with_month(canonical_fact(readings, station_dim))
+    if tasks == 1:
+        return dealt.repartition(1)
+
+    at, year, month = F.col("collected_at"), F.col("year"), F.month("collected_at")
+    shares = _shares(station_dim, expected, [(r.year, r.month) for r in counted]).withColumnsRenamed({"year": "__year", "month": "__month"})
+    same = (F.col("year") == F.col("__year")) & (month == F.col("__month"))
+    placed = dealt.join(small_side(cut(shares)), [dealt["station_id"] == shares["station_id"], same], "left").drop(shares["station_id"])
     upto = F.filter("shares", lambda p: p["name"] <= F.col("parameter_name"))
     of_month = ((F.dayofmonth(at) - 1) * 24 + F.hour(at) + F.rand(7)) / F.lit(31 * 24.0)
     inside = lambda p: p["before"] + p["share"] * F.when(p["name"] == F.col("parameter_name"), of_month).otherwise(F.lit(1.0))
-    share = F.col("share_before") + F.coalesce(inside(F.try_element_at(upto, F.lit(-1))), F.lit(0.0))
-    month = F.least(F.greatest(F.year(at) * 12 + F.month(at) - 1 - F.lit(first), F.lit(0)), F.lit(len(sizes) - 1 if sizes else 0))
-    numbers = lambda values: F.get(F.array(*map(F.lit, values or [0])).cast("array<bigint>"), month)
-    place = numbers(starts) + numbers(sizes) * F.least(share, F.lit(1.0))
-    task = F.least(F.floor(place / of_task), F.lit(tasks - 1)).cast("int")
-    dealt = with_month(fact.withColumn("__task", task).drop("share_before", "shares"))
-    return dealt.repartitionById(tasks, F.col("__task")).drop("__task")
+    share = F.coalesce("share_before", F.lit(0.0)) + F.coalesce(inside(F.try_element_at(upto, F.lit(-1))), F.lit(0.0))
+    number = F.least(F.greatest(year * 12 + month - 1 - F.lit(first), F.lit(0)), F.lit(len(sizes) - 1))
+    of_list = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<bigint>"), number)
+    task = F.least(F.floor((of_list(starts) + of_list(sizes) * F.least(share, F.lit(1.0))) / of_task), F.lit(tasks - 1)).cast("int")
+    return placed.withColumn("__task", task).repartitionById(tasks, F.col("__task")).select(*dealt.columns)
