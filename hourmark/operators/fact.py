@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hourmark import schema as S
 from hourmark.functions import text as x
-from hourmark.runtime import cut, is_small, small_side
+from hourmark.runtime import BROADCAST_MAX_ROWS, cut, is_small, small_side
 
 # Readings that a task writes at most, as far as the expected counts are right, and at least if there are so many.
 TASK_ROWS = 4_000_000
@@ -76,7 +76,8 @@ def fact_by_month(readings: DataFrame, station_dim: DataFrame, expected: DataFra
     else Spark finds them by sampling, which reads and joins the readings a second time.
     """
     if expected is not None and is_small(station_dim):
-        placed = in_expected_ranges(readings, station_dim, expected)
+        # readings are dealt as they are read, without names, and named where they are written
+        placed = with_month(canonical_fact(in_expected_ranges(readings, station_dim, expected), station_dim))
     else:
         placed = in_key_ranges(with_month(canonical_fact(readings, station_dim)))
     return placed.sortWithinPartitions("year", "month", *S.SORT_KEY)
@@ -94,16 +95,16 @@ def key_counts(readings: DataFrame, station_dim: DataFrame) -> DataFrame:
     return ids.groupBy("year", "month", "station_id", parameter.alias("parameter_name")).agg(F.sum("n").alias("n"))
 
 
-def _shares(station_dim: DataFrame, expected: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
-    """(station_id, year, month, share_before, shares): of every station of the dimension, in each of these
-    months, the share of the month's readings that stations before it have, and its parameters with the shares
+def _shares(stations: DataFrame, expected: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
+    """(station_id, year, month, share_before, share, shares): of every station, in each of these months, the
+    share of the month's readings that stations before it have, its own, and its parameters with the shares
     before and at each. One row per station and month takes part."""
     by_series = expected.groupBy("year", "month", "station_id", "parameter_name").agg(F.sum("n").cast("double").alias("n"))
     by_station = by_series.groupBy("year", "month", "station_id").agg(
         F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("parameter_name", "n"))).alias("parts")
     )
-    listed = F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in months])
-    everyone = station_dim.select("station_id").distinct().select("station_id", F.inline(listed))
+    listed = ", ".join(f"struct({y} AS year, {m} AS month)" for y, m in months)
+    everyone = stations.distinct().select("station_id", F.inline(F.expr(f"array({listed})")))
     whole = Window.partitionBy("year", "month")
     before = whole.orderBy("station_id").rowsBetween(Window.unboundedPreceding, -1)
     total = F.greatest(F.sum("n").over(whole), F.lit(1.0))
@@ -112,19 +113,21 @@ def _shares(station_dim: DataFrame, expected: DataFrame, months: list[tuple[int,
         "parts",
         lambda p, k: F.struct(p["parameter_name"].alias("name"), (summed(k) / F.col("total")).alias("before"), (p["n"] / F.col("total")).alias("share")),
     )
+    own, earlier = F.coalesce("n", F.lit(0.0)), F.coalesce(F.sum("n").over(before), F.lit(0.0))
     ranked = everyone.join(by_station, ["year", "month", "station_id"], "left").select(
-        "station_id", "year", "month", "parts", total.alias("total"), (F.coalesce(F.sum("n").over(before), F.lit(0.0)) / total).alias("share_before")
+        "station_id", "year", "month", "parts", total.alias("total"), (earlier / total).alias("share_before"), (own / total).alias("share")
     )
-    return ranked.select("station_id", "year", "month", "share_before", shares.alias("shares"))
+    return ranked.select("station_id", "year", "month", "share_before", "share", shares.alias("shares"))
 
 
 def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: DataFrame) -> DataFrame:
-    """The canonical fact dealt to tasks by ranges of month, station, parameter and time.
+    """Raw readings dealt to tasks by ranges of month, station, parameter and time.
 
     Where a reading falls among all is reckoned from the expected counts: the readings of months before,
     then of stations and parameters before in the order of the key, then the time inside the month. That
     rises with the key, so ranges do not overlap whatever the counts are; right counts make them alike.
-    Readings of the same hour are spread at random over their share.
+    A station whose readings of a month are all one task's, as nearly all are, has that looked up; readings
+    of others at the same hour are spread at random over their share.
     """
     spark = readings.sparkSession
     expected = cut(expected)
@@ -138,19 +141,30 @@ def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: Da
     total = sum(sizes)
     of_task = min(TASK_ROWS, max(LEAST_TASK_ROWS, -(-total // (2 * spark.sparkContext.defaultParallelism))))
     tasks = max(1, -(-total // of_task))
-    dealt = with_month(canonical_fact(readings, station_dim))
     if tasks == 1:
-        return dealt.repartition(1)
-
-    at, year, month = F.col("collected_at"), F.col("year"), F.month("collected_at")
-    shares = _shares(station_dim, expected, [(r.year, r.month) for r in counted]).withColumnsRenamed({"year": "__year", "month": "__month"})
-    same = (F.col("year") == F.col("__year")) & (month == F.col("__month"))
-    placed = dealt.join(small_side(cut(shares)), [dealt["station_id"] == shares["station_id"], same], "left").drop(shares["station_id"])
-    upto = F.filter("shares", lambda p: p["name"] <= F.col("parameter_name"))
+        return readings.repartition(1)
+
+    def task_at(share: Column, number: Column) -> Column:
+        of_list = lambda values: F.get(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), number)
+        place = of_list(starts) + of_list(sizes) * F.least(share, F.lit(1.0))
+        return F.least(F.floor(place / of_task), F.lit(tasks - 1)).cast("int")
+
+    ids = station_dim.select("raw_id", "station_id")
+    shares = _shares(ids.select("station_id"), expected, [(r.year, r.month) for r in counted])
+    shares = shares.withColumn("number", F.col("year") * 12 + F.col("month") - 1 - first)
+    low, high = task_at(F.col("share_before"), F.col("number")), task_at(F.col("share_before") + F.col("share"), F.col("number"))
+    looked_up = shares.withColumn("task", F.when(low == high, low)).withColumn("shares", F.when(F.col("task").isNull(), F.col("shares")))
+    looked_up = ids.join(looked_up, "station_id").select(F.col("raw_id").alias("__raw"), F.col("number").alias("__number"), "task", "share_before", "shares")
+
+    at = F.col("collected_at").cast("timestamp_ntz")
+    number = F.year(at) * 12 + F.month(at) - 1 - F.lit(first)
+    looked_up = F.broadcast(looked_up) if ids.count() * len(counted) <= BROADCAST_MAX_ROWS else cut(looked_up)
+    placed = readings.join(looked_up, (F.col("raw_id") == F.col("__raw")) & (number == F.col("__number")), "left")
+    parameter = _published(readings)["parameter_name"]
+    upto = F.filter("shares", lambda p: p["name"] <= parameter)
     of_month = ((F.dayofmonth(at) - 1) * 24 + F.hour(at) + F.rand(7)) / F.lit(31 * 24.0)
-    inside = lambda p: p["before"] + p["share"] * F.when(p["name"] == F.col("parameter_name"), of_month).otherwise(F.lit(1.0))
+    inside = lambda p: p["before"] + p["share"] * F.when(p["name"] == parameter, of_month).otherwise(F.lit(1.0))
     share = F.coalesce("share_before", F.lit(0.0)) + F.coalesce(inside(F.try_element_at(upto, F.lit(-1))), F.lit(0.0))
-    number = F.least(F.greatest(year * 12 + month - 1 - F.lit(first), F.lit(0)), F.lit(len(sizes) - 1))
-    of_list = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<bigint>"), number)
-    task = F.least(F.floor((of_list(starts) + of_list(sizes) * F.least(share, F.lit(1.0))) / of_task), F.lit(tasks - 1)).cast("int")
-    return placed.withColumn("__task", task).repartitionById(tasks, F.col("__task")).select(*dealt.columns)
+    known = F.least(F.greatest(number, F.lit(0)), F.lit(len(sizes) - 1))
+    task = F.coalesce("task", task_at(share, known))
+    return placed.withColumn("__task", task).repartitionById(tasks, F.col("__task")).select(*readings.columns)

@@ -140,8 +140,14 @@ def manifest_path(root: str) -> str:
 
 def file_system(spark: SparkSession, path: str):
     """A path and its file system, wherever the tree is kept."""
-    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return handle, handle.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = spark.sparkContext
+    if _hadoop.get("app") != context.applicationId:  # looking a class up takes several calls
+        _hadoop.update(app=context.applicationId, path=spark._jvm.org.apache.hadoop.fs.Path, conf=spark._jsc.hadoopConfiguration())
+    handle = _hadoop["path"](path)
+    return handle, handle.getFileSystem(_hadoop["conf"])
+
+
+_hadoop: dict = {}
 
 
 def read_stations(spark: SparkSession, root: str) -> DataFrame:
