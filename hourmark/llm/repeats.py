@@ -442,6 +442,19 @@ def least_docs(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[
     return [lowest[a:b][is_window[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _portions(groups: list[list[list[int]]], sizes: np.ndarray) -> Iterator[list[list[list[int]]]]:
+    """The groups, some at a time; equal windows are in one group."""
+    held, symbols = [], 0
+    for group in groups:
+        held.append(group)
+        symbols += sum(int(sizes[same[0]]) for same in group)
+        if symbols >= MERGE_SYMBOLS:
+            yield held
+            held, symbols = [], 0
+    if held:
+        yield held
+
+
 def _sharing(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: list[list[list[int]]]) -> list[list[list[int]]]:
     """The groups without the contexts that have no window in common with another: equal windows have equal
     hashes, so a context none of whose hashes occurs in a second one is settled by itself."""
@@ -491,7 +504,7 @@ def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 least[members] = docs[members].min()
             if len(same) > 1:
                 open_groups.append(list(same.values()))
-        open_groups = _sharing(data, begins, sizes, open_groups)
+        open_groups = [g for some in _portions(open_groups, sizes) for g in _sharing(data, begins, sizes, some)]
         windows = sizes - LENGTH + 1
         answers = np.repeat(least, windows)
         at = np.cumsum(windows) - windows
