@@ -100,3 +100,23 @@ def test_sample_is_the_same_every_time(spark):
     stations = spark.range(100).select(F.concat(F.lit("site_"), "id").alias("station_id"))
     first = analysis.station_sample(stations).collect()
     assert len(first) == 5 and first == analysis.station_sample(stations.repartition(7)).collect()
+
+
+def test_thousands_of_stations_pivot_into_one_map(spark):
+    """The ids stay a table, and no aggregate or column is made for each of them."""
+    n = F.col("id")
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("s"), n % 5000).alias("station_id"),
+        F.timestamp_add("HOUR", (n / 5000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("collected_at"),
+        n.cast("double").alias("value"),
+    )
+    stations = rows.select("station_id").distinct().where("station_id <> 's7'")
+    wide = analysis.means_by_time(rows, stations)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("avg(") == 1 and plan.count("collect_list(") == 1 and plan.count("Aggregate") <= 3
+    got = wide.collect()
+    assert len(got) == 4 and all(len(r.means) == 4999 for r in got)
+    listed = ["s1", "s7", "s4999"]
+    few = {r.collected_at: (r.s1, r.s7, r.s4999) for r in analysis.opened(wide, listed).collect()}
+    narrow = analysis.time_by_station(rows.where("station_id <> 's7'"), listed).collect()
+    assert few == {r.collected_at: (r.s1, r.s7, r.s4999) for r in narrow}
