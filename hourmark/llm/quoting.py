@@ -22,10 +22,11 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourmark.runtime import cut
+from hourmark.llm.words import let
+from hourmark.runtime import cut, is_small
 
 MARKS = r"^[ \t]*>[> \t]*"
 SENTENCE_END = r"[.!?][\"')\]]{0,2}$"
@@ -41,18 +42,28 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"\s+", " "))
 
 
-def _lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, mark, place, level, hash) of every line that is not blank; `mark` is the text's digest."""
-    split = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").select(
-        "conv_id", "turn", F.sha2("text", 256).alias("mark"), F.posexplode_outer(F.split("text", "\n", -1)).alias("place", "line")
-    )
-    known = split.select("conv_id", "turn", "mark", "place", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
-    return known.where("words <> ''").withColumn("hash", F.sha2("words", 256)).drop("words").distinct()
+def _digest(text: Column) -> Column:
+    """128 bits of the text's SHA-256, as bytes: a quarter of what it takes as hex."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 MESSAGE = ["conv_id", "turn", "mark"]
 
 
+def _known(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark, text) of the messages that can be linked; `mark` is the text's digest."""
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    return known.select("conv_id", "turn", _digest(F.col("text")).alias("mark"), "text")
+
+
+def _lines(messages: DataFrame, quoted: bool) -> DataFrame:
+    """(conv_id, turn, mark, place, level, hash) of every line that is not blank, quoted or not."""
+    split = messages.select(*MESSAGE, F.posexplode_outer(F.split("text", "\n", -1)).alias("place", "line"))
+    split = split.where(F.col("line").rlike(MARKS) if quoted else ~F.col("line").rlike(MARKS))
+    known = split.select(*MESSAGE, "place", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
+    return known.where("words <> ''").withColumn("hash", _digest(F.col("words"))).drop("words")
+
+
 def _sentences(words: Column) -> Column:
     """(hash, begin, n) of the sentences of an array of words, `begin` counted from 1."""
     n = F.size(words)
@@ -73,64 +84,89 @@ def _written(messages: DataFrame) -> DataFrame:
     return said.groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
 
 
+def _passages(text: Column) -> Column:
+    """(words, places) of the passages of a text, `places` with the line of every word: adjacent quoted lines
+    of one level that are not blank. Found inside the row, so no text is shuffled."""
+
+    def found(lines: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(lines, i)["level"], F.lit(0))
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        begins = F.filter(numbers, lambda i: (at(i) > 0) & (at(i - 1) != at(i)))
+        ends = F.filter(numbers, lambda i: (at(i) > 0) & (at(i + 1) != at(i)))
+
+        def passage(x: Column) -> Column:
+            held = F.slice(lines, x["begin"] + 1, x["end"] - x["begin"] + 1)
+            places = F.transform(held, lambda line, k: F.array_repeat(x["begin"] + k, F.size(line["words"])))
+            return F.struct(F.flatten(F.transform(held, lambda line: line["words"])).alias("words"), F.flatten(places).alias("places"))
+
+        return F.transform(F.arrays_zip(begins.alias("begin"), ends.alias("end")), passage)
+
+    def known(line: Column) -> Column:
+        words = lambda w: F.struct(F.when(w != "", level(line)).otherwise(0).alias("level"), F.split(w, " ").alias("words"))
+        return F.when(line.rlike(MARKS), let(normalised(line), words))
+
+    return let(F.transform(F.split(text, "\n", -1), known), found)
+
+
 def _quoted_sentences(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, mark, place, hash): the sentences of passages, at every line they reach into."""
-    lines = messages.select(*MESSAGE, F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.where(F.col("line").rlike(MARKS)).select(*MESSAGE, "place", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("words"))
-    lines = lines.where("words <> ''")
-    # adjacent lines of one level have their place less their number among those of the level in common
-    number = F.row_number().over(Window.partitionBy(*MESSAGE, "level").orderBy("place"))
-    lines = lines.withColumn("passage", F.col("place") - number)
-    passages = lines.groupBy(*MESSAGE, "level", "passage").agg(F.array_sort(F.collect_list(F.struct("place", F.split("words", " ").alias("words")))).alias("held"))
-    passages = passages.select(
-        *MESSAGE,
-        F.flatten(F.transform("held", lambda x: x["words"])).alias("words"),
-        F.flatten(F.transform("held", lambda x: F.array_repeat(x["place"], F.size(x["words"])))).alias("places"),
-    )
-    said = passages.select(*MESSAGE, "places", F.explode(_sentences(F.col("words"))).alias("s"))
-    reached = F.array_distinct(F.slice("places", F.col("s.begin"), F.col("s.n")))
-    return said.select(*MESSAGE, F.explode(reached).alias("place"), F.col("s.hash").alias("hash"))
 
+    def said(passage: Column) -> Column:
+        reached = lambda s: F.array_distinct(F.slice(passage["places"], s["begin"], s["n"]))
+        return F.transform(_sentences(passage["words"]), lambda s: F.struct(s["hash"].alias("hash"), reached(s).alias("places")))
 
-def _passages(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
-    """(conv_id, turn, mark, place, passage_source, whole) of unlinked lines with sentences of an earlier message;
-    `whole` if all their sentences are found."""
-    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
-    known = known.select("conv_id", "turn", F.sha2("text", 256).alias("mark"), "text")
-    asking = known.join(unlinked.select(*MESSAGE).distinct(), MESSAGE, "left_semi").dropDuplicates(MESSAGE)
-    first = _written(known.join(unlinked.select("conv_id").distinct(), "conv_id", "left_semi"))
-    said = _quoted_sentences(asking).join(unlinked.select(*MESSAGE, "place"), [*MESSAGE, "place"], "left_semi")
+    quoting = messages.where(F.contains(F.col("text"), F.lit(">")))
+    sentences = quoting.select(*MESSAGE, F.explode(F.flatten(F.transform(_passages(F.col("text")), said))).alias("s"))
+    return sentences.select(*MESSAGE, F.explode("s.places").alias("place"), F.col("s.hash").alias("hash"))
+
+
+def _narrowed(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """The messages with a row of `asked`, or all of them where that is too large to be broadcast: the rest
+    meets nothing later on, and leaving it in moves less than shuffling the texts."""
+    return messages.join(F.broadcast(asked), asked.columns, "left_semi") if is_small(asked) else messages
+
+
+def _votes(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """(conv_id, turn, mark, place, voted, n): how many sentences of the passage at a line an earlier message wrote
+    first, `voted` null for those that none did. Of copies of a message all are counted."""
+    first = _written(_narrowed(messages, unlinked.select("conv_id").distinct()))
+    said = _quoted_sentences(_narrowed(messages, unlinked.select(*MESSAGE).distinct()))
     found = said.join(first, ["conv_id", "hash"], "left")
-    found = found.withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
-    votes = found.groupBy(*MESSAGE, "place", "source").agg(F.count(F.lit(1)).alias("n"))
-    lines = votes.groupBy(*MESSAGE, "place").agg(
-        F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source"))).alias("best"), F.every(F.col("source").isNotNull()).alias("whole")
-    )
-    return lines.where("best IS NOT NULL").select(*MESSAGE, "place", F.col("best.source").alias("passage_source"), "whole")
+    found = found.withColumn("voted", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    # with the key of the join among its own, this needs no shuffle
+    return found.groupBy(*MESSAGE, "place", "voted", "hash").agg(F.count(F.lit(1)).alias("n")).drop("hash")
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, mark, n_linked, reply_to, linked): per message with quoted lines; `linked` has the
-    places of those that are linked."""
-    lines = cut(_lines(messages))
-    first = lines.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    quoted = lines.where("level > 0").join(first, ["conv_id", "hash"], "left")
-    quoted = quoted.withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
-    quoted = cut(quoted.select(*MESSAGE, "place", "level", "source", F.col("source").isNotNull().alias("whole")))
-    unlinked = quoted.where("source IS NULL")
+    places of those that are linked. Rows between the steps have no text; they are shuffled by message once."""
+    known = _known(messages)
+    first = _lines(known, quoted=False).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    quoted = _lines(known, quoted=True).join(first, ["conv_id", "hash"], "left")
+    quoted = quoted.withColumn("direct", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    # one row per line of a message, however often the message is repeated; again with the key of the join
+    quoted = cut(quoted.groupBy(*MESSAGE, "place", "level", "hash").agg(F.max("direct").alias("direct")).drop("hash"))
+    both = quoted.withColumns({"voted": F.lit(None).cast(quoted.schema["turn"].dataType), "n": F.lit(0).cast("bigint")})
+    unlinked = quoted.where("direct IS NULL")
     if not unlinked.isEmpty():
-        found = _passages(messages, unlinked).withColumnRenamed("whole", "passage_whole")
-        quoted = quoted.join(found, [*MESSAGE, "place"], "left").withColumns(
-            {"source": F.coalesce("source", "passage_source"), "whole": F.col("whole") | F.coalesce("passage_whole", F.lit(False))}
-        )
-    votes = quoted.groupBy("conv_id", "turn", "mark", "source").agg(
+        both = both.unionByName(_votes(known, unlinked), allowMissingColumns=True)
+    asked = both.repartition(*MESSAGE).groupBy(*MESSAGE, "place", "voted").agg(
+        F.max("level").alias("level"), F.max("direct").alias("direct"), F.sum("n").alias("n")
+    )
+    best = F.max(F.when(F.col("voted").isNotNull(), F.struct("n", "voted")))
+    lines = asked.groupBy(*MESSAGE, "place").agg(
+        F.max("level").alias("level"), F.max("direct").alias("direct"), best.alias("best"),
+        F.every(F.col("voted").isNotNull() | (F.col("n") == 0)).alias("all_found"),
+    )
+    lines = lines.where("level IS NOT NULL").withColumns(
+        {"source": F.coalesce("direct", "best.voted"), "whole": F.col("direct").isNotNull() | (F.col("best").isNotNull() & F.col("all_found"))}
+    )
+    votes = lines.groupBy(*MESSAGE, "source").agg(
         F.collect_list(F.when(F.col("whole"), F.col("place"))).alias("places"), F.count_if("whole").alias("n"), F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("outer")
     )
-    best = F.max(F.when((F.col("outer") > 0) & F.col("source").isNotNull(), F.struct("outer", "source")))
-    linked = F.sum("n")
-    return votes.groupBy("conv_id", "turn", "mark").agg(
-        linked.alias("n_linked"), best["source"].alias("reply_to"),
-        F.flatten(F.collect_list("places")).alias("linked"),
+    answered = F.max(F.when((F.col("outer") > 0) & F.col("source").isNotNull(), F.struct("outer", "source")))
+    return votes.groupBy(*MESSAGE).agg(
+        F.sum("n").alias("n_linked"), answered["source"].alias("reply_to"), F.flatten(F.collect_list("places")).alias("linked")
     )
 
 
@@ -138,15 +174,20 @@ def threads(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, root, depth) from (conv_id, turn, reply_to), by doubling the reach of every
     message that does not stand at a root yet; each round is written to the shared folder."""
     reach = answers.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("root")).where("root IS NOT NULL")
-    reach = cut(reach.select("*", F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("open")))
-    while not reach.where("open").isEmpty():
+    moving = cut(reach.select("*", F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("open")))
+    placed = moving.where("NOT open")
+    while not moving.where("open").isEmpty():
+        # what stands at its root is not written again
+        reach = placed.unionByName(moving.where("open"))
         ahead = reach.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        moved = reach.where("open").drop("open").join(ahead, ["conv_id", "root"], "left").select(
-            "conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("next").isNotNull().alias("open"),
+        moving = cut(
+            moving.where("open").drop("open").join(ahead, ["conv_id", "root"], "left").select(
+                "conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.col("next").isNotNull().alias("open"),
+            )
         )
-        reach = cut(reach.where("NOT open").unionByName(moved))
-    return reach.drop("open")
+        placed = placed.unionByName(moving.where("NOT open"))
+    return placed.drop("open")
 
 
 def without_quotes(text: Column) -> Column:
@@ -179,18 +220,22 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """
     found = cut(links(messages))
     placed = threads(found.select("conv_id", "turn", "reply_to"))
-    n_quoted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: line.rlike(MARKS)))
-    own = messages.select("conv_id", "turn", "role", F.sha2("text", 256).alias("mark"), n_quoted.alias("n_quoted"), without_quotes(F.col("text")).alias("text"), F.col("text").alias("whole"))
+    # brought together without the texts, which are shuffled once and taken apart only then
+    mark = F.coalesce(_digest(F.col("text")), F.lit(b"")).alias("mark")
+    about = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", mark).distinct()
+    about = about.join(found, MESSAGE, "left").join(placed, ["conv_id", "turn"], "left")
+    about = about.where("n_linked IS NOT NULL OR root IS NOT NULL")
+    n_quoted = F.size(F.filter(F.split(F.coalesce("whole", F.lit("")), "\n", -1), lambda line: line.rlike(MARKS)))
+    own = messages.select("conv_id", "turn", "role", mark, F.col("text").alias("whole"))
     return (
-        own.join(found, ["conv_id", "turn", "mark"], "left")
-        .join(placed, ["conv_id", "turn"], "left")
+        own.join(about, MESSAGE, "left")
         .select(
             "conv_id", "turn", "role", "reply_to",
             F.coalesce("root", "turn").alias("root"),
             F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
-            F.col("n_quoted").cast("bigint").alias("n_quoted"),
+            n_quoted.cast("bigint").alias("n_quoted"),
             F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
-            "text",
+            without_quotes(F.col("whole")).alias("text"),
             unlinked_lines(F.col("whole"), F.coalesce("linked", F.array().cast("array<int>"))).alias("unlinked"),
         )
     )
@@ -201,9 +246,13 @@ def quoting_replies(messages: DataFrame) -> DataFrame:
     and within that the first line of the one before. By turn the quoted message keeps its lines, is wrapped
     anew, or is cut to the second sentence of each line. For tests and the registered query."""
     first = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
-    one = first.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("said").alias("before"))
-    two = first.select("conv_id", (F.col("turn") + 2).alias("turn"), F.split("said", "\n", -1)[0].alias("earlier"))
-    joined = messages.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+    # what a message is given by the two before it, brought together in one shuffle
+    given = F.array(
+        F.struct((F.col("turn") + 1).alias("turn"), F.col("said").alias("before"), F.lit(None).cast("string").alias("earlier")),
+        F.struct((F.col("turn") + 2).alias("turn"), F.lit(None).cast("string").alias("before"), F.split("said", "\n", -1)[0].alias("earlier")),
+    )
+    given = first.select("conv_id", F.inline(given)).groupBy("conv_id", "turn").agg(F.max("before").alias("before"), F.max("earlier").alias("earlier"))
+    joined = messages.join(given, ["conv_id", "turn"], "left")
     wrapped = lambda line: F.regexp_replace(line, r"(.{60,}?)[ \t]+", "$1\n> ")
     # only where it has enough words to be told from others
     sentence = lambda line: F.regexp_extract(line, r"[.!?] +((?:[^ .!?]+ +){5,}[^ .!?]+[.!?])", 1)

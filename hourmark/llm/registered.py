@@ -22,6 +22,7 @@ from hourmark.llm import (
     warc,
     whitening,
 )
+from hourmark.runtime import new_path
 
 # Fixed values of the contract.
 URL_RULES = [
@@ -52,7 +53,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations hold no quotations, so every message is first made to quote the turns before it."""
-    return quoting.format_conversations(quoting.quoting_replies(_table(spark, sf_dir, "conversations")))
+    replies = new_path(spark, "replies")  # read several times, so not made several times
+    quoting.quoting_replies(_table(spark, sf_dir, "conversations")).write.option("compression", "zstd").parquet(replies)
+    return quoting.format_conversations(spark.read.parquet(replies))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

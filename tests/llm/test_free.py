@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -175,6 +176,23 @@ def test_made_quotations_are_wrapped_and_cut(spark):
     assert rows_of(quoting.format_conversations(made), "turn", "reply_to", "text") == ordered([(t, t - 1 if t else None, text(t)) for t in range(9)])
 
 
+def test_quotations_move_texts_once(spark):
+    df = frame(spark, MESSAGES, "conv_id bigint, turn bigint, role string, text string", ["root", "level", "mark", "source", "n"])
+    text = quoting.format_conversations(df)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = re.findall(r"\) Exchange *\nInput \[\d+\]: \[(.*)\]", text)
+    assert shuffled and sum("text#" in columns or "whole#" in columns for columns in shuffled) == 1
+    assert dict(quoting.links(df).dtypes)["mark"] == "binary"
+
+
+def test_repeated_messages_and_passages_count_once(spark):
+    said = "One sentence is long enough. Two sentences are here."
+    rows = [(1, 0, "a", said), (1, 1, "b", "> One sentence is\n> long enough.\n>> Two sentences are here.\n\n> nobody said this"), (1, 1, "b", None), (1, 1, "b", "no quotes")]
+    rows += [rows[1]] * 3
+    got = quoting.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    wanted = [(0, None, 0, 0, 0, said), (1, None, 0, 1, 0, ""), (1, None, 0, 1, 0, "no quotes")] + [(1, 0, 0, 1, 3, "")] * 4
+    assert rows_of(got, "turn", "reply_to", "root", "depth", "n_linked", "text") == ordered(wanted)
+
+
 PRIVATE = [
     "mail a.b+c@ex-ample.co.uk, or x@y", "a@b.c@d.e.f", "@a.b x@.c .@d.e", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.02.3.255",
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111", "+1 (375) 555-4393. +12 345", "+1+22 333 444 555 +", "card:4111111111111111x +4111111111111111",
