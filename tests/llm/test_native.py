@@ -2,11 +2,13 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from hourmark.llm import decontaminate, mixing, quality, urlrules
+from hourmark.llm.words import ascii_lower
 from tests.llm import brute, cases
 from tests.llm.cases import frame, ordered, rows_of
 
@@ -89,6 +91,28 @@ def plan_of(df):
 VARIED = [(n, " ".join(f"w{(n * 7 + k) % 23}" for k in range(n))) for n in range(3, 14)]
 
 
+def test_words_are_the_contracts_at_every_edge(spark):
+    edges = [*range(0x100), 0x17F, 0x212A, 0xFFFD, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    texts = [(k, f"ab{chr(k)}Cd {chr(k)}") for k in edges]
+    got = spark.createDataFrame(texts, "doc_id bigint, text string").select("doc_id", decontaminate._words(F.col("text")).alias("words"))
+    assert {r.doc_id: r.words for r in got.collect()} == {k: brute.BENCH_WORD.findall(t.translate(brute.UPPER)) for k, t in texts}
+
+
+def test_words_are_matched_as_fast_as_they_are_split(spark):
+    docs = spark.range(8000).repartition(8).select(F.repeat(F.lit("some words of a text, and more of them. "), 100).alias("text")).cache()
+    docs.count()
+
+    def seconds(words):
+        started = time.perf_counter()
+        assert docs.agg(F.sum(F.size(words))).first()[0] >= 8000 * 900
+        return time.perf_counter() - started
+
+    split = F.split(ascii_lower(F.col("text")), r"[\x00-/:-`{-\x7F]+", -1)
+    seconds(split), seconds(decontaminate._words(F.col("text")))
+    # the class by the characters that it is not takes ten times as long
+    assert min(seconds(decontaminate._words(F.col("text"))) for _ in range(3)) < 4 * min(seconds(split) for _ in range(3))
+
+
 @pytest.mark.parametrize("bound", [0, decontaminate.BROADCAST_BYTES])
 def test_items_of_many_lengths_and_a_table_too_large_to_broadcast(spark, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
