@@ -149,7 +149,7 @@ def in_expected_ranges(readings: DataFrame, station_dim: DataFrame, expected: Da
         place = of_list(starts) + of_list(sizes) * F.least(share, F.lit(1.0))
         return F.least(F.floor(place / of_task), F.lit(tasks - 1)).cast("int")
 
-    ids = station_dim.select("raw_id", "station_id")
+    ids = station_dim.select("raw_id", "station_id").distinct()  # readings are dealt once, however often they are described
     shares = _shares(ids.select("station_id"), expected, [(r.year, r.month) for r in counted])
     shares = shares.withColumn("number", F.col("year") * 12 + F.col("month") - 1 - first)
     low, high = task_at(F.col("share_before"), F.col("number")), task_at(F.col("share_before") + F.col("share"), F.col("number"))

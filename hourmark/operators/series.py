@@ -63,10 +63,11 @@ def one_per_public_id(station_dim: DataFrame) -> DataFrame:
     )
 
 
-def stations_table(summary: DataFrame, station_dim: DataFrame) -> DataFrame:
-    """The published station table: stations with readings, described by the current dimension."""
+def stations_table(summary: DataFrame, station_dim: DataFrame, each_description: bool = False) -> DataFrame:
+    """The published station table: stations with readings, described by the current dimension; a row
+    per station or, with `each_description`, per station and description."""
     stats = station_stats(station_parameter_stats(summary)).alias("s")
-    dim = one_per_public_id(station_dim).alias("d")
+    dim = (station_dim if each_description else one_per_public_id(station_dim)).alias("d")
     return stats.join(dim, "station_id", "left").select(
         "station_id",
         *[F.coalesce(f"d.{c}", f"s.{c}").alias(c) for c in ("station_name", "state_name", "city_name")],

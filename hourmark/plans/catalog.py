@@ -45,7 +45,7 @@ def coverage_summary(manifest_row: DataFrame) -> DataFrame:
         size.alias("n_months"),
         F.when(size > 0, label(F.try_element_at(months, F.lit(1)))).alias("first_month"),
         F.when(size > 0, label(F.try_element_at(months, F.lit(-1)))).alias("last_month"),
-        F.col("stations.rows").alias("stations"),
+        F.coalesce("stations.ids", "stations.rows").alias("stations"),
         F.col("parameters.rows").alias("parameters"),
     )
 

@@ -187,11 +187,13 @@ def _all_series(spark: SparkSession, root: str, years: list[dict]) -> DataFrame:
     return _add_up(tree.read_folders(spark, root, [y["folder"] for y in years]))
 
 
-def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame, years: list[dict], run: str) -> dict[str, dict]:
+def write_dimensions(
+    spark: SparkSession, root: str, station_dim: DataFrame, years: list[dict], run: str, each_description: bool = False
+) -> dict[str, dict]:
     """Write the station and parameter tables of all series, described by `station_dim`. Returns their entries."""
     summary = cut(_all_series(spark, root, years))
     made = {
-        "stations": series.in_listing_order(series.stations_table(summary, station_dim)),
+        "stations": series.in_listing_order(series.stations_table(summary, station_dim, each_description)),
         "parameters": series.by_size(series.parameters_table(summary)),
     }
     entries = {}
@@ -200,6 +202,8 @@ def write_dimensions(spark: SparkSession, root: str, station_dim: DataFrame, yea
         table.write.option("compression", "zstd").parquet(f"{root.rstrip('/')}/{folder}")
         rows = tree.read_folders(spark, root, [folder]).count()
         entries[kind] = {"rows": rows, "key": table_folder(kind), "bytes": _size(spark, root, folder)[0], "folder": folder}
+    if each_description:
+        entries["stations"]["ids"] = summary.select("station_id").distinct().count()
     return entries
 
 
@@ -250,6 +254,7 @@ def publish(
     months: DataFrame,
     exported_at: str | None = None,
     batch: tuple[str, int] | None = None,
+    each_description: bool = False,
 ) -> Published:
     """Publish `months` (one date per row; none rebuilds the dimension tables only).
 
@@ -258,6 +263,10 @@ def publish(
     over. A month asked for that has no readings is removed. In the years it touches, a summary that does
     not account for its month is made again. `batch` is the name of a stream and the number of its batch: one that
     the manifest already has is done. One run at a time may publish to a tree.
+
+    A dimension that describes a raw id more than once is refused, like one in which two raw ids share a
+    public id. With `each_description` the first is taken as a join takes it: the readings are published
+    under each description, and the station table lists each.
     """
     old = tree.load_manifest(spark, root)
     batches = dict((old or {}).get("batches") or {})
@@ -269,7 +278,7 @@ def publish(
     dim_path = new_path(spark, "station-dim")
     station_dim.write.parquet(dim_path)
     try:
-        station_dim = require_unique(spark.read.parquet(dim_path))
+        station_dim = require_unique(spark.read.parquet(dim_path), each_description)
         asked = [r.month for r in months.distinct().orderBy("month").collect()]  # calendar months
         named = named_folders(old)
         years = {m.year for m in asked}
@@ -313,7 +322,7 @@ def publish(
             "timezone_note": S.TIMEZONE_NOTE,
             "columns": S.COLUMN_NOTES,
             "measurements": {"rows": sum(m["rows"] for m in entries), "bytes": sum(m["bytes"] for m in entries), "months": entries},
-            **write_dimensions(spark, root, station_dim, known_years, run),
+            **write_dimensions(spark, root, station_dim, known_years, run, each_description),
             "series_years": sorted(known_years, key=lambda y: y["year"]),
             "batches": batches,
         }

@@ -131,6 +131,7 @@ _TABLE_ENTRY = T.StructType(
         T.StructField("key", T.StringType()),
         T.StructField("bytes", T.LongType()),
         T.StructField("folder", T.StringType()),
+        T.StructField("ids", T.LongType()),  # stations, where the table may list one more than once
     ]
 )
 MANIFEST = T.StructType(

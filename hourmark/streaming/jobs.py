@@ -29,6 +29,7 @@ def publish_stream(
     station_dim: Callable[[], DataFrame],
     checkpoint: str,
     trigger: dict | None = None,
+    each_description: bool = False,
 ) -> StreamingQuery:
     """Re-publish the months that new raw readings fall in.
 
@@ -40,7 +41,8 @@ def publish_stream(
 
     def run(batch: DataFrame, number: int) -> None:
         touched = batch.where(F.col(at).isNotNull()).select(t.month_of(F.col(at)).alias("month")).distinct()
-        publish(spark, root, readings, station_dim(), touched, batch=(stream_id(spark, checkpoint), number))
+        batch_id = (stream_id(spark, checkpoint), number)
+        publish(spark, root, readings, station_dim(), touched, batch=batch_id, each_description=each_description)
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -471,3 +471,44 @@ def test_answer_files(spark, root, tmp_path):
     assert json.loads(document.value) == meta
     lines = spark.read.text(str(tmp_path / "a" / "data")).collect()
     assert json.loads(lines[0].value)["period_start"] == result.rows.first().period_start.isoformat()
+
+
+def described_twice(spark):
+    """`dimension` and a second description of two of its raw ids, one in the same city."""
+    dim = dimension(spark)
+    again = dim.where("station_id IN ('site_2', 'site_4')").withColumns(
+        {"station_name": F.lit("Second"), "city_name": F.when(F.col("station_id") == "site_2", F.lit("City 9")).otherwise(F.col("city_name"))}
+    )
+    return dim.unionByName(again)
+
+
+@pytest.mark.parametrize("cut_up", [False, True])
+def test_readings_come_under_each_description_where_that_is_asked_for(spark, root, monkeypatch, cut_up):
+    if cut_up:  # ranges by expected counts, of several tasks
+        monkeypatch.setattr("hourmark.operators.fact.LEAST_TASK_ROWS", 50)
+    data, dim = source(spark, [JAN, FEB]), described_twice(spark)
+    for months in ([JAN, FEB], [FEB]):  # from counted keys, then from what was published before
+        asked = spark.createDataFrame([(m,) for m in months], "month date")
+        made = publish.publish(spark, root, lambda m: readings.timescale_readings(data, m), dim, asked, each_description=True)
+    kept = data.where("value IS NOT NULL")
+    fact = tree.scan_tree(spark, root)
+    wanted = kept.join(dim, kept.station_id == dim.raw_id).select(dim.station_id, "station_name", "city_name", F.col("time").alias("collected_at"), "value")
+    assert wanted.count() > kept.count()
+    assert rows_of(fact.select(wanted.columns)) == rows_of(wanted)
+    listed = rows_of(tree.read_stations(spark, root).select("station_id", "station_name", "city_name", "latitude"))
+    assert listed == rows_of(dim.select("station_id", "station_name", "city_name", "latitude"))
+    assert {(r.station_id, r.n_rows) for r in tree.read_stations(spark, root).collect()} == {
+        (r.station_id, r["count"]) for r in fact.groupBy("station_id").count().collect()
+    }
+    summary = catalog.coverage_summary(made.manifest).first()
+    assert (summary.rows, summary.stations) == (wanted.count(), 9)
+
+
+def test_two_descriptions_of_a_raw_id_are_refused_unless_asked_for(spark, root):
+    none = spark.createDataFrame([(JAN,)], "month date")
+    with pytest.raises(DuplicateStations):
+        publish.publish(spark, root, lambda _: None, described_twice(spark), none)
+    twice = dimension(spark).unionByName(dimension(spark).withColumn("raw_id", F.concat("raw_id", F.lit("_x"))))
+    with pytest.raises(DuplicateStations):
+        publish.publish(spark, root, lambda _: None, twice, none, each_description=True)
+    assert not publish.exists(spark, root)

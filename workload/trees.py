@@ -1,4 +1,8 @@
-"""Trees the queries read, published from the stand-ins once per session and directory."""
+"""Trees the queries read, published from the stand-ins once per session and directory.
+
+The ids of the station spine repeat beyond 9,999 suppliers, and its SQL joins the readings of such an id
+to each of its descriptions; the trees are published so too.
+"""
 
 from __future__ import annotations
 
@@ -44,6 +48,7 @@ def _publish_hist(inputs: Inputs, root: str) -> None:
         inputs.station_dim(),
         hist_months(inputs),
         EXPORTED_AT,
+        each_description=True,
     )
 
 
@@ -65,9 +70,10 @@ def corrected(inputs: Inputs) -> str:
             inputs.station_dim(),
             t.calendar(inputs.spark, HIST_TODAY, months=CORRECTED_MONTHS),
             EXPORTED_AT,
+            each_description=True,
         )
         none = inputs.spark.createDataFrame([], "month date")
-        publish(inputs.spark, root, lambda _: source, inputs.renamed_dim(), none, EXPORTED_AT)
+        publish(inputs.spark, root, lambda _: source, inputs.renamed_dim(), none, EXPORTED_AT, each_description=True)
 
     return _once(inputs, "corrected", make)
 
@@ -88,6 +94,7 @@ def streamed(inputs: Inputs) -> str:
             lambda months: timescale_readings(hist, months),
             inputs.station_dim,
             new_path(spark, "stream-state"),
+            each_description=True,
         ).awaitTermination()
 
     return _once(inputs, "streamed", make)
