@@ -223,13 +223,23 @@ def _new_months(spark: SparkSession, root: str, asked: list[date], run: str) ->
     return entries
 
 
-def _expected(spark: SparkSession, root: str, old: dict | None, asked: list[date], raw: DataFrame, station_dim: DataFrame) -> DataFrame:
-    """How many readings to expect (year, month, station_id, parameter_name, n): what a month was last published
-    with or, if it is new, the month before it that was; in a tree without such months they are counted."""
+def _models(spark: SparkSession, root: str, old: dict | None, asked: list[date]) -> dict[date, date]:
+    """For every month the published one whose counts it is expected to have: itself or, if it is new, the month
+    before it that was published. Empty where one of them has none, or its summary is gone."""
     entries = {_month(m): m for m in tree.month_entries(old)}
     model = {month: max((known for known in entries if known <= month), default=None) for month in asked}
     if not all(model.values()) or not all(exists(spark, f"{root.rstrip('/')}/{entries[m]['series']}") for m in set(model.values())):
+        return {}
+    return model
+
+
+def _expected(spark: SparkSession, root: str, old: dict | None, asked: list[date], raw: DataFrame, station_dim: DataFrame) -> DataFrame:
+    """How many readings to expect (year, month, station_id, parameter_name, n): what a month was last published
+    with or, if it is new, the month before it that was; in a tree without such months they are counted."""
+    model = _models(spark, root, old, asked)
+    if not model:
         return key_counts(raw, station_dim)
+    entries = {_month(m): m for m in tree.month_entries(old)}
     known = _series_of(spark, root, [entries[m] for m in sorted(set(model.values()))])
     alike = spark.createDataFrame([(k.year, k.month, m.year, m.month) for m, k in model.items()], "year int, month int, as_year int, as_month int")
     counts = known.select(F.col("year").cast("int"), F.col("month").cast("int"), "station_id", "parameter_name", "n")
@@ -290,7 +300,9 @@ def publish(
         if asked:
             # a month overwritten with a stray reading would lose the rest of it
             raw = readings(asked).where(t.in_months(F.col("collected_at"), asked))
-            write_months(fact_by_month(raw, station_dim, _expected(spark, root, old, asked, raw, station_dim)), tree.measurements_path(root), S.SORT_KEY, run=run)
+            # without counts to go by, Spark's sample of the keys costs less than counting them all
+            expected = _expected(spark, root, old, asked, raw, station_dim) if _models(spark, root, old, asked) else None
+            write_months(fact_by_month(raw, station_dim, expected), tree.measurements_path(root), S.SORT_KEY, run=run)
             fresh = _new_months(spark, root, asked, run)
         produced = [_month(m) for m in fresh]
         before = tree.month_entries(old)

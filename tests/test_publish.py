@@ -512,3 +512,16 @@ def test_two_descriptions_of_a_raw_id_are_refused_unless_asked_for(spark, root):
     with pytest.raises(DuplicateStations):
         publish.publish(spark, root, lambda _: None, twice, none, each_description=True)
     assert not publish.exists(spark, root)
+
+
+def test_a_new_tree_is_dealt_without_counting_its_keys(spark, root, monkeypatch):
+    def counted(*_):
+        raise AssertionError("the keys of the source were counted")
+
+    monkeypatch.setattr("hourmark.plans.publish.key_counts", counted)
+    data = source(spark, [JAN, FEB])
+    run(spark, root, data, [JAN, FEB])
+    run(spark, root, data, [FEB])  # by what was published
+    kept = data.where("value IS NOT NULL").select("station_id", F.col("time").alias("collected_at"), "value")
+    published = tree.scan_tree(spark, root).select(F.col("station_id"), "collected_at", "value")
+    assert rows_of(published) == rows_of(kept.withColumn("station_id", F.regexp_extract("station_id", "^site_[0-9]+", 0)))
