@@ -12,8 +12,11 @@ from hourmark.sources import tree
 def file_sizes(scan: DataFrame, root: str, kind: str) -> DataFrame:
     """The files of a scan, a row each. Reads footers only: no data column is needed."""
     by = [F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")] if "year" in scan.columns else []
-    key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("_metadata.file_path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
-    sizes = scan.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    path = F.col("_metadata.file_path").alias("path")
+    files = scan.groupBy(*by, path).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    # the key is cut out of the path once per file, not once per row
+    key = F.concat(F.lit(f"{S.SCHEMA_VERSION}/"), F.regexp_extract(F.url_decode("path"), rf"^.*/{S.SCHEMA_VERSION}/([^:]*)\z", 1))
+    sizes = files.groupBy(*[c for c in ("year", "month") if by], key.alias("key")).agg(F.sum("rows").alias("rows"), F.max("bytes").alias("bytes"))
     none = F.lit(None).cast("int")
     return sizes.select(
         F.lit(kind).alias("kind"), "key", *(["year", "month"] if by else [none.alias("year"), none.alias("month")]), "rows", "bytes"

@@ -525,3 +525,15 @@ def test_a_new_tree_is_dealt_without_counting_its_keys(spark, root, monkeypatch)
     kept = data.where("value IS NOT NULL").select("station_id", F.col("time").alias("collected_at"), "value")
     published = tree.scan_tree(spark, root).select(F.col("station_id"), "collected_at", "value")
     assert rows_of(published) == rows_of(kept.withColumn("station_id", F.regexp_extract("station_id", "^site_[0-9]+", 0)))
+
+
+def test_keys_of_files_are_made_once_per_file(spark, root):
+    data = source(spark, [JAN, FEB])
+    run(spark, root, data, [JAN, FEB])
+    files = catalog.file_sizes(tree.scan_tree(spark, root), root, "measurements")
+    lines = files._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    over_rows = lines[max(n for n, line in enumerate(lines) if "Aggregate [" in line) + 1 :]
+    assert not any("regexp_extract" in line or "decode" in line for line in over_rows)
+    found = files.collect()
+    assert sum(r.rows for r in found) == data.where("value IS NOT NULL").count()
+    assert all(r.key.startswith(tree.month_key(r.year, r.month)) and r.key.endswith(".parquet") and r.bytes > 0 for r in found)
