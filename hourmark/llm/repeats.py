@@ -50,24 +50,31 @@ from hourmark.runtime import cut, new_path
 LENGTH = 50
 # Parameters: bytes of a gram and the grams of a window; bytes of a piece of text, of a stride that is
 # hashed at a time, and of a shard; the documents, or windows, from which a seed's windows are dealt out
-# singly; symbols merged at a time; packed bytes of text for every bucket, so that buckets grow with the
-# data and not in size; buckets of a task, which has one of them at a time; most tasks of a stage.
+# singly; symbols merged at a time, and of a transform at least; packed bytes of text for every bucket, so that
+# buckets grow with the data and not in size; buckets of a task, which has one of them at a time; most tasks of
+# a stage. Every shard may send a blob to every bucket, so neither is small.
 GRAM = 24
 GRAMS = LENGTH - GRAM + 1
 PIECE_BYTES = 1 << 20
 STRIDE = 1 << 16
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 HOT_DOCS = 50_000
 HOT_WINDOWS = 4_000_000
 MERGE_SYMBOLS = 1 << 18
-BUCKET_BYTES = 1 << 20
-BUCKETS_PER_TASK = 4
+TRANSFORM_SYMBOLS = 1 << 15
+BUCKET_BYTES = 8 << 20
+BUCKETS_PER_TASK = 2
 MOST_TASKS = 20_000
-TEXT_BATCH, BLOB_BATCH = 256, 8
+TEXT_BATCH, BLOB_BATCH = 256, 32
+# Rows and bytes that a task hands on at a time; contexts that are held in words at a time.
+SENT_ROWS, SENT_BYTES = 64, 4 << 20
+CONTEXTS_AT_ONCE = 1 << 15
 
 POSITION_BITS = 28
 SHARD_BITS = 24
 SEED_BITS = 48
+FILTER_BITS = 22
+SEED_MASK = np.uint64((1 << SEED_BITS) - 1)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -102,6 +109,8 @@ def seed_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(seed, first window, windows) of the runs of consecutive windows with one seed.
 
     `data` holds documents end to end, `starts` their offsets and the end. Windows lie inside documents.
+    Windows are compared by the high bits of hashes. A seed is the low bits, which being least says nothing
+    about, so that seeds are spread evenly.
     """
     found = []
     step = STRIDE
@@ -127,13 +136,16 @@ def seed_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
         turns = np.flatnonzero((np.diff(seeds) != 0) | (np.diff(windows) != 1)) + 1
         first = np.concatenate(([0], turns))
         count = np.diff(np.concatenate((first, [len(windows)])))
-        found.append((hashes[seeds[first]] >> np.uint64(64 - SEED_BITS), windows[first] + at, count))
+        found.append((hashes[seeds[first]] & SEED_MASK, windows[first] + at, count))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 # -- blobs --------------------------------------------------------------------------
+_compressor, _decompressor = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; whole numbers take the narrowest width they fit."""
     parts = []
@@ -141,11 +153,11 @@ def pack(*arrays: np.ndarray) -> bytes:
         if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
             a = a.astype(np.min_scalar_type(int(a.max())))
         parts.append(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) + a.tobytes())
-    return zstandard.compress(b"".join(parts), 3)
+    return _compressor.compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw, at, arrays = zstandard.decompress(blob), 0, []
+    raw, at, arrays = _decompressor.decompress(blob), 0, []
     while at < len(raw):
         kind, n = struct.unpack_from("<2sQ", raw, at)
         at += 10
@@ -170,6 +182,20 @@ def unpack_text(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts.astype(np.int64), ids.astype(np.int64)
 
 
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of text as one: bytes, offsets of documents and the end, their ids, and documents before each piece and in all."""
+    pieces = [unpack_text(b) for b in blobs]
+    shift = np.cumsum([0] + [len(p[0]) for p in pieces])
+    starts = np.concatenate([p[1][:-1] + s for p, s in zip(pieces, shift)] + [shift[-1:]])
+    return np.concatenate([p[0] for p in pieces]), starts, np.concatenate([p[2] for p in pieces]), np.cumsum([0] + [len(p[2]) for p in pieces])
+
+
+def _spans(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, span after span."""
+    ends = np.cumsum(counts)
+    return np.repeat(begins - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _bucket_edges(seeds: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted seeds; buckets are ranges of equal width."""
     bounds = np.array([(b << SEED_BITS) // buckets for b in range(buckets + 1)], np.uint64)
@@ -186,9 +212,25 @@ def _rows(*rows: tuple) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=COLUMNS)
 
 
+def _sent(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows some at a time: a frame of each would cost more than what is in it."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= SENT_ROWS or size >= SENT_BYTES:
+            yield _rows(*held)
+            held, size = [], 0
+    if held:
+        yield _rows(*held)
+
+
 def _distinct_docs(seeds: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct seeds, how many documents each occurs in, and how many windows have it."""
-    order = np.lexsort((docs, seeds))
+    """Sorted distinct seeds, how many documents each occurs in, and how many windows have it. Documents by number."""
+    if docs.max() < 1 << 64 - SEED_BITS:
+        order = np.argsort(seeds << np.uint64(64 - SEED_BITS) | docs.astype(np.uint64))
+    else:
+        order = np.lexsort((docs, seeds))
     seeds, docs = seeds[order], docs[order]
     turns = np.diff(seeds) != 0
     first = np.flatnonzero(np.concatenate(([True], turns)))
@@ -230,34 +272,27 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _seeds(buckets: int):
     """Pieces of text to the sorted distinct seeds of what a task reads of each shard, by bucket."""
 
-    def sent(shard: int, seeds: list[np.ndarray], docs: list[np.ndarray], windows: list[np.ndarray]) -> pd.DataFrame:
-        rows = []
-        if sum(map(len, seeds)):
-            values, counts, held = _distinct_docs(np.concatenate(seeds), np.concatenate(docs), np.concatenate(windows))
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for shard, rows in _grouped(batches, "shard"):
+            data, starts, ids, _ = _joined([blob for _, _, _, blob in rows])
+            seeds, first, count = seed_runs(data, starts)
+            numbers = np.unique(ids, return_inverse=True)[1]
+            document = np.searchsorted(starts, first, "right") - 1
+            known = ids[document] != NO_ID
+            if not known.any():
+                continue
+            values, counts, held = _distinct_docs(seeds[known], numbers[document[known]], count[known])
             edges = _bucket_edges(values, buckets)
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                rows.append((SEEDS, shard, int(b), pack_sorted(values[part], counts[part], held[part])))
-        return _rows(*rows)
+                yield SEEDS, shard, int(b), pack_sorted(values[part], counts[part], held[part])
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard, rows in _grouped(batches, "shard"):
-            seeds, docs, windows = [], [], []
-            for _, _, _, blob in rows:
-                data, starts, ids = unpack_text(blob)
-                here, first, count = seed_runs(data, starts)
-                owner = ids[np.searchsorted(starts, first, "right") - 1]
-                seeds.append(here[owner != NO_ID])
-                docs.append(owner[owner != NO_ID])
-                windows.append(count[owner != NO_ID])
-            yield sent(shard, seeds, docs, windows)
-
-    return found
+    return lambda batches: _sent(found(batches))
 
 
 def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, Iterator[tuple]]]:
     """Sorted rows by key, one row at a time; a group must be used up before the next is asked for."""
-    rows = (tuple(r) for batch in batches for r in batch[COLUMNS].itertuples(index=False))
+    rows = (r for batch in batches for r in zip(*(batch[c].tolist() for c in COLUMNS)))
     at = COLUMNS.index(key)
     row = next(rows, None)
     while row is not None:
@@ -274,6 +309,10 @@ def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, I
 
 def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per bucket: merge the shards' runs of seeds, answer each shard those in two documents or more."""
+    return _sent(_again(batches))
+
+
+def _again(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for bucket, rows in _grouped(batches, "part"):
         runs = [(shard, *unpack_sorted(blob)) for _, shard, _, blob in rows]
         seeds = np.concatenate([r[1] for r in runs])
@@ -290,80 +329,129 @@ def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at += len(values)
             again = docs[here] > 1
             if again.any():
-                yield _rows((SEEDS, shard, int(bucket), pack_sorted(values[again], hot[here][again])))
+                yield SEEDS, shard, int(bucket), pack_sorted(values[again], hot[here][again])
 
 
 # -- contexts -------------------------------------------------------------------------
+WORDS = -(-(LENGTH + GRAMS - 1) // 8)
+# the bytes of the words that belong to a context, by its size
+_INSIDE = (np.arange(8 * WORDS) < np.arange(8 * WORDS + 1)[:, None]).astype(np.uint8).view(np.uint64) * np.uint64(255)
+
+
+def _some(n: int) -> Iterator[slice]:
+    for at in range(0, n, CONTEXTS_AT_ONCE):
+        yield slice(at, min(n, at + CONTEXTS_AT_ONCE))
+
+
+class _Words:
+    """Contexts in a text as words of eight bytes, with zeros behind a context's end."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        laid = np.concatenate((data, np.zeros(8 * WORDS, np.uint8)))
+        self.at = np.ndarray((len(data) + 1, WORDS), np.uint64, laid, 0, (1, 8))
+
+    def of(self, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.at[begins] & _INSIDE[sizes]
+
+    def digests(self, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        made = np.empty(len(begins), np.uint64)
+        for some in _some(len(begins)):
+            digest = sizes[some].astype(np.uint64)
+            for word in self.of(begins[some], sizes[some]).T:
+                digest = _scramble(digest * np.uint64(FACTOR) + word)
+            made[some] = digest
+        return made
+
+    def unlike(self, begins: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> bool:
+        """Whether any context of these differs from the other one of the same size."""
+        return any((self.of(begins[s], sizes[s]) != self.of(others[s], sizes[s])).any() for s in _some(len(begins)))
+
+
+def _distinct(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, keys: np.ndarray, digests: np.ndarray, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of contexts, equal ones having one, in the order of keys; the contexts in this order, and where each
+    number begins there. Digests only put together what may be equal; the bytes decide."""
+    order = np.lexsort((digests, keys))
+    turns = np.ones(len(order), bool)
+    turns[1:] = (np.diff(keys[order]) != 0) | (np.diff(digests[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(turns) - 1
+    first = np.flatnonzero(turns)
+    later = order[~turns]
+    same = order[first][number[later]]
+    if (sizes[later] != sizes[same]).any() or words.unlike(begins[later], begins[same], sizes[later]):
+        order = np.argsort(keys, kind="stable")
+        raw, found = data.tobytes(), {}
+        for i in order.tolist():
+            number[i] = found.setdefault((int(keys[i]), raw[begins[i] : begins[i] + sizes[i]]), len(found))
+        order = np.argsort(number, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(number[order]) != 0)))
+    return number, order, first
+
+
 class _Shard:
-    """The recurring seeds of a shard, and the distinct contexts around them as its text goes by."""
+    """A shard: the text, the seeds of it that recur, and the contexts around them."""
 
     def __init__(self) -> None:
-        self.seeds, self.hot = np.empty(0, np.uint64), np.empty(0, bool)
-        self.number: dict[bytes, int] = {}
-        self.keys: list[int] = []
-        self.least: list[int] = []
-
-    def know(self, blob: bytes) -> None:
-        values, flags = unpack_sorted(blob)
-        seeds, hot = np.concatenate((self.seeds, values)), np.concatenate((self.hot, flags.astype(bool)))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.hot = seeds[order], hot[order]
-
-    def read(self, data: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where contexts begin in this text, and their numbers."""
-        begins: list[int] = []
-        numbers: list[int] = []
-        found, first, count = seed_runs(data, starts)
-        if len(self.seeds) and len(found):
-            at = np.minimum(np.searchsorted(self.seeds, found), len(self.seeds) - 1)
-            owner = ids[np.searchsorted(starts, first, "right") - 1]
-            again = (self.seeds[at] == found) & (owner != NO_ID)
-            raw = data.tobytes()
-            for seed, begin, n, doc, hot in zip(
-                found[again].tolist(), first[again].tolist(), count[again].tolist(), owner[again].tolist(), self.hot[at[again]].tolist()
-            ):
-                # the windows of a hot seed are contexts of their own
-                for start, windows in [(begin + k, 1) for k in range(n)] if hot else [(begin, n)]:
-                    context = raw[start : start + windows + LENGTH - 1]
-                    number = self.number.setdefault(context, len(self.keys))
-                    if number == len(self.keys):
-                        self.keys.append(xxhash.xxh64_intdigest(context) >> 64 - SEED_BITS if hot else seed)
-                        self.least.append(doc)
-                    elif doc < self.least[number]:
-                        self.least[number] = doc
-                    begins.append(start)
-                    numbers.append(number)
-        return np.array(begins, np.int64), np.array(numbers, np.int64)
-
-    def order(self) -> np.ndarray:
-        """The contexts by key, in which they are sent and answered."""
-        return np.argsort(np.array(self.keys, np.uint64), kind="stable")
+        self.known: list[list[np.ndarray]] = []
+        self.pieces: list[bytes] = []
+
+    def take(self, kind: int, blob: bytes) -> None:
+        if kind == SEEDS:
+            self.known.append(unpack_sorted(blob))
+        else:
+            self.pieces.append(blob)
+
+    def read(self) -> None:
+        """Contexts in the order of the text: begins, windows and numbers. For each number: keys, least and where one of it stands."""
+        self.data, self.starts, self.ids, self.documents = _joined(self.pieces)
+        self.pieces = []
+        found, first, count = seed_runs(self.data, self.starts)
+        owner = self.ids[np.searchsorted(self.starts, first, "right") - 1]
+        again, hot = np.empty(0, np.int64), np.empty(0, bool)
+        if self.known:
+            seeds = np.concatenate([k[0] for k in self.known])
+            order = np.argsort(seeds, kind="stable")
+            seeds = seeds[order]
+            low = np.uint64((1 << FILTER_BITS) - 1)
+            may = np.zeros(1 << FILTER_BITS, bool)  # most others are told by their low bits
+            may[seeds & low] = True
+            again = np.flatnonzero(may[found & low] & (owner != NO_ID))
+            at = np.minimum(np.searchsorted(seeds, found[again]), len(seeds) - 1)
+            recurs = seeds[at] == found[again]
+            again, hot = again[recurs], np.concatenate([k[1] for k in self.known]).astype(bool)[order][at[recurs]]
+        self.known = []
+        keys, begins, windows, docs = (x[again] for x in (found, first, count, owner))
+        if hot.any():  # the windows of a hot seed are contexts of their own
+            n = np.where(hot, windows, 1)
+            begins, windows = _spans(begins, n), np.repeat(np.where(hot, 1, windows), n)
+            keys, docs, hot = (np.repeat(x, n) for x in (keys, docs, hot))
+        sizes, words = windows + LENGTH - 1, _Words(self.data)
+        digests = words.digests(begins, sizes)
+        keys = np.where(hot, digests & SEED_MASK, keys)
+        self.begins, self.windows = begins, windows
+        self.numbers, order, first = _distinct(self.data, begins, sizes, keys, digests, words)
+        self.one = order[first]
+        self.keys = keys[self.one]
+        self.least = np.minimum.reduceat(docs[order], first) if len(first) else docs
 
 
 def _contexts(buckets: int):
     """Per shard: the distinct contexts of recurring seeds, by bucket."""
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for number, rows in _grouped(batches, "shard"):
             shard = _Shard()
             for kind, _, _, blob in rows:
-                if kind == SEEDS:
-                    shard.know(blob)
-                else:
-                    shard.read(*unpack_text(blob))
-            if not shard.keys:
-                continue
-            order = shard.order()
-            keys, least = np.array(shard.keys, np.uint64)[order], np.array(shard.least, np.int64)[order]
-            texts = list(shard.number)
-            edges = _bucket_edges(keys, buckets)
+                shard.take(kind, blob)
+            shard.read()
+            edges = _bucket_edges(shard.keys, buckets)
             for b in np.flatnonzero(np.diff(edges)):
                 here = slice(edges[b], edges[b + 1])
-                chosen = [texts[i] for i in order[here]]
-                sizes = np.array([len(t) for t in chosen], np.int64)
-                yield _rows((CONTEXTS, number, int(b), pack_sorted(keys[here], sizes, least[here], np.frombuffer(b"".join(chosen), np.uint8))))
+                begins, sizes = shard.begins[shard.one[here]], shard.windows[shard.one[here]] + LENGTH - 1
+                text = np.concatenate([shard.data[_spans(begins[s], sizes[s])] for s in _some(len(begins))])
+                yield CONTEXTS, number, int(b), pack_sorted(shard.keys[here], sizes, shard.least[here], text)
 
-    return gather
+    return lambda batches: _sent(gather(batches))
 
 
 # -- transforms and their merge ---------------------------------------------------------
@@ -442,102 +530,80 @@ def least_docs(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[
     return [lowest[a:b][is_window[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _portions(groups: list[list[list[int]]], sizes: np.ndarray) -> Iterator[list[list[list[int]]]]:
-    """The groups, some at a time; equal windows are in one group."""
-    held, symbols = [], 0
-    for group in groups:
-        held.append(group)
-        symbols += sum(int(sizes[same[0]]) for same in group)
-        if symbols >= MERGE_SYMBOLS:
-            yield held
-            held, symbols = [], 0
-    if held:
-        yield held
-
-
-def _sharing(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: list[list[list[int]]]) -> list[list[list[int]]]:
-    """The groups without the contexts that have no window in common with another: equal windows have equal
-    hashes, so a context none of whose hashes occurs in a second one is settled by itself."""
-    firsts = np.array([same[0] for group in groups for same in group], np.int64)
-    if not len(firsts):
-        return []
-    lengths = sizes[firsts]
-    ends = np.cumsum(lengths)
-    laid = np.concatenate([data[begins[i] : begins[i] + sizes[i]] for i in firsts.tolist()])
-    windows = lengths - LENGTH + 1
-    owner = np.repeat(np.arange(len(firsts)), windows)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    hashes = gram_hashes(laid, LENGTH)[(ends - lengths)[owner] + inner]
+def _portions(keys: np.ndarray, symbols: np.ndarray) -> Iterator[slice]:
+    """Sorted contexts, some at a time; equal windows are in contexts of one key."""
+    if not len(keys):
+        return
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
+    before = (np.cumsum(symbols) - symbols)[first] // MERGE_SYMBOLS
+    cuts = [*first[np.concatenate(([True], np.diff(before) != 0))].tolist(), len(keys)]
+    yield from map(slice, cuts[:-1], cuts[1:])
+
+
+def _sharing(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which contexts may have a window in common with another one: equal windows have equal hashes, so a context none
+    of whose hashes occurs in a second one is settled by itself."""
+    ends = np.cumsum(sizes)
+    windows = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(begins)), windows)
+    hashes = gram_hashes(data[_spans(begins, sizes)], LENGTH)[_spans(ends - sizes, windows)]
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], np.diff(hashes) != 0)))
     several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-    kept = np.zeros(len(firsts), bool)
+    kept = np.zeros(len(begins), bool)
     kept[owner[np.repeat(several, np.diff(np.concatenate((first, [len(owner)]))))]] = True
-    flags = iter(kept.tolist())
-    left = [[same for same in group if next(flags)] for group in groups]
-    return [group for group in left if group]
+    return kept
 
 
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per bucket: the least doc_id of every window of every context, answered to its shard."""
+    return _sent(_answers(batches))
+
+
+def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for bucket, rows in _grouped(batches, "part"):
         runs = [(shard, *unpack_sorted(blob)) for _, shard, _, blob in rows]
-        seeds = np.concatenate([r[1] for r in runs])
+        keys = np.concatenate([r[1] for r in runs])
         sizes = np.concatenate([r[2] for r in runs]).astype(np.int64)
         docs = np.concatenate([r[3] for r in runs]).astype(np.int64)
         data = np.concatenate([r[4] for r in runs])
+        bounds = np.cumsum([0] + [len(r[1]) for r in runs])
+        runs = [r[0] for r in runs]
         begins = np.cumsum(sizes) - sizes
-        of_run = np.repeat(np.arange(len(runs)), [len(r[1]) for r in runs])
-        raw = data.tobytes()
         # equal contexts of several shards are one
-        order = np.argsort(seeds, kind="stable")
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(seeds[order])) + 1, [len(order)]))
-        least = docs.copy()
-        open_groups: list[list[list[int]]] = []
-        for n in np.flatnonzero(np.diff(bounds) > 1):
-            group = order[bounds[n] : bounds[n + 1]]
-            same: dict[bytes, list[int]] = {}
-            for i in group.tolist():
-                same.setdefault(raw[begins[i] : begins[i] + sizes[i]], []).append(i)
-            for members in same.values():
-                least[members] = docs[members].min()
-            if len(same) > 1:
-                open_groups.append(list(same.values()))
-        open_groups = [g for some in _portions(open_groups, sizes) for g in _sharing(data, begins, sizes, some)]
-        windows = sizes - LENGTH + 1
-        answers = np.repeat(least, windows)
+        words = _Words(data)
+        number, order, first = _distinct(data, begins, sizes, keys, words.digests(begins, sizes), words)
+        one = order[first]
+        least = np.minimum.reduceat(docs[order], first)
+        keys, begins, sizes, windows = keys[one], begins[one], sizes[one], sizes[one] - LENGTH + 1
         at = np.cumsum(windows) - windows
-        held: list[list[int]] = []
-        symbols = 0
-        for n, groups in enumerate(open_groups):
-            held += groups
-            symbols += sum(int(sizes[g[0]]) + 1 for g in groups)
-            if symbols < MERGE_SYMBOLS and n + 1 < len(open_groups):
-                continue
-            first = np.array([g[0] for g in held])
-            shards = [first[of_run[first] == s] for s in np.unique(of_run[first])]
-            strings = [(np.concatenate([data[begins[i] : begins[i] + sizes[i]] for i in s]), sizes[s], least[s]) for s in shards]
-            copies = {g[0]: g for g in held}
-            for s, lowest in zip(shards, least_docs(strings)):
-                ends = np.cumsum(windows[s])
-                for i, values in zip(s.tolist(), np.split(lowest, ends[:-1])):
-                    for j in copies[i]:
-                        answers[at[j] : at[j] + windows[j]] = values
-            held, symbols = [], 0
-        n = 0
-        for shard, values, *_ in runs:
-            here = slice(n, n + len(values))
-            n += len(values)
-            if not len(values):
-                continue
-            mine = answers[at[here.start] : at[here.stop - 1] + windows[here.stop - 1]]
+        lowest = np.repeat(least, windows)
+        # a key with a single context is settled
+        turns = np.concatenate(([True], np.diff(keys) != 0, [True]))
+        left = np.flatnonzero(~(turns[:-1] & turns[1:]))
+        if len(left):
+            left = np.concatenate([left[p][_sharing(data, begins[left[p]], sizes[left[p]])] for p in _portions(keys[left], sizes[left])])
+        for portion in _portions(keys[left], sizes[left] + 1):
+            merged = number[np.sort(one[left[portion]])]  # in the order of the shards
+            # a transform of the contexts of a shard, or of some shards that have few
+            ends = np.cumsum(sizes[merged] + 1)
+            of_run = np.searchsorted(bounds, one[merged], "right")
+            turns = np.flatnonzero(np.concatenate(([True], np.diff(of_run) != 0)))
+            turns = turns[np.concatenate(([True], np.diff((ends - sizes[merged] - 1)[turns] // TRANSFORM_SYMBOLS) != 0))]
+            parts = np.split(merged, turns[1:])
+            strings = [(data[_spans(begins[p], sizes[p])], sizes[p], least[p]) for p in parts]
+            for p, values in zip(parts, least_docs(strings)):
+                lowest[_spans(at[p], windows[p])] = values
+        for shard, a, b in zip(runs, bounds[:-1].tolist(), bounds[1:].tolist()):
+            here = number[a:b]
+            counts = windows[here]
+            mine = lowest[_spans(at[here], counts)]
             # runs of windows with one answer: nearly always the whole context
-            starts = at[here] - at[here.start]
             fresh = np.concatenate(([True], np.diff(mine) != 0))
-            fresh[starts] = True
+            fresh[np.cumsum(counts) - counts] = True
             where = np.flatnonzero(fresh)
-            yield _rows((ANSWERS, shard, int(bucket), pack(windows[here], np.diff(np.concatenate((where, [len(mine)]))), mine[where])))
+            yield ANSWERS, shard, int(bucket), pack(counts, np.diff(np.concatenate((where, [len(mine)]))), mine[where])
 
 
 # -- the result -----------------------------------------------------------------------
@@ -550,32 +616,30 @@ def _covered(keep_bytes: bool):
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _grouped(batches, "shard"):
             shard = _Shard()
-            counts, lowest, pieces = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            counts, lowest = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for kind, _, _, blob in rows:
-                if kind == SEEDS:
-                    shard.know(blob)
-                elif kind == ANSWERS:
+                if kind == ANSWERS:
                     n, lengths, values = unpack(blob)
                     counts.append(n.astype(np.int64))
                     lowest.append(np.repeat(values.astype(np.int64), lengths.astype(np.int64)))
                 else:
-                    pieces.append((blob, *shard.read(*unpack_text(blob))))
-            rank = np.empty(len(shard.keys), np.int64)
-            rank[shard.order()] = np.arange(len(shard.keys))
+                    shard.take(kind, blob)
+            shard.read()
             windows, answers = np.concatenate(counts), np.concatenate(lowest)
             at = np.cumsum(windows) - windows
-            for blob, begins, numbers in pieces:
-                data, starts, ids = unpack_text(blob)
+            for a, b in zip(shard.documents[:-1].tolist(), shard.documents[1:].tolist()):
+                starts, ids = shard.starts[a : b + 1], shard.ids[a:b]
+                data = shard.data[starts[0] : starts[-1]]
+                here = slice(*np.searchsorted(shard.begins, (starts[0], starts[-1])))
+                starts = starts - starts[0]
                 gone = np.zeros(len(data), bool)
-                if len(begins):
-                    place = rank[numbers]
-                    n = windows[place]
-                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    window = np.repeat(begins, n) + inner
+                if here.start < here.stop:
+                    place = shard.numbers[here]
+                    window = _spans(shard.begins[here] - shard.starts[a], windows[place])
                     owner = ids[np.searchsorted(starts, window, "right") - 1]
-                    marks = np.zeros(len(data) + LENGTH, np.int64)
-                    marks[window[answers[np.repeat(at[place], n) + inner] < owner]] = 1
-                    run = np.cumsum(marks)
+                    marks = np.zeros(len(data) + LENGTH, np.int32)
+                    marks[window[answers[_spans(at[place], windows[place])] < owner]] = 1
+                    run = np.cumsum(marks, dtype=np.int32)
                     run[LENGTH:] -= run[:-LENGTH].copy()
                     gone = run[: len(data)] > 0
                 yield _texts(data, starts, ids, gone, keep_bytes)

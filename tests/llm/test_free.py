@@ -60,6 +60,56 @@ def test_buckets_grow_with_the_data(spark, monkeypatch):
     assert made[0] < made[1] and made[1] >= 4
 
 
+def test_seeds_are_spread_evenly_over_buckets():
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    seeds = np.sort(repeats.seed_runs(data, np.array([0, len(data)]))[0])
+    sizes = np.diff(repeats._bucket_edges(seeds, 40))
+    assert sizes.min() > 0.7 * sizes.mean() and sizes.max() < 1.3 * sizes.mean()
+
+
+def test_blobs_are_handed_on_many_at_a_time():
+    """Every shard has a blob for every bucket, so what a blob costs is paid as often as the square of the data."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 20_000).astype(np.uint8)
+    blob = repeats.pack(np.tile(passage, 2), np.array([0, 20_000, 40_000]), np.array([1, 2]))
+    text = pd.DataFrame([(repeats.TEXT, shard, 0, blob) for shard in range(3)], columns=repeats.COLUMNS)
+    seeds = list(repeats._seeds(100)(iter([text])))
+    again = list(repeats._recurring(iter([pd.concat(seeds).sort_values("part", kind="stable")])))
+    known = pd.concat([text, *again]).sort_values(["shard", "kind", "part"], kind="stable")
+    contexts = list(repeats._contexts(100)(iter([known])))
+    answers = list(repeats._settled(iter([pd.concat(contexts).sort_values("part", kind="stable")])))
+    for frames in (seeds, again, contexts, answers):
+        assert sum(map(len, frames)) == 300 and len(frames) <= 8
+
+
+@pytest.mark.parametrize("symbols", [1, 1 << 15])
+def test_shards_with_few_contexts_have_a_transform_together(monkeypatch, symbols):
+    parts = []
+    keep = repeats.merge_transforms
+    docs = [d[:2] for d in cases.documents()]
+    text, ids = [(t or "").encode() for _, t in docs], [repeats.NO_ID if i is None else i for i, _ in docs]
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 700)
+    monkeypatch.setattr(repeats, "TRANSFORM_SYMBOLS", symbols)
+    monkeypatch.setattr(repeats, "merge_transforms", lambda made: parts.append((len(made), sum(len(m[0]) for m in made))) or keep(made))
+    assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
+    assert parts and all(n <= size // symbols + 1 for n, size in parts)
+    assert symbols > 1 or max(parts)[0] > 5
+
+
+@pytest.mark.parametrize("windows_of_hot", [10**9, 30])
+def test_contexts_with_one_digest_are_told_by_their_bytes(monkeypatch, windows_of_hot):
+    docs = [d[:2] for d in cases.documents()]
+    text, ids = [(t or "").encode() for _, t in docs], [repeats.NO_ID if i is None else i for i, _ in docs]
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", windows_of_hot)
+    monkeypatch.setattr(repeats._Words, "digests", lambda self, begins, sizes: np.zeros(len(begins), np.uint64))
+    assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
+
+
 def _in_one_process(texts, ids):
     """The steps of the job with its own functions, for parameters that tasks would not see."""
     import pandas as pd
