@@ -12,17 +12,18 @@ windows have equal seeds.
 2. For these each shard sends the contexts around them: the text of the consecutive windows that have
    this seed, each distinct one once, with its least doc_id. A bucket groups contexts by seed. A seed
    with a single context is settled. The rest are turned into one Burrows-Wheeler transform per
-   shard, and the transforms are merged by refining their interleave: starting from transforms laid
-   one after another, each round sorts the interleave by the preceding symbol and steps back, so that
-   after k rounds it is right in the first k symbols and the blocks are the suffixes with k symbols
-   in common. After LENGTH rounds the blocks are the repeated strings; each window gets the least
-   doc_id of its block. No suffix is sorted again in a merge.
+   shard, or for some shards that have few of them, and the transforms are merged by refining their
+   interleave: starting from transforms laid one after another, each round sorts the interleave by
+   the preceding symbol and steps back, so that after k rounds it is right in the first k symbols
+   and the blocks are the suffixes with k symbols in common. After LENGTH rounds the blocks are the
+   repeated strings; each window gets the least doc_id of its block. No suffix is sorted again in a
+   merge.
 3. The answers go back to the shards, which take their contexts again, in the same order, and cover
    the windows that occur in a smaller doc_id.
 
 A seed that very many documents hold is not kept together: its windows are dealt out one by one, by
-their own hash. Shards and the seeds that recur are written to the shared folder; contexts are
-made a second time rather than stored.
+their own hash. Shards, the seeds that recur and the answers are written to the shared folder, so that
+what was shuffled for them can go; contexts are made a second time rather than stored.
 
 Defined cases: a null text is empty. A document without an id neither removes anything nor loses
 anything. Rows with the same id do not remove from each other. Texts shorter than LENGTH bytes stay
@@ -663,6 +664,18 @@ def _dealt(rows: DataFrame, tasks: int, number: Column, *order: str) -> DataFram
     return rows.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
 
 
+def _stored(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Rows written to the shared folder and read again, and the folder. What was shuffled for them is deleted."""
+    spark, setting = rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_path(spark, label), spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        rows.write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(ROWS).parquet(path), path
+
+
 def without_repeats(documents: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept
     (null without `keep_bytes`)."""
@@ -693,13 +706,11 @@ def _without_repeats(documents: DataFrame, keep_bytes: bool) -> tuple[DataFrame,
         tasks = min(-(-buckets // BUCKETS_PER_TASK), MOST_TASKS)
         return _dealt(rows, tasks, F.col("part"), "part")
 
-    again = by_bucket(text.mapInPandas(_seeds(buckets), ROWS)).mapInPandas(_recurring, ROWS)
-    recurring = new_path(spark, "recurring")
-    again.write.option("compression", "none").parquet(recurring)
-    known = text.unionByName(spark.read.schema(ROWS).parquet(recurring))
+    again, recurring = _stored(by_bucket(text.mapInPandas(_seeds(buckets), ROWS)).mapInPandas(_recurring, ROWS), "recurring")
+    known = text.unionByName(again)
     contexts = by_shard(known).mapInPandas(_contexts(buckets), ROWS)
-    answers = by_bucket(contexts).mapInPandas(_settled, ROWS)
-    return by_shard(known.unionByName(answers)).mapInPandas(_covered(keep_bytes), RESULT), [shards, recurring]
+    answers, settled = _stored(by_bucket(contexts).mapInPandas(_settled, ROWS), "settled")
+    return by_shard(known.unionByName(answers)).mapInPandas(_covered(keep_bytes), RESULT), [shards, recurring, settled]
 
 
 def judge(documents: DataFrame) -> DataFrame:
