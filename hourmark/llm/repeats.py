@@ -23,7 +23,9 @@ windows have equal seeds.
 
 A seed that very many documents hold is not kept together: its windows are dealt out one by one, by
 their own hash. Shards, the seeds that recur and the answers are written to the shared folder, so that
-what was shuffled for them can go; contexts are made a second time rather than stored.
+what was shuffled for them can go; contexts are made a second time rather than stored. Where much of
+the text recurs, contexts are sent and answered for some of the buckets at a time, which reads the text
+again but bounds what is shuffled at once.
 
 Defined cases: a null text is empty. A document without an id neither removes anything nor loses
 anything. Rows with the same id do not remove from each other. Texts shorter than LENGTH bytes stay
@@ -33,6 +35,7 @@ whole. An empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -67,6 +70,9 @@ BUCKET_BYTES = 8 << 20
 BUCKETS_PER_TASK = 2
 MOST_TASKS = 20_000
 TEXT_BATCH, BLOB_BATCH = 256, 32
+# Contexts are sent for some of the buckets at a time where more than these bytes of them are expected for a byte
+# of packed text; bytes of them for a byte of the seeds that recur.
+CONTEXT_SHARE, BYTES_OF_SEED = 2, 9
 # Rows and bytes that a task hands on at a time; contexts that are held in words at a time.
 SENT_ROWS, SENT_BYTES = 64, 4 << 20
 CONTEXTS_AT_ONCE = 1 << 15
@@ -380,7 +386,6 @@ def _distinct(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, keys: np.
     later = order[~turns]
     same = order[first][number[later]]
     if (sizes[later] != sizes[same]).any() or words.unlike(begins[later], begins[same], sizes[later]):
-        order = np.argsort(keys, kind="stable")
         raw, found = data.tobytes(), {}
         for i in order.tolist():
             number[i] = found.setdefault((int(keys[i]), raw[begins[i] : begins[i] + sizes[i]]), len(found))
@@ -390,15 +395,20 @@ def _distinct(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, keys: np.
 
 
 class _Shard:
-    """A shard: the text, the seeds of it that recur, and the contexts around them."""
+    """A shard: the text, the seeds of it that recur, and the contexts around them; all, or those of some buckets."""
 
-    def __init__(self) -> None:
+    def __init__(self, only: range | None = None) -> None:
+        self.only = only
         self.known: list[list[np.ndarray]] = []
         self.pieces: list[bytes] = []
 
-    def take(self, kind: int, blob: bytes) -> None:
+    def take(self, kind: int, part: int, blob: bytes) -> None:
         if kind == SEEDS:
-            self.known.append(unpack_sorted(blob))
+            seeds, hot = unpack_sorted(blob)
+            if self.only is not None and part not in self.only:  # the contexts of hot seeds may be of any bucket
+                seeds, hot = seeds[hot.astype(bool)], hot[hot.astype(bool)]
+            if len(seeds):
+                self.known.append([seeds, hot])
         else:
             self.pieces.append(blob)
 
@@ -436,17 +446,19 @@ class _Shard:
         self.least = np.minimum.reduceat(docs[order], first) if len(first) else docs
 
 
-def _contexts(buckets: int):
-    """Per shard: the distinct contexts of recurring seeds, by bucket."""
+def _contexts(buckets: int, only: range | None = None):
+    """Per shard: the distinct contexts of recurring seeds, by bucket; of all buckets, or of some."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for number, rows in _grouped(batches, "shard"):
-            shard = _Shard()
-            for kind, _, _, blob in rows:
-                shard.take(kind, blob)
+            shard = _Shard(only)
+            for kind, _, part, blob in rows:
+                shard.take(kind, part, blob)
             shard.read()
             edges = _bucket_edges(shard.keys, buckets)
             for b in np.flatnonzero(np.diff(edges)):
+                if only is not None and b not in only:
+                    continue
                 here = slice(edges[b], edges[b + 1])
                 begins, sizes = shard.begins[shard.one[here]], shard.windows[shard.one[here]] + LENGTH - 1
                 text = np.concatenate([shard.data[_spans(begins[s], sizes[s])] for s in _some(len(begins))])
@@ -618,13 +630,13 @@ def _covered(keep_bytes: bool):
         for _, rows in _grouped(batches, "shard"):
             shard = _Shard()
             counts, lowest = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for kind, _, _, blob in rows:
+            for kind, _, part, blob in rows:
                 if kind == ANSWERS:
                     n, lengths, values = unpack(blob)
                     counts.append(n.astype(np.int64))
                     lowest.append(np.repeat(values.astype(np.int64), lengths.astype(np.int64)))
                 else:
-                    shard.take(kind, blob)
+                    shard.take(kind, part, blob)
             shard.read()
             windows, answers = np.concatenate(counts), np.concatenate(lowest)
             at = np.cumsum(windows) - windows
@@ -708,9 +720,14 @@ def _without_repeats(documents: DataFrame, keep_bytes: bool) -> tuple[DataFrame,
 
     again, recurring = _stored(by_bucket(text.mapInPandas(_seeds(buckets), ROWS)).mapInPandas(_recurring, ROWS), "recurring")
     known = text.unionByName(again)
-    contexts = by_shard(known).mapInPandas(_contexts(buckets), ROWS)
-    answers, settled = _stored(by_bucket(contexts).mapInPandas(_settled, ROWS), "settled")
-    return by_shard(known.unionByName(answers)).mapInPandas(_covered(keep_bytes), RESULT), [shards, recurring, settled]
+    expected, bearable = BYTES_OF_SEED * folder_bytes(spark, recurring), CONTEXT_SHARE * folder_bytes(spark, shards)
+    rounds = min(buckets, max(1, math.ceil(expected / max(1, bearable))))
+    folders, answered = [shards, recurring], known
+    for r in range(rounds):
+        contexts = by_shard(known).mapInPandas(_contexts(buckets, range(buckets * r // rounds, buckets * (r + 1) // rounds)), ROWS)
+        answers, folder = _stored(by_bucket(contexts).mapInPandas(_settled, ROWS), "settled")
+        folders, answered = [*folders, folder], answered.unionByName(answers)
+    return by_shard(answered).mapInPandas(_covered(keep_bytes), RESULT), folders
 
 
 def judge(documents: DataFrame) -> DataFrame:

@@ -110,6 +110,45 @@ def test_contexts_with_one_digest_are_told_by_their_bytes(monkeypatch, windows_o
     assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
 
 
+def test_contexts_of_some_buckets_at_a_time(spark, monkeypatch):
+    docs = cases.documents()
+    rounds = []
+    keep = repeats._contexts
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1 << 11)
+    monkeypatch.setattr(repeats, "CONTEXT_SHARE", 0.01)
+    monkeypatch.setattr(repeats, "_contexts", lambda buckets, only: rounds.append(only) or keep(buckets, only))
+    got = repeats.without_repeats(frame(spark, docs, cases.DOCS).repartition(3), keep_bytes=False)
+    rows = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()]
+    assert ordered(rows) == ordered(brute.repeats([d[:2] for d in docs]))
+    assert len(rounds) > 3 and [r.stop for r in rounds[:-1]] == [r.start for r in rounds[1:]]
+
+
+@pytest.mark.parametrize("windows_of_hot, digests", [(10**9, True), (30, True), (30, False)])
+def test_buckets_hold_the_same_contexts_whether_sent_with_others_or_not(monkeypatch, windows_of_hot, digests):
+    import pandas as pd
+
+    docs = [d[:2] for d in cases.documents()]
+    text, ids = [(t or "").encode() for _, t in docs], [repeats.NO_ID if i is None else i for i, _ in docs]
+    keep = repeats._contexts
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", windows_of_hot)
+    if not digests:
+        monkeypatch.setattr(repeats._Words, "digests", lambda self, begins, sizes: sizes.astype(np.uint64))
+
+    def in_rounds(buckets):
+        def sent(batches):
+            batches = list(batches)
+            made = [pd.concat([*keep(buckets, range(a, b))(iter(batches))]) for a, b in ((0, 2), (2, 3), (3, 7))]
+            assert all(set(m["part"]) <= set(range(a, b)) for m, (a, b) in zip(made, ((0, 2), (2, 3), (3, 7))))
+            return iter(made)
+
+        return sent
+
+    monkeypatch.setattr(repeats, "_contexts", in_rounds)
+    assert _in_one_process(text, ids) == ordered(brute.repeats(docs))
+
+
 def _in_one_process(texts, ids):
     """The steps of the job with its own functions, for parameters that tasks would not see."""
     import pandas as pd
